@@ -13,25 +13,18 @@ def seeded_key(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def sha256_mod10(line: Column) -> Column:
-    """SHA-256 of the line modulo 10.
+def hex_mod10(digest: Column) -> Column:
+    """A 64-digit hexadecimal number modulo 10.
 
-    16 = 1 (mod 5), so the digit sum gives the residue modulo 5; the last digit
-    gives the parity; the pair fixes the residue modulo 10.
+    Every power of 16 from the first on is 6 modulo 10, so eight 8-digit words w0
+    (lowest) .. w7 give (w0 + 6 * (w1 + .. + w7)) mod 10.
     """
-    digest = F.sha2(line, 256)
-    # one pass per hex digit value over a constant-length string: length minus length without it
-    digit_sum = sum(
-        (F.lit(64) - F.length(F.replace(digest, F.lit(d)))) * F.lit(int(d, 16)) for d in "123456789abcdef"
-    )
-    mod5 = digit_sum % 5
-    parity = F.conv(F.substring(digest, 64, 1), 16, 10).cast("int") % 2
-    return F.when(mod5 % 2 == parity, mod5).otherwise(mod5 + 5).cast("int")
+    words = [F.conv(F.substring(digest, 57 - 8 * i, 8), 16, 10).cast("long") for i in range(8)]
+    return ((words[0] + 6 * sum(words[1:], F.lit(0))) % 10).cast("int")
 
 
-def split_code(source: Column, line: Column, training_source: str = "train") -> Column:
-    """0 = training source, 1 = development, 2 = validation, 3 = final."""
-    bucket = sha256_mod10(F.regexp_replace(line, "[\r\n]+$", ""))
+def split_code(source: Column, bucket: Column, training_source: str = "train") -> Column:
+    """0 = training source, 1 = development, 2 = validation, 3 = final, from a mod-10 content bucket."""
     return (
         F.when(source == training_source, 0)
         .when(bucket <= 3, 1)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.functions.hashing import seeded_key, split_code
+from alertweave.functions.hashing import hex_mod10, seeded_key, split_code
 from alertweave.operators.ordering import first_rows, order_cut, running_position
 
 
@@ -126,11 +126,11 @@ def uniform_sample(rows: DataFrame, size: int, seed: int, key: str = "row_id") -
     )
     # at most `size` rows are left for the ranking
     ranked = picked.withColumn("_rank", F.row_number().over(Window.orderBy("_key", key)) - 1)
-    total = F.count("*").over(Window.partitionBy())
-    repeats = F.sequence(F.lit(0), F.floor((F.lit(size - 1) - F.col("_rank")) / total).cast("int"))
-    return ranked.withColumn("_total", total).select(
-        *rows.columns, F.explode(repeats).alias("_round"), "_rank", "_total"
-    ).select(*rows.columns, (F.col("_round") * F.col("_total") + F.col("_rank")).alias("draw"))
+    ranked = ranked.withColumn("_total", F.count("*").over(Window.partitionBy()))
+    rounds = F.sequence(F.lit(0), F.floor((F.lit(size - 1) - F.col("_rank")) / F.col("_total")).cast("int"))
+    return ranked.withColumn("_round", F.explode(rounds)).select(
+        *rows.columns, (F.col("_round") * F.col("_total") + F.col("_rank")).alias("draw")
+    )
 
 
 def _draws(spark, size: int, seed: int, salt: str) -> DataFrame:
@@ -209,7 +209,12 @@ def ratio_split(rows: DataFrame, ratio: float, order: Sequence[Column], name: st
 
 def sequence_split(lines: DataFrame, training_source: str = "train") -> DataFrame:
     """Duplicate-safe split by content hash: identical lines always share a split."""
-    return lines.withColumn("split", split_code(F.col("source"), F.col("line"), training_source))
+    # staged, so that each line is hashed once
+    digest = lines.withColumn("_digest", F.sha2(F.regexp_replace("line", "[\r\n]+$", ""), 256))
+    bucketed = digest.withColumn("_bucket", hex_mod10(F.col("_digest")))
+    return bucketed.withColumn("split", split_code(F.col("source"), F.col("_bucket"), training_source)).withColumnRenamed(
+        "_digest", "pattern"
+    ).drop("_bucket")
 
 
 def blind_labels(lines: DataFrame, final_split: int = 3, label: str = "label") -> DataFrame:

@@ -85,13 +85,12 @@ LANDMARKS: dict[str, Callable[[Column, int], Column]] = {
 }
 
 
-def _evidence(pool: Column, table: Column, default: Column, bands, event: Callable[[Column], Column]):
+def _evidence(pool: Column, weights: Column, vocabulary: Column, bands, event: Callable[[Column], Column]):
     size = F.size(pool)
 
     def weight(x: Column, i: Column) -> Column:
-        band = recency_band(size - i, bands)
-        key = F.concat_ws(":", band.cast("string"), event(x).cast("string"))
-        return F.coalesce(F.try_element_at(table, key), default)
+        cell = recency_band(size - i, bands) * vocabulary + event(x)
+        return F.element_at(weights, (cell + 1).cast("int"))
 
     return weight
 
@@ -99,41 +98,42 @@ def _evidence(pool: Column, table: Column, default: Column, bands, event: Callab
 def association_abs(
     pool: Column,
     k: int,
-    table: Column,
-    default: Column,
+    weights: Column,
+    vocabulary: Column,
+    event: Callable[[Column], Column],
     bands: Sequence[tuple[int, int]] = RECENCY_BANDS,
-    event: Callable[[Column], Column] = lambda x: x["local_event"],
     direction: Column | None = None,
 ) -> Column:
-    """Top `k` slots by evidence magnitude under the target's weight table.
+    """Top `k` slots by evidence magnitude under the target's weights.
 
-    `table` maps "band:event" to a weight, `default` is the weight of an unseen
-    cell. With `direction` (+1 / -1 from the target label) the signed weight
-    counts instead: that is the class oracle, a diagnostic only.
+    `weights` holds one weight per (band, local event), band-major, and `event`
+    gives a slot's local event. With `direction` (+1 / -1 from the target label)
+    the signed weight counts instead: that is the class oracle, a diagnostic only.
     """
-    weight = _evidence(pool, table, default, bands, event)
+    weight = _evidence(pool, weights, vocabulary, bands, event)
     size = F.size(pool)
 
     def priority(x: Column, i: Column) -> Column:
         evidence = F.abs(weight(x, i)) if direction is None else weight(x, i) * direction
-        # positions count from the left edge of the full-width pool
+        # positions count from the left edge of the full-width pool; newer wins a tie
         return evidence + (F.lit(bands[-1][1]) - size + i) * _TIE_STEP
 
     return _by_priority(pool, k, priority)
 
 
-def class_oracle(pool: Column, k: int, table: Column, default: Column, label: Column, **kwargs) -> Column:
-    return association_abs(pool, k, table, default, direction=F.when(label == 1, 1.0).otherwise(-1.0), **kwargs)
+def class_oracle(pool: Column, k: int, weights: Column, vocabulary: Column, event, label: Column, **kwargs) -> Column:
+    direction = F.when(label == 1, 1.0).otherwise(-1.0)
+    return association_abs(pool, k, weights, vocabulary, event, direction=direction, **kwargs)
 
 
 def anchored_association(
     pool: Column,
     k: int,
     anchors: int,
-    table: Column,
-    default: Column,
+    weights: Column,
+    vocabulary: Column,
+    event: Callable[[Column], Column],
     bands: Sequence[tuple[int, int]] = RECENCY_BANDS,
-    event: Callable[[Column], Column] = lambda x: x["local_event"],
 ) -> Column:
     """The newest `anchors` slots always, the other `k - anchors` by evidence among older slots."""
     width = bands[-1][1]
@@ -141,8 +141,8 @@ def anchored_association(
         raise ValueError("need 0 < anchors < k <= pool width")
     size = F.size(pool)
     held = F.least(F.lit(anchors), size)
-    weight = _evidence(pool, table, default, bands, event)
-    # `older` starts at the same left edge, so slot indexes keep their band
+    weight = _evidence(pool, weights, vocabulary, bands, event)
+    # the older part starts at the same left edge, so its slots keep their band
     older = F.slice(pool, F.lit(1), size - held)
 
     def priority(x: Column, i: Column) -> Column:

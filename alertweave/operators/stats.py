@@ -203,8 +203,8 @@ def pairability(revealed: DataFrame, label: str = "event_incident", group: str =
 
 
 def sequence_patterns(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: copies, labels seen and presence in training."""
-    return lines.groupBy("line").agg(
+    """One row per distinct line (by content hash): copies, labels seen and presence in training."""
+    return lines.groupBy("pattern").agg(
         F.count("*").alias("copies"),
         F.min("label").alias("low"),
         F.max("label").alias("high"),
@@ -213,18 +213,27 @@ def sequence_patterns(lines: DataFrame) -> DataFrame:
 
 
 def sequence_scan(lines: DataFrame) -> DataFrame:
-    """Per (source, split): lines, duplicate and contradictory lines, lines whose pattern is in training."""
+    """Per (source, split): lines, duplicate and contradictory lines, lines whose pattern is in training.
+
+    Lines are first counted per (pattern, source, split), so a line copied very
+    often joins its pattern once.
+    """
+    cells = lines.groupBy("pattern", "source", "split").agg(F.count("*").alias("n"))
     patterns = sequence_patterns(lines).select(
-        "line", "copies", (F.col("low") != F.col("high")).alias("contradictory"), "in_training"
+        "pattern", "copies", (F.col("low") != F.col("high")).alias("contradictory"), "in_training"
     )
+
+    def rows_where(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("n")).otherwise(0))
+
     return (
-        lines.join(patterns, "line")
+        cells.join(patterns, "pattern")
         .groupBy("source", "split")
         .agg(
-            F.count("*").alias("sequences"),
-            _count_if(F.col("copies") > 1).alias("duplicate_sequences"),
-            _count_if(F.col("contradictory")).alias("contradictory_sequences"),
-            _count_if(F.col("in_training")).alias("train_pattern_sequences"),
+            F.sum("n").alias("sequences"),
+            rows_where(F.col("copies") > 1).alias("duplicate_sequences"),
+            rows_where(F.col("contradictory")).alias("contradictory_sequences"),
+            rows_where(F.col("in_training")).alias("train_pattern_sequences"),
         )
     )
 

@@ -69,21 +69,22 @@ def attack_intervals(events: DataFrame) -> DataFrame:
     )
 
 
-def sequences(alerts: DataFrame) -> DataFrame:
-    """One line per (user, day): vocabulary ids in order, joined by a space."""
-    day = F.floor(F.col("timestamp") / 86_400)
-    grouped = alerts.groupBy("user_id", day.alias("day")).agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", "row_id", "event_id"))).alias("_rows"),
-        F.max("event_incident").alias("_incident"),
-    )
-    source = (
-        F.when(F.col("_incident") == 1, "test_abnormal")
-        .when(F.col("user_id") % 10 < 3, "train")
-        .otherwise("test_normal")
-    )
-    return grouped.select(
-        F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("seq_id"),
+def window_labelled(alerts: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Alerts with `attack_id` from the intervals and the derived `window_incident`."""
+    from alertweave.operators.joins import label_by_interval
+
+    labelled = label_by_interval(alerts, intervals)
+    return labelled.withColumn("window_incident", F.when(F.col("attack_id") >= 0, 1).otherwise(0))
+
+
+def document_lines(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """An event-sequence corpus from texts: `seq_id, source, label, line` with one token per word, its length."""
+    words = F.split("text", "[ \n]+")
+    toxic = F.coalesce("toxic", F.lit(0))
+    source = F.when(F.col("doc_id") % 10 < 3, "train").when(toxic == 1, "test_abnormal").otherwise("test_normal")
+    return documents.join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
+        F.col("doc_id").alias("seq_id"),
         source.alias("source"),
-        F.array_join(F.transform("_rows", lambda x: x["event_id"].cast("string")), " ").alias("line"),
-        F.col("_incident").alias("label"),
+        toxic.alias("label"),
+        F.array_join(F.transform(words, lambda w: F.length(w).cast("string")), " ").alias("line"),
     )
