@@ -51,7 +51,7 @@ def scenario_bootstrap_ci(
 def _sign_rows(units: DataFrame, seed: int) -> DataFrame:
     """Each row of `units` under sign vectors: all of them up to 20 units, 100,000 random ones beyond."""
     exact = F.col("_n") <= _EXACT_UNITS
-    last = F.when(exact, F.shiftleft(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(_EXACT_UNITS))) - 1).otherwise(
+    last = F.when(exact, F.pow(F.lit(2.0), F.col("_n")).cast("long") - 1).otherwise(
         F.lit(_MONTE_CARLO - 1).cast("long")
     )
     rows = units.withColumn("_mask", F.explode(F.sequence(F.lit(0).cast("long"), last)))

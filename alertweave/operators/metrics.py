@@ -191,19 +191,13 @@ def _triage_counts(rows: DataFrame, keys, truth, prediction, group, weight) -> D
         _total(valid, F.lit(1)).alias("incident_groups"),
         _total(valid, F.col("_reviewed")).alias("_groups_reviewed"),
         _total(valid, F.col("_detected")).alias("_groups_detected"),
-    )
+    ).withColumn("incidents", F.col("_tp1") + F.col("_fn0") + F.col("_rej1")).withColumn(
+        "nonincidents", F.col("_fp1") + F.col("_tn0") + F.col("_rej0")
+    ).withColumn("alerts", F.col("incidents") + F.col("nonincidents"))
 
 
-def operational_metrics(
-    rows: DataFrame, keys: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction",
-    group: str = "incident_group", weight: str | None = None,
-) -> DataFrame:
-    """Triage metrics in which a reject goes to review, as a predicted incident does."""
+def _operational_columns() -> list[Column]:
     c = F.col
-    n = _triage_counts(rows, keys, truth, prediction, group, weight)
-    incidents = c("_tp1") + c("_fn0") + c("_rej1")
-    benign = c("_fp1") + c("_tn0") + c("_rej0")
-    n = n.withColumn("alerts", incidents + benign).withColumn("incidents", incidents)
     rejected = c("_rej1") + c("_rej0")
     reviewed_incident = c("_tp1") + c("_rej1")
     reviewed = reviewed_incident + c("_fp1") + c("_rej0")
@@ -213,8 +207,7 @@ def operational_metrics(
     f1_incident = f1_or_zero(ratio_or_null(c("_tp1"), c("_tp1") + c("_fp1")), ratio_or_null(c("_tp1"), c("_tp1") + c("_fn0")))
     f1_benign = f1_or_zero(ratio_or_null(c("_tn0"), c("_tn0") + c("_fn0")), ratio_or_null(c("_tn0"), c("_tn0") + c("_fp1")))
     share = lambda x: ratio_or_null(x, c("alerts"))
-    return n.select(
-        *keys, "alerts", "incidents",
+    return [
         share(reviewed).alias("analyst_workload"),
         recall.alias("triage_incident_recall"),
         precision.alias("triage_precision"),
@@ -224,39 +217,27 @@ def operational_metrics(
         ratio_or_null(c("_fp1") + c("_fn0"), accepted).alias("accepted_error_rate"),
         F.when(accepted > 0, (f1_incident + f1_benign) / 2).alias("classified_macro_f1"),
         ratio_or_null(c("_groups_reviewed"), c("incident_groups")).alias("incident_group_recall"),
-        "incident_groups",
         share(c("_tp1") + c("_fp1")).alias("auto_incident_rate"),
         *[share(c(f"_{name}")).alias(f"{name}_rate") for name, _ in _CODES],
-    )
+    ]
 
 
-def strict_metrics(
-    rows: DataFrame, keys: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction",
-    group: str = "incident_group", weight: str | None = None,
-) -> DataFrame:
-    """Metrics in which a reject is unresolved work and never a detection."""
+def _strict_columns() -> list[Column]:
     c = F.col
-    n = _triage_counts(rows, keys, truth, prediction, group, weight)
-    n = n.withColumn("incidents", c("_tp1") + c("_fn0") + c("_rej1")).withColumn(
-        "nonincidents", c("_fp1") + c("_tn0") + c("_rej0")
-    ).withColumn("alerts", c("incidents") + c("nonincidents"))
     rejected = c("_rej1") + c("_rej0")
     f1_incident = ratio_or_zero(2 * c("_tp1"), 2 * c("_tp1") + c("_fp1") + c("_fn0") + c("_rej1"))
     f1_benign = ratio_or_zero(2 * c("_tn0"), 2 * c("_tn0") + c("_fn0") + c("_fp1") + c("_rej0"))
     share = lambda x: ratio_or_null(x, c("alerts"))
-    return n.select(
-        *keys, "alerts", "incidents", "nonincidents",
+    return [
         ratio_or_null(c("_tp1"), c("incidents")).alias("automatic_incident_recall"),
         ratio_or_null(c("_tp1"), c("_tp1") + c("_fp1")).alias("automatic_incident_precision"),
         ((f1_incident + f1_benign) / 2).alias("strict_macro_f1"),
         share(c("_tp1") + c("_fp1") + rejected).alias("review_workload"),
         share(c("_tp1") + c("_fp1")).alias("automatic_incident_rate"),
         share(c("_tn0") + c("_fn0")).alias("automatic_nonincident_rate"),
-        share(rejected).alias("reject_rate"),
         ratio_or_null(c("_fp1") + c("_fn0"), c("alerts") - rejected).alias("accepted_decision_error"),
         (1000.0 * ratio_or_null(c("_fp1"), c("nonincidents"))).alias("false_escalations_per_1000_nonincidents"),
         ratio_or_null(c("_groups_detected"), c("incident_groups")).alias("incident_group_automatic_recall"),
-        "incident_groups",
         c("_tp1").alias("auto_true_incident"),
         c("_fp1").alias("auto_false_incident"),
         c("_tn0").alias("auto_true_nonincident"),
@@ -265,6 +246,38 @@ def strict_metrics(
         c("_rej0").alias("rejected_nonincident"),
         *[c(f"_{name}").alias(name) for name, _ in _CODES],
         c("_reject_other").alias("reject_other"),
+    ]
+
+
+def operational_metrics(
+    rows: DataFrame, keys: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction",
+    group: str = "incident_group", weight: str | None = None,
+) -> DataFrame:
+    """Triage metrics in which a reject goes to review, as a predicted incident does."""
+    counts = _triage_counts(rows, keys, truth, prediction, group, weight)
+    return counts.select(*keys, "alerts", "incidents", "incident_groups", *_operational_columns())
+
+
+def strict_metrics(
+    rows: DataFrame, keys: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction",
+    group: str = "incident_group", weight: str | None = None,
+) -> DataFrame:
+    """Metrics in which a reject is unresolved work and never a detection."""
+    counts = _triage_counts(rows, keys, truth, prediction, group, weight)
+    rejected = (F.col("_rej1") + F.col("_rej0")) / F.col("alerts")
+    return counts.select(
+        *keys, "alerts", "incidents", "nonincidents", "incident_groups", rejected.alias("reject_rate"), *_strict_columns()
+    )
+
+
+def triage_metrics(
+    rows: DataFrame, keys: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction",
+    group: str = "incident_group", weight: str | None = None,
+) -> DataFrame:
+    """Both families from one pass over the counts."""
+    counts = _triage_counts(rows, keys, truth, prediction, group, weight)
+    return counts.select(
+        *keys, "alerts", "incidents", "nonincidents", "incident_groups", *_operational_columns(), *_strict_columns()
     )
 
 

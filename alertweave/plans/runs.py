@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from alertweave.functions import encode as E
 from alertweave.operators.context import strict_past_context
 from alertweave.operators.folds import fold_rows, reveal_labels
-from alertweave.operators.metrics import operational_metrics, strict_metrics
+from alertweave.operators.metrics import triage_metrics
 from alertweave.operators.points import operating_grid
 from alertweave.operators.stats import rule_prior
+from alertweave.session import cut_lineage
 
 RUN_KEYS = ("method", "test_scenario", "seed")
 POINT_KEYS = (*RUN_KEYS, "eps", "threshold", "grid_order")
@@ -67,12 +68,16 @@ def next_event_confidence(cells: DataFrame, folds: DataFrame) -> tuple[DataFrame
 
 
 def scored_cells(alerts: DataFrame, folds: DataFrame, study: Study) -> DataFrame:
-    """Validation and test cells of each fold and seed with posteriors and confidence."""
-    newest = newest_event(alerts).select(
-        "scenario", "row_id", "event_id", "newest", "event_incident", "event_incident_group"
+    """Validation and test cells of each fold and seed with posteriors and confidence.
+
+    Three results are read more than once and are fixed when made: the alerts with
+    their newest event (one context pass), and two aggregates.
+    """
+    newest = cut_lineage(
+        newest_event(alerts).select("scenario", "row_id", "event_id", "newest", "event_incident", "event_incident_group")
     )
-    cells = alert_cells(newest)
-    revealed = reveal_labels(newest, folds, study.budget, study.ratio, study.seeds)
+    cells = cut_lineage(alert_cells(newest))
+    revealed = cut_lineage(reveal_labels(newest, folds, study.budget, study.ratio, study.seeds))
     by_rule = rule_prior(revealed, ["test_scenario", "seed", "event_id"]).select(
         "test_scenario", "seed", "event_id", F.col("posterior").alias("rule_posterior")
     )
@@ -132,16 +137,20 @@ def predictions(scored: DataFrame, study: Study) -> DataFrame:
 
 
 def run_records(alerts: DataFrame, folds: DataFrame, study: Study | None = None) -> DataFrame:
-    """One row per method, fold, seed, setting and split with both metric families."""
+    """One row per method, fold, seed, setting and split with both metric families.
+
+    Records are a stored result: they are written once and analysed many times.
+    """
     study = study or Study()
-    coded = predictions(scored_cells(alerts, folds, study), study)
+    return records_of(cut_lineage(scored_cells(alerts, folds, study)), study)
+
+
+def records_of(scored: DataFrame, study: Study) -> DataFrame:
+    """The records of scored cells."""
     keys = [*POINT_KEYS, "split"]
     # one row per (point, truth, group, code): all the metrics need
-    cells = coded.groupBy(*keys, "truth", "incident_group", "prediction").agg(F.sum("n").alias("n"))
-    operational = operational_metrics(cells, keys, weight="n")
-    strict = strict_metrics(cells, keys, weight="n").drop("alerts", "incidents", "incident_groups", "reject_rate")
-    joined_on = [k for k in keys if k != "eps"]
-    return operational.join(strict.drop("eps"), joined_on)
+    cells = predictions(scored, study).groupBy(*keys, "truth", "incident_group", "prediction").agg(F.sum("n").alias("n"))
+    return triage_metrics(cells, keys, weight="n")
 
 
 def side_by_side(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
