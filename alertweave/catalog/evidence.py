@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertweave.catalog.contexts import pool
-from alertweave.catalog.registry import query, with_
+from alertweave.catalog.registry import query, stored, with_
 from alertweave.catalog.sqltext import ALERTS, FOLDS, history
-from alertweave.catalog.training import folds, rounded
+from alertweave.catalog.training import alerts, folds, rounded
 from alertweave.operators import association as AS
 from alertweave.operators import context as C
 from alertweave.operators import metrics as M
@@ -62,14 +62,19 @@ sw AS (SELECT s.row_id, s.x, s.p, ap.y, coalesce(c.weight, t.default_weight) + 0
 BASE = (ALERTS, FOLDS, history(100), PRESENCE, FIT, APPLIED)
 
 
+def fitted(spark, sf_dir):
+    return AS.fit_association(pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir))
+
+
 def applied(spark, sf_dir):
     rows, table = pool(spark, sf_dir), folds(spark, sf_dir)
-    return AS.with_model(rows, table, AS.association_model(rows, table))
+    model = stored("association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table))
+    return AS.with_model(rows, table, model)
 
 
 @query("a13_association_cells", with_(*BASE, "SELECT test_scenario, target, band, event, round(weight, 6) AS weight FROM cells"))
 def a13(spark, sf_dir):
-    cells, _ = AS.fit_association(pool(spark, sf_dir), folds(spark, sf_dir))
+    cells, _ = fitted(spark, sf_dir)
     return rounded(cells)
 
 
@@ -78,13 +83,13 @@ def a13(spark, sf_dir):
     with_(*BASE, "SELECT test_scenario, target, round(base, 6) AS base, round(default_weight, 6) AS default_weight, vocabulary FROM targets"),
 )
 def a13_targets(spark, sf_dir):
-    _, targets = AS.fit_association(pool(spark, sf_dir), folds(spark, sf_dir))
+    _, targets = fitted(spark, sf_dir)
     return rounded(targets)
 
 
 _SCORES = """
 scores AS (
-  SELECT ap.test_scenario, ap.row_id, ap.y, t.base + coalesce(sum(coalesce(c.weight, t.default_weight)) FILTER (WHERE p.row_id IS NOT NULL), 0) AS score
+  SELECT ap.test_scenario, ap.row_id, ap.y, t.base + coalesce(sum(round(coalesce(c.weight, t.default_weight), 7)) FILTER (WHERE p.row_id IS NOT NULL), 0) AS score
   FROM applied ap JOIN targets t ON t.test_scenario = ap.test_scenario AND t.target = ap.eff
   LEFT JOIN pres p ON p.row_id = ap.row_id
   LEFT JOIN cells c ON c.test_scenario = ap.test_scenario AND c.target = ap.eff AND c.band = p.band AND c.event = p.event
@@ -129,7 +134,7 @@ def m11(spark, sf_dir):
 def j7(spark, sf_dir):
     """Three-key weight lookup with the target's default for an unseen cell, summed over an alert's slots."""
     rows, table = pool(spark, sf_dir), folds(spark, sf_dir)
-    cells, targets = AS.fit_association(rows, table)
+    cells, targets = fitted(spark, sf_dir)
     tests = table.filter("role = 'test'").select("scenario", "test_scenario")
     slots = rows.join(tests, "scenario").select(
         "row_id", "test_scenario", F.col("event_id").alias("own"), F.posexplode(F.reverse("candidates")).alias("i", "slot")
@@ -161,13 +166,13 @@ def _picked(rows, chosen):
 
 @query("t6_association_abs", with_(*BASE, SLOT_WEIGHTS, _ranked("round(abs(w), 7)", 10)))
 def t6(spark, sf_dir):
-    rows = applied(spark, sf_dir).withColumn("weights", F.transform("weights", lambda w: F.round(w, 7)))
+    rows = applied(spark, sf_dir)
     return _picked(rows, S.association_abs(F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event))
 
 
 @query("t7_class_oracle", with_(*BASE, SLOT_WEIGHTS, _ranked("round(w, 7) * (CASE WHEN y = 1 THEN 1 ELSE -1 END)", 10)))
 def t7(spark, sf_dir):
-    rows = applied(spark, sf_dir).withColumn("weights", F.transform("weights", lambda w: F.round(w, 7)))
+    rows = applied(spark, sf_dir)
     chosen = S.class_oracle(
         F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event, F.col("event_incident")
     )
@@ -184,7 +189,7 @@ SELECT ctx.row_id, coalesce(picked, '') AS picked FROM ctx LEFT JOIN (
 
 @query("t8_anchored_association", "WITH " + ",\n".join(p.strip() for p in (*BASE, SLOT_WEIGHTS)) + ",\n" + _ANCHORED.strip())
 def t8(spark, sf_dir):
-    rows = applied(spark, sf_dir).withColumn("weights", F.transform("weights", lambda w: F.round(w, 7)))
+    rows = applied(spark, sf_dir)
     chosen = S.anchored_association(F.col("candidates"), 10, 5, F.col("weights"), F.col("vocabulary"), AS.local_event)
     return _picked(rows, chosen)
 
@@ -200,7 +205,7 @@ def t8(spark, sf_dir):
 )
 def t10(spark, sf_dir):
     """Selection for every alert by the model of the fold that holds its scenario out, as totals per scenario."""
-    rows = applied(spark, sf_dir).withColumn("weights", F.transform("weights", lambda w: F.round(w, 7)))
+    rows = applied(spark, sf_dir)
     chosen = C.ids(S.association_abs(F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event), "row_id")
     picked = rows.select("scenario", chosen.alias("picked"))
     total = F.aggregate("picked", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertweave.catalog.registry import query, with_
+from alertweave.catalog.registry import query, stored, with_
 from alertweave.catalog.sqltext import ALERTS, BUDGET, FOLDS, RATIO, REVEAL, SEEDS, h32, history
 from alertweave.catalog.training import alerts, folds, rounded
 from alertweave.functions.policy import tri_state
@@ -22,23 +22,12 @@ CONFIRMATORY = ("s1", "s3", "s4", "s5", "s6", "s7")
 METHOD_PAIR = ("pattern_prior", "blend_prior")
 
 
-_STORED: dict[tuple, object] = {}
-
-
-def _stored(kind, spark, sf_dir, make):
-    """A result made once per session and input folder and then read by every analysis, as stored records are."""
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(make())
-    return _STORED[key]
-
-
 def records(spark, sf_dir):
-    return _stored("records", spark, sf_dir, lambda: R.records_of(scored_cells(spark, sf_dir), STUDY))
+    return stored("records", spark, sf_dir, lambda: R.records_of(scored_cells(spark, sf_dir), STUDY))
 
 
 def scored_cells(spark, sf_dir):
-    return _stored("scored", spark, sf_dir, lambda: R.scored_cells(alerts(spark, sf_dir), folds(spark, sf_dir), STUDY))
+    return stored("scored", spark, sf_dir, lambda: R.scored_cells(alerts(spark, sf_dir), folds(spark, sf_dir), STUDY))
 
 
 def points(spark, sf_dir):
@@ -74,7 +63,7 @@ scored AS (
   SELECT f.test_scenario, f.role AS split, s.seed, c.event_id, c.newest, c.truth, c.incident_group, c.n,
          seen.event_id IS NOT NULL AS seen, pairs.pair_n IS NOT NULL AS known_pattern,
          (coalesce(pair_n, 0) + 1.0::DOUBLE) / (coalesce(newest_n, 0) + v)::DOUBLE AS confidence,
-         coalesce(rp.post, 0.5::DOUBLE) AS rpost, coalesce(pp.post, 0.5::DOUBLE) AS ppost
+         coalesce(rp.post, 0.5::DOUBLE) AS rpost, coalesce(pp.post, rp.post, 0.5::DOUBLE) AS ppost
   FROM cells c JOIN folds f ON c.scenario = f.scenario AND f.role <> 'train' CROSS JOIN seeds s
   JOIN vsize ON vsize.test_scenario = f.test_scenario
   LEFT JOIN seen ON seen.test_scenario = f.test_scenario AND seen.event_id = c.event_id
@@ -269,7 +258,7 @@ def o1(spark, sf_dir):
     runs = runs.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
     rule = P.operating_grid(runs.withColumn("method", F.lit("rule_prior")), rule_thresholds=STUDY.rule_thresholds)
     context = runs.withColumn("method", F.explode(F.array(F.lit("pattern_prior"), F.lit("blend_prior"))))
-    return rule.unionByName(P.operating_grid(context, eps=(0.05, 0.10, 0.30, 0.50), thresholds=(0.01, 0.02, 0.03)))
+    return rule.unionByName(P.operating_grid(context, eps=(0.05, 0.10, 0.15, 0.30), thresholds=(0.01, 0.02, 0.03)))
 
 
 _BUDGETS = (0.20, 0.50, 0.80)
@@ -600,7 +589,7 @@ summ AS (SELECT count(*) AS scenario_n, sum(pairs)::BIGINT AS seed_scenario_pair
         """rk AS (SELECT scenario, effect, sign(effect) * (rank() OVER (ORDER BY abs(effect)) + (count(*) OVER (PARTITION BY abs(effect)) - 1) / 2.0::DOUBLE) AS sr FROM bys),
            ra AS (SELECT list(sr ORDER BY scenario) AS e, count(*) AS n FROM rk WHERE effect <> 0),
            rm AS (SELECT list_sum([CASE WHEN (mask >> (i - 1)::INT) & 1 = 1 THEN abs(e[i]) ELSE 0 END for i in range(1, n + 1)]) >= list_sum([greatest(x, 0) for x in e]) AS hit
-                  FROM (SELECT e, n, range AS mask FROM ra CROSS JOIN range(64) WHERE range < (1 << n::INT)))""",
+                  FROM (SELECT e, n, range AS mask FROM ra CROSS JOIN range(64) WHERE n > 0 AND range < (1 << n::INT)))""",
         """SELECT 'default_matched' AS budget_design, scenario_n, seed_scenario_pairs, round(mean_delta_recall, 6) AS mean_delta_recall,
                   round(median_delta_recall, 6) AS median_delta_recall, round(mean_delta_workload, 6) AS mean_delta_workload, 6 AS expected_scenario_n, 12 AS expected_pairs,
                   scenario_n = 6 AND seed_scenario_pairs = 12 AS complete_panel,

@@ -11,31 +11,36 @@ from alertweave.operators.folds import fold_rows, fold_vocabulary
 from alertweave.operators.ordering import running_sums
 from alertweave.functions.ratios import clip, ratio_or_null, sigmoid
 from alertweave.operators.select import RECENCY_BANDS, recency_band
+from alertweave.session import cut_lineage
 
 GLOBAL_TARGET = -1
 
 
-def _presences(pool: Column, event, bands) -> Column:
-    """Distinct (band, event) pairs of a pool: a presence counts once per alert."""
-    size = F.size(pool)
-    pairs = F.transform(
-        pool, lambda x, i: F.struct(recency_band(size - i, bands).alias("band"), event(x).alias("event"))
-    )
-    return F.array_distinct(pairs)
+def _presences(pool: Column, event, size: Column | int, bands) -> Column:
+    """Distinct cells `band * size + event` of a pool: a presence counts once per alert."""
+    slots = F.size(pool)
+    cells = F.transform(pool, lambda x, i: (recency_band(slots - i, bands) * size + event(x)).cast("int"))
+    return F.array_distinct(cells)
 
 
 def presence_counts(pool: DataFrame, label: str, bands: Sequence[tuple[int, int]] = RECENCY_BANDS) -> DataFrame:
     """Per (scenario, target, band, candidate): alerts of each class with that presence."""
-    slots = pool.select(
-        "scenario",
-        F.col("event_id").alias("target"),
-        F.col(label).alias("_label"),
-        F.explode(_presences(F.col("candidates"), lambda x: x["event_id"], bands)).alias("p"),
+    n = len(bands)
+    # event-major here, so that no dictionary size is needed: cell = event * bands + band
+    slots = F.size("candidates")
+    cells = F.transform(
+        "candidates", lambda x, i: (x["event_id"] * n + recency_band(slots - i, bands)).cast("int")
+    )
+    rows = pool.select(
+        "scenario", F.col("event_id").alias("target"), F.col(label).alias("_label"), F.explode(F.array_distinct(cells)).alias("_cell")
     )
-    return slots.groupBy("scenario", "target", "p.band", "p.event").agg(
+    counted = rows.groupBy("scenario", "target", "_cell").agg(
         F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("_label") == 0, 1).otherwise(0)).alias("neg"),
     )
+    return counted.select(
+        "scenario", "target", (F.col("_cell") % n).alias("band"), F.floor(F.col("_cell") / n).cast("int").alias("event"), "pos", "neg"
+    )
 
 
 def _weight(pos: Column, neg: Column, n_pos: Column, n_neg: Column, alpha: float, limit: float) -> Column:
@@ -55,6 +60,7 @@ def _absence(pos: Column, neg: Column, n_pos: Column, n_neg: Column, alpha: floa
 
 def fit_association(
     pool: DataFrame,
+    alerts: DataFrame,
     folds: DataFrame,
     label: str = "event_incident",
     bands: Sequence[tuple[int, int]] = RECENCY_BANDS,
@@ -67,18 +73,20 @@ def fit_association(
     `targets(test_scenario, target, base, default_weight, vocabulary)` gives each
     target's base log-odds and the weight of a cell never observed. Targets that
     lack a class use the pooled table, stored under target -1. Contexts stay
-    inside a scenario, so counts per scenario add up to counts per fold.
+    inside a scenario, so counts per scenario add up to counts per fold. Both count
+    tables are bounded by the dictionary, are read several times, and are fixed
+    when made, so the candidate pool is built once.
     """
-    totals = pool.groupBy("scenario", F.col("event_id").alias("target")).agg(
+    totals = alerts.groupBy("scenario", F.col("event_id").alias("target")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"),
         F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n_neg"),
     )
-    per_target = (
+    per_target = cut_lineage(
         fold_rows(totals, folds, ["train"])
         .groupBy("test_scenario", "target")
         .agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     )
-    observed = (
+    observed = cut_lineage(
         fold_rows(presence_counts(pool, label, bands), folds, ["train"])
         .groupBy("test_scenario", "target", "band", "event")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -116,7 +124,8 @@ def fit_association(
 
 
 def association_model(
-    pool: DataFrame, folds: DataFrame, label: str = "event_incident", bands: Sequence[tuple[int, int]] = RECENCY_BANDS, **fit
+    pool: DataFrame, alerts: DataFrame, folds: DataFrame, label: str = "event_incident",
+    bands: Sequence[tuple[int, int]] = RECENCY_BANDS, **fit,
 ) -> DataFrame:
     """The fitted tables as one row per (fold, event): arrays addressed by position.
 
@@ -124,8 +133,8 @@ def association_model(
     its local id (unknown = vocabulary - 1). Rows are as many as folds times event
     types, so slots are scored by array lookup without exploding them.
     """
-    cells, targets = fit_association(pool, folds, label, bands, **fit)
-    per_event = pool.groupBy("scenario", "event_id").agg(F.count("*").alias("_n"))
+    cells, targets = fit_association(pool, alerts, folds, label, bands, **fit)
+    per_event = alerts.groupBy("scenario", "event_id").agg(F.count("*").alias("_n"))
     vocabulary = fold_vocabulary(per_event, folds)
     dictionary = vocabulary.groupBy("test_scenario").agg(
         F.map_from_entries(F.collect_list(F.struct("event_id", "local_id"))).alias("_dict"),
@@ -154,7 +163,8 @@ def association_model(
         "vocabulary",
         F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("vocabulary") * len(bands) - 1),
-            lambda c: F.coalesce(F.try_element_at("_cells", c), F.col("default_weight")),
+            # seven decimals: the precision weights are used at
+            lambda c: F.round(F.coalesce(F.try_element_at("_cells", c), F.col("default_weight")), 7),
         ).alias("weights"),
     )
     wanted = arrays.join(events.withColumn("_one", F.lit(1)), F.col("_one") == 1).drop("_one")
@@ -165,7 +175,7 @@ def association_model(
         F.col("weights").alias("_w"),
         F.col("vocabulary").alias("_v"),
     )
-    return own.join(pooled, "test_scenario").select(
+    model = own.join(pooled, "test_scenario").select(
         "test_scenario",
         "event_id",
         F.coalesce("base", "_b").alias("base"),
@@ -173,6 +183,7 @@ def association_model(
         F.coalesce("vocabulary", "_v").alias("vocabulary"),
         "local_of",
     )
+    return cut_lineage(model)
 
 
 def local_event(slot: Column) -> Column:
@@ -186,12 +197,8 @@ def with_model(pool: DataFrame, folds: DataFrame, model: DataFrame, roles: Seque
 
 def association_score(bands: Sequence[tuple[int, int]] = RECENCY_BANDS) -> Column:
     """Base log-odds plus the weights of the pool's distinct presences (needs `with_model`)."""
-    present = _presences(F.col("candidates"), local_event, bands)
-    return F.aggregate(
-        present,
-        F.col("base"),
-        lambda acc, p: acc + F.element_at(F.col("weights"), (p["band"] * F.col("vocabulary") + p["event"] + 1).cast("int")),
-    )
+    present = _presences(F.col("candidates"), local_event, F.col("vocabulary"), bands)
+    return F.aggregate(present, F.col("base"), lambda acc, cell: acc + F.element_at(F.col("weights"), cell + 1))
 
 
 def probability_metrics(rows: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:

@@ -39,7 +39,7 @@ class Study:
     ratio: int = 10
     seeds: tuple[int, ...] = (11, 23)
     settings: tuple[tuple[float, float], ...] = field(
-        default_factory=lambda: tuple((e, t) for e in (0.05, 0.10, 0.30, 0.50) for t in (0.01, 0.02, 0.03))
+        default_factory=lambda: tuple((e, t) for e in (0.05, 0.10, 0.15, 0.30) for t in (0.01, 0.02, 0.03))
     )
     rule_thresholds: tuple[float, ...] = (0.05, 0.10, 0.20, 0.40)
     default_setting: tuple[float, float] = (0.10, 0.02)
@@ -102,7 +102,7 @@ def scored_cells(alerts: DataFrame, folds: DataFrame, study: Study) -> DataFrame
         F.col("pair_n").isNotNull().alias("known_pattern"),
         confidence.alias("confidence"),
         F.coalesce("rule_posterior", F.lit(0.5)).alias("rule_posterior"),
-        F.coalesce("pattern_posterior", F.lit(0.5)).alias("pattern_posterior"),
+        F.coalesce("pattern_posterior", "rule_posterior", F.lit(0.5)).alias("pattern_posterior"),
     )
 
 
