@@ -231,7 +231,7 @@ def p12(spark, sf_dir):
     "p13_original_event_id",
     with_(
         ALERTS, history(10),
-        "firsts AS (SELECT event_id AS original, min((timestamp, row_id)) AS f FROM alerts WHERE event_id % 5 <> 0 GROUP BY 1)",
+        "firsts AS (SELECT event_id AS original, min((timestamp, row_id)) AS f FROM alerts WHERE detector <> 'Wazuh' GROUP BY 1)",
         "ids AS (SELECT original, row_number() OVER (ORDER BY f) AS token_id FROM firsts)",
         """SELECT row_id, CASE WHEN token = 0 THEN -1337 ELSE coalesce(original, token) END AS original_event
            FROM (SELECT row_id, coalesce(c[-1].e, 0) AS token FROM ctx) LEFT JOIN ids ON token_id = token""",
@@ -239,7 +239,7 @@ def p12(spark, sf_dir):
 )
 def p13(spark, sf_dir):
     rows = alerts(spark, sf_dir)
-    mapping = VO.arrival_vocabulary(rows.filter("event_id % 5 <> 0"), "event").select(
+    mapping = VO.arrival_vocabulary(rows.filter("detector <> 'Wazuh'"), "event").select(
         "token_id", F.col("token").cast("int").alias("original")
     )
     newest = C.strict_past_context(rows).select(

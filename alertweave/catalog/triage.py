@@ -132,12 +132,12 @@ def g1(spark, sf_dir):
     "g1_compact_patterns_revealed",
     with_(
         *HEAD,
-        f"SELECT event_id, {_CTX}, count(*) AS n, least(count(*), 5) AS weight, coalesce(max(CASE WHEN row_id % 4 = 0 THEN event_incident END), -9) AS label FROM rows_ GROUP BY 1, 2",
+        f"SELECT event_id, {_CTX}, count(*) AS n, least(count(*), 5) AS weight, coalesce(max(CASE WHEN detector = 'AMiner' THEN event_incident END), -9) AS label FROM rows_ GROUP BY 1, 2",
     ),
 )
 def g1_revealed(spark, sf_dir):
     rows = C.strict_past_context(labelled(spark, sf_dir), 3).withColumn("context", C.ids("context"))
-    rows = rows.withColumn("shown", F.col("row_id") % 4 == 0)
+    rows = rows.withColumn("shown", F.col("detector") == "AMiner")
     got = T.compact_patterns(rows, 5, "event_incident", revealed="shown")
     return got.withColumn("context", C.joined("context"))
 

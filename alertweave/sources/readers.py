@@ -57,19 +57,27 @@ def read_attack_intervals(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("position", F.monotonically_increasing_id())
 
 
-def read_alert_csv(spark: SparkSession, folder: str, scenarios: Sequence[str]) -> DataFrame:
-    """One CSV per scenario with an exact header; adds `scenario` and a dense `source_row`.
-
-    Rows of one file block are read in order by one task, so the row's place in
-    the block plus the rows of earlier blocks gives `source_row` without a sort.
+def read_alert_csv(
+    spark: SparkSession, folder: str, scenarios: Sequence[str] | None = None, per_folder: bool = False
+) -> DataFrame:
+    """Alert CSV with an exact header; adds `scenario` and a dense `source_row`.
+
+    One file per scenario by default; `per_folder` reads `scenario=<name>/` folders
+    of part files. Rows of one file block are read in order by one task, so the
+    row's place in the block plus the rows of earlier blocks gives `source_row`
+    without a sort.
     """
-    raw = spark.read.schema(ALERT_CSV).csv(
-        [f"{folder}/{s}.csv" for s in scenarios], header=True, enforceSchema=False, mode="FAILFAST"
-    )
+    reader = spark.read.schema(ALERT_CSV).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    if per_folder:
+        raw = reader.schema(ALERT_CSV + ", scenario string").csv(folder)
+        scenario, file = F.col("scenario"), F.col("_metadata.file_name")
+    else:
+        raw = reader.csv([f"{folder}/{s}.csv" for s in scenarios])
+        scenario, file = F.regexp_replace("_metadata.file_name", r"\.csv$", ""), F.lit("")
     rows = raw.select(
-        "*",
-        F.regexp_replace("_metadata.file_name", r"\.csv$", "").alias("scenario"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        *[c for c in raw.columns if c != "scenario"],
+        scenario.alias("scenario"),
+        F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_block"),
         F.monotonically_increasing_id().alias("_mid"),
     )
     blocks = rows.groupBy("scenario", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
@@ -123,8 +131,9 @@ def read_processed_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("scenario", E.scenario_of(F.col("machine"))).withColumn("row_id", F.monotonically_increasing_id())
 
 
-def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("comment", "#").csv(path, header=True, inferSchema=True)
+def read_report_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """Report CSV whose comment lines start with a hash sign."""
+    return spark.read.schema(schema).option("comment", "#").csv(path, header=header)
 
 
 def complete_records(records: DataFrame) -> DataFrame:
@@ -134,6 +143,6 @@ def complete_records(records: DataFrame) -> DataFrame:
     return kept.select(*others, F.posexplode("operating_points").alias("order", "point"))
 
 
-def read_run_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).json(path)
+def read_run_records(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:
+    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", multi_line).json(path)
     return complete_records(raw)
