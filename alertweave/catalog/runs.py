@@ -813,3 +813,41 @@ def v11(spark, sf_dir):
         [("baseline_reject_rate", "selector_reject_rate"), ("baseline_review_workload", "selector_review_workload")],
     )
     return rounded(bad)
+
+
+# ---- flagship -------------------------------------------------------------------------
+
+
+@query(
+    "held_out_rule_triage",
+    with_(
+        ALERTS, FOLDS, history(10),
+        """cell AS (SELECT scenario, event_id, event_incident AS y, event_incident_group AS g, count(*) AS n, sum(len(c)) AS slots FROM alerts JOIN ctx USING (row_id) GROUP BY ALL),
+           fit AS (SELECT f.test_scenario, c.event_id, (sum(n) FILTER (WHERE y = 1) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS post FROM cell c JOIN folds f ON c.scenario = f.scenario AND f.role = 'train' GROUP BY 1, 2),
+           pr AS (SELECT c.*, CASE WHEN post IS NULL THEN -2 WHEN post >= 0.135 THEN 1 ELSE 0 END AS p FROM cell c LEFT JOIN fit ON fit.test_scenario = c.scenario AND fit.event_id = c.event_id)""",
+        """SELECT scenario AS test_scenario, sum(n)::BIGINT AS alerts, sum(n) FILTER (WHERE y = 1)::BIGINT AS incidents, round(coalesce(sum(n) FILTER (WHERE p <> 0), 0) / sum(n), 6) AS analyst_workload,
+             round(coalesce(sum(n) FILTER (WHERE p <> 0 AND y = 1), 0) / nullif(sum(n) FILTER (WHERE y = 1), 0), 6) AS triage_incident_recall,
+             round(count(DISTINCT g) FILTER (WHERE p <> 0 AND y = 1) / count(DISTINCT g), 6) AS incident_group_recall, round(sum(slots) / sum(n), 6) AS mean_context_depth FROM pr GROUP BY 1""",
+    ),
+)
+def held_out_rule_triage(spark, sf_dir):
+    """What recall and review workload a rule prior fitted on the training scenarios gives on the held-out one."""
+    from alertweave.operators.context import strict_past_context
+
+    rows = strict_past_context(alerts(spark, sf_dir))
+    cells = rows.groupBy(
+        "scenario", "event_id", F.col("event_incident").alias("truth"), F.col("event_incident_group").alias("incident_group")
+    ).agg(F.count("*").alias("n"), F.sum(F.size("context")).alias("slots"))
+    table = folds(spark, sf_dir)
+    train = cells.join(table.filter("role = 'train'"), "scenario").groupBy(F.col("test_scenario").alias("scenario"), "event_id").agg(
+        ((F.sum(F.when(F.col("truth") == 1, F.col("n")).otherwise(0)) + 1.0) / (F.sum("n") + 2.0)).alias("posterior")
+    )
+    coded = cells.join(train, ["scenario", "event_id"], "left").withColumn(
+        "prediction", F.when(F.col("posterior").isNull(), -2).when(F.col("posterior") >= 0.135, 1).otherwise(0)
+    )
+    metrics = M.operational_metrics(coded, ["scenario"], weight="n")
+    depth = coded.groupBy("scenario").agg((F.sum("slots") / F.sum("n")).alias("mean_context_depth"))
+    got = metrics.join(depth, "scenario").withColumnRenamed("scenario", "test_scenario")
+    return rounded(got.select(
+        "test_scenario", "alerts", "incidents", "analyst_workload", "triage_incident_recall", "incident_group_recall", "mean_context_depth"
+    ))
