@@ -213,20 +213,20 @@ def probability_metrics(rows: DataFrame, keys: Sequence[str], label: str, score:
         F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")
     ).withColumn("_down", -F.col("_p"))
     ranked = running_sums(counts, keys, ["_down"], {"_pos_above": F.col("_pos"), "_neg_above": F.col("_neg")})
-    totals = counts.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     tiny = F.lit(2.220446049250313e-16)
     bounded = F.least(F.greatest(F.col("_p"), tiny), 1 - tiny)
     pos, neg = F.col("_pos"), F.col("_neg")
     precision_here = (F.col("_pos_above") + pos) / (F.col("_pos_above") + pos + F.col("_neg_above") + neg)
     sums = ranked.groupBy(*keys).agg(
+        F.sum("_pos").alias("_P"),
+        F.sum("_neg").alias("_N"),
         F.sum(neg * (F.col("_pos_above") + pos / 2.0)).alias("_wins"),
         F.sum(pos * precision_here).alias("_steps"),
         F.sum(-(pos * F.ln(bounded) + neg * F.log1p(-bounded))).alias("_loss"),
         F.sum(pos * F.pow(1 - F.col("_p"), 2) + neg * F.pow(F.col("_p"), 2)).alias("_brier"),
     )
     n = F.col("_P") + F.col("_N")
-    joined = totals.join(sums, list(keys)) if keys else totals.withColumn("_one", F.lit(1)).join(sums.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
+    return sums.select(
         *keys,
         n.alias("rows"),
         (F.col("_P") / n).alias("prevalence"),

@@ -59,7 +59,9 @@ def order_cut(df: DataFrame, keys: Sequence[str], want: str, levels: Sequence[Co
 
     `levels` refine each other from coarse to unique in sort order. Each level is
     one map-side-combined count over the rows that still match; only the counts
-    are windowed. Groups with fewer than `want` rows give no row.
+    are windowed. The input is read twice: for the first counts, and for the rows
+    of the one cell they pick, which are kept for the finer levels. Groups with
+    fewer than `want` rows give no row.
     """
     names = [f"_lv{i}" for i in range(len(levels))]
     rows = df.select(*keys, F.col(want).alias("_want"), *[c.alias(n) for c, n in zip(levels, names)])
@@ -72,7 +74,9 @@ def order_cut(df: DataFrame, keys: Sequence[str], want: str, levels: Sequence[Co
         picked = running.filter((F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_n") < F.col("_want")))
         picked = picked.select(*head, (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_left"))
         if depth + 1 < len(names):
-            live = rows.drop("_want").join(picked.withColumnRenamed("_left", "_want"), head)
+            source = rows if depth == 0 else live
+            live = source.drop("_want").join(picked.withColumnRenamed("_left", "_want"), head)
+            live = cut_lineage(live) if depth == 0 else live
     return picked.select(*keys, F.struct(*names).alias("_cut"))
 
 

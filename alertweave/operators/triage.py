@@ -20,6 +20,7 @@ from alertweave.session import cut_lineage
 
 UNIT = 10_000
 _ROUNDING_SLACK = 100
+_LEAST_CELLS = 6
 
 
 # ---- patterns and fingerprints ----------------------------------------------------
@@ -187,32 +188,55 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections:
     """
     reach = int(round(eps * UNIT))
     width = (reach + _ROUNDING_SLACK) // 2 + 1
+    # a wide reach leaves too few cells to tell pairs apart: the prefix alone decides
+    use_cells = UNIT // width >= _LEAST_CELLS
+    projections = projections if use_cells else 0
     order = cut_lineage(_frequencies(left.select("event_id", "vector").unionByName(right.select("event_id", "vector"))))
 
+    twins = left is right
+
     def side(vectors: DataFrame, prefix: str) -> DataFrame:
         rows = vectors.join(_prefixed(vectors, order, reach), "id")
         cells = _cells(F.col("vector"), width, projections)
         return rows.select(
             F.col("id").alias(f"{prefix}_id"),
             "event_id",
-            F.col("vector").alias(f"{prefix}_vector"),
+            *([F.col("_head").alias(f"{prefix}_head")] if "_head" in vectors.columns else []),
+            # what the distance needs, computed once per fingerprint and not per pair
+            (F.col("vector") if prefix == "left" else F.map_from_entries("vector")).alias(f"{prefix}_vector"),
+            mass(F.col("vector")).alias(f"{prefix}_mass"),
             F.transform("_prefix", lambda s: s["f"]).alias(f"{prefix}_features"),
             F.explode("_prefix").alias("_s"),
             *[c.alias(f"_c{j}") for j, c in enumerate(cells)],
         ).select(
-            "*", F.col("_s.f").alias("_f"), F.floor(F.col("_s.w") / width).alias("_cw")
+            "*", F.col("_s.f").alias("_f"), (F.floor(F.col("_s.w") / width) if use_cells else F.lit(0)).alias("_cw")
         ).drop("_s")
 
     here = side(left, "left")
     there = side(right, "right")
-    for name in ["_cw", *[f"_c{j}" for j in range(projections)]]:
+    for name in ["_cw", *[f"_c{j}" for j in range(projections)]] if use_cells else []:
         there = there.withColumn(name, F.explode(F.array(*[F.col(name) + d for d in (-1, 0, 1)])))
     keys = ["event_id", "_f", "_cw", *[f"_c{j}" for j in range(projections)]]
     met = here.join(there, keys)
+    if twins:
+        met = met.filter("left_id <= right_id")
+        if "_head" in left.columns:
+            # members of one dense cell are linked through its head instead
+            met = met.filter("left_id = right_id OR left_head IS NULL OR NOT left_head <=> right_head")
     first_common = F.element_at(F.array_intersect("left_features", "right_features"), 1)
     met = met.filter(first_common == F.col("_f"))
-    distance = l1_distance(F.col("left_vector"), F.col("right_vector"))
-    return met.select("event_id", "left_id", "right_id", distance.alias("distance")).filter(F.col("distance") <= reach)
+    shared = F.aggregate(
+        "left_vector", F.lit(0),
+        lambda acc, s: acc + F.least(s["w"], F.coalesce(F.try_element_at("right_vector", s["e"]), F.lit(0))),
+    )
+    distance = F.col("left_mass") + F.col("right_mass") - 2 * shared
+    found = met.select("event_id", "left_id", "right_id", distance.alias("distance")).filter(F.col("distance") <= reach)
+    if not twins:
+        return found
+    both = F.when(F.col("left_id") == F.col("right_id"), F.array(F.struct("left_id", "right_id"))).otherwise(
+        F.array(F.struct("left_id", "right_id"), F.struct(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+    )
+    return found.select("event_id", "distance", F.inline(both)).select("event_id", "left_id", "right_id", "distance")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -276,12 +300,8 @@ def density_cluster(vectors: DataFrame, eps: float = 0.10, min_samples: int = 5)
     dense = by_cell.filter(F.col("_cw") >= min_samples).select("_cell", "event_id", "_head")
     placed = cut_lineage(members.join(dense, ["event_id", "_cell"], "left").select("id", "event_id", "vector", "weight", "_head"))
 
-    pairs = neighbour_pairs(placed, placed, eps)
-    heads = placed.select("id", "_head")
-    left, right = heads.toDF("left_id", "_lh"), heads.toDF("right_id", "_rh")
-    # pairs inside one dense cell are implied by its star
-    pairs = pairs.join(left, "left_id").join(right, "right_id").filter(~(F.col("_lh").eqNullSafe(F.col("_rh")) & F.col("_lh").isNotNull()) | (F.col("left_id") == F.col("right_id")))
-    pairs = cut_lineage(pairs.select("left_id", "right_id"))
+    # pairs inside one dense cell are left out: its star implies them
+    pairs = cut_lineage(neighbour_pairs(placed, placed, eps).select("left_id", "right_id"))
     counted = core_points(placed, pairs, min_samples)
     flags = cut_lineage(
         placed.join(counted.select("id", F.col("core").alias("_c")), "id", "left").select(

@@ -70,8 +70,8 @@ def split_patterns(alerts: DataFrame, setup: TriageSetup, context: str = "strict
     """
     order = [F.floor(F.col("timestamp") / 86_400), F.col("timestamp"), F.floor(F.col("row_id") / 65_536), F.col("row_id")]
     columns = ["scenario", "machine", "timestamp", "row_id", "event_id", "label"]
-    rows = CONTEXTS[context](alerts.select(*columns), setup)
-    rows = ratio_split(rows, setup.train_ratio, order)
+    rows = ratio_split(alerts.select(*columns), setup.train_ratio, order)
+    rows = CONTEXTS[context](rows, setup)
     patterns = T.compact_patterns(rows, setup.min_samples, keys=["split"])
     padded = C.left_pad(F.col("context"), setup.width, -1)
     numbered = T.running_position(patterns, [], ["split", "event_id", "context"], "pattern_id")
