@@ -311,11 +311,11 @@ def o3(spark, sf_dir):
 
 MATCHED = """
 refp AS (SELECT test_scenario, seed, max(test_analyst_workload) AS budget FROM points
-         WHERE method = 'pattern_prior' AND abs(eps - 0.1) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9 GROUP BY 1, 2 HAVING count(*) = 1),
+         WHERE method = 'pattern_prior' AND abs(eps - 0.3) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9 GROUP BY 1, 2 HAVING count(*) = 1),
 bp AS (SELECT p.*, budget FROM points p JOIN refp USING (test_scenario, seed)),
 mbest AS (SELECT *, TRUE AS feasible FROM bp WHERE method <> 'pattern_prior' AND test_analyst_workload <= budget + 1e-12
           QUALIFY row_number() OVER (PARTITION BY method, test_scenario, seed ORDER BY test_analyst_workload DESC, coalesce(eps, -1), coalesce(threshold, -1)) = 1),
-own AS (SELECT *, TRUE AS feasible FROM bp WHERE method = 'pattern_prior' AND abs(eps - 0.1) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9),
+own AS (SELECT *, TRUE AS feasible FROM bp WHERE method = 'pattern_prior' AND abs(eps - 0.3) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9),
 mgrp AS (SELECT DISTINCT method, test_scenario, seed, budget FROM bp WHERE method <> 'pattern_prior'),
 matched AS (
   SELECT g.method, g.test_scenario, g.seed, g.budget, b.eps, b.threshold, b.grid_order, b.test_analyst_workload, b.test_triage_incident_recall,
@@ -351,7 +351,7 @@ TARGETED = """
 base AS (SELECT test_scenario, seed, test_review_workload AS target_workload, validation_false_escalations_per_1000_nonincidents AS base_false,
                 test_automatic_incident_recall AS baseline_recall, test_auto_false_incident AS baseline_auto_false_incident,
                 test_false_escalations_per_1000_nonincidents AS baseline_false_rate, test_strict_macro_f1 AS baseline_f1, test_nonincidents AS nonincidents
-         FROM points WHERE method = 'pattern_prior' AND abs(eps - 0.1) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9),
+         FROM points WHERE method = 'pattern_prior' AND abs(eps - 0.3) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9),
 targeted AS (SELECT p.*, target_workload, baseline_recall, baseline_auto_false_incident, baseline_false_rate, baseline_f1, b.nonincidents,
                     CASE WHEN base_false < 1.0 THEN base_false + 1.0::DOUBLE ELSE base_false * 1.05::DOUBLE END AS safety_limit
              FROM points p JOIN base b USING (test_scenario, seed) WHERE p.method = 'blend_prior')
@@ -488,7 +488,7 @@ def o10(spark, sf_dir):
 
 @query(
     "o11_default_point",
-    with_(*BASE, "SELECT method, test_scenario, seed, grid_order FROM points WHERE abs(eps - 0.1) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9"),
+    with_(*BASE, "SELECT method, test_scenario, seed, grid_order FROM points WHERE abs(eps - 0.3) <= 1e-9 AND abs(threshold - 0.02) <= 1e-9"),
 )
 def o11(spark, sf_dir):
     return P.default_point(points(spark, sf_dir), *STUDY.default_setting).select(*R.RUN_KEYS, "grid_order")
@@ -559,7 +559,7 @@ def b1(spark, sf_dir):
 
 _SIGNS = """
 arr AS (SELECT list(effect ORDER BY scenario) AS e, count(*) AS n FROM effects),
-masks AS (SELECT e, n, range AS mask FROM arr CROSS JOIN range(256) WHERE range < (1 << n::INT)),
+masks AS (SELECT e, n, range AS mask FROM arr CROSS JOIN range(256) WHERE n > 0 AND range < (1 << n::INT)),
 flips AS (SELECT list_sum([CASE WHEN (mask >> (i - 1)::INT) & 1 = 1 THEN e[i] ELSE -e[i] END for i in range(1, n + 1)]) / n AS m,
                  list_sum(e) / n AS obs FROM masks)
 """
@@ -629,7 +629,7 @@ def b4(spark, sf_dir):
         """rk AS (SELECT scenario, effect, sign(effect) * (rank() OVER (ORDER BY abs(effect)) + (count(*) OVER (PARTITION BY abs(effect)) - 1) / 2.0::DOUBLE) AS sr
                   FROM effects),
            arr AS (SELECT list(sr ORDER BY scenario) AS e, count(*) AS n FROM rk WHERE effect <> 0),
-           masks AS (SELECT e, n, range AS mask FROM arr CROSS JOIN range(256) WHERE range < (1 << n::INT))""",
+           masks AS (SELECT e, n, range AS mask FROM arr CROSS JOIN range(256) WHERE n > 0 AND range < (1 << n::INT))""",
         """SELECT round(avg(CASE WHEN list_sum([CASE WHEN (mask >> (i - 1)::INT) & 1 = 1 THEN abs(e[i]) ELSE 0 END for i in range(1, n + 1)])
                      >= list_sum([greatest(x, 0) for x in e]) THEN 1.0::DOUBLE ELSE 0 END), 6) AS signed_rank_p FROM masks""",
     ),

@@ -42,7 +42,7 @@ class Study:
         default_factory=lambda: tuple((e, t) for e in (0.05, 0.10, 0.15, 0.30) for t in (0.01, 0.02, 0.03))
     )
     rule_thresholds: tuple[float, ...] = (0.05, 0.10, 0.20, 0.40)
-    default_setting: tuple[float, float] = (0.10, 0.02)
+    default_setting: tuple[float, float] = (0.30, 0.02)
 
 
 def newest_event(alerts: DataFrame) -> DataFrame:
