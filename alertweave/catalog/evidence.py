@@ -113,7 +113,7 @@ def a14(spark, sf_dir):
         """SELECT test_scenario, sum(pos + neg)::BIGINT AS rows, round(sum(pos) / sum(pos + neg), 6) AS prevalence,
                   round(sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc,
                   round(sum(pos * (above + pos) / (above + pos + nabove + neg)) / sum(pos), 6) AS average_precision,
-                  round(sum(-(pos * ln(p) + neg * ln(1 - p))) / sum(pos + neg), 5) AS log_loss,
+                  round(sum(-(pos * ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) + neg * ln(1 - greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16)))) / sum(pos + neg), 5) AS log_loss,
                   round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier_score FROM r GROUP BY 1""",
     ),
 )

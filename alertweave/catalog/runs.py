@@ -823,7 +823,7 @@ def v11(spark, sf_dir):
     with_(
         ALERTS, FOLDS, history(10),
         """cell AS (SELECT scenario, event_id, event_incident AS y, event_incident_group AS g, count(*) AS n, sum(len(c)) AS slots FROM alerts JOIN ctx USING (row_id) GROUP BY ALL),
-           fit AS (SELECT f.test_scenario, c.event_id, (sum(n) FILTER (WHERE y = 1) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS post FROM cell c JOIN folds f ON c.scenario = f.scenario AND f.role = 'train' GROUP BY 1, 2),
+           fit AS (SELECT f.test_scenario, c.event_id, (coalesce(sum(n) FILTER (WHERE y = 1), 0) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS post FROM cell c JOIN folds f ON c.scenario = f.scenario AND f.role = 'train' GROUP BY 1, 2),
            pr AS (SELECT c.*, CASE WHEN post IS NULL THEN -2 WHEN post >= 0.135 THEN 1 ELSE 0 END AS p FROM cell c LEFT JOIN fit ON fit.test_scenario = c.scenario AND fit.event_id = c.event_id)""",
         """SELECT scenario AS test_scenario, sum(n)::BIGINT AS alerts, sum(n) FILTER (WHERE y = 1)::BIGINT AS incidents, round(coalesce(sum(n) FILTER (WHERE p <> 0), 0) / sum(n), 6) AS analyst_workload,
              round(coalesce(sum(n) FILTER (WHERE p <> 0 AND y = 1), 0) / nullif(sum(n) FILTER (WHERE y = 1), 0), 6) AS triage_incident_recall,

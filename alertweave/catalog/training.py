@@ -681,7 +681,8 @@ def f2(spark, sf_dir):
     "f3_uniform_sample",
     with_(
         ALERTS,
-        f"SELECT row_id, row_number() OVER (ORDER BY {h32('7', 'row_id')}, row_id) - 1 AS draw FROM alerts QUALIFY draw < 1500",
+        f"ordered AS (SELECT row_id, row_number() OVER (ORDER BY {h32('7', 'row_id')}, row_id) - 1 AS rn, count(*) OVER () AS n FROM alerts)",
+        "SELECT row_id, rn + n * range AS draw FROM ordered CROSS JOIN range(1500) WHERE rn + n * range < 1500",
     ),
 )
 def f3(spark, sf_dir):

@@ -29,10 +29,14 @@ def ingest_counts(labelled: DataFrame, label: str = "attack_id") -> DataFrame:
 
 
 def scenario_profile(alerts: DataFrame) -> DataFrame:
-    return alerts.groupBy("scenario").agg(
-        F.count("*").alias("alerts"),
-        F.avg("event_incident").alias("event_prevalence"),
-        F.avg("window_incident").alias("window_prevalence"),
+    """Counted once per (scenario, event type, machine), so that the distinct counts expand those cells and not the alerts."""
+    cells = alerts.groupBy("scenario", "event_key", "machine").agg(
+        F.count("*").alias("n"), F.sum("event_incident").alias("_e"), F.sum("window_incident").alias("_w")
+    )
+    return cells.groupBy("scenario").agg(
+        F.sum("n").alias("alerts"),
+        (F.sum("_e") / F.sum("n")).alias("event_prevalence"),
+        (F.sum("_w") / F.sum("n")).alias("window_prevalence"),
         F.countDistinct("event_key").alias("event_types"),
         F.countDistinct("machine").alias("machines"),
     )
