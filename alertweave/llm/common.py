@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.session import shared_folder
+from alertweave.session import cut_lineage, shared_folder
 
 #: White space between words, the class [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -44,3 +45,70 @@ def balanced_sum(terms: list[Column]) -> Column:
     while len(terms) > 1:
         terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
     return terms[0]
+
+
+#: Bits of a membership bitmap: its size (2 MB) does not depend on what goes in.
+BITMAP_BITS = 24
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bitmap over the top bits of a 64-bit hash column, or-ed together in Spark; as 64-bit words."""
+    place = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes may be in the bitmap: all that are, and few others while it is sparse."""
+    place = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+class WordHashes(dict):
+    """64-bit hash of a word, remembered for a bounded number of words (an aid to speed only)."""
+
+    REMEMBERED = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words; k takes part, so runs of two lengths do not meet."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.full(n, np.uint64(k))
+    for i in range(k):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(vertex, component) of the vertices of `edges` (a, b); the component is its smallest vertex.
+
+    Each round every vertex takes the smallest label around it and then the
+    label of that label, so a chain of n vertices takes about log n rounds. Labels
+    are checkpointed; rounds end when none changes.
+    """
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct())
+    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "v"))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
+        hooked = labels.join(near, F.col("v") == F.col("a")).select("v", "l", F.least("l", "m").alias("n"))
+        up = labels.select(F.col("v").alias("u"), F.col("l").alias("up"))
+        new = cut_lineage(hooked.join(up, F.col("n") == F.col("u"), "left").select("v", F.least("n", "up").alias("l"), F.col("l").alias("old")))
+        changed = new.where("l <> old").limit(1).count()
+        labels = new.select("v", "l")
+        if not changed:
+            return labels.select(F.col("v").alias("vertex"), F.col("l").alias("component"))

@@ -3,7 +3,7 @@
 Words of documents and items are hashed into k-grams; of every window of
 `span - k + 1` consecutive k-grams the smallest is kept, so any shared run of
 `span` words shares a kept fingerprint. Documents first meet a bitmap of the
-benchmark's fingerprints (2**BITMAP_BITS bits, whatever the benchmark's size);
+benchmark's fingerprints (of fixed size, whatever the benchmark's size);
 what passes is joined with the benchmark on the fingerprint and extended word by
 word to both sides. An item of fewer than `span` words is one fingerprint of
 its own length, met by all runs of that length.
@@ -22,46 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import stored
-
-BITMAP_BITS = 24
-REMEMBERED_WORDS = 500_000
+from alertweave.llm.common import WordHashes, bitmap_of, gram_hashes, in_bitmap, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _HIT = "struct<k:int, at:int, print:bigint, left:int, context:string>"
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def split_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of ASCII letters, digits and all other code points above 127."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words; k takes part, so runs of two lengths do not meet."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64(k))
-        for i in range(k):
-            out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
-
-
 def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
     """Places that are smallest in some window of consecutive k-grams (all of them on ties)."""
     n = len(grams) - window + 1
@@ -82,10 +53,7 @@ def _prints(batches: Iterator[pa.RecordBatch], k: int, span: int, bitmap: np.nda
     hit = pa.struct([("k", pa.int32()), ("at", pa.int32()), ("print", pa.int64()), ("left", pa.int32()), ("context", pa.string())])
 
     def met(values: np.ndarray) -> np.ndarray:
-        if bitmap is None:
-            return np.ones(len(values), bool)
-        place = values >> np.uint64(64 - BITMAP_BITS)
-        return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return np.ones(len(values), bool) if bitmap is None else in_bitmap(bitmap, values)
 
     def of(text: str | None) -> tuple[int, list[tuple]]:
         words = split_words(text)
@@ -119,18 +87,6 @@ def _prints(batches: Iterator[pa.RecordBatch], k: int, span: int, bitmap: np.nda
         )
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """The benchmark's fingerprints as a bitmap of fixed size, or-ed together in Spark."""
-    place = F.shiftrightunsigned("print", 64 - BITMAP_BITS)
-    bits = prints.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    table = bits.toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return bitmap
-
-
 def _agreeing(a: Column, b: Column, reach: int) -> Column:
     """How many leading elements two arrays share."""
     same = [F.coalesce(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), F.lit(False)) for i in range(reach)]
@@ -157,7 +113,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, span: int = 10, k: int
         .select("item_id", "h.*")
         .distinct()
     )
-    bitmap = _bitmap(prints)
+    bitmap = bitmap_of(prints, "print")
     lengths = sorted(-r["k"] for r in prints.where("k < 0").select("k").distinct().collect())
     id_type = docs.schema[id_column].dataType.simpleString()
     documents = stored(

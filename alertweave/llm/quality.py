@@ -42,6 +42,7 @@ FENCES = (
     Fence("dup_line_share", 4.0, 0.15),
     Fence("word_length", 5.0, 0.35, below=True),
 )
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Accuracy parameter of the sketches (rank error about 0.7 %).
 SKETCH_K = 400
 #: Groups with fewer documents use the next wider group.
@@ -154,7 +155,7 @@ def quality_verdicts(docs: DataFrame, carry: list[str] | None = None) -> DataFra
     among them); the sketches and the verdict read that table.
     """
     rows = measured(docs)
-    rows = stored(rows if carry is None else rows.select(*carry, *[c for c in rows.columns if c not in docs.columns]))
+    rows = stored(rows if carry is None else rows.select(*carry, *COUNTS, *[f.measure for f in FENCES]))
     limits = thresholds(rows)
     meet = F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source"))
     outside = F.lit(False)

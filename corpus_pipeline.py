@@ -10,13 +10,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm import decontamination, packing, quality
+from alertweave.llm import decontamination, lines, neardup, packing, quality
 from alertweave.llm.common import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_verdicts(docs).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_doc"), "lang", "source", "text")
+    return quality.quality_verdicts(rows, carry=["_doc", "lang", "source"]).where("kept").select("_doc.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the boilerplate lines that other sites showed first."""
+    return lines.dedup_lines(docs)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +43,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality", quality_stage),
+    ("lines", line_stage),
+    ("neardup", neardup_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
