@@ -19,12 +19,59 @@ item_windows AS (
     FROM lower_items WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT k FROM item_windows),
 doc_windows AS (
-    SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS at, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g
+    SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS place, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g
     FROM lower_docs, lengths WHERE len(w) >= k),
-met AS (SELECT DISTINCT doc_id, at, k, item_id FROM doc_windows JOIN item_windows USING (k, g)),
-hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM met) GROUP BY doc_id),
+met AS (SELECT DISTINCT doc_id, place, k, item_id FROM doc_windows JOIN item_windows USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + k)) AS spot FROM met) GROUP BY doc_id),
 listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lower_docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op3_minhash_neardup"] = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+shingles AS (
+    SELECT doc_id, list_distinct([w[i:i + least(5, len(w)) - 1] FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) AS s
+    FROM words WHERE len(w) > 0),
+flat AS (SELECT doc_id, unnest(s) AS g FROM shingles),
+sizes AS (SELECT doc_id, len(s) AS n FROM shingles),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(min(reach.b), d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
+_TRIM = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+SQL["op4_line_dedup"] = rf"""
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
+named AS (SELECT *, {_TRIM} AS bare FROM lines),
+spread AS (
+    SELECT bare, min(row(doc_id, place)) AS earliest FROM named WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0))) >= 10),
+judged AS (SELECT n.*, spread.bare IS NOT NULL AND row(doc_id, place) <> earliest AS gone FROM named n LEFT JOIN spread USING (bare)),
+joined AS (
+    SELECT doc_id, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
+    FROM judged GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM joined
+"""
+
+SQL["op8_warc"] = """
+WITH payloads AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS earliest FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = earliest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> earliest THEN earliest END AS refers_to
+FROM placed
+"""

@@ -1,0 +1,23 @@
+"""Queries with a DuckDB statement, on tables with planted copies, nulls-free as SQL sees them."""
+
+import duckdb
+import pytest
+
+from alertweave.llm.queries import QUERIES
+from alertweave.llm.sql import SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_statement(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = QUERIES[name](spark, SF)
+    want = con.sql(SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    rows = sorted(tuple(r[c] for c in columns) for r in got.collect())
+    place = [want.columns.index(c) for c in columns]
+    assert rows == sorted(tuple(r[i] for i in place) for r in want.fetchall())
