@@ -56,9 +56,24 @@ _S1 = """SELECT scenario, round(epoch(ts), 6) AS timestamp, scenario || '_m' ||
   WHERE event_id % 47 <> 0 AND event_id % 50 <> 0 AND event_id % 49 <> 0 AND event_id % 48 <> 0"""
 
 
+def _alert_files(spark, sf_dir):
+    """The JSON lines as `<scenario>_wazuh.json` files: one folder of text parts per scenario, renamed to the reader's pattern."""
+    path = scratch(spark, "wazuh")
+    _json_lines(spark, sf_dir).repartition("scenario").write.partitionBy("scenario").text(path)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
+    # one file per scenario, and the scenarios are the names of a dictionary
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/scenario=*/part-*")):
+        source = status.getPath()
+        scenario = source.getParent().getName().partition("=")[2]
+        fs.rename(source, jvm.org.apache.hadoop.fs.Path(f"{path}/{scenario}_wazuh.json"))
+    return path
+
+
 @query("s1_read_alert_json", _S1)
 def s1(spark, sf_dir):
-    alerts, _ = R.parse_alert_json(_json_lines(spark, sf_dir))
+    """Alert JSON files written and read back."""
+    alerts, _ = R.read_alert_json(spark, _alert_files(spark, sf_dir))
     return alerts.withColumn("timestamp", F.round("timestamp", 6))
 
 
@@ -67,7 +82,7 @@ def s1(spark, sf_dir):
     "SELECT 's' || (user_id % 8) AS scenario, count(*) AS lines FROM events WHERE event_id % 47 <> 0 AND event_id % 50 <> 0 AND event_id % 49 <> 0 AND event_id % 48 = 0 GROUP BY 1",
 )
 def s1_quarantine(spark, sf_dir):
-    _, rejected = R.parse_alert_json(_json_lines(spark, sf_dir))
+    _, rejected = R.read_alert_json(spark, _alert_files(spark, sf_dir))
     return rejected.groupBy("scenario").agg(F.count("*").alias("lines"))
 
 

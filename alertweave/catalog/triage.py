@@ -8,7 +8,7 @@ from alertweave.catalog.registry import query, stored, with_
 from alertweave.catalog.sqltext import ALERTS, INTERVALS, h32, history
 from alertweave.catalog.training import _ATTACK, rounded, windowed
 from alertweave.functions import losses as L
-from alertweave.functions.policy import ATTACK_ID_POLICY, binary_policy
+from alertweave.functions import policy as P
 from alertweave.operators import context as C
 from alertweave.operators import folds as FO
 from alertweave.operators import infer as B
@@ -316,24 +316,27 @@ def _risk_rows(spark, sf_dir):
     return rows, rule
 
 
-_FEATURES = 64
+#: Bound of the pairs that the within-rule ranking is fitted on.
+_FITTED_PAIRS = 2_000
 
 
 @query("g15_risk_model_context")
 def g15(spark, sf_dir):
     rows, _ = _risk_rows(spark, sf_dir)
-    model = T.fit_risk_model(T.risk_features(rows, _FEATURES), "context_bce")
-    test = T.risk_features(patterns(spark, sf_dir).filter("split = 'test'").select("pattern_id", "event_id", "n", "vector"), _FEATURES)
+    size = T.feature_size(patterns(spark, sf_dir))
+    model = T.fit_risk_model(T.risk_features(rows, size), "context_bce")
+    test = T.risk_features(patterns(spark, sf_dir).filter("split = 'test'").select("pattern_id", "event_id", "n", "vector"), size)
     return model.transform(test).select("pattern_id", "event_id", "n", F.col("prediction").cast("int").alias("incident"))
 
 
 @query("g15_risk_model_rule_offset")
 def g15_offset(spark, sf_dir):
     rows, rule = _risk_rows(spark, sf_dir)
-    model = T.fit_risk_model(T.risk_features(rows, _FEATURES), "rule_context_bce")
+    size = T.feature_size(patterns(spark, sf_dir))
+    model = T.fit_risk_model(T.risk_features(rows, size), "rule_context_bce")
     test = patterns(spark, sf_dir).filter("split = 'test'").select("pattern_id", "event_id", "n", "vector")
     test = test.join(rule, "event_id", "left").na.fill(0.0, ["rule_logit"])
-    return model.transform(T.risk_features(test, _FEATURES)).select("pattern_id", "event_id", "n", F.round("prediction", 6).alias("risk"))
+    return model.transform(T.risk_features(test, size)).select("pattern_id", "event_id", "n", F.round("prediction", 6).alias("risk"))
 
 
 @query("g16_score_risk_pairwise")
@@ -343,11 +346,8 @@ def g16(spark, sf_dir):
     features = rows.select(
         F.col("pattern_id").alias("row_id"), "event_id", F.col("label").cast("int").alias("label"), F.lit("all").alias("group"), "vector"
     )
-    pairs = FO.same_rule_pair_sample(features.drop("vector"), 2_000, 17)
-    dense = lambda v: F.transform(
-        F.sequence(F.lit(-1), F.lit(_FEATURES - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_entries(v), i), F.lit(0)) / 10_000.0
-    )
-    arrays = features.select("row_id", dense(F.col("vector")).alias("f"))
+    pairs = FO.same_rule_pair_sample(features.drop("vector"), _FITTED_PAIRS, 17)
+    arrays = features.select("row_id", T.dense_features(F.col("vector"), T.feature_size(patterns(spark, sf_dir))).alias("f"))
     joined = pairs.join(arrays.toDF("positive", "a"), "positive").join(arrays.toDF("negative", "b"), "negative")
     model = T.fit_pairwise_risk(joined)
     test = patterns(spark, sf_dir).filter("split = 'test'").join(rule, "event_id", "left").na.fill(0.0, ["rule_logit"])
@@ -418,7 +418,7 @@ def _register_prediction_metrics():
         body = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + " FROM pq"
 
         def run(spark, sf_dir, columns=tuple(columns)):
-            got = M.prediction_metrics(predictions(spark, sf_dir), policy=ATTACK_ID_POLICY, weight="n")
+            got = M.prediction_metrics(predictions(spark, sf_dir), weight="n")
             return rounded(got.select(*columns))
 
         query(name, rec(*DONE, _DECIDED, body))(run)
@@ -434,7 +434,7 @@ _register_prediction_metrics()
 def d1(spark, sf_dir):
     codes = F.col("prediction").cast("int")
     return predictions(spark, sf_dir).groupBy(
-        codes.alias("prediction"), ATTACK_ID_POLICY.normalize(codes).alias("attack_decision"), binary_policy().normalize(codes).alias("binary_decision")
+        codes.alias("prediction"), P.decided(P.ATTACK_ID, codes).alias("attack_decision"), P.decided(P.BINARY, codes).alias("binary_decision")
     ).agg(F.sum("n").alias("rows"))
 
 

@@ -1,73 +1,51 @@
-"""Decision policies over prediction codes."""
+"""What a prediction code decides, as one table per way of reading codes.
 
-from __future__ import annotations
+A reading maps each known code to a decision: null for a reject, else the label
+that the code stands for. Codes outside the map either are labels themselves
+(`others_are_labels`) or decide nothing.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from alertweave.functions import encode as E
 
+#: Codes that always hand the alert to an analyst.
+_HANDED_OVER = {E.NOT_CONFIDENT: None, E.UNSEEN_EVENT: None, E.TOO_FAR: None}
 
-@dataclass(frozen=True)
-class PredictionPolicy:
-    """Which codes reject, which mean benign, and which mean incident.
-
-    Without `incident_codes` every non-negative code is an attack id.
-    """
+ATTACK_ID = {"codes": {**_HANDED_OVER, E.BENIGN_CLUSTER: E.NO_ATTACK}, "others_are_labels": True, "benign": E.NO_ATTACK}
+BINARY = {
+    "codes": {**_HANDED_OVER, E.CALIBRATED_REJECT: None, 0: 0, E.BENIGN_CLUSTER: 0, 1: 1},
+    "others_are_labels": False,
+    "benign": 0,
+}
 
-    name: str
-    reject_codes: tuple[int, ...]
-    benign_codes: tuple[int, ...]
-    incident_codes: tuple[int, ...] | None = None
-    benign_label: int = E.NO_ATTACK
 
-    @property
-    def binary(self) -> bool:
-        return self.incident_codes is not None
+def binary_reading(reject_code: int) -> dict:
+    """The binary reading with a reject code of its own; a reject wins over any other meaning of the code."""
+    codes = {c: d for c, d in BINARY["codes"].items() if c != E.CALIBRATED_REJECT}
+    return {**BINARY, "codes": {**codes, reject_code: None}}
 
-    def normalize(self, score: Column) -> Column:
-        """Null for a reject, else the decided label; rejects are tested before benign codes."""
-        rejected = score.isin(*self.reject_codes)
-        benign = score.isin(*self.benign_codes)
-        if self.binary:
-            return (
-                F.when(rejected, F.lit(None))
-                .when(benign, 0)
-                .when(score.isin(*self.incident_codes), 1)
-                .cast("int")
-            )
-        return (
-            F.when(rejected, F.lit(None)).when(benign, self.benign_label).when(score >= 0, score).cast("int")
-        )
 
-    def says_incident(self, decision: Column) -> Column:
-        return decision == 1 if self.binary else decision != self.benign_label
+def decided(reading: dict, code: Column) -> Column:
+    """The decided label of a code, null where nothing is decided."""
+    table = F.create_map(*[F.lit(x) for pair in reading["codes"].items() if pair[1] is not None for x in pair])
+    known = F.try_element_at(table, code)
+    rejected = code.isin([c for c, d in reading["codes"].items() if d is None])
+    label = F.coalesce(known, F.when(code >= 0, code)) if reading["others_are_labels"] else known
+    return F.when(~rejected, label).cast("int")
 
-    def comparable_truth(self, label: Column) -> Column:
-        return F.when(label == self.benign_label, 0).otherwise(1) if self.binary else label
 
+def is_alarm(reading: dict, decision: Column) -> Column:
+    return decision != reading["benign"]
 
-ATTACK_ID_POLICY = PredictionPolicy(
-    "attack_type_cluster_score",
-    (E.NOT_CONFIDENT, E.UNSEEN_EVENT, E.TOO_FAR),
-    (E.BENIGN_CLUSTER,),
-)
 
-
-def binary_policy(reject_code: int = E.CALIBRATED_REJECT) -> PredictionPolicy:
-    return PredictionPolicy(
-        "binary_incident_triage",
-        (reject_code, E.NOT_CONFIDENT, E.UNSEEN_EVENT, E.TOO_FAR),
-        (0, E.BENIGN_CLUSTER),
-        (1,),
-    )
+def truth_for(reading: dict, label: Column) -> Column:
+    """Attack labels as the reading's decisions name them."""
+    return label if reading["others_are_labels"] else (label != E.NO_ATTACK).cast("int")
 
 
 def tri_state(prediction: Column) -> Column:
     return F.when(prediction > 0, "Incident").when(prediction == 0, "Non-Incident").otherwise("Reject")
-
-
-def needs_review(prediction: Column) -> Column:
-    return prediction != 0

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.functions.policy import ATTACK_ID_POLICY, PredictionPolicy
+from alertweave.functions import policy as P
+from alertweave.functions.encode import NO_ATTACK
 from alertweave.functions.ratios import f1_or_zero, ratio_or_null, ratio_or_zero
 
 
@@ -60,13 +61,13 @@ def cluster_quality(rows: DataFrame, keys: Sequence[str] = (), cluster: str = "c
     )
 
 
-def _decided(rows: DataFrame, keys, prediction, label, policy: PredictionPolicy, weight) -> DataFrame:
+def _decided(rows: DataFrame, keys, prediction, label, reading: dict, weight) -> DataFrame:
     """Rows collapsed to (keys, score, label) counts with the normalised decision."""
     cells = rows.groupBy(*keys, F.col(prediction).alias("_score"), F.col(label).alias("_label")).agg(
         F.sum(_weight(weight)).alias("_n")
     )
-    return cells.withColumn("_decision", policy.normalize(F.col("_score").cast("int"))).withColumn(
-        "_truth", policy.comparable_truth(F.col("_label"))
+    return cells.withColumn("_decision", P.decided(reading, F.col("_score").cast("int"))).withColumn(
+        "_truth", P.truth_for(reading, F.col("_label"))
     )
 
 
@@ -75,15 +76,15 @@ def prediction_metrics(
     keys: Sequence[str] = (),
     prediction: str = "prediction",
     label: str = "label",
-    policy: PredictionPolicy = ATTACK_ID_POLICY,
+    reading: dict = P.ATTACK_ID,
     weight: str | None = None,
 ) -> DataFrame:
     """Decision rates, accuracies, binary detection on decided rows and rejects by truth."""
-    cells = _decided(rows, keys, prediction, label, policy, weight)
+    cells = _decided(rows, keys, prediction, label, reading, weight)
     n = F.col("_n")
     auto = F.col("_decision").isNotNull()
-    true_incident = F.col("_label") != policy.benign_label
-    said = policy.says_incident(F.col("_decision"))
+    true_incident = F.col("_label") != NO_ATTACK
+    said = P.is_alarm(reading, F.col("_decision"))
     base = cells.groupBy(*keys).agg(
         F.sum(n).alias("total_sequences"),
         _total(auto, n).alias("auto_decided_count"),
@@ -124,7 +125,7 @@ def class_scores(
     keys: Sequence[str] = (),
     prediction: str = "prediction",
     label: str = "label",
-    policy: PredictionPolicy = ATTACK_ID_POLICY,
+    reading: dict = P.ATTACK_ID,
     weight: str | None = None,
 ) -> DataFrame:
     """Per class: precision, recall, F1 and support on decided rows.
@@ -132,7 +133,7 @@ def class_scores(
     The classes are all true labels (also those seen on rejected rows only, which
     lowers the macro average) and all decided labels.
     """
-    cells = _decided(rows, keys, prediction, label, policy, weight)
+    cells = _decided(rows, keys, prediction, label, reading, weight)
     hit = F.col("_decision") == F.col("_label")
     auto = F.col("_decision").isNotNull()
     as_truth = cells.select(

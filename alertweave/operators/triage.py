@@ -464,16 +464,25 @@ def matched_workload_rerank(rows: DataFrame, keys: Sequence[str], seed: int, ref
 # ---- linear contextual risk ---------------------------------------------------------------------------
 
 
+def feature_size(rows: DataFrame, vector: str = "vector") -> int:
+    """One more than the largest event id in any fingerprint, so that no event is left without a feature."""
+    largest = rows.agg(F.max(F.array_max(F.transform(vector, lambda s: s["e"]))).alias("e")).first()["e"]
+    return max(0, -1 if largest is None else largest) + 1
+
+
+def dense_features(vector: Column, size: int) -> Column:
+    """A fingerprint as an array of mass 1; index 0 is the padding feature, index e + 1 event e."""
+    lookup = F.map_from_entries(vector)
+    return F.transform(
+        F.sequence(F.lit(-1), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0)) / F.lit(float(UNIT))
+    )
+
+
 def risk_features(rows: DataFrame, size: int, vector: str = "vector", name: str = "features") -> DataFrame:
     """Fingerprint arrays as MLlib vectors (mass 1), through the built-in array conversion."""
     from pyspark.ml.functions import array_to_vector
 
-    lookup = F.map_from_entries(F.col(vector))
-    # index 0 is the padding feature
-    dense = F.transform(
-        F.sequence(F.lit(-1), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0)) / F.lit(float(UNIT))
-    )
-    return rows.withColumn(name, array_to_vector(dense))
+    return rows.withColumn(name, array_to_vector(dense_features(F.col(vector), size)))
 
 
 def fit_risk_model(rows: DataFrame, objective: str, weight_decay: float = 1e-4, weight: str = "weight"):
@@ -510,10 +519,12 @@ def fit_pairwise_risk(pairs: DataFrame, weight_decay: float = 1e-4):
 
 
 def score_risk(rows: DataFrame, coefficients: Sequence[float], bias: float, rule_logit: str | None = None) -> DataFrame:
-    """Linear risk score of a fingerprint; a non-finite score fails the job."""
+    """Linear risk score of a fingerprint; an event the fit never saw weighs nothing, a non-finite score fails the job."""
     weights = F.array(*[F.lit(float(c)) for c in coefficients])
     total = F.aggregate(
-        "vector", F.lit(float(bias)), lambda a, s: a + F.element_at(weights, s["e"] + 2) * s["w"] / F.lit(float(UNIT))
+        "vector",
+        F.lit(float(bias)),
+        lambda a, s: a + F.coalesce(F.get(weights, s["e"] + 1), F.lit(0.0)) * s["w"] / F.lit(float(UNIT)),
     )
     if rule_logit:
         total = total + F.col(rule_logit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions import encode as E
@@ -51,10 +51,30 @@ def read_alert_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parse_alert_json(lines)
 
 
+def _numbered(raw: DataFrame, name: str, file: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Dense numbers in file order, from 0 within `keys`: by file name, block of the file and place in the block.
+
+    One task reads a block in order, so a row's place in it plus the rows of the
+    blocks before gives its number without a sort. Spark deals files to tasks by
+    size, so task numbers alone would not follow the names.
+    """
+    columns = raw.columns
+    rows = raw.select(
+        *columns,
+        F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_block"),
+        F.monotonically_increasing_id().alias("_mid"),
+    )
+    blocks = rows.groupBy(*keys, "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = rows.join(blocks, [*keys, "_block"])
+    return placed.select(*columns, (F.col("_mid") - F.col("_first") + F.col("_offset")).alias(name))
+
+
 def read_attack_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Interval CSV with the file position that decides between equal starts."""
+    """Interval CSV with the file position that decides between equal starts; many files follow their names."""
     raw = spark.read.schema(INTERVAL_CSV).csv(path, header=True, mode="FAILFAST")
-    return raw.withColumn("position", F.monotonically_increasing_id())
+    return _numbered(raw, "position", F.col("_metadata.file_path"))
 
 
 def read_alert_csv(
@@ -63,9 +83,7 @@ def read_alert_csv(
     """Alert CSV with an exact header; adds `scenario` and a dense `source_row`.
 
     One file per scenario by default; `per_folder` reads `scenario=<name>/` folders
-    of part files. Rows of one file block are read in order by one task, so the
-    row's place in the block plus the rows of earlier blocks gives `source_row`
-    without a sort.
+    of part files.
     """
     reader = spark.read.schema(ALERT_CSV).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
     if per_folder:
@@ -74,43 +92,42 @@ def read_alert_csv(
     else:
         raw = reader.csv([f"{folder}/{s}.csv" for s in scenarios])
         scenario, file = F.regexp_replace("_metadata.file_name", r"\.csv$", ""), F.lit("")
-    rows = raw.select(
-        *[c for c in raw.columns if c != "scenario"],
-        scenario.alias("scenario"),
-        F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    blocks = rows.groupBy("scenario", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("scenario").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = rows.join(blocks, ["scenario", "_block"])
-    return placed.withColumn("source_row", F.col("_mid") - F.col("_first") + F.col("_offset")).drop(
-        "_block", "_mid", "_first", "_offset"
-    )
+    return _numbered(raw.withColumn("scenario", scenario), "source_row", file, ["scenario"])
 
 
 def read_canonical(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
-def parse_event_lines(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
-    """Integer token arrays from text lines; only line ends are stripped, blank lines skipped.
-
-    A line with a non-ASCII, non-integer or negative token is rejected: dropped, or
-    failing the job when `strict`.
-    """
+def _event_words(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Non-blank lines with their words, and whether each word is a non-negative integer that fits 64 bits."""
     clean = F.regexp_replace("line", "[\r\n]+$", "")
     rows = lines.withColumn("line", clean).filter(F.trim("line") != "")
     words = F.filter(F.split("line", r"[ \t]+"), lambda w: w != "")
     rows = rows.withColumn("_words", words)
     # token by token: one pattern over a very long line would recurse too deep
-    valid = F.forall("_words", lambda w: w.rlike("^[0-9]{1,10}$"))
+    return rows, F.forall("_words", lambda w: w.rlike("^[0-9]+$") & w.try_cast("long").isNotNull())
+
+
+def rejected_event_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """The lines that `parse_event_lines` does not take: a non-ASCII, non-integer, negative or over-long token."""
+    rows, valid = _event_words(lines)
+    return rows.filter(~valid).select(*keep, "line")
+
+
+def parse_event_lines(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
+    """Integer token arrays (64 bits) from text lines; only line ends are stripped, blank lines skipped.
+
+    A line with a token that is no non-negative integer goes to
+    `rejected_event_lines`, or fails the job when `strict`.
+    """
+    rows, valid = _event_words(lines)
     if strict:
         bad = F.raise_error(F.concat(F.lit("not an event sequence: "), F.substring("line", 1, 80)))
         rows = rows.withColumn("_words", F.when(valid, F.col("_words")).otherwise(bad))
     else:
         rows = rows.filter(valid)
-    return rows.select(*keep, "line", F.transform("_words", lambda w: w.cast("int")).alias("tokens"))
+    return rows.select(*keep, "line", F.transform("_words", lambda w: w.cast("long")).alias("tokens"))
 
 
 def read_event_sequences(spark: SparkSession, sources: dict[str, str], strict: bool = True) -> DataFrame:
@@ -126,9 +143,9 @@ def read_event_sequences(spark: SparkSession, sources: dict[str, str], strict: b
 
 
 def read_processed_events(spark: SparkSession, path: str) -> DataFrame:
-    """Processed event CSV with the scenario from the machine key; `row_id` keeps the file order."""
+    """Processed event CSV with the scenario from the machine key; `row_id` follows file names and places."""
     rows = spark.read.schema(EVENT_CSV).csv(path, header=True, mode="FAILFAST")
-    return rows.withColumn("scenario", E.scenario_of(F.col("machine"))).withColumn("row_id", F.monotonically_increasing_id())
+    return _numbered(rows.withColumn("scenario", E.scenario_of(F.col("machine"))), "row_id", F.col("_metadata.file_path"))
 
 
 def read_report_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from alertweave.functions.policy import binary_policy
+from alertweave.functions import policy as PO
 from alertweave.operators import checks as V
 from alertweave.operators import folds as FO
 from alertweave.operators import infer as B
@@ -141,7 +141,7 @@ def test_prediction_metrics(spark):
     got = one_row(M.prediction_metrics(df))
     assert (got["auto_decided_count"], got["reject_count"]) == (3, 2) and got["auto_decided_accuracy"] == pytest.approx(2 / 3)
     df = spark.createDataFrame(list(zip([-1, 3, 9, -1], [0, 1, -5, 1])), "label int, prediction int")
-    got = one_row(M.prediction_metrics(df, policy=binary_policy()))
+    got = one_row(M.prediction_metrics(df, reading=PO.BINARY))
     assert (got["auto_decided_count"], got["tp"], got["fp"]) == (3, 1, 1) and got["auto_decided_accuracy"] == pytest.approx(2 / 3)
 
 
