@@ -367,8 +367,8 @@ def a21(spark, sf_dir):
 def b6(spark, sf_dir):
     """Percentile intervals of the recall gain (incident sequences) and of the safety violation (normal ones)."""
     totals = cut_lineage(sequence_totals(spark, sf_dir))
-    gain = B.grouped_ratio_bootstrap(totals.filter("label = 1"), 2_000)
-    safety = B.grouped_ratio_bootstrap(totals.filter("label = 0"), 2_000, scale=1000.0)
+    gain = B.grouped_ratio_bootstrap(totals.filter("label = 1"))
+    safety = B.grouped_ratio_bootstrap(totals.filter("label = 0"), scale=1000.0)
     name = lambda df, n: df.select(F.lit(n).alias("statistic"), "*")
     return name(B.interval(gain, "gain"), "gain").unionByName(name(B.interval(safety, "safety_violation"), "safety_violation"))
 

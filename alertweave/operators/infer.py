@@ -200,10 +200,14 @@ def grouped_ratio_bootstrap(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((3, iterations))
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                stream = np.random.Generator(np.random.Philox(key=[seed, int(row.stream)]))
-                weight = stream.poisson(row.copies, iterations)
-                total += np.outer([row.length, row.baseline, row.selector], weight)
+            # some groups at a time, so that their weights stay small
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                weights = np.stack([
+                    np.random.Generator(np.random.Philox(key=[seed, stream])).poisson(copies, iterations)
+                    for stream, copies in zip(part["stream"].tolist(), part["copies"].tolist(), strict=True)
+                ])
+                total += part[["length", "baseline", "selector"]].to_numpy(float).T @ weights
         if total.any():
             yield pd.DataFrame(
                 {"iteration": np.arange(iterations), "denominator": total[0], "baseline": total[1], "selector": total[2]}
@@ -212,7 +216,8 @@ def grouped_ratio_bootstrap(
     drawn = triples.mapInPandas(partial, _BOOTSTRAP_SCHEMA).groupBy("iteration").agg(
         F.sum("denominator").alias("_d"), F.sum("baseline").alias("_b"), F.sum("selector").alias("_s")
     )
-    rate = lambda c: F.lit(scale) * F.col(c) / (F.lit(seeds) * F.col("_d"))
+    # a draw may leave no sequence: it has no rate and no part in the interval
+    rate = lambda c: F.try_divide(F.lit(scale) * F.col(c), F.lit(seeds) * F.col("_d"))
     rates = drawn.select("iteration", rate("_b").alias("baseline_rate"), rate("_s").alias("selector_rate"))
     return rates.select(
         "*",

@@ -90,7 +90,7 @@ def take_smallest(df: DataFrame, keys: Sequence[str], want: str, levels: Sequenc
     if keys:
         joined = df.join(cuts, list(keys), "left")
     else:
-        joined = df.join(cuts.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left").drop("_one")
+        joined = df.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     taken = F.when(F.col(want) <= 0, F.lit(False)).otherwise(F.col("_cut").isNull() | (position <= F.col("_cut")))
     return joined.withColumn("taken", taken).drop("_cut")
 

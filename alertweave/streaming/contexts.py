@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from alertweave.functions.encode import NO_ATTACK
-from alertweave.operators.joins import attack_dictionary, first_interval_segments
+from alertweave.operators.joins import label_by_interval
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CLOSING = "\x00closing"
 _SLOT = "timestamp long, row_id long, event_id int"
 _OUTPUT = "machine string, timestamp long, row_id long, event_id int, context array<int>"
 
@@ -49,14 +51,12 @@ class StrictPastProcessor(StatefulProcessor):
             yield pd.DataFrame()
             return
         history = list(self.history.get())
-        out, at = [], 0
-        while at < len(ready):
-            second = ready[at][0]
-            tied = [s for s in ready[at:] if s[0] == second]
+        out = []
+        for second, tied in groupby(ready, key=itemgetter(0)):
+            tied = list(tied)
             context = [e for t, _, e in history if second - t <= self.timeout]
             out += [(key[0], t, r, e, context) for t, r, e in tied]
-            history = (history + tied)[-self.n :]
-            at += len(tied)
+            history = (history + tied[-self.n :])[-self.n :]
         self.history.put(history)
         late = [s for s in waiting if s[0] > closed]
         if late:
@@ -73,10 +73,12 @@ class StrictPastProcessor(StatefulProcessor):
         pass
 
 
-def stream_strict_past_context(alerts: DataFrame, n: int = 10, timeout: int = 86_400, delay: str = "0 seconds") -> DataFrame:
+def stream_strict_past_context(alerts: DataFrame, n: int = 10, timeout: int = 86_400, delay: str = "1 hour") -> DataFrame:
     """Streaming strict-past context; equals the batch operator on alerts that arrive within `delay`.
 
-    Needs the RocksDB state store (`use_state_store`).
+    The last seconds of a source that ends wait for the watermark; `closing_row`
+    in a further input releases them. Needs the RocksDB state store
+    (`use_state_store`); `late_rows` tells how many alerts came after `delay`.
     """
     timed = alerts.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", delay)
     return timed.groupBy("machine").transformWithStateInPandas(
@@ -88,15 +90,16 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def closing_row(spark: SparkSession, last: int) -> DataFrame:
+    """A row past `last` and any delay, of a machine of its own, that lets the watermark pass all alerts."""
+    return spark.createDataFrame([(CLOSING, int(last), -1, -1)], "machine string, timestamp long, row_id long, event_id int")
+
+
+def late_rows(job) -> int:
+    """Rows that a finished streaming job dropped behind its watermark."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in job.recentProgress for o in p["stateOperators"])
+
+
 def stream_label_by_interval(alerts: DataFrame, intervals: DataFrame, name: str = "attack_id") -> DataFrame:
-    """Stream-static form of the interval label: the static side holds disjoint segments per hour bucket."""
-    hour = 3_600
-    segments = first_interval_segments(intervals.join(attack_dictionary(intervals), "attack"), "attack_id")
-    low = F.greatest(F.col("start"), F.coalesce("after", "start"))
-    spread = segments.withColumn("_bucket", F.explode(F.sequence(F.floor(low / hour), F.floor(F.col("end") / hour))))
-    spread = spread.withColumnRenamed("scenario", "_scenario")
-    keyed = alerts.withColumn("_at", F.floor(F.col("timestamp") / hour))
-    inside = (F.col("timestamp") >= F.col("start")) & (F.col("timestamp") <= F.col("end"))
-    first = F.col("after").isNull() | (F.col("timestamp") > F.col("after"))
-    match = (F.col("scenario") == F.col("_scenario")) & (F.col("_at") == F.col("_bucket")) & inside & first
-    return keyed.join(spread, match, "left").select(*alerts.columns, F.coalesce("attack_id", F.lit(NO_ATTACK)).alias(name))
+    """Stream-static form of the interval label: the batch operator, whose interval side is static."""
+    return label_by_interval(alerts, intervals, name)
