@@ -68,7 +68,7 @@ def fitted(spark, sf_dir):
 
 def applied(spark, sf_dir):
     rows, table = pool(spark, sf_dir), folds(spark, sf_dir)
-    model = stored("association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table))
+    model = stored("association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7))
     return AS.with_model(rows, table, model)
 
 

@@ -46,3 +46,8 @@ def stored(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataF
     if key not in _STORED:
         _STORED[key] = cut_lineage(make())
     return _STORED[key]
+
+
+def forget() -> None:
+    """Drop the stored results, so that the next query makes its own."""
+    _STORED.clear()

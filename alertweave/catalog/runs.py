@@ -191,15 +191,14 @@ def m10_blind(spark, sf_dir):
     with_(
         *PRE,
         """SELECT n.row_id, p.seed, p.threshold, p.prediction FROM newest n JOIN predicted p ON p.method = 'rule_prior' AND p.split = 'test'
-           AND p.test_scenario = n.scenario AND p.event_id = n.event_id AND p.newest = n.newest AND p.truth = n.event_incident
-           WHERE p.threshold = 0.1 AND p.seed = 11""",
+           AND p.test_scenario = n.scenario AND p.event_id = n.event_id AND p.newest = n.newest AND p.truth = n.event_incident""",
     ),
 )
 def g13(spark, sf_dir):
-    """Rule-prior triage of every alert in the fold that tests it; predictions are made per event and expanded."""
+    """Rule-prior triage of every alert in the fold that tests it, for all seeds and thresholds; predictions are made per event and expanded."""
     rows = alerts(spark, sf_dir)
-    scored = scored_cells(spark, sf_dir).filter("split = 'test' AND seed = 11")
-    coded = R.predictions(scored, R.Study(BUDGET, RATIO, SEEDS, rule_thresholds=(0.10,))).filter("method = 'rule_prior'")
+    scored = scored_cells(spark, sf_dir).filter("split = 'test'")
+    coded = R.predictions(scored, STUDY).filter("method = 'rule_prior'")
     per_event = coded.groupBy(F.col("test_scenario").alias("scenario"), "event_id", "seed", "threshold").agg(F.max("prediction").alias("prediction"))
     return J.expand_unique(rows.select("row_id", "scenario", "event_id"), per_event, ["scenario", "event_id"]).select(
         "row_id", "seed", "threshold", "prediction"

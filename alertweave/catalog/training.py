@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.catalog.registry import query, with_
@@ -310,7 +313,7 @@ def j1(spark, sf_dir):
 @query(
     "j2_gather_candidates",
     with_(
-        ALERTS, history(20),
+        ALERTS, history(100),
         """SELECT s.row_id, s.p - 1 AS slot, b.event_id, b.event_incident, b.event_incident_group
            FROM (SELECT row_id, unnest([x.r for x in c]) AS r, generate_subscripts(c, 1) AS p FROM ctx WHERE len(c) > 0) s
            JOIN alerts b ON b.row_id = s.r""",
@@ -318,7 +321,7 @@ def j1(spark, sf_dir):
 )
 def j2(spark, sf_dir):
     rows = alerts(spark, sf_dir)
-    pool = C.strict_past_candidates(rows, 20).select("row_id", C.ids("candidates", "row_id").alias("candidates"))
+    pool = C.strict_past_candidates(rows, 100).select("row_id", C.ids("candidates", "row_id").alias("candidates"))
     return J.gather(pool, rows).drop("candidate")
 
 
@@ -364,18 +367,24 @@ def j5(spark, sf_dir):
     return J.pairable_positives(revealed(spark, sf_dir), "event_incident", keys=["test_scenario", "seed"]).select("test_scenario", "seed", "row_id")
 
 
+def _halves(rows):
+    """Rows before and from the middle of the table's time span."""
+    middle = rows.agg(F.floor((F.min("timestamp") + F.max("timestamp")) / 2).alias("at")).first()["at"]
+    return rows.filter(F.col("timestamp") < F.lit(middle)), rows.filter(F.col("timestamp") >= F.lit(middle))
+
+
 @query(
     "j5_unseen_machine_events_anti",
     with_(
         ALERTS,
-        """SELECT row_id FROM alerts a WHERE timestamp >= 1704150000 AND NOT EXISTS (
-             SELECT 1 FROM alerts b WHERE b.timestamp < 1704150000 AND b.machine = a.machine AND b.event_id = a.event_id)""",
+        """SELECT row_id FROM alerts a WHERE timestamp >= (SELECT (min(timestamp) + max(timestamp)) // 2 FROM alerts) AND NOT EXISTS (
+             SELECT 1 FROM alerts b WHERE b.timestamp < (SELECT (min(timestamp) + max(timestamp)) // 2 FROM alerts) AND b.machine = a.machine AND b.event_id = a.event_id)""",
     ),
 )
 def j5_anti(spark, sf_dir):
-    rows = alerts(spark, sf_dir)
-    known = rows.filter("timestamp < 1704150000").select("machine", "event_id").distinct()
-    return rows.filter("timestamp >= 1704150000").join(known, ["machine", "event_id"], "left_anti").select("row_id")
+    early, late = _halves(alerts(spark, sf_dir))
+    known = early.select("machine", "event_id").distinct()
+    return late.join(known, ["machine", "event_id"], "left_anti").select("row_id")
 
 
 @query(
@@ -764,21 +773,22 @@ def w11(spark, sf_dir):
 
 @query(
     "u1_union_scenarios",
-    with_(ALERTS, "SELECT scenario, row_id, event_key FROM alerts WHERE scenario = 's0' UNION ALL SELECT scenario, row_id, event_key FROM alerts WHERE scenario = 's5'"),
+    with_(ALERTS, " UNION ALL ".join(f"SELECT scenario, row_id, event_key FROM alerts WHERE scenario = 's{i}'" for i in range(8))),
 )
 def u1(spark, sf_dir):
+    """The frames of all eight scenarios one after another."""
     rows = alerts(spark, sf_dir).select("scenario", "row_id", "event_key")
-    return rows.filter("scenario = 's0'").unionByName(rows.filter("scenario = 's5'"))
+    frames = [rows.filter(F.col("scenario") == f"s{i}") for i in range(8)]
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query(
     "u2_difference",
-    with_(ALERTS, "SELECT machine, event_key FROM alerts WHERE timestamp >= 1704250000 EXCEPT SELECT machine, event_key FROM alerts WHERE timestamp < 1704250000"),
+    with_(ALERTS, "SELECT machine, event_key FROM alerts WHERE timestamp >= (SELECT (min(timestamp) + max(timestamp)) // 2 FROM alerts) EXCEPT SELECT machine, event_key FROM alerts WHERE timestamp < (SELECT (min(timestamp) + max(timestamp)) // 2 FROM alerts)"),
 )
 def u2(spark, sf_dir):
-    rows = alerts(spark, sf_dir)
-    late = rows.filter("timestamp >= 1704250000").select("machine", "event_key")
-    return late.subtract(rows.filter("timestamp < 1704250000").select("machine", "event_key"))
+    early, late = _halves(alerts(spark, sf_dir))
+    return late.select("machine", "event_key").subtract(early.select("machine", "event_key"))
 
 
 @query(

@@ -231,7 +231,7 @@ po AS (SELECT cluster, coalesce(6.0::DOUBLE * p / nullif(6.0::DOUBLE * p + q, 0)
 
 @query(
     "g9_posterior_clusters",
-    rec(*CLUS, _POST, "SELECT cluster, round(prior, 6) AS prior, CASE WHEN prior >= 0.6 THEN 1 WHEN prior <= 0.2 THEN 0 ELSE -5 END AS score FROM po"),
+    rec(*CLUS, _POST, "SELECT cluster, round(prior, 6) AS prior, CASE WHEN prior >= 0.6 THEN 1 WHEN prior <= 0.2 THEN 0 ELSE -5 END AS score FROM po UNION ALL SELECT DISTINCT -1, 0.5::DOUBLE, -5 FROM cp WHERE cluster = -1"),
 )
 def g9(spark, sf_dir):
     return rounded(T.posterior_clusters(clustered(spark, sf_dir), 6.0, 1.0, 0.2, 0.6, weight="n"))
@@ -275,7 +275,7 @@ cal AS (SELECT f.event_id, f.context, f.n, f.confidence, CASE WHEN hit.d IS NOT
 )
 def g12(spark, sf_dir):
     rows = clustered(spark, sf_dir)
-    priors = T.posterior_clusters(rows, 6.0, 1.0, 0.2, 0.6, weight="n").select("cluster", "prior")
+    priors = T.posterior_clusters(rows, 6.0, 1.0, 0.2, 0.6, weight="n").filter("cluster <> -1").select("cluster", "prior")
     vectors = T.scored_vectors(rows.join(priors, "cluster"), "prior")
     got = T.triage_calibrated(
         patterns(spark, sf_dir).filter("split = 'test'"), vectors, SETUP.eps, SETUP.threshold, 0.005, 0.010, scale=1.0

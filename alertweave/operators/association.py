@@ -125,15 +125,19 @@ def fit_association(
 
 def association_model(
     pool: DataFrame, alerts: DataFrame, folds: DataFrame, label: str = "event_incident",
-    bands: Sequence[tuple[int, int]] = RECENCY_BANDS, **fit,
+    bands: Sequence[tuple[int, int]] = RECENCY_BANDS, decimals: int | None = None, **fit,
 ) -> DataFrame:
     """The fitted tables as one row per (fold, event): arrays addressed by position.
 
+    Weights are kept as fitted; `decimals` rounds them, for comparisons with
+    another engine whose last digits differ.
+
     `weights` is band-major over local events, `local_of` maps a global event id to
     its local id (unknown = vocabulary - 1). Rows are as many as folds times event
     types, so slots are scored by array lookup without exploding them.
     """
     cells, targets = fit_association(pool, alerts, folds, label, bands, **fit)
+    exact = lambda w: w if decimals is None else F.round(w, decimals)
     per_event = alerts.groupBy("scenario", "event_id").agg(F.count("*").alias("_n"))
     vocabulary = fold_vocabulary(per_event, folds)
     dictionary = vocabulary.groupBy("test_scenario").agg(
@@ -163,8 +167,7 @@ def association_model(
         "vocabulary",
         F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("vocabulary") * len(bands) - 1),
-            # seven decimals: the precision weights are used at
-            lambda c: F.round(F.coalesce(F.try_element_at("_cells", c), F.col("default_weight")), 7),
+            lambda c: exact(F.coalesce(F.try_element_at("_cells", c), F.col("default_weight"))),
         ).alias("weights"),
     )
     wanted = arrays.join(events.withColumn("_one", F.lit(1)), F.col("_one") == 1).drop("_one")

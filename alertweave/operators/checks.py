@@ -54,6 +54,7 @@ def fold_overlaps(folds: DataFrame) -> DataFrame:
     return folds.groupBy("test_scenario", "scenario").agg(F.countDistinct("role").alias("roles")).filter("roles > 1")
 
 
+# fixed values: names of the rates that a record carries, as the metric families name them
 _RATES = (
     "analyst_workload", "triage_incident_recall", "reject_rate", "automation_coverage", "relaxed_f1", "incident_group_recall",
 )

@@ -95,6 +95,7 @@ def take_smallest(df: DataFrame, keys: Sequence[str], want: str, levels: Sequenc
     return joined.withColumn("taken", taken).drop("_cut")
 
 
+#: Spark's limit for ranked filters that run before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold); both ways give the same rows.
 _MAP_SIDE_LIMIT = 1_000
 
 

@@ -94,13 +94,6 @@ def default_point(points: DataFrame, eps: float, threshold: float, tolerance: fl
     )
 
 
-def default_point_violations(points: DataFrame, keys: Sequence[str], eps: float, threshold: float) -> DataFrame:
-    """Runs whose default point is missing or not unique."""
-    found = default_point(points, eps, threshold).groupBy(*keys).agg(F.count("*").alias("found"))
-    runs = points.select(*keys).distinct()
-    return runs.join(found, list(keys), "left").na.fill(0, ["found"]).filter("found <> 1")
-
-
 def select_baseline_matched(
     points: DataFrame, group: Sequence[str], method: str, eps: float, threshold: float
 ) -> DataFrame:

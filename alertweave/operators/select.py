@@ -37,10 +37,6 @@ def last_k(pool: Column, k: int) -> Column:
     return F.slice(pool, F.size(pool) - keep + 1, keep)
 
 
-def _indexed(pool: Column) -> Column:
-    return F.transform(pool, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-
-
 def _by_priority(pool: Column, k: int, priority: Callable[[Column, Column], Column]) -> Column:
     """Top `k` by (priority, later position), back in chronological order."""
     keyed = F.transform(

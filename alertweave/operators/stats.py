@@ -153,7 +153,10 @@ def rule_identifiability(
 
 
 def identifiability_gate(table: DataFrame, minimum_rules: int, minimum_groups: int) -> DataFrame:
-    """One summary row per (test_scenario, seed) with the pass flag."""
+    """One summary row per (test_scenario, seed) with the pass flag.
+
+    The output names are fixed values: the study's tables use them.
+    """
     def only(flag: str, value: str) -> Column:
         return F.sum(F.when(F.col(flag), F.col(value)).otherwise(0))
 

@@ -239,11 +239,12 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections:
     return found.select("event_id", "distance", F.inline(both)).select("event_id", "left_id", "right_id", "distance")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """`id, component`: the smallest id reachable over undirected edges.
 
     Each round takes the smallest label among the neighbours, then the label of
-    that label (pointer jumping), and is checkpointed.
+    that label (pointer jumping), and is checkpointed. Rounds go on until no label
+    changes; labels only fall, so they end.
     """
     both = cut_lineage(
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -252,7 +253,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         .distinct()
     )
     labels = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("_offer"))
         nearer = labels.join(offered, labels["id"] == offered["a"], "left").select(
             "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_offer", "component")).alias("_new")
@@ -265,7 +266,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         labels = jumped.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def numbered_vectors(patterns: DataFrame) -> DataFrame:
@@ -355,7 +355,10 @@ def with_cluster_score(rows: DataFrame, scores: DataFrame, keys: Sequence[str] =
 def posterior_clusters(
     rows: DataFrame, positive_weight: float, negative_weight: float, low: float, high: float, weight: str | None = None
 ) -> DataFrame:
-    """`cluster, prior, score`: weighted incident share of each cluster and its 1 / 0 / -5 decision."""
+    """`cluster, prior, score`: weighted incident share of each cluster and its 1 / 0 / -5 decision.
+
+    Noise (cluster -1) is undecided: prior 0.5 and -5, one row if there is any.
+    """
     w = F.lit(1) if weight is None else F.col(weight)
     incident = F.col("label") != E.NO_ATTACK
     counts = rows.filter("cluster <> -1").groupBy("cluster").agg(
@@ -365,7 +368,8 @@ def posterior_clusters(
     prior = F.coalesce(F.try_divide(numerator, numerator + F.col("_q") * negative_weight), F.lit(0.0))
     scored = counts.select("cluster", prior.alias("prior"))
     decision = F.when(F.col("prior") >= high, 1).when(F.col("prior") <= low, 0).otherwise(E.CALIBRATED_REJECT)
-    return scored.withColumn("score", decision)
+    noise = rows.filter("cluster = -1").groupBy("cluster").agg(F.lit(0.5).alias("prior"), F.lit(E.CALIBRATED_REJECT).alias("score"))
+    return scored.withColumn("score", decision).unionByName(noise)
 
 
 def scored_vectors(rows: DataFrame, value: str = "score") -> DataFrame:

@@ -136,17 +136,8 @@ def predictions(scored: DataFrame, study: Study) -> DataFrame:
     return rule.unionByName(pattern).unionByName(blend)
 
 
-def run_records(alerts: DataFrame, folds: DataFrame, study: Study | None = None) -> DataFrame:
-    """One row per method, fold, seed, setting and split with both metric families.
-
-    Records are a stored result: they are written once and analysed many times.
-    """
-    study = study or Study()
-    return records_of(cut_lineage(scored_cells(alerts, folds, study)), study)
-
-
 def records_of(scored: DataFrame, study: Study) -> DataFrame:
-    """The records of scored cells."""
+    """The records of scored cells: one row per method, fold, seed, setting and split with both metric families."""
     keys = [*POINT_KEYS, "split"]
     # one row per (point, truth, group, code): all the metrics need
     cells = predictions(scored, study).groupBy(*keys, "truth", "incident_group", "prediction").agg(F.sum("n").alias("n"))

@@ -110,7 +110,3 @@ def run(alerts: DataFrame, setup: TriageSetup | None = None, context: str = "str
     patterns = cut_lineage(with_confidence(split_patterns(alerts, setup, context), setup))
     stored = cut_lineage(fit(patterns, setup))
     return T.triage_nearest(patterns.filter("split = 'test'"), stored, setup.eps, setup.threshold)
-
-
-def review_share(predictions: DataFrame) -> Column:
-    return F.sum(F.when(F.col("prediction") != 0, F.col("n")).otherwise(0)) / F.sum("n")

@@ -181,3 +181,26 @@ def test_landmarks(spark):
         S.uniform(F.col("v"), 1).alias("one"),
     ).first()
     assert (row["d"], row["u"], row["r"], row["one"]) == ([3, 1], [1, 1, 1], [2, 3, 1], [1])
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """A folder of files out of order, one machine with many alerts, the last second released by the closing row."""
+    from alertweave.streaming import contexts as X
+
+    X.use_state_store(spark)
+    rows = [("a", 100 + i // 3, i, i % 5) for i in range(600)] + [("b", 50 + 7 * i, 1_000 + i, i % 4) for i in range(60)]
+    schema = "machine string, timestamp long, row_id long, event_id int"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[400:], rows[:400]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+    stream = lambda: X.stream_strict_past_context(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), 4, 60, "1000 seconds")
+    for closing in (False, True):
+        if closing:
+            X.closing_row(spark, 5_000).write.mode("append").parquet(source)
+        job = stream().writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
+        job.awaitTermination()
+        assert X.late_rows(job) == 0
+    got = {r["row_id"]: list(r["context"]) for r in spark.read.parquet(out).collect()}
+    batch = C.strict_past_context(spark.createDataFrame(rows, schema), 4, 60)
+    want = {r["row_id"]: [s["event_id"] for s in r["context"]] for r in batch.collect()}
+    assert got == want

@@ -114,3 +114,28 @@ def test_processed_events_reused(spark, tmp_path):
     path = W.write_processed_events(rows, str(tmp_path / "out"))
     W.write_processed_events(rows.withColumn("event", F.lit(9)), path)
     assert [r["event"] for r in R.read_processed_events(spark, path).collect()] == [7]
+
+
+def test_numbers_follow_file_names(spark, tmp_path):
+    """Part files of very unequal size keep the order of their names, in intervals and in processed events."""
+    folder = tmp_path / "events"
+    folder.mkdir()
+    for name, first, rows in (("part-0.csv", 0, 2), ("part-1.csv", 2, 5_000), ("part-2.csv", 5_002, 1)):
+        body = "".join(f"{first + i}.0,s::h_1,{i % 7},-1\n" for i in range(rows))
+        (folder / name).write_text("timestamp,machine,event,label\n" + body)
+    got = R.read_processed_events(spark, str(folder)).collect()
+    assert len(got) == 5_003 and all(r["row_id"] == int(r["timestamp"]) for r in got)
+    folder = tmp_path / "intervals"
+    folder.mkdir()
+    (folder / "a.csv").write_text("scenario,attack,start,end\ndemo,first,10,20\n")
+    (folder / "b.csv").write_text("scenario,attack,start,end\n" + "demo,later,10,30\n" * 2_000)
+    intervals = R.read_attack_intervals(spark, str(folder))
+    assert sorted(r["position"] for r in intervals.collect()) == list(range(2_001))
+    alerts = spark.createDataFrame([("demo", 15.0)], "scenario string, timestamp double")
+    assert J.label_by_interval(alerts, intervals).first()["attack_id"] == 0
+
+
+def test_long_tokens(spark):
+    lines = spark.createDataFrame([("00000000001 2",), ("4294967295 2",), ("99999999999999999999 1",), ("1 b",)], "line string")
+    assert sorted(list(r["tokens"]) for r in R.parse_event_lines(lines).collect()) == [[1, 2], [4294967295, 2]]
+    assert sorted(r["line"] for r in R.rejected_event_lines(lines).collect()) == ["1 b", "99999999999999999999 1"]

@@ -278,3 +278,13 @@ def test_fingerprint_ignores_order(spark):
     df = spark.range(100).withColumn("x", F.col("id") % 7)
     assert one_row(V.table_fingerprint(df)) == one_row(V.table_fingerprint(df.orderBy(F.desc("id"))))
     assert one_row(V.fingerprint_matches(df, {"rows": 99}))["unchanged"] is False
+
+
+def test_features_hold_every_event(spark):
+    rows = spark.createDataFrame([([(64, 6000), (3, 4000)],), ([(-1, 10000)],)], "vector array<struct<e:int,w:int>>")
+    size = T.feature_size(rows)
+    assert size == 65
+    features = [r["features"].toArray() for r in T.risk_features(rows, size).collect()]
+    assert all(f.sum() == pytest.approx(1) for f in features) and features[0][65] == pytest.approx(0.6)
+    scored = T.score_risk(rows, [0.0, 1.0], 0.5).collect()
+    assert [r["score"] for r in scored] == [0.5, 0.5]
