@@ -295,7 +295,8 @@ def density_cluster(vectors: DataFrame, eps: float = 0.10, min_samples: int = 5)
     point joins its lowest adjacent cluster.
     """
     reach = int(round(eps * UNIT))
-    members = cut_lineage(vectors.withColumn("_cell", F.xxhash64("event_id", _dense_cell(F.col("vector"), reach))))
+    # the cell itself is the key: a hash of it could merge two clusters
+    members = cut_lineage(vectors.withColumn("_cell", _dense_cell(F.col("vector"), reach)))
     by_cell = members.groupBy("event_id", "_cell").agg(F.sum("weight").alias("_cw"), F.min("id").alias("_head"))
     dense = by_cell.filter(F.col("_cw") >= min_samples).select("_cell", "event_id", "_head")
     placed = cut_lineage(members.join(dense, ["event_id", "_cell"], "left").select("id", "event_id", "vector", "weight", "_head"))
@@ -383,12 +384,17 @@ def scored_vectors(rows: DataFrame, value: str = "score") -> DataFrame:
 def nearest_scored(queries: DataFrame, stored: DataFrame, eps: float, values: Sequence[str] = ("score",)) -> DataFrame:
     """Nearest stored fingerprint of the same event within eps: `id, distance, values` (absent when none is).
 
-    Ties go to the smallest stored fingerprint.
+    Ties go to the smallest stored fingerprint. A fingerprint that is stored itself
+    is its own nearest, by an equi join; only the others look for neighbours.
     """
     numbered = cut_lineage(running_position(stored, [], ["event_id", "vector"], "id"))
-    pairs = neighbour_pairs(queries.select("id", "event_id", "vector"), numbered.select("id", "event_id", "vector"), eps)
+    own = numbered.select("event_id", "vector", F.col("id").alias("_same"))
+    asked = cut_lineage(queries.select("id", "event_id", "vector").join(own, ["event_id", "vector"], "left"))
+    exact = asked.filter("_same IS NOT NULL").select("id", F.lit(0.0).alias("distance"), F.col("_same").alias("_n"))
+    pairs = neighbour_pairs(asked.filter("_same IS NULL").drop("_same"), numbered.select("id", "event_id", "vector"), eps)
     best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("distance", "right_id")).alias("_b"))
     found = best.select("id", (F.col("_b.distance") / UNIT).alias("distance"), F.col("_b.right_id").alias("_n"))
+    found = found.unionByName(exact)
     return found.join(numbered.select(F.col("id").alias("_n"), *values), "_n").drop("_n")
 
 
