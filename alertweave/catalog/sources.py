@@ -160,14 +160,17 @@ def s6(spark, sf_dir):
     )
 
 
-@query("s7_read_report_csv")
+@query(
+    "s7_read_report_csv",
+    with_(ALERTS, "SELECT detector, event_key, count(*) AS alerts, round(avg(event_incident), 6) AS incident_rate FROM alerts GROUP BY 1, 2"),
+)
 def s7(spark, sf_dir):
     """A report with a comment line, written as text and read back."""
     rows = ST.rule_profile(TC.alerts(spark, sf_dir))
     line = F.concat_ws(",", "detector", "event_key", F.col("alerts").cast("string"), F.col("incident_rate").cast("string"))
     path = scratch(spark, "report")
     rows.select(F.explode(F.array(F.lit("# generated report"), line)).alias("value")).write.text(path)
-    return R.read_report_csv(spark, path, "detector string, event_key string, alerts long, incident_rate double", header=False)
+    return TC.rounded(R.read_report_csv(spark, path, "detector string, event_key string, alerts long, incident_rate double", header=False))
 
 
 _DOC_METRICS = ("review_workload", "automatic_incident_recall")
@@ -478,6 +481,18 @@ def v7(spark, sf_dir):
     return V.fold_overlaps(table.unionByName(leak))
 
 
-@query("v12_table_fingerprint")
+_V12 = " || ".join(
+    f"length(coalesce({c}::VARCHAR, '\\N'))::VARCHAR || ':' || coalesce({c}::VARCHAR, '\\N')"
+    for c in ("event_incident", "event_key", "machine", "row_id", "scenario", "timestamp")
+)
+
+
+@query(
+    "v12_table_fingerprint",
+    with_(
+        ALERTS, f"h AS (SELECT ('0x' || substr(md5({_V12}), 1, 15))::BIGINT AS h FROM alerts)",
+        "SELECT count(*) AS rows, bit_xor(h) AS hash_xor, sum(h)::VARCHAR AS hash_sum FROM h",
+    ),
+)
 def v12(spark, sf_dir):
     return V.table_fingerprint(TC.alerts(spark, sf_dir).select("row_id", "scenario", "machine", "timestamp", "event_key", "event_incident"))

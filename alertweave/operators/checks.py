@@ -136,8 +136,13 @@ def matched_violations(pairs: DataFrame, keys: Sequence[str], columns: Sequence[
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content fingerprint: rows, xor and sum of row hashes."""
-    row_hash = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    """Order-insensitive content fingerprint that any SQL engine can reproduce: rows, xor and sum of 60 bits of each row's md5.
+
+    A row is its values as text in column-name order, each after its length, so that no two rows read alike.
+    """
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
+    digest = F.md5(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]))
+    row_hash = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     return df.select(row_hash.alias("_h")).agg(
         F.count("*").alias("rows"),
         F.bit_xor("_h").alias("hash_xor"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertweave.functions import encode as E
 from alertweave.functions.hashing import seeded_key
-from alertweave.functions.ratios import clip, sigmoid
+from alertweave.functions.ratios import clip
 from alertweave.operators.ordering import running_position, take_smallest
 from alertweave.operators.select import recency_band
 from alertweave.session import cut_lineage
@@ -456,14 +456,16 @@ def triage_calibrated(
 def matched_workload_rerank(rows: DataFrame, keys: Sequence[str], seed: int, reference: str = "reference", score: str = "score") -> DataFrame:
     """Keep reject codes; the `m` best-scored accepted rows become 1, `m` = the reference's incidents.
 
-    The m-th row is found from counts over (score cell, score, seeded key), so ties
-    fall independently of row order and no group is sorted in one task.
+    The m-th row is found from counts over (score in ever finer steps, score, seeded
+    key), so ties fall independently of row order and no group is sorted in one task.
     """
     accepted = rows.filter(F.col(reference) >= 0)
     slots = rows.groupBy(*keys).agg(F.sum((F.col(reference) > 0).cast("long")).alias("_slots"))
     sized = accepted.join(slots, list(keys)).withColumn("_tie", seeded_key(F.lit(seed), F.col("row_id")))
     levels = [
-        -F.floor(sigmoid(F.col(score)) * 4096), -F.col(score), F.shiftright("_tie", 16), F.col("_tie"), F.col("row_id"),
+        # steps of the score itself: a squashed one would put all high scores in one cell
+        *[-F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(score))) * step) for step in (1, 1 << 12, 1 << 24)],
+        -F.col(score), F.shiftright("_tie", 16), F.col("_tie"), F.col("row_id"),
     ]
     ranked = take_smallest(sized, keys, "_slots", levels)
     decided = ranked.select(*rows.columns, F.col("taken").cast("int").alias("prediction"))
