@@ -159,4 +159,4 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a window of an item."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     meet = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(bad, meet, "left_anti")
+    return docs.join(bad.hint("merge"), meet, "left_anti")

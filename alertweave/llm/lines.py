@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = Fals
     """`docs` with its texts cleaned; `counts` adds n_lines (with a word, before) and n_removed."""
     gone = removed_lines(docs, min_sites).withColumnsRenamed({"_id": "_gone_id", "_text": "_gone_text"})
     meet = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_text"))
-    joined = docs.join(gone, meet, "left")
+    # the texts meet the places by a sort-merge join at every size: the places grow with the texts
+    joined = docs.join(gone.hint("merge"), meet, "left")
     if counts:
         bare = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
         joined = joined.withColumns({
