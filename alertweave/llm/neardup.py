@@ -2,20 +2,22 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Equal sets are
 one vertex. Each set has TOKENS minwise tokens; independent trees branch the
-sets: the root of tree r sends a set to the node named by its r-th token,
-further nodes each choose BRANCH tokens and send it to one child per token.
+sets: the root of tree r sends a set to the node named by the two tokens at 2r
+and 2r + 1, further nodes each choose BRANCH tokens and send it to one child per
+token.
 Sets that share a node are compared:
 
-* every set of a node with the node's first set (a star), which joins a large
-  group of near copies with one comparison per set;
+* every set of a node with the node's most popular set (a star), which joins a
+  large group of near copies with one comparison per set: a text with few edits
+  shares its nodes with more of its group than one with many;
 * where the sets of a node still belong to different classes, all pairs across
   classes if these are few for the node's size, else its children do, and
   nodes at the last level do it whatever their size.
 
-Candidates that the minwise tokens put far below the threshold are dropped (a
-pair at the threshold is lost with a probability under 1e-7), the rest is
-confirmed on the full sets. A pair at the threshold misses one tree with
-probability 1/4 at the root; TREES trees all miss it with about 1e-7.
+Candidates whose sizes or minwise tokens put them far below the threshold are
+dropped (a pair at the threshold is lost with a probability under 1e-7), the rest
+is confirmed on the full sets. A pair at the threshold misses the root of one
+tree with probability 7/16, and of all TREES trees with about 1e-7.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; texts of fewer than five words are one shingle; doc_id may be null (the
@@ -26,21 +28,22 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.llm.common import WordHashes, bitmap_of, components, gram_hashes, in_bitmap, stored
 
 SHINGLE = 5
 TOKENS = 48
-TREES = 12
+TREES = 20
 BRANCH = 3
-LEVELS = 8
+LEVELS = 5
 #: A node compares all pairs across classes if these are at most so many for each of its sets.
-PAIRS_PER_SET = 32
+PAIRS_PER_SET = 8
 #: Similarity of a link, in percent, and the least number of equal tokens of a candidate: six deviations below.
 LINK = 75
 LEAST_EQUAL = int(TOKENS * 0.75 - 6 * (TOKENS * 0.75 * 0.25) ** 0.5)
@@ -89,8 +92,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the sets in `wanted` (set_id, text_hash of one of its texts)."""
-    bitmap = bitmap_of(wanted, "text_hash")
+    """(set_id, shingles) of the sets in `wanted` (doc_id, text_hash of one of their documents), and of few others."""
+    key = F.xxhash64("doc_id", "text_hash").alias("hash")
+    bitmap = bitmap_of(wanted.select(key), "hash")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -99,18 +103,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy())))
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(text.as_py(), words) for text in part.column(1)]
+                sets = [shingle_set(text.as_py(), words) for text in batch.slice(at, 256).column(1)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["text_hash", "set_id", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["set_id", "shingles"])
 
-    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(found, "text_hash bigint, set_id binary, shingles array<bigint>")
-    # one of the texts with this set; copies of that text are one row after the aggregation
-    return rows.join(wanted, ["text_hash", "set_id"], "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).select(key, "text")
+    return rows.mapInArrow(found, "set_id binary, shingles array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -130,13 +130,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= LINK * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
+def _fits(x: str, y: str) -> Column:
+    """Whether two set sizes allow a link."""
+    return 100 * F.least(x, y) >= LINK * F.greatest(x, y)
+
+
 def _likely(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and minwise tokens do not rule out."""
-    side = lambda name: vertices.select(F.col("set_id").alias(name), F.col("n_shingles").alias(f"_n{name}"), F.col("tokens").alias(f"_t{name}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    fits = 100 * F.least("_na", "_nb") >= LINK * F.greatest("_na", "_nb")
+    """Pairs (a, b) that minwise tokens do not rule out."""
+    side = lambda name: vertices.select(F.col("set_id").alias(name), F.col("tokens").alias(f"_t{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     equal = F.size(F.filter(F.arrays_zip("_ta", "_tb"), lambda t: t["_ta"] == t["_tb"]))
-    return both.where(fits).where(equal >= LEAST_EQUAL).select("a", "b")
+    return both.where(equal >= LEAST_EQUAL).select("a", "b")
 
 
 def _relabelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,9 +156,9 @@ def _relabelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold several classes, with the class, the node's first set and the pairs across classes."""
+    """Rows of the nodes that hold several classes, with the class, the node's most popular set and the pairs across classes."""
     rows = nodes.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    per_class = rows.groupBy("node", "class").agg(F.count("*").alias("n"), F.min("set_id").alias("head"))
+    per_class = rows.groupBy("node", "class").agg(F.count("*").alias("n"), F.min(F.struct("rank", "set_id", "n_shingles")).alias("head"))
     whole = per_class.groupBy("node").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
@@ -162,19 +166,19 @@ def _mixed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
         F.min("head").alias("head"),
         F.max(F.struct("n", "class"))["class"].alias("most"),
     )
-    whole = whole.where("k > 1").select("node", "head", "most", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("across"))
+    whole = whole.where("k > 1").select("node", F.col("head.set_id").alias("head"), F.col("head.n_shingles").alias("head_n"), "most", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("across"))
     return stored(rows.join(whole, "node"))
 
 
 def _compared(mixed: DataFrame, last: bool) -> DataFrame:
     """Candidate pairs of mixed nodes: stars of all, and pairs across classes of those with few of them."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = mixed.where("set_id <> head").select(*ordered(F.col("head"), F.col("set_id")))
+    stars = mixed.where("set_id <> head").where(_fits("head_n", "n_shingles")).select(*ordered(F.col("head"), F.col("set_id")))
     small = mixed if last else mixed.where(F.col("across") <= PAIRS_PER_SET * F.col("n"))
     # of two sets of different classes one at least is outside the node's largest class
-    one = small.where("class <> most").select("node", F.col("set_id").alias("x"), F.col("class").alias("cx"))
-    other = small.select("node", F.col("set_id").alias("y"), F.col("class").alias("cy"), (F.col("class") == F.col("most")).alias("main"))
-    pairs = one.join(other, "node").where("cx <> cy and (main or x < y)").select(*ordered(F.col("x"), F.col("y")))
+    one = small.where("class <> most").select("node", F.col("set_id").alias("x"), F.col("class").alias("cx"), F.col("n_shingles").alias("nx"))
+    other = small.select("node", F.col("set_id").alias("y"), F.col("class").alias("cy"), F.col("n_shingles").alias("ny"), (F.col("class") == F.col("most")).alias("main"))
+    pairs = one.join(other, "node").where("cx <> cy and (main or x < y)").where(_fits("nx", "ny")).select(*ordered(F.col("x"), F.col("y")))
     return stars.union(pairs)
 
 
@@ -187,27 +191,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             _sketched, f"doc_id {id_type}, text_hash bigint, n_shingles bigint, set_id binary, tokens array<int>"
         )
     )
-    one = F.min(F.struct("text_hash", "n_shingles", "tokens")).alias("o")
-    vertices = stored(sketched.where("set_id is not null").groupBy("set_id").agg(one).select("set_id", "o.*"))
-
-    roots = vertices.select("set_id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
-    roots = roots.select(F.xxhash64("tree", "token").alias("node"), "set_id", "tree")
-    shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    one = F.min(F.struct("doc_id", "text_hash", "n_shingles", "tokens")).alias("o")
+    vertices = sketched.where("set_id is not null").groupBy("set_id").agg(one).select("set_id", "o.*")
+    # a first star on one token, and the roots of the trees on two
+    token = lambda i: F.get("tokens", F.lit(i))
+    paths = [F.struct(F.lit(-1).alias("tree"), F.xxhash64(F.lit(-1), token(TOKENS - 1)).alias("node"))]
+    paths += [F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), token(2 * r), token(2 * r + 1)).alias("node")) for r in range(TREES)]
+    vertices = stored(vertices)
+    roots = vertices.select("set_id", "n_shingles", F.explode(F.array(*paths)).alias("p")).select("p.*", "set_id", "n_shingles")
+    shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     nodes = stored(roots.join(shared, "node"))
+    # the more sets meet a set in its nodes, the lower its rank
+    popular = nodes.groupBy("set_id").agg((-F.sum("n")).alias("rank"))
     # only sets that share a node can be linked; their shingles are worked out once
-    touched = nodes.select("set_id").distinct().join(vertices, "set_id").select("set_id", "text_hash")
-    sets = stored(_sets(docs, stored(touched)))
+    vertices = stored(vertices.join(popular, "set_id"))
+    nodes = stored(nodes.join(vertices.select("set_id", "rank"), "set_id").select("tree", "node", "set_id", "n_shingles", "rank"))
+    sets = stored(_sets(docs, vertices.select("doc_id", "text_hash")))
+
+    tried: list[DataFrame] = []
 
     def linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Classes after the links among `pairs`; a pair is looked at once, however many nodes and levels it shares."""
+        pairs = pairs.select("a", "b").distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        tried[:] = [reduce(DataFrame.union, [*tried, pairs])]
         links = stored(_confirmed(stored(_likely(pairs, vertices)), sets))
         return _relabelled(classes, links)
 
-    # the first tree's stars join the large groups before the other trees are looked at
-    heads = nodes.where("tree = 0").groupBy("node").agg(F.min("set_id").alias("a"))
-    stars = nodes.where("tree = 0").join(heads, "node").where("set_id <> a").select("a", F.col("set_id").alias("b"))
+    # the first star joins the large groups before the trees are looked at
+    first_nodes = nodes.where("tree < 0")
+    heads = first_nodes.groupBy("node").agg(F.min(F.struct("rank", "set_id", "n_shingles")).alias("h")).select("node", F.col("h.set_id").alias("a"), F.col("h.n_shingles").alias("an"))
+    stars = first_nodes.join(heads, "node").where("set_id <> a").where(_fits("an", "n_shingles"))
+    stars = stars.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b"))
     classes = docs.sparkSession.createDataFrame([], "set_id binary, class binary")
     classes = linked(stars, classes)
-    nodes = nodes.select("node", "set_id")
+    nodes = nodes.where("tree >= 0").drop("tree")
     for level in range(LEVELS):
         last = level == LEVELS - 1
         mixed = _mixed(nodes, classes)
@@ -216,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         if last or not large.limit(1).count():
             break
         chosen = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(TOKENS)).cast("int")))
-        branched = large.join(vertices.select("set_id", "tokens"), "set_id").select("node", "set_id", "tokens", chosen.alias("at"))
-        branched = branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "set_id").distinct()
+        branched = large.join(vertices.select("set_id", "n_shingles", "rank", "tokens"), "set_id").select("node", "set_id", "n_shingles", "rank", "tokens", chosen.alias("at"))
+        branched = branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "set_id", "n_shingles", "rank").distinct()
         nodes = stored(branched)
 
     named = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes, "set_id", "left")
@@ -234,4 +254,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull())
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
