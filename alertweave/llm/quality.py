@@ -156,7 +156,8 @@ def quality_verdicts(docs: DataFrame, carry: list[str] | None = None) -> DataFra
     """
     rows = measured(docs)
     rows = stored(rows if carry is None else rows.select(*carry, *COUNTS, *[f.measure for f in FENCES]))
-    limits = thresholds(rows)
+    # as a table its size is known when the join is planned, so texts are shuffled only if it is large
+    limits = stored(thresholds(rows))
     meet = F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source"))
     outside = F.lit(False)
     for f in FENCES:
