@@ -4,7 +4,9 @@ Pass 1 scores each page's containers and turns their place in the tree into a
 generalised path of tags and classes (digits become '#'). The pages of a host
 vote: a container's vote is its score as a share of the page's best, and the
 path with the largest sum wins. Pass 2 re-extracts each page from the containers
-on its host's winning path, or from its own best one where none is there.
+on its host's winning path, or from its own best one where none is there, and
+from what belongs to the same article around them (`Page.widened`): titles,
+leads, sections and closing paragraphs at other levels of nesting.
 
 Defined cases: null or empty html gives an empty text; a page without a host (null
 or odd url) uses its own best container; page_id and url may repeat; other
@@ -177,6 +179,12 @@ class Page:
             furniture = self.soft[e] and not (self.tag[e] != "header" and prose > 0.6 * whole)
             menu = self.tag[e] in ("ul", "ol") and items[e] >= 3 and linked[e] > 0.8 * size[e]
             self.skip[e] = self.skip[e] or self.skip[self.parent[e]] or furniture or menu
+        # the nearest container of each element, and the containers with unlinked prose or a title of their own
+        self.home = [0] * n
+        for e in range(1, n):
+            self.home[e] = e if self.tag[e] in CONTAINERS else self.home[self.parent[e]]
+        self.prose: set[int] = set()
+        self.titled: set[int] = set()
         score = [0.0] * n
         own = [0] * n
         for _, element, text in self.texts:
@@ -190,6 +198,9 @@ class Page:
             if not own[e]:
                 continue
             holder = e if self.tag[e] in CONTAINERS or e == 0 else self.parent[e]
+            self.prose.add(self.home[e])
+            if self.tag[e] == "h1":
+                self.titled.add(self.home[e])
             share = 1.0
             for up in self._up(holder):
                 if self.tag[up] in CONTAINERS or up == 0:
@@ -200,10 +211,53 @@ class Page:
         for e in range(n):
             if score[e]:
                 score[e] *= 1.3 if self.tag[e] in ("article", "main") else 1.0
-                if set(_WORD.findall(self.path[e].rpartition("/")[2])) & CONTENT_WORDS and self.tag[e] not in ("body", "main", "article"):
+                if self._named_content(e):
                     score[e] *= 1.25
         self.score = score
 
+    def _named_content(self, element: int) -> bool:
+        return bool(set(_WORD.findall(self.path[element].rpartition("/")[2])) & CONTENT_WORDS) and self.tag[element] not in ("body", "main", "article")
+
+    def widened(self, chosen: set[int]) -> list[bool]:
+        """Whether each element lies in the chosen containers or belongs to their article.
+
+        An article around them counts whole; main, containers named as content and
+        sections beside a section count without the other articles in them; any
+        other ancestor gives the text that lies in it directly, and up to the body
+        the text beside a title. Outside article and main the body does so too.
+        """
+        whole, lifted, direct = set(chosen), set(), set()
+        beside = {self.parent[u] for c in chosen for u in self._up(c) if self.tag[u] == "section"}
+        lifted |= {e for e, p in enumerate(self.parent) if p in beside and self.tag[e] == "section"}
+        for c in chosen:
+            up = list(self._up(c))
+            marked = any(self.tag[u] in ("article", "main") for u in up)
+            for u in up:
+                outer = self.tag[u] in ("#page", "html", "body")
+                if outer and marked:
+                    break
+                if self.tag[u] == "article":
+                    whole.add(u)
+                elif u != c and (self.tag[u] == "main" or (self._named_content(u) and not outer)):
+                    lifted.add(u)
+                elif u != c and u in self.prose:
+                    direct.add(u)
+        above = {u for c in chosen for u in self._up(c) if self.tag[u] not in ("#page", "html", "body")}
+        for t in self.titled:
+            for u in self._up(t):
+                if u in above:
+                    direct.add(t)
+                    break
+                if self.tag[u] == "article":
+                    break
+        n = len(self.tag)
+        inside, wide = [False] * n, [False] * n
+        for e in range(n):
+            p = self.parent[e]
+            inside[e] = e in whole or (e > 0 and inside[p])
+            wide[e] = e in lifted or (e > 0 and wide[p] and self.tag[e] != "article")
+        return [inside[e] or wide[e] or self.home[e] in direct for e in range(n)]
+
     def votes(self) -> dict[str, float]:
         """Share of the best score by generalised path."""
         best = max(self.score)
@@ -214,14 +268,12 @@ class Page:
         return out
 
     def text(self, path: str | None) -> str:
-        """Blocks of the containers on `path`, or of the page's best container."""
+        """Blocks of the containers on `path`, or of the page's best container, and of their article."""
         chosen = {e for e, p in enumerate(self.path) if p == path and not self.skip[e] and self.score[e] > 0}
         if not chosen:
             best = max(range(len(self.score)), key=lambda e: self.score[e])
             chosen = {best} if self.score[best] > 0 else set()
-        inside = [False] * len(self.tag)
-        for e in range(len(self.tag)):
-            inside[e] = e in chosen or (e > 0 and inside[self.parent[e]])
+        inside = self.widened(chosen) if chosen else [False] * len(self.tag)
         blocks: dict[int, list[str]] = {}
         for block, element, text in self.texts:
             if inside[element] and not self.skip[element]:

@@ -44,6 +44,30 @@ def test_hosts_agree_on_a_path(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+OUTER = "Title of the page\nA lead that stands outside the inner box."
+INNER = "The main text lies in a box of its own, a level deeper. " * 20
+LAST = "A closing paragraph after the box."
+NESTED = {
+    "article": f"<article><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p><div class='body'><p>{INNER}</p></div><p>{LAST}</p></article><p>Outside.</p>",
+    "sections": f"<article><section class='intro'><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p></section><section class='depth'><p>{INNER}</p></section><section class='end'><p>{LAST}</p></section></article>",
+    "bare sections": f"<div class='x'><section class='intro'><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p></section><section class='depth'><p>{INNER}</p></section><section class='end'><p>{LAST}</p></section></div>",
+    "main": f"<main><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p><article><div class='body'><p>{INNER}</p></div></article><div><p>{LAST}</p></div><article><p>Another article.</p></article></main>",
+    "box": f"<div class='wrap'><div class='box'><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p><div class='in'><p>{INNER}</p></div><p>{LAST}</p></div><div class='more'><p>Elsewhere.</p></div></div>",
+    "title beside": f"<div class='wrap'><div class='top'><h1>Title of the page</h1><p>A lead that stands outside the inner box.</p></div><div class='in'><p>{INNER}</p></div><p>{LAST}</p></div><div class='more'><p>Elsewhere.</p></div>",
+    "body": f"<h1>Title of the page</h1><p>A lead that stands outside the inner box.</p><div class='in'><p>{INNER}</p></div><p>{LAST}</p><div class='more'><p>Elsewhere.</p></div>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(NESTED))
+def test_text_at_two_levels(spark, name):
+    """Title, lead and closing paragraphs outside the winning container stay, alone and by the vote of a host."""
+    html = page(f"<nav><p>Furniture.</p></nav>{NESTED[name]}<footer><p>Furniture.</p></footer>")
+    want = f"{OUTER}\n{INNER.strip()}\n{LAST}"
+    assert htmltext.Page(html).text(None) == want
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in htmltext.main_text(pages).collect()} == {want}
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "<p>" + "copy " * 50
     rows = [(3, "http://a/ x\r\nY: z", long), (1, None, long), (2, "http://b/ü%41", long), (5, "http://c", "short"), (4, "http://d", "short"), (None, "http://e", None), (7, "http://f", "é" * 5000), (1, "again", long)]
