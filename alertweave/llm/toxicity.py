@@ -4,8 +4,9 @@ A text is the set of its distinct terms, hashed into 2**HASH_BITS buckets. The
 machine scores b + sum w_i + sum_{i<j} <v_i, v_j> over the buckets it knows, so
 a pair of terms (an insult with a group mention) can weigh more than its parts.
 It is fitted on at most `max_rows` labelled rows, those of smallest id hash,
-in one task; buckets enter by document frequency and a chi-squared test against
-the label. Scoring reads all texts where they lie and shuffles nothing.
+in one task; buckets enter by document frequency and a test against the label,
+over all rows or within the rows of a bucket that passed over all rows, so a term
+without a bearing of its own enters for the pair it makes. Scoring reads all texts where they lie and shuffles nothing.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias;
 rows without a label, or whose id has none, are scored but not learned from;
@@ -17,6 +18,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,38 @@ def _summed(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(total[np.concatenate([[0], ends])], axis=0)
 
 
+def _beside_strong(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, strong: np.ndarray, leaning: np.ndarray, terms: int) -> np.ndarray:
+    """Largest likelihood ratio of each term against the label within the rows of one strong term, or of any that leans to toxic.
+
+    It is lowered for the number of strong terms, so that LEAST_CHI2 admits as many terms by chance as over all rows.
+    """
+    best = np.zeros(terms)
+    starts = np.concatenate([[0], ends[:-1]])
+    owner = np.repeat(np.arange(len(labels)), ends - starts)
+    marked = strong[flat]
+    at = np.argsort(flat[marked], kind="stable")
+    groups = np.split(owner[marked][at], np.flatnonzero(np.diff(flat[marked][at])) + 1)
+    groups.append(np.unique(owner[(strong & leaning)[flat]]))
+    counts = np.arange(len(labels) + 1)
+    plogp = counts * np.log(np.maximum(counts, 1))
+    toxic = labels > 0
+    for rows in groups:
+        n, positive = len(rows), int(toxic[rows].sum())
+        if positive in (0, n):
+            continue
+        # the toxic rows first
+        met = np.concatenate([flat[starts[r] : ends[r]] for r in rows[np.argsort(~toxic[rows], kind="stable")]])
+        toxic_end = (ends[rows] - starts[rows])[toxic[rows]].sum()
+        c, k = np.bincount(met, minlength=terms), np.bincount(met[:toxic_end], minlength=terms)
+        at = np.flatnonzero(c >= LEAST_DOCUMENTS)
+        c, k = c[at], k[at]
+        cells = plogp[k] + plogp[c - k] + plogp[positive - k] + plogp[n - c - positive + k]
+        ratio = 2 * (cells - plogp[c] - plogp[n - c] - plogp[positive] - plogp[n - positive] + plogp[n])
+        best[at] = np.maximum(best[at], ratio)
+    tail = NormalDist().cdf(-(LEAST_CHI2**0.5)) / len(groups)
+    return best - (NormalDist().inv_cdf(tail) ** 2 - LEAST_CHI2)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """(bias, known buckets, w, v) of the machine for sets of buckets and 0/1 labels."""
     n, positive = len(labels), labels.sum()
@@ -80,6 +114,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
     expected = df * positive / n
     chi2 = (with_label - expected) ** 2 * n / np.maximum(expected * (n - positive) / n * (n - df), 1e-9) * n / n
     usable = (df >= LEAST_DOCUMENTS) & (chi2 >= LEAST_CHI2)
+    if usable.any():
+        often = (df >= LEAST_DOCUMENTS)[column]
+        dense = np.cumsum(df >= LEAST_DOCUMENTS) - 1
+        ends = np.cumsum(np.bincount(owner[often], minlength=n))
+        at = np.flatnonzero(df >= LEAST_DOCUMENTS)
+        beside = _beside_strong(dense[column[often]], ends, labels, usable[at], (with_label > expected)[at], len(at))
+        chi2[at] = np.maximum(chi2[at], beside)
+        usable = (df >= LEAST_DOCUMENTS) & (chi2 >= LEAST_CHI2)
     if usable.sum() > MAX_TERMS:
         usable &= chi2 >= np.sort(chi2[usable])[-MAX_TERMS]
     if not usable.any():

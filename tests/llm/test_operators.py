@@ -264,6 +264,28 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     assert np.mean([(r["score"] >= 0.5) == bool(y) for r, y in held]) > 0.97
 
 
+def test_toxicity_learns_a_pair_with_a_neutral_side():
+    """The group's word is as often toxic as any text; with the insult, which alone is not, it is always."""
+    rng = np.random.default_rng(8)
+    slur, insult, group = 1000, 1001, 1002
+    rows, labels, pair = [], [], []
+    for i in range(9000):
+        with_group, with_insult = i % 10 == 0, i % 10 in (1, 2, 3) or i % 80 == 0
+        with_slur = i % 10 > 3 and rng.random() < 0.17
+        terms = [*rng.integers(0, 200, 12), *[slur] * with_slur, *[insult] * with_insult, *[group] * with_group]
+        rows.append(np.unique(np.array(terms, np.int64)))
+        pair.append(with_group and with_insult)
+        labels.append(with_slur or pair[-1])
+    labels, pair, held = np.array(labels, float), np.array(pair), np.arange(9000) % 3 == 1
+    of_group = np.array([group in r for r in rows])
+    assert abs(labels[of_group].mean() - labels.mean()) < 0.02
+    model = toxicity.fit([r for r, h in zip(rows, held) if not h], labels[~held])
+    scores = toxicity.score([r for r, h in zip(rows, held) if h], model)
+    assert group in model[1] and pair[held].sum() > 30
+    assert np.mean(scores[pair[held]] >= 0.5) > 0.9
+    assert np.mean((scores >= 0.5) == labels[held]) > 0.97
+
+
 def test_empty_tables(spark, corpus):
     none = corpus().limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
