@@ -16,13 +16,16 @@ from alertweave.operators.joins import label_by_interval
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOSING = "\x00closing"
 _SLOT = "timestamp long, row_id long, event_id int"
+#: Alerts in a block of waiting rows, and in a frame of results.
+BLOCK = 2_000
 _OUTPUT = "machine string, timestamp long, row_id long, event_id int, context array<int>"
 
 
 class StrictPastProcessor(StatefulProcessor):
     """Per machine: the last `n` released alerts and the alerts waiting for their second to close.
 
-    A second closes when the watermark passes it; then its alerts are released with
+    Waiting alerts lie in the state store by second, in blocks, with a timer for each
+    second; Python holds one block and `n` alerts at a time. A second closes when the watermark passes it; then its alerts are released with
     one shared context and join the history. Alerts later than the watermark never
     reach the processor.
     """
@@ -33,41 +36,39 @@ class StrictPastProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.history = handle.getListState("history", _SLOT)
-        self.waiting = handle.getListState("waiting", _SLOT)
+        self.blocks = handle.getMapState("blocks", "timestamp long", "blocks long")
+        self.waiting = handle.getMapState("waiting", "timestamp long, block long", "row_ids array<long>, event_ids array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            slots = list(zip(batch["timestamp"].tolist(), batch["row_id"].tolist(), batch["event_id"].tolist()))
-            self.waiting.appendList([(int(t), int(r), int(e)) for t, r, e in slots])
-            # one timer per batch: its expiry releases every closed second
-            self._wake_after(min(t for t, _, _ in slots))
+            slots = sorted(zip(batch["timestamp"].tolist(), batch["row_id"].tolist(), batch["event_id"].tolist()))
+            for second, tied in groupby(slots, key=itemgetter(0)):
+                second, tied = int(second), list(tied)
+                if self.blocks.containsKey((second,)):
+                    count = self.blocks.getValue((second,))[0]
+                else:
+                    count = 0
+                    self.handle.registerTimer(second * 1000 + 1)
+                for at in range(0, len(tied), BLOCK):
+                    part = tied[at : at + BLOCK]
+                    self.waiting.updateValue((second, count), ([int(r) for _, r, _ in part], [int(e) for _, _, e in part]))
+                    count += 1
+                self.blocks.updateValue((second,), (count,))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = (timerValues.getCurrentWatermarkInMs() - 1) // 1000
-        waiting = sorted(self.waiting.get())
-        ready = [s for s in waiting if s[0] <= closed]
-        if not ready:
-            yield pd.DataFrame()
-            return
-        history = list(self.history.get())
-        out = []
-        for second, tied in groupby(ready, key=itemgetter(0)):
-            tied = list(tied)
-            context = [e for t, _, e in history if second - t <= self.timeout]
-            out += [(key[0], t, r, e, context) for t, r, e in tied]
-            history = (history + tied[-self.n :])[-self.n :]
+        # timers expire in the order of their seconds
+        second = (expiredTimerInfo.getExpiryTimeInMs() - 1) // 1000
+        history = [tuple(s) for s in self.history.get()]
+        context = [e for t, _, e in history if second - t <= self.timeout]
+        for block in range(self.blocks.getValue((second,))[0]):
+            row_ids, event_ids = self.waiting.getValue((second, block))
+            self.waiting.removeKey((second, block))
+            out = [(key[0], second, r, e, context) for r, e in zip(row_ids, event_ids)]
+            history = sorted(history + [(second, r, e) for r, e in zip(row_ids, event_ids)])[-self.n :]
+            yield pd.DataFrame(out, columns=["machine", "timestamp", "row_id", "event_id", "context"])
+        self.blocks.removeKey((second,))
         self.history.put(history)
-        late = [s for s in waiting if s[0] > closed]
-        if late:
-            self.waiting.put(late)
-            self._wake_after(late[0][0])
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(out, columns=["machine", "timestamp", "row_id", "event_id", "context"])
-
-    def _wake_after(self, second) -> None:
-        self.handle.registerTimer(int(second) * 1000 + 1)
 
     def close(self) -> None:
         pass

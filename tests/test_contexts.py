@@ -204,3 +204,41 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = C.strict_past_context(spark.createDataFrame(rows, schema), 4, 60)
     want = {r["row_id"]: [s["event_id"] for s in r["context"]] for r in batch.collect()}
     assert got == want
+
+
+def test_stream_holds_one_block(monkeypatch):
+    """However many alerts of a machine wait, an expiry reads its own second and returns blocks."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from alertweave.streaming import contexts as X
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.get, dict.__setitem__, dict.pop
+
+    class List(list):
+        get, appendList = list.copy, list.extend
+
+        def put(self, values):
+            self[:] = values
+
+    timers = set()
+    handle = SimpleNamespace(getListState=lambda *_: List(), getMapState=lambda *_: Map(), registerTimer=timers.add)
+    monkeypatch.setattr(X, "BLOCK", 100, raising=False)
+    processor = X.StrictPastProcessor(4, 60)
+    processor.init(handle)
+    rows = [(1_000, i, i % 5) for i in range(1_050)] + [(1_001 + i, 2_000 + i, i % 7) for i in range(3_000)]
+    random.Random(3).shuffle(rows)
+    batches = [pd.DataFrame(rows[at : at + 500], columns=["timestamp", "row_id", "event_id"]) for at in range(0, len(rows), 500)]
+    list(processor.handleInputRows(("m",), iter(batches), None))
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_000_000)
+    frames = [f for t in sorted(timers) for f in processor.handleExpiredTimer(("m",), now, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))]
+    assert max(map(len, frames)) <= 100
+    got = {r: list(c) for f in frames for r, c in zip(f["row_id"], f["context"])}
+    history, want = [], {}
+    for t, r, e in sorted(rows):
+        past = [x for x in history[-1_060:] if x[0] < t][-4:]
+        want[r] = [x[2] for x in past if t - x[0] <= 60]
+        history.append((t, r, e))
+    assert got == want and not processor.waiting and not processor.blocks
