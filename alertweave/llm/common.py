@@ -47,23 +47,28 @@ def balanced_sum(terms: list[Column]) -> Column:
     return terms[0]
 
 
-#: Bits of a membership bitmap: its size (2 MB) does not depend on what goes in.
-BITMAP_BITS = 24
+#: A membership bitmap has so many bits for each of its entries, and 2**LEAST_BITS at least; 2**MOST_BITS (128 MB) bound what a task holds.
+BITS_PER_ENTRY = 16
+LEAST_BITS, MOST_BITS = 16, 30
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bitmap over the top bits of a 64-bit hash column, or-ed together in Spark; as 64-bit words."""
-    place = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    """Bitmap over the top bits of a 64-bit hash column, or-ed together in Spark; as 64-bit words.
+
+    Its size follows the number of entries, so that few other hashes pass at any size.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ENTRY * hashes.count()).bit_length()))
+    place = F.shiftrightunsigned(column, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return bitmap
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which 64-bit hashes may be in the bitmap: all that are, and few others while it is sparse."""
-    place = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    place = hashes.view(np.uint64) >> np.uint64(64 - (len(bitmap).bit_length() + 5))
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each reads a whole table and derives its contract's columns."""
+"""Registered queries of the operators: each reads a whole table and derives its contract's columns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm import decontamination, htmltext, lines, neardup, packing, quality, sharding, suffixes, toxicity, warc
+from alertweave.llm import decontamination, divergence, htmltext, lines, neardup, packing, quality, sharding, suffixes, toxicity, warc
 from alertweave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))

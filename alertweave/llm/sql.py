@@ -75,3 +75,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = earliest THEN
        CASE WHEN page_id <> earliest THEN earliest END AS refers_to
 FROM placed
 """
+
+SQL["op11_source_divergence"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT doc, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counted USING (lang, source) GROUP BY ALL),
+shares AS (
+    SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+    FROM totals JOIN sizes USING (lang) JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // ((SELECT sum(n) FROM totals t WHERE t.lang = shares.lang) + (SELECT v FROM sizes s WHERE s.lang = shares.lang)) AS q
+    FROM shares GROUP BY lang, term),
+summed AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
