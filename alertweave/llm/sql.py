@@ -107,3 +107,35 @@ ranked AS (
     FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+def _clustering_rounds(rounds: int) -> str:
+    """Statements of the centroids after each round, one after the other."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+    SELECT vec_id, v, c.cluster FROM kept, c{r} c
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.cluster) = 1),
+m{r} AS (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS place FROM a{r}),
+s{r} AS (SELECT cluster, place, sum(x) AS total, count(*) AS n FROM m{r} GROUP BY ALL),
+w{r} AS (
+    SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY place) AS w FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(w{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN w{r} USING (cluster))""")
+    return ",".join(steps)
+
+
+SQL["op13_centroid_clustering"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS w FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{_clustering_rounds(10).strip()},
+final AS MATERIALIZED (
+    SELECT vec_id, cluster, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance, w FROM kept, c10
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM final
+"""
