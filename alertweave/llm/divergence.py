@@ -1,11 +1,11 @@
 """Source divergence audit: which terms set a source apart from its language, and sources from each other.
 
 The terms of a language are found by iceberg prefix refinement. Every document
-is one row with its distinct terms, sorted, and their counts. Level by level the
+is one row with its distinct terms, sorted, a space behind each, and their counts. Level by level the
 byte prefixes of its terms are counted by distinct documents (prefixes of sorted
 terms are sorted, so a document counts each once), and only terms whose prefix
 reaches the least number of documents go on to the next, longer level. A term
-shorter than the level's length is complete there. What no level discards are the
+shorter than the level's length is complete there, its space within the prefix. What no level discards are the
 kept terms; their occurrences are counted per (lang, source).
 
 A prefix is dropped by a bitmap of the survivors. Survivors and hashes that
@@ -53,47 +53,58 @@ TOP = 200
 #: Counts (sources x terms) in a bucket, and the fewest terms.
 CELLS, LEAST_TERMS = 1 << 17, 64
 #: Terms of whole documents that a task looks at together.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_DOCUMENT = "lang string, source string, terms array<binary>, counts array<bigint>"
+_DOCUMENT = "lang string, source string, terms binary, counts binary"
+#: Documents cut into terms together.
+DOCUMENTS = 512
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text as bytes) to (lang, source, sorted distinct terms, their counts)."""
+    """(lang, source, text as bytes) to (lang, source, its distinct terms, sorted and each with a space behind it, their counts as 32-bit numbers)."""
     for batch in batches:
-        terms: list[bytes] = []
-        counts: list[int] = []
-        ends = [0]
-        for text in batch.column(2):
-            found = Counter((text.as_py() or b"").translate(_TERMS).split())
-            own = sorted(found)
-            terms += own
-            counts += map(found.__getitem__, own)
-            ends.append(len(terms))
-        at = pa.array(ends, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(terms, pa.binary())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))],
-            names=["lang", "source", "terms", "counts"],
-        )
+        for low in range(0, batch.num_rows, DOCUMENTS):
+            block = batch.slice(low, DOCUMENTS)
+            terms: list[bytes] = []
+            counts: list[bytes] = []
+            for text in block.column(2):
+                found = Counter((text.as_py() or b"").translate(_TERMS).split())
+                own = sorted(found)
+                terms.append(b" ".join([*own, b""]))
+                counts.append(np.fromiter(map(found.__getitem__, own), np.int32, len(own)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), block.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                names=["lang", "source", "terms", "counts"],
+            )
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values one after the other, ends of the values)."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends[1:] - ends[0]
 
 
 class _Terms:
-    """The terms of a batch of documents as one column, with the document of each."""
+    """The terms of a batch of documents as one column, each with its space, and the document of each."""
 
-    def __init__(self, lists: pa.ListArray):
-        self.values = lists.flatten()
-        self.doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        _, ends, data = self.values.buffers()
-        ends = np.frombuffer(ends, np.int32)[self.values.offset : self.values.offset + len(self.values) + 1].astype(np.int64) if len(self.values) else np.zeros(1, np.int64)
-        self.start, self.length = ends[:-1], np.diff(ends)
-        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    def __init__(self, column: pa.Array):
+        self.data, ends = _bytes(column)
+        stop = np.flatnonzero(self.data == 32)
+        offsets = np.concatenate([[-1], stop]).astype(np.int32) + 1
+        self.doc = np.searchsorted(ends, stop, "right")
+        self.start, self.length = offsets[:-1], stop - offsets[:-1]
+        self.values = pa.BinaryArray.from_buffers(pa.binary(), len(stop), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)])
 
     def prefixes(self, at: np.ndarray, size: int) -> np.ndarray:
         """The first `size` bytes of the terms at `at`, as rows of 64-bit words; terms hold no zero byte, which fills up."""
-        place = np.arange(size)
+        place = np.arange(size, dtype=np.int32)
         wide = np.zeros((len(at), (size + 7) // 8 * 8), np.uint8)
-        wide[:, :size] = np.where(place < self.length[at, None], self.data[np.minimum(self.start[at, None] + place, len(self.data) - 1)], 0)
+        if len(at):
+            held = self.data[np.minimum(self.start[at, None] + place, len(self.data) - 1)]
+            wide[:, :size] = np.where(place < self.length[at, None], held, 0)
         return wide.view(np.uint64)
 
 
@@ -156,10 +167,11 @@ def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[Data
     complete, sizes, before, survivors = [], [], 0, None
     while True:
         size = 2 * before or FIRST_LEVEL
+        whole = F.endswith("prefix", F.lit(b" "))
         level = stored(_level(documents, size, before, survivors).where(F.col("n") >= least))
-        complete.append(level.where(F.length("prefix") < size).select("lang", F.col("prefix").alias("term"), "hash"))
+        complete.append(level.where(whole).select("lang", F.col("prefix").alias("term"), "hash"))
         sizes.append(size)
-        going = level.where(F.length("prefix") == size)
+        going = level.where(~whole)
         if not going.limit(1).count():
             return stored(reduce(DataFrame.union, complete)), sizes
         before, survivors = size, bitmap_of(going, "hash")
@@ -171,7 +183,7 @@ def term_counts(documents: DataFrame, kept: DataFrame, sizes: list[int]) -> Data
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, seeds, counts = _Terms(batch.column(2)), _seeds(batch.column(0)), batch.column(3).flatten()
+            terms, seeds, counts = _Terms(batch.column(2)), _seeds(batch.column(0)), pa.array(_bytes(batch.column(3))[0].view(np.int32), pa.int64())
             for block in _blocks(terms.doc):
                 length = terms.length[block]
                 for low, size in zip([0, *sizes], sizes):
@@ -247,7 +259,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
             above = np.flatnonzero((counted[i] > 0) & (p[i] > whole))
             value = divergences(p[i][above], whole[above])
             named = sorted(zip((-value).tolist(), term.dictionary.take(pa.array(above)).to_pylist()))[:top]
-            out += [(source, "term", item, -v) for v, item in named]
+            out += [(source, "term", item[:-1], -v) for v, item in named]
         source, part, item, value = zip(*out) if out else ((), (), (), ())
         values = pa.array([Decimal(v) for v in value], pa.decimal128(38, 0))
         return pa.Table.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(source, pa.string()), pa.array(part, pa.string()), pa.array(item, pa.binary()), values], schema=_PART)
