@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm import centroids, decontamination, divergence, htmltext, lines, neardup, packing, quality, sharding, suffixes, toxicity, warc
+from alertweave.llm import centroids, decontamination, divergence, graphs, htmltext, lines, neardup, packing, quality, sharding, suffixes, toxicity, warc
 from alertweave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_nearest_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphs.nearest(vectors, vectors.where(F.col("vec_id") % graphs.ASKING == 0))
+
+
 @query
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
