@@ -234,7 +234,7 @@ class Page:
         """Skip forms and areas of comments, unless the article lies in them.
 
         One with a main title, article or main element inside is part of the page's
-        frame, as is a form with most of the paragraphs, and any if nothing but such areas has text.
+        frame, as is a form with most of the paragraphs outside comments, and any if nothing but such areas has text.
         """
         n = len(self.tag)
         holds, paragraphs, letters = [False] * n, [0] * n, [0] * n
@@ -253,7 +253,14 @@ class Page:
                 holds[p] = True
             paragraphs[p] += paragraphs[e]
             letters[p] += letters[e]
-        areas = [e for e in range(1, n) if self.area[e] and not holds[e] and not (self.area[e] == "form" and paragraphs[e] > 0.5 * paragraphs[0])]
+        areas = [e for e in range(1, n) if self.area[e] == "comments" and not holds[e]]
+        commented, prose = [False] * n, paragraphs[0]
+        for e in areas:
+            commented[e] = True
+        for e in range(1, n):
+            prose -= paragraphs[e] * (commented[e] and not commented[self.parent[e]])
+            commented[e] = commented[e] or commented[self.parent[e]]
+        areas += [e for e in range(1, n) if self.area[e] == "form" and not holds[e] and paragraphs[e] <= 0.5 * prose]
         inside = [False] * n
         outer = 0
         for e in areas:

@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import re
+import time
 import zipfile
 
 import pytest
@@ -118,3 +120,87 @@ def test_zip64_end_record(tmp_path):
         method, first, n = members["m65599"]
         f.seek(first)
         assert len(members) == 65_600 and f.read(n) == b"65599"
+
+
+def test_revisits_resolve_by_record_id(spark, tmp_path):
+    rows = [(i, f"http://h{i % 3}/{i}", "<p>" + f"text {i % 4} " * 40) for i in range(40)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/ids")
+    ids, refers = {}, []
+    for r in archives.collect():
+        path = r["path"].removeprefix("file://")
+        with zipfile.ZipFile(path) as z:
+            lines = z.read(warc.INDEX).decode().splitlines()
+            assert lines == sorted(lines) and all(re.match(r"\S+ \d{14} \{", line) for line in lines)
+        with open(path, "rb") as f:
+            for first, lengths in warc.record_ranges(r["path"], 500):
+                f.seek(first)
+                for head, _, payload in warc.parse_records(f.read(sum(lengths)), lengths):
+                    ids[head["warc-record-id"]] = head
+                    if head["warc-type"] == "revisit":
+                        refers.append(head)
+    assert len(ids) == 40 and len(refers) == 36
+    for head in refers:
+        target = ids[head["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["page-id"] == head["refers-to-page-id"] and target["warc-payload-digest"] == head["warc-payload-digest"]
+    ranges = sum(len(list(warc.record_ranges(r["path"], 500))) for r in archives.collect())
+    assert warc.read_archives(archives, range_bytes=500).rdd.getNumPartitions() == ranges > 8
+
+
+def test_archive_of_several_members(spark, tmp_path):
+    """An archive of another writer: two WARC members, two indexes with comments, records between which nothing is indexed."""
+    path = tmp_path / "other.zip"
+    want = []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for k in range(2):
+            data, lines = b"", ["!meta line"]
+            for i in range(4):
+                payload = f"payload {k} {i}".encode()
+                packed = gzip.compress(warc.record_bytes(10 * k + i, "http://a/", payload, hashlib.sha256(payload).hexdigest()))
+                if i != 2:
+                    lines.append(f'a)/ 2020 {{"offset": "{len(data)}", "length": "{len(packed)}", "filename": "part{k}.warc.gz"}}')
+                    want.append((10 * k + i, payload))
+                data += packed
+            z.writestr(f"archive/part{k}.warc.gz", data)
+            z.writestr(f"indexes/part{k}.cdxj", "\n".join(lines))
+    listed = spark.createDataFrame([(f"file://{path}",)], "path string")
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in warc.read_archives(listed).collect()) == sorted(want)
+
+
+def test_small_records_are_read_in_proportion():
+    record = gzip.compress(warc.record_bytes(1, "http://a/", b"x" * 40, "0" * 64))
+    start = time.perf_counter()
+    assert sum(1 for _ in warc.parse_records(record * 12_000, [len(record)] * 12_000)) == 12_000
+    assert time.perf_counter() - start < 3
+
+
+PROSE = "<p>" + "The article has prose of many words in it. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("layout", [
+    '<article class="post no-comments"><h1>Title</h1>{}</article>',
+    '<div class="post has-feedback">{}</div>',
+    '<div class="feedback-story">{}</div>',
+    '<div id="feedback">{}</div>',
+    '<form id="aspnetForm"><div class="nav"><a href="/">Home</a></div><div class="content"><h1>Title</h1>{}</div></form>',
+    "<form>{}</form>",
+    "<div class=content><svg class='icon'/>{}</div>",
+    "<div class=content><iframe src='x'/>{}</div>",
+    "<div class=content><select><option>{}</div>",
+    "<div class=content><object data=x><canvas>{}</div>",
+    "<div class=content><a title='unclosed>link</a>{}</div>",
+])
+def test_articles_that_stay(layout):
+    page = "<html><body><nav><a href=/>Menu</a></nav>" + layout.replace("{}", PROSE) + '<div id="comments"><p>' + "A reader says so. " * 60 + "</p></div><form><label>Your name</label></form></body></html>"
+    if layout == '<div id="feedback">{}</div>':  # nothing else tells it from comments: it stays where nothing else has text
+        page = page[: page.index('<div id="comments">')]
+    text = htmltext.Page(page).text(None)
+    assert "prose of many words" in text and "reader says" not in text and "Your name" not in text and "Menu" not in text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a b='", "<!--", "<iframe>", "<p>x", "<svg/>", "</x><b>", "<", "<![", "</", "<td><li>"])
+def test_hostile_pages_are_read_in_proportion(part):
+    start = time.perf_counter()
+    page = htmltext.Page(part * 30_000 + ">")
+    page.votes()
+    page.text(None)
+    assert time.perf_counter() - start < 3
