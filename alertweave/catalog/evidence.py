@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from alertweave.catalog.contexts import pool
+from alertweave.catalog.contexts import POOL_PAYLOAD, pool
 from alertweave.catalog.registry import query, stored, with_
 from alertweave.catalog.sqltext import ALERTS, FOLDS, history
 from alertweave.catalog.training import alerts, folds, rounded
@@ -12,6 +14,7 @@ from alertweave.operators import association as AS
 from alertweave.operators import context as C
 from alertweave.operators import metrics as M
 from alertweave.operators import select as S
+from alertweave.session import shared_folder
 
 _BAND = "CASE WHEN rk <= 10 THEN 0 WHEN rk <= 20 THEN 1 WHEN rk <= 50 THEN 2 ELSE 3 END"
 
@@ -194,24 +197,81 @@ def t8(spark, sf_dir):
     return _picked(rows, chosen)
 
 
+def _chosen_sql(selector: str, ranked: str) -> str:
+    return f"SELECT row_id, '{selector}' AS selector, x, p FROM ({ranked})"
+
+
+def _by(priority: str, where: str = "TRUE") -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {priority} + position * 1e-10::DOUBLE DESC, p DESC) AS rn FROM sw WHERE {where}"
+
+
+_ALL_CHOSEN = " UNION ALL ".join([
+    _chosen_sql("association_abs", f"SELECT * FROM ({_by('round(abs(w), 7)')}) WHERE rn <= 10"),
+    _chosen_sql("class_oracle", f"SELECT * FROM ({_by('round(w, 7) * (CASE WHEN y = 1 THEN 1 ELSE -1 END)')}) WHERE rn <= 10"),
+    _chosen_sql("anchored_association", f"SELECT * EXCLUDE rn FROM ({_by('round(abs(w), 7)', '100 - position > 5')}) WHERE rn <= 5 UNION ALL SELECT * FROM sw WHERE 100 - position <= 5"),
+])
+
+
 @query(
     "t10_select_all_scenarios",
     with_(
         *BASE, SLOT_WEIGHTS,
-        "pk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(abs(w), 7) + position * 1e-10::DOUBLE DESC, p DESC) AS rn FROM sw)",
-        """SELECT a.scenario, count(*) AS alerts, coalesce(sum(n), 0)::BIGINT AS slots, coalesce(sum(s), 0)::BIGINT AS row_sum FROM alerts a LEFT JOIN (
-             SELECT row_id, count(*) AS n, sum(x.r) AS s FROM pk WHERE rn <= 10 GROUP BY 1) b ON a.row_id = b.row_id GROUP BY 1""",
+        f"""chosen AS ({_ALL_CHOSEN}),
+        listed AS (SELECT row_id, selector, string_agg(x.r, ' ' ORDER BY p) AS picked, count(*) AS n FROM chosen GROUP BY ALL)""",
+        """SELECT ap.test_scenario, ap.row_id, s.selector, coalesce(n, 0)::INT AS slots, coalesce(picked, '') AS picked
+           FROM applied ap CROSS JOIN (SELECT unnest(['association_abs', 'class_oracle', 'anchored_association']) AS selector) s
+           LEFT JOIN listed l ON l.row_id = ap.row_id AND l.selector = s.selector""",
     ),
 )
 def t10(spark, sf_dir):
-    """Selection for every alert by the model of the fold that holds its scenario out, as totals per scenario."""
-    rows = applied(spark, sf_dir)
-    chosen = C.ids(S.association_abs(F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event), "row_id")
-    picked = rows.select("scenario", chosen.alias("picked"))
-    total = F.aggregate("picked", F.lit(0).cast("long"), lambda a, x: a + x)
-    return picked.groupBy("scenario").agg(
-        F.count("*").alias("alerts"), F.sum(F.size("picked")).alias("slots"), F.sum(total).alias("row_sum")
-    )
+    """Slots of every alert for all three selectors, by the model of the fold that holds its scenario out, written per selector and fold."""
+    slots = AS.select_slots(applied(spark, sf_dir))
+    path = f"{shared_folder(spark)}/selected-{uuid.uuid4().hex}"
+    AS.write_selected(slots.withColumn("picked", C.joined(C.ids("slots", "row_id"))).withColumn("n", F.size("slots")).drop("slots"), path)
+    written = spark.read.parquet(path)
+    return written.select("test_scenario", "row_id", "selector", F.col("n").alias("slots"), "picked")
+
+
+# pools that a day leaves open are filled by a month: the cap and the oldest band count
+LONG = 30 * 86_400
+LONG_BASE = (ALERTS, FOLDS, history(100, LONG), PRESENCE, FIT, APPLIED)
+
+
+def long_pool(spark, sf_dir):
+    make = lambda: C.strict_past_candidates(alerts(spark, sf_dir), 100, timeout=LONG, payload=POOL_PAYLOAD)
+    return stored("long_pool", spark, sf_dir, make)
+
+
+def long_applied(spark, sf_dir):
+    rows, table = long_pool(spark, sf_dir), folds(spark, sf_dir)
+    model = stored("long_association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7))
+    return AS.with_model(rows, table, model)
+
+
+@query("w2_month_candidates", with_(ALERTS, history(100, LONG), "SELECT row_id, len(c) AS slots, array_to_string([x.r for x in c], ' ') AS pool FROM ctx"))
+def w2_month(spark, sf_dir):
+    return long_pool(spark, sf_dir).select("row_id", F.size("candidates").alias("slots"), C.joined(C.ids("candidates", "row_id")).alias("pool"))
+
+
+@query("a13_month_cells", with_(*LONG_BASE, "SELECT test_scenario, target, band, event, round(weight, 6) AS weight FROM cells"))
+def a13_month(spark, sf_dir):
+    cells, _ = AS.fit_association(long_pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir))
+    return rounded(cells)
+
+
+@query("a14_month_score", with_(*LONG_BASE, _SCORES, "SELECT row_id, round(score, 6) AS score FROM scores"))
+def a14_month(spark, sf_dir):
+    return long_applied(spark, sf_dir).select("row_id", F.round(AS.association_score(), 6).alias("score"))
+
+
+@query("t6_month_selection", with_(*LONG_BASE, SLOT_WEIGHTS, _ranked("round(abs(w), 7)", 10)))
+def t6_month(spark, sf_dir):
+    return _picked(long_applied(spark, sf_dir), AS.SELECTORS["association_abs"](10, 5))
+
+
+@query("t8_month_selection", "WITH " + ",\n".join(p.strip() for p in (*LONG_BASE, SLOT_WEIGHTS)) + ",\n" + _ANCHORED.strip())
+def t8_month(spark, sf_dir):
+    return _picked(long_applied(spark, sf_dir), AS.SELECTORS["anchored_association"](10, 5))
 
 
 _AUDIT_CAPS = (10, 20, 50, 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alertweave.operators.folds import fold_rows, fold_vocabulary
 from alertweave.operators.ordering import running_sums
 from alertweave.functions.ratios import clip, ratio_or_null, sigmoid
+from alertweave.operators import select as S
 from alertweave.operators.select import RECENCY_BANDS, recency_band
 from alertweave.session import cut_lineage
 
@@ -193,9 +194,58 @@ def local_event(slot: Column) -> Column:
     return F.element_at(F.col("local_of"), slot["event_id"] + 1)
 
 
-def with_model(pool: DataFrame, folds: DataFrame, model: DataFrame, roles: Sequence[str] = ("test",)) -> DataFrame:
-    """Every alert of the given roles with its fold's model row for its target."""
-    return fold_rows(pool, folds, list(roles)).join(model, ["test_scenario", "event_id"])
+#: A fitted table of at most so many bytes is shipped to the alerts; a larger one meets them by a join on salted keys.
+SHIPPED_BYTES = 64 << 20
+#: Parts of a (fold, target) key in that join.
+SALTS = 64
+
+
+def model_bytes(model: DataFrame) -> int:
+    """Measured size of a fitted table: its weights, its addresses and a row's own fields."""
+    width = F.size("weights") * 8 + F.size("local_of") * 4 + 64
+    return model.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
+
+
+def with_model(
+    pool: DataFrame, folds: DataFrame, model: DataFrame, roles: Sequence[str] = ("test",), shipped_bytes: int = SHIPPED_BYTES
+) -> DataFrame:
+    """Every alert of the given roles with its fold's model row for its target.
+
+    The candidate pool is the large side and stays where it is as long as the model, met
+    with the folds first, is within `shipped_bytes`: its rows are folds times event types. Beyond it the
+    few (scenario, target) keys are salted, so a frequent event type fills no task.
+    """
+    fitted = model.join(folds.filter(F.col("role").isin(*roles)), "test_scenario")
+    if model_bytes(fitted) <= shipped_bytes:
+        return pool.join(F.broadcast(fitted), ["scenario", "event_id"])
+    salted = pool.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    copies = fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("merge"), ["scenario", "event_id", "_salt"]).drop("_salt")
+
+
+SELECTORS: dict[str, Callable[..., Column]] = {
+    "association_abs": lambda k, anchors: S.association_abs(F.col("candidates"), k, F.col("weights"), F.col("vocabulary"), local_event),
+    "class_oracle": lambda k, anchors: S.class_oracle(
+        F.col("candidates"), k, F.col("weights"), F.col("vocabulary"), local_event, F.col("event_incident")
+    ),
+    "anchored_association": lambda k, anchors: S.anchored_association(
+        F.col("candidates"), k, anchors, F.col("weights"), F.col("vocabulary"), local_event
+    ),
+}
+
+
+def select_slots(rows: DataFrame, k: int = 10, anchors: int = 5, selectors: Sequence[str] = tuple(SELECTORS)) -> DataFrame:
+    """`test_scenario, row_id, selector, slots`: the chosen slots of every alert for each selector, in one pass over the pool.
+
+    `rows` come from `with_model`; the score of a selector is worked out where the pool lies, so nothing is shuffled.
+    """
+    chosen = [F.struct(F.lit(name).alias("selector"), SELECTORS[name](k, anchors).alias("slots")) for name in selectors]
+    return rows.select("test_scenario", "row_id", F.inline(F.array(*chosen)))
+
+
+def write_selected(selected: DataFrame, path: str) -> None:
+    """The slots of each selector and fold as a table of its own partition."""
+    selected.write.mode("overwrite").partitionBy("selector", "test_scenario").parquet(path)
 
 
 def association_score(bands: Sequence[tuple[int, int]] = RECENCY_BANDS) -> Column:

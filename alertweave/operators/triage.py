@@ -20,7 +20,6 @@ from alertweave.session import cut_lineage
 
 UNIT = 10_000
 _ROUNDING_SLACK = 100
-_LEAST_CELLS = 6
 
 
 # ---- patterns and fingerprints ----------------------------------------------------
@@ -177,52 +176,45 @@ def _cells(vector: Column, width: int, projections: int) -> list[Column]:
     return out
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections: int = 2) -> DataFrame:
+def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections: int = 2, apart: str | None = None) -> DataFrame:
     """All pairs `(left_id, right_id, distance)` of the same event with L1 distance <= eps.
 
     Pairs meet on (event, shared prefix feature, weight cell, projection cells): the
     weight of a feature, and the mass of any event subset, differ by at most half
-    the distance, so one side visits the neighbouring cells. A pair is verified only
-    under its first common prefix feature, so it appears once. Hot cells are split
-    by the adaptive skew join.
+    the distance, so the right side visits the neighbouring cells. Let it be the smaller
+    one. A pair is verified only under its first common prefix feature, so it appears
+    once. With `apart` pairs equal in that column are left out. Hot cells are split by the adaptive skew join.
     """
     reach = int(round(eps * UNIT))
     width = (reach + _ROUNDING_SLACK) // 2 + 1
-    # a wide reach leaves too few cells to tell pairs apart: the prefix alone decides
-    use_cells = UNIT // width >= _LEAST_CELLS
-    projections = projections if use_cells else 0
+    last = (UNIT + _ROUNDING_SLACK) // width
     order = cut_lineage(_frequencies(left.select("event_id", "vector").unionByName(right.select("event_id", "vector"))))
-
     twins = left is right
 
     def side(vectors: DataFrame, prefix: str) -> DataFrame:
         rows = vectors.join(_prefixed(vectors, order, reach), "id")
-        cells = _cells(F.col("vector"), width, projections)
         return rows.select(
             F.col("id").alias(f"{prefix}_id"),
             "event_id",
-            *([F.col("_head").alias(f"{prefix}_head")] if "_head" in vectors.columns else []),
+            *([F.col(apart).alias(f"{prefix}_apart")] if apart else []),
             # what the distance needs, computed once per fingerprint and not per pair
             (F.col("vector") if prefix == "left" else F.map_from_entries("vector")).alias(f"{prefix}_vector"),
             mass(F.col("vector")).alias(f"{prefix}_mass"),
             F.transform("_prefix", lambda s: s["f"]).alias(f"{prefix}_features"),
             F.explode("_prefix").alias("_s"),
-            *[c.alias(f"_c{j}") for j, c in enumerate(cells)],
-        ).select(
-            "*", F.col("_s.f").alias("_f"), (F.floor(F.col("_s.w") / width) if use_cells else F.lit(0)).alias("_cw")
-        ).drop("_s")
+            *[c.alias(f"_c{j}") for j, c in enumerate(_cells(F.col("vector"), width, projections))],
+        ).select("*", F.col("_s.f").alias("_f"), F.floor(F.col("_s.w") / width).alias("_cw")).drop("_s")
 
     here = side(left, "left")
     there = side(right, "right")
-    for name in ["_cw", *[f"_c{j}" for j in range(projections)]] if use_cells else []:
-        there = there.withColumn(name, F.explode(F.array(*[F.col(name) + d for d in (-1, 0, 1)])))
-    keys = ["event_id", "_f", "_cw", *[f"_c{j}" for j in range(projections)]]
-    met = here.join(there, keys)
+    for name in ["_cw", *[f"_c{j}" for j in range(projections)]]:
+        around = F.filter(F.array(*[F.col(name) + d for d in (-1, 0, 1)]), lambda c: (c >= 0) & (c <= last))
+        there = there.withColumn(name, F.explode(around))
+    met = here.join(there, ["event_id", "_f", "_cw", *[f"_c{j}" for j in range(projections)]])
     if twins:
         met = met.filter("left_id <= right_id")
-        if "_head" in left.columns:
-            # members of one dense cell are linked through its head instead
-            met = met.filter("left_id = right_id OR left_head IS NULL OR NOT left_head <=> right_head")
+    if apart:
+        met = met.filter("NOT left_apart <=> right_apart" + (" OR left_id = right_id" if twins else ""))
     first_common = F.element_at(F.array_intersect("left_features", "right_features"), 1)
     met = met.filter(first_common == F.col("_f"))
     shared = F.aggregate(
@@ -274,10 +266,28 @@ def numbered_vectors(patterns: DataFrame) -> DataFrame:
     return cut_lineage(running_position(vectors, [], ["event_id", "vector"], "id"))
 
 
-def _dense_cell(vector: Column, reach: int) -> Column:
-    """Key of a cell whose members lie within reach of each other: same events, equally quantised weights."""
-    step = F.greatest(F.floor(F.lit(reach) / F.greatest(F.size(vector), F.lit(1))), F.lit(1))
-    return F.transform(vector, lambda s: F.struct(s["e"].alias("e"), F.floor(s["w"] / step).alias("q")))
+def _heavy_cell(vector: Column, reach: int) -> Column:
+    """Key of a cell whose members lie within reach of each other: the heaviest events that all but settle a fingerprint.
+
+    Weights are lowered to multiples of a step. Members agree in the lowered weights
+    of the key, and these come within half the reach of each member's mass, so
+    members share enough mass whatever else they hold.
+    """
+    most = F.greatest(F.floor(F.lit(reach) / (2 * F.greatest(F.size(vector), F.lit(1)))), F.lit(1))
+    step = F.pow(F.lit(2), F.floor(F.log2(most))).cast("int")
+    ordered = F.array_sort(F.transform(vector, lambda s: F.struct((-s["w"]).alias("n"), s["e"].alias("e"), F.floor(s["w"] / step).cast("int").alias("q"))))
+    need = mass(vector) - F.floor(F.lit(reach) / 2)
+    start = F.struct(F.lit(0).alias("sum"), F.expr("CAST(array() AS array<struct<e:int,q:int>>)").alias("key"))
+    taken = F.aggregate(
+        ordered, start,
+        lambda a, s: F.when(a["sum"] >= need, a).otherwise(
+            F.struct(
+                (a["sum"] + s["q"] * step).cast("int").alias("sum"),
+                F.concat(a["key"], F.array(F.struct(s["e"].cast("int").alias("e"), s["q"].alias("q")))).alias("key"),
+            )
+        ),
+    )
+    return F.struct(step.alias("step"), F.array_sort(taken["key"]).alias("key"))
 
 
 def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
@@ -290,32 +300,54 @@ def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataF
 def density_cluster(vectors: DataFrame, eps: float = 0.10, min_samples: int = 5) -> DataFrame:
     """L1 density clusters per event: `id, event_id, core, cluster` (cluster = smallest core id, noise = -1).
 
-    `vectors` come from `numbered_vectors`. Cells dense enough to be one cluster on
-    their own are linked to their smallest member instead of pairwise. A border
-    point joins its lowest adjacent cluster.
+    `vectors` come from `numbered_vectors`. A cell whose members lie within reach of
+    each other and weigh enough is core throughout and part of one cluster. Such
+    cells are joined by witnesses: first every member against the heads of the other cells, then
+    only members of what is still apart, without those of each event's largest component
+    among themselves. Pairs are listed for fingerprints outside such cells alone:
+    they give their neighbourhood, their links and the border. A border point joins its lowest adjacent cluster.
     """
     reach = int(round(eps * UNIT))
     # the cell itself is the key: a hash of it could merge two clusters
-    members = cut_lineage(vectors.withColumn("_cell", _dense_cell(F.col("vector"), reach)))
+    members = cut_lineage(vectors.withColumn("_cell", _heavy_cell(F.col("vector"), reach)))
     by_cell = members.groupBy("event_id", "_cell").agg(F.sum("weight").alias("_cw"), F.min("id").alias("_head"))
     dense = by_cell.filter(F.col("_cw") >= min_samples).select("_cell", "event_id", "_head")
     placed = cut_lineage(members.join(dense, ["event_id", "_cell"], "left").select("id", "event_id", "vector", "weight", "_head"))
-
-    # pairs inside one dense cell are left out: its star implies them
-    pairs = cut_lineage(neighbour_pairs(placed, placed, eps).select("left_id", "right_id"))
+    settled = placed.filter("_head IS NOT NULL").drop("weight")
+    loose = placed.filter("_head IS NULL")
+
+    # witnesses of a member for the head of another cell
+    heads = settled.filter("id = _head")
+    seen = neighbour_pairs(settled, heads, eps, apart="_head").select(F.col("left_id").alias("id"), F.col("right_id").alias("dst"))
+    edges = cut_lineage(seen.join(settled.select("id", "_head"), "id").select(F.col("_head").alias("src"), "dst").distinct())
+    joined = connected_components(edges, heads.select("id"))
+    parts = cut_lineage(settled.join(joined.withColumnRenamed("id", "_head"), "_head"))
+    # what is still apart: one side at least lies outside the largest component of its event
+    sizes = parts.groupBy("event_id", "component").count()
+    largest = sizes.groupBy("event_id").agg(F.max(F.struct("count", "component"))["component"].alias("component"))
+    rest = parts.join(largest, ["event_id", "component"], "left_anti").select(*parts.columns)
+    met = neighbour_pairs(parts, rest, eps, apart="component").select(F.col("left_id").alias("id"), "right_id")
+    named = parts.select("id", "component")
+    far = met.join(named, "id").join(named.select(F.col("id").alias("right_id"), F.col("component").alias("dst")), "right_id")
+    witnesses = far.select(F.col("component").alias("src"), "dst").distinct()
+
+    # fingerprints outside such cells list their neighbours
+    listed = neighbour_pairs(placed, loose, eps).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
+    pairs = cut_lineage(listed)
     counted = core_points(placed, pairs, min_samples)
     flags = cut_lineage(
         placed.join(counted.select("id", F.col("core").alias("_c")), "id", "left").select(
             "id", "event_id", "_head", (F.col("_head").isNotNull() | F.coalesce("_c", F.lit(False))).alias("core")
         )
     )
+    # components of what stands for the core: a component of cells, or a core fingerprint of its own
     core = flags.filter("core").select("id")
+    stands = cut_lineage(core.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("_for")))
     touching = pairs.join(core.withColumnRenamed("id", "right_id"), "right_id")
-    edges = touching.join(core.withColumnRenamed("id", "left_id"), "left_id").select(
-        F.col("left_id").alias("src"), F.col("right_id").alias("dst")
-    )
-    stars = flags.filter("_head IS NOT NULL").select(F.col("id").alias("src"), F.col("_head").alias("dst"))
-    components = connected_components(edges.unionByName(stars), core)
+    ends = touching.join(stands.select(F.col("id").alias("left_id"), F.col("_for").alias("src")), "left_id")
+    links = ends.join(stands.select(F.col("id").alias("right_id"), F.col("_for").alias("dst")), "right_id").select("src", "dst")
+    over = connected_components(links.unionByName(witnesses).filter("src <> dst").distinct(), stands.select(F.col("_for").alias("id")).distinct())
+    components = cut_lineage(stands.join(over.withColumnRenamed("id", "_for"), "_for").select("id", "component"))
     border = (
         touching.join(components.withColumnRenamed("id", "right_id"), "right_id")
         .groupBy(F.col("left_id").alias("id"))
@@ -381,20 +413,30 @@ def scored_vectors(rows: DataFrame, value: str = "score") -> DataFrame:
 # ---- triage -----------------------------------------------------------------------------------------
 
 
+#: Radii of the search for a nearest fingerprint, as shares of eps.
+_WIDENING = (0.125, 0.25, 0.5, 1.0)
+
+
 def nearest_scored(queries: DataFrame, stored: DataFrame, eps: float, values: Sequence[str] = ("score",)) -> DataFrame:
     """Nearest stored fingerprint of the same event within eps: `id, distance, values` (absent when none is).
 
     Ties go to the smallest stored fingerprint. A fingerprint that is stored itself
-    is its own nearest, by an equi join; only the others look for neighbours.
+    is its own nearest, by an equi join. The others look around with a widening radius:
+    what is found within a radius is the nearest, and only those that have found nothing
+    go on, so the pairs of a wide reach are listed for few.
     """
     numbered = cut_lineage(running_position(stored, [], ["event_id", "vector"], "id"))
     own = numbered.select("event_id", "vector", F.col("id").alias("_same"))
     asked = cut_lineage(queries.select("id", "event_id", "vector").join(own, ["event_id", "vector"], "left"))
-    exact = asked.filter("_same IS NOT NULL").select("id", F.lit(0.0).alias("distance"), F.col("_same").alias("_n"))
-    pairs = neighbour_pairs(asked.filter("_same IS NULL").drop("_same"), numbered.select("id", "event_id", "vector"), eps)
-    best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("distance", "right_id")).alias("_b"))
-    found = best.select("id", (F.col("_b.distance") / UNIT).alias("distance"), F.col("_b.right_id").alias("_n"))
-    found = found.unionByName(exact)
+    found = asked.filter("_same IS NOT NULL").select("id", F.lit(0).alias("distance"), F.col("_same").alias("_n"))
+    left = asked.filter("_same IS NULL").drop("_same")
+    for share in _WIDENING:
+        pairs = neighbour_pairs(left, numbered.select("id", "event_id", "vector"), eps * share)
+        best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("distance", "right_id")).alias("_b"))
+        best = cut_lineage(best.select("id", "_b.distance", F.col("_b.right_id").alias("_n")))
+        found = found.unionByName(best)
+        left = cut_lineage(left.join(best.select("id"), "id", "left_anti"))
+    found = found.select("id", (F.col("distance") / UNIT).alias("distance"), "_n")
     return found.join(numbered.select(F.col("id").alias("_n"), *values), "_n").drop("_n")
 
 
