@@ -52,8 +52,8 @@ SCALE = 1_000_000_000
 TOP = 200
 #: Counts (sources x terms) in a bucket, and the fewest terms.
 CELLS, LEAST_TERMS = 1 << 17, 64
-#: Terms of whole documents that a task looks at together.
-BLOCK = 1 << 17
+#: Terms of whole documents that a task looks at together, and rows of sums that it gathers.
+BLOCK, GATHERED = 1 << 17, 300_000
 
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _DOCUMENT = "lang string, source string, terms binary, counts binary"
@@ -136,11 +136,27 @@ def _blocks(doc: np.ndarray) -> Iterator[slice]:
         low = high
 
 
+def _gathered(tables: Iterator[pa.Table], keys: list[str], value: str) -> Iterator[pa.Table]:
+    """Sums of `value` by `keys` over the tables of a task; what has been gathered goes out whenever it is GATHERED rows."""
+    held, rows = [], 0
+    for table in tables:
+        held.append(table.group_by(keys, use_threads=False).aggregate([(value, "sum")]).rename_columns([*keys, value]))
+        rows += held[-1].num_rows
+        if rows >= 2 * GATHERED:
+            held = [pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([(value, "sum")]).rename_columns([*keys, value])]
+            rows = held[0].num_rows
+            if rows >= GATHERED:
+                yield held[0]
+                held, rows = [], 0
+    if rows:
+        yield pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([(value, "sum")]).rename_columns([*keys, value])
+
+
 def _level(documents: DataFrame, size: int, before: int, survivors: np.ndarray | None) -> DataFrame:
     """(lang, prefix, hash, n): documents of each prefix of `size` bytes, or shorter complete term, whose prefix of `before` bytes survived."""
     shared = documents.sparkSession.sparkContext.broadcast(survivors)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
             terms, seeds = _Terms(batch.column(1)), _seeds(batch.column(0))
             for block in _blocks(terms.doc):
@@ -150,16 +166,19 @@ def _level(documents: DataFrame, size: int, before: int, survivors: np.ndarray |
                 words, doc = terms.prefixes(at, size), terms.doc[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (words[1:] != words[:-1]).any(axis=1)
-                rows = pa.table({
+                yield pa.table({
                     "lang": batch.column(0).take(pa.array(doc[new])),
                     "prefix": pc.binary_slice(terms.values.take(pa.array(at[new])), 0, size),
                     "hash": _hashed(seeds[doc[new]], words[new]).view(np.int64),
+                    "n": np.ones(int(new.sum()), np.int64),
                 })
-                counts = rows.group_by(["lang", "prefix", "hash"], use_threads=False).aggregate([([], "count_all")])
-                yield from counts.rename_columns(["lang", "prefix", "hash", "n"]).to_batches()
 
-    found = documents.select("lang", "terms").mapInArrow(counted, "lang string, prefix binary, hash bigint, n bigint")
-    return found.groupBy("lang", "prefix").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(found(batches), ["lang", "prefix", "hash"], "n"):
+            yield from table.to_batches()
+
+    rows = documents.select("lang", "terms").mapInArrow(counted, "lang string, prefix binary, hash bigint, n bigint")
+    return rows.groupBy("lang", "prefix").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
 
 
 def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, list[int]]:
@@ -177,29 +196,92 @@ def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[Data
         before, survivors = size, bitmap_of(going, "hash")
 
 
-def term_counts(documents: DataFrame, kept: DataFrame, sizes: list[int]) -> DataFrame:
-    """(lang, source, term, count): occurrences of the kept terms in each group that holds them."""
+_BUCKET = "lang string, bucket int, kind int, terms binary, sources binary, counts binary"
+
+
+def _packed(terms: pa.Array) -> bytes:
+    """Terms one after the other, each with its space."""
+    return _bytes(terms)[0].tobytes()
+
+
+def _unpacked(data: bytes) -> pa.Array:
+    held = np.frombuffer(data, np.uint8)
+    offsets = np.concatenate([[0], np.flatnonzero(held == 32) + 1]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def term_counts(documents: DataFrame, kept: DataFrame, sizes: list[int], groups: dict[str, list[str]], buckets: dict[str, int]) -> DataFrame:
+    """(lang, bucket, terms, counts): the kept terms of a bucket and their occurrences in each source of the language, source by source.
+
+    What a task has counted travels to the buckets as packed columns; a bucket starts with its
+    kept terms, which settle what hashes have let pass, and adds what comes in, one row after the other.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(bitmap_of(kept, "hash"))
+    number = {lang: {source: i for i, source in enumerate(sources)} for lang, sources in groups.items()}
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            terms, seeds, counts = _Terms(batch.column(2)), _seeds(batch.column(0)), pa.array(_bytes(batch.column(3))[0].view(np.int32), pa.int64())
+            terms, seeds = _Terms(batch.column(2)), _seeds(batch.column(0))
+            counts = _bytes(batch.column(3))[0].view(np.int32).astype(np.int64)
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            source = np.array([number[lang][name] for lang, name in zip(langs, sources)], np.int32)
+            share = np.array([buckets.get(lang, 1) for lang in langs])
             for block in _blocks(terms.doc):
                 length = terms.length[block]
                 for low, size in zip([0, *sizes], sizes):
                     at = np.flatnonzero((length >= low) & (length < size)) + block.start
-                    at = at[in_bitmap(shared.value, _hashed(seeds[terms.doc[at]], terms.prefixes(at, size)))]
-                    doc = pa.array(terms.doc[at])
-                    rows = pa.table({
-                        "lang": batch.column(0).take(doc), "source": batch.column(1).take(doc),
-                        "term": terms.values.take(pa.array(at)), "count": counts.take(pa.array(at)),
+                    hashes = _hashed(seeds[terms.doc[at]], terms.prefixes(at, size))
+                    alive = in_bitmap(shared.value, hashes)
+                    at, hashes = at[alive], hashes[alive]
+                    doc = terms.doc[at]
+                    yield pa.table({
+                        "lang": batch.column(0).take(pa.array(doc)), "bucket": np.mod(hashes.view(np.int64), share[doc]).astype(np.int32),
+                        "source": source[doc], "term": terms.values.take(pa.array(at)), "count": counts[at],
                     })
-                    sums = rows.group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum")])
-                    yield from sums.rename_columns(["lang", "source", "term", "count"]).to_batches()
 
-    found = documents.mapInArrow(counted, "lang string, source string, term binary, count bigint")
-    # hashes that collide end here: the terms themselves are met
-    return found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(found(batches), ["lang", "bucket", "source", "term"], "count"):
+            table = table.sort_by([("lang", "ascending"), ("bucket", "ascending")]).combine_chunks()
+            lang = table.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+            bucket = table.column("bucket").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])]))
+            rows = []
+            for low, high in zip(starts, [*starts[1:], len(lang)]):
+                part = table.slice(low, high - low)
+                packed = _packed(part.column("term").combine_chunks()), part.column("source").to_numpy().tobytes(), part.column("count").to_numpy().tobytes()
+                rows.append((part.column("lang")[0].as_py(), int(bucket[low]), 1, *packed))
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "bucket", "kind", "terms", "sources", "counts"), r)) for r in rows], schema=schema)
+
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("terms", pa.binary()), ("sources", pa.binary()), ("counts", pa.binary())])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, total = None, None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if key is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*key, _packed(names), total.tobytes())], schema=done)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, bucket, kind, terms, sources, counts = (column[i].as_py() for column in batch.columns)
+                if kind == 0:
+                    yield from out()
+                    key, names = (lang, bucket), _unpacked(terms)
+                    total = np.zeros((len(groups[lang]), len(names)), np.int64)
+                elif (lang, bucket) == key:  # else only hashes met there, no kept term
+                    place = pc.index_in(_unpacked(terms), names).to_numpy(zero_copy_only=False)
+                    real = ~np.isnan(place)
+                    np.add.at(total, (np.frombuffer(sources, np.int32)[real], place[real].astype(np.int64)), np.frombuffer(counts, np.int64)[real])
+        yield from out()
+
+    done = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
+    known = kept.sparkSession.createDataFrame(list(buckets.items()), "lang string, buckets int")
+    none = F.lit(None).cast("binary")
+    lists = kept.join(F.broadcast(known), "lang").groupBy("lang", F.pmod("hash", "buckets").cast("int").alias("bucket"))
+    lists = lists.agg(F.array_join(F.array_sort(F.collect_list(F.col("term").cast("string"))), "").cast("binary").alias("terms"))
+    rows = documents.mapInArrow(dealt, _BUCKET).unionByName(lists.select("lang", "bucket", F.lit(0).alias("kind"), "terms", none.alias("sources"), none.alias("counts")))
+    met = rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
+    return met.mapInArrow(merged, "lang string, bucket int, terms binary, counts binary")
 
 
 def shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -227,44 +309,45 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
     documents = stored(docs.select(name("lang"), name("source"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_tokenised, _DOCUMENT))
     kept, sizes = kept_terms(documents, least)
-    counts = stored(term_counts(documents, kept, sizes))
 
-    # one row per group and per language: as many as the result has pairs at least
-    totals = {(r["lang"], r["source"]): r["n"] for r in counts.groupBy("lang", "source").agg(F.sum("count").alias("n")).collect()}
+    # one row per group and per language: fewer than the result has pairs
     vocabulary = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     groups: dict[str, list[str]] = {}
     for row in documents.select("lang", "source").distinct().orderBy("lang", "source").collect():
         groups.setdefault(row["lang"], []).append(row["source"])
-
     # buckets of a language in proportion to its terms
-    spans = [(lang, -(-n // max(LEAST_TERMS, CELLS // len(groups[lang])))) for lang, n in vocabulary.items()]
-    sized = counts.sparkSession.createDataFrame(spans, "lang string, buckets int")
-    bucket = F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket")
-    dealt = counts.join(F.broadcast(sized), "lang").select("lang", bucket, "source", "term", "count")
-
-    def compared(rows: pa.Table) -> pa.Table:
-        lang = rows.column("lang")[0].as_py()
-        sources, size = groups[lang], vocabulary[lang]
-        term = rows.column("term").combine_chunks().dictionary_encode()
-        term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
-        place = {source: i for i, source in enumerate(sources)}
-        counted = np.zeros((len(sources), len(term.dictionary)), np.int64)
-        row = np.fromiter((place[s] for s in rows.column("source").to_pylist()), np.int64, rows.num_rows)
-        counted[row, term.indices.to_numpy()] = rows.column("count").to_numpy()
-        p = np.stack([shares(c, totals.get((lang, source), 0), size) for source, c in zip(sources, counted)])
-        whole = shares(counted.sum(axis=0), sum(totals.get((lang, source), 0) for source in sources), size)
-        out: list[tuple] = []
-        for i, source in enumerate(sources):
-            out += [(source, "pair", other.encode(), exact_sum(divergences(p[i], p[j]))) for j, other in enumerate(sources) if i != j]
-            above = np.flatnonzero((counted[i] > 0) & (p[i] > whole))
-            value = divergences(p[i][above], whole[above])
-            named = sorted(zip((-value).tolist(), term.dictionary.take(pa.array(above)).to_pylist()))[:top]
-            out += [(source, "term", item[:-1], -v) for v, item in named]
-        source, part, item, value = zip(*out) if out else ((), (), (), ())
-        values = pa.array([Decimal(v) for v in value], pa.decimal128(38, 0))
-        return pa.Table.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(source, pa.string()), pa.array(part, pa.string()), pa.array(item, pa.binary()), values], schema=_PART)
-
-    parts = stored(dealt.groupBy("lang", "bucket").applyInArrow(compared, "lang string, source string, part string, item binary, value decimal(38,0)"))
+    buckets = {lang: -(-n // max(LEAST_TERMS, CELLS // len(groups[lang]))) for lang, n in vocabulary.items()}
+    counts = stored(term_counts(documents, kept, sizes, groups, buckets))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, table in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums = np.frombuffer(table.as_buffer(), np.int64).reshape(len(groups[lang]), -1).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums)), pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["lang", "at", "n"])
+
+    each = counts.select("lang", "counts").mapInArrow(summed, "lang string, at int, n bigint")
+    totals = {(r["lang"], groups[r["lang"]][r["at"]]): int(r["n"]) for r in each.groupBy("lang", "at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, terms, table in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                sources, size = groups[lang], vocabulary[lang]
+                names = _unpacked(terms.as_py())
+                counted = np.frombuffer(table.as_buffer(), np.int64).reshape(len(sources), len(names))
+                p = np.stack([shares(c, totals[lang, source], size) for source, c in zip(sources, counted)])
+                whole = shares(counted.sum(axis=0), sum(totals[lang, source] for source in sources), size)
+                out: list[tuple] = []
+                for i, source in enumerate(sources):
+                    out += [(source, "pair", other.encode(), exact_sum(divergences(p[i], p[j]))) for j, other in enumerate(sources) if i != j]
+                    above = np.flatnonzero((counted[i] > 0) & (p[i] > whole))
+                    value = divergences(p[i][above], whole[above])
+                    named = sorted(zip((-value).tolist(), names.take(pa.array(above)).to_pylist()))[:top]
+                    out += [(source, "term", item[:-1], -v) for v, item in named]
+                source, part, item, value = zip(*out) if out else ((), (), (), ())
+                values = pa.array([Decimal(v) for v in value], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(source, pa.string()), pa.array(part, pa.string()), pa.array(item, pa.binary()), values], schema=_PART)
+
+    parts = stored(counts.select("lang", "terms", "counts").mapInArrow(compared, "lang string, source string, part string, item binary, value decimal(38,0)"))
     # groups of a language without kept terms are as far from each other as can be told: not at all
     bare = [(lang, a, b) for lang, sources in groups.items() if lang not in vocabulary for a in sources for b in sources if a != b]
     none = counts.sparkSession.createDataFrame(bare, "lang string, source string, item string").select("lang", "source", F.lit("pair").alias("part"), F.encode("item", "UTF-8").alias("item"), F.lit(0).cast("decimal(38,0)").alias("value"))
