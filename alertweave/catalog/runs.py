@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alertweave.catalog import evidence as EV
 from alertweave.catalog.registry import query, stored, with_
 from alertweave.catalog.sqltext import ALERTS, BUDGET, FOLDS, RATIO, REVEAL, SEEDS, h32, history
 from alertweave.catalog.training import alerts, folds, rounded
 from alertweave.functions.policy import tri_state
+from alertweave.operators import association as AS
 from alertweave.operators import checks as V
+from alertweave.operators import context as C
 from alertweave.operators import infer as B
 from alertweave.operators import joins as J
 from alertweave.operators import metrics as M
@@ -681,40 +684,59 @@ def b9(spark, sf_dir):
     return rounded(B.upper_bound_gate(effects(spark, sf_dir), 0.01, 0.02, gain="effect"))
 
 
-@query(
-    "b9_confirmation_gate",
-    with_(
-        *PBASE, POOLED, _bootstrap_sql(20_000, 20_260_903),
-        "ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM draws)",
-        "pos AS (SELECT count(*) FILTER (WHERE effect > 0) AS positive_scenarios, avg(effect) AS mean_gain FROM effects)",
-        """SELECT positive_scenarios, round(mean_gain, 6) AS mean_gain, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
-                  round(pooled_selector / pooled_baseline - 1, 6) AS pooled_relative_increase, lo > 0 AS ci_pass, positive_scenarios >= 4 AS count_pass,
-                  pooled_selector / pooled_baseline - 1 <= 0.05 AS safety_pass, TRUE AS width_pass, TRUE AS label_free_pass,
-                  lo > 0 AND positive_scenarios >= 4 AND pooled_selector / pooled_baseline - 1 <= 0.05 AS succeeds
-           FROM pos CROSS JOIN ci CROSS JOIN pooled""",
-    ),
-)
-def b9_confirmation(spark, sf_dir):
+def _evidence_sql() -> str:
+    """full_width and label_free of two selectors, from the slots they choose with the labels as they are and turned around."""
+    def listed(name: str, priority: str) -> str:
+        return f"""
+{name} AS (SELECT row_id, string_agg(x.r, ' ' ORDER BY p) AS picked, count(*) AS n
+           FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {priority} + position * 1e-10::DOUBLE DESC, p DESC) AS rn FROM sw) WHERE rn <= 10 GROUP BY 1)"""
+
+    parts = [
+        *EV.BASE, EV.SLOT_WEIGHTS, listed("la", "round(abs(w), 7)"), listed("lo_", "round(w, 7) * (CASE WHEN y = 1 THEN 1 ELSE -1 END)"),
+        listed("lt", "round(w, 7) * (CASE WHEN y = 0 THEN 1 ELSE -1 END)"),
+    ]
+    def side(selector: str, chosen: str, again: str) -> str:
+        return f"""SELECT '{selector}' AS selector, bool_and(coalesce(a.n, 0) = least(10, len(c))) AS full_width, bool_and(coalesce(a.picked, '') = coalesce(b.picked, '')) AS label_free
+                   FROM applied JOIN ctx USING (row_id) LEFT JOIN {chosen} a ON a.row_id = applied.row_id LEFT JOIN {again} b ON b.row_id = applied.row_id"""
+
+    return f"evidence AS ({with_(*parts, side('association_abs', 'la', 'la') + ' UNION ALL ' + side('class_oracle', 'lo_', 'lt'))})"
+
+
+CONFIRMED = f"""
+{_evidence_sql()},
+ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM draws),
+pos AS (SELECT count(*) FILTER (WHERE effect > 0) AS positive_scenarios, avg(effect) AS mean_gain FROM effects),
+confirmed AS (
+  SELECT selector, positive_scenarios, round(mean_gain, 6) AS mean_gain, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+         round(pooled_selector / pooled_baseline - 1, 6) AS pooled_relative_increase, lo > 0 AS ci_pass, positive_scenarios >= 4 AS count_pass,
+         pooled_selector / pooled_baseline - 1 <= 0.05 AS safety_pass, full_width AS width_pass, label_free AS label_free_pass,
+         lo > 0 AND positive_scenarios >= 4 AND pooled_selector / pooled_baseline - 1 <= 0.05 AND full_width AND label_free AS succeeds
+  FROM pos CROSS JOIN ci CROSS JOIN pooled CROSS JOIN evidence)
+"""
+CONFIRMATION = (*PBASE, POOLED, _bootstrap_sql(20_000, 20_260_903), CONFIRMED)
+
+
+def selector_evidence(spark, sf_dir):
+    """full_width and label_free of each selector, from its slots with the alert's label as it is and turned around."""
+    rows = EV.applied(spark, sf_dir)
+    sides = []
+    for name in ("association_abs", "class_oracle"):
+        ids = C.ids(AS.SELECTORS[name](10, 5), "row_id")
+        chosen = rows.withColumn("slots", ids).withColumn("event_incident", 1 - F.col("event_incident")).withColumn("again", ids)
+        contexts = chosen.select(F.size("candidates").alias("candidates"), "slots", "again")
+        sides.append(B.widths_and_labels(contexts, 10, again="again").select(F.lit(name).alias("selector"), "*"))
+    return sides[0].unionByName(sides[1])
+
+
+def confirmation(spark, sf_dir):
     side = cut_lineage(pairs(spark, sf_dir))
     effect = side.groupBy("scenario").agg(F.avg("recall_gain").alias("effect"))
-    got = B.confirmation_gate(effect, B.scenario_bootstrap_ci(effect), B.pooled_rates(side), F.lit(True), F.lit(True), gain="effect")
-    return rounded(got)
+    return B.confirmation_gate(effect, B.scenario_bootstrap_ci(effect), B.pooled_rates(side), selector_evidence(spark, sf_dir), gain="effect")
 
 
-@query(
-    "b12_study_decision",
-    with_(
-        *PBASE,
-        """d AS (SELECT min(effect) >= 0.01 OR (max(effect) >= 0.02 AND min(effect) >= 0) AS upper_bound, count(*) FILTER (WHERE effect > 0) >= 4 AS positives FROM effects)""",
-        "SELECT upper_bound, positives, FALSE AS external_check, FALSE AS study_succeeds FROM d",
-    ),
-)
-def b12(spark, sf_dir):
-    """The external check has no decision row here, so the study fails closed."""
-    effect = effects(spark, sf_dir)
-    upper = B.upper_bound_gate(effect, 0.01, 0.02, gain="effect").select(F.lit("upper_bound").alias("name"), "passed")
-    positives = effect.agg((F.sum((F.col("effect") > 0).cast("int")) >= 4).alias("passed")).select(F.lit("positives").alias("name"), "passed")
-    return B.study_decision(upper.unionByName(positives), ["upper_bound", "positives", "external_check"])
+@query("b9_confirmation_gate", with_(*CONFIRMATION, "SELECT * FROM confirmed"))
+def b9_confirmation(spark, sf_dir):
+    return rounded(confirmation(spark, sf_dir))
 
 
 # ---- record checks --------------------------------------------------------------------

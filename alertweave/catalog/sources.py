@@ -128,15 +128,23 @@ def s4(spark, sf_dir):
     "s5_read_event_sequences",
     with_(
         LINES,
-        "SELECT seq_id, len(string_split(line, ' ')) AS tokens, list_sum([t::BIGINT for t in string_split(line, ' ')])::BIGINT AS total FROM lines WHERE source <> 'train'",
+        """SELECT source, count(*) AS sequences, sum(len(string_split(line, ' ')))::BIGINT AS tokens, sum(list_sum([t::BIGINT for t in string_split(line, ' ')]))::BIGINT AS total,
+                  count(DISTINCT line) AS distinct_lines FROM lines WHERE source <> 'train' GROUP BY 1""",
     ),
 )
 def s5(spark, sf_dir):
-    """Lines of the training source are spoiled with a negative token and must be rejected; the others get a line end."""
-    raw = TC.lines(spark, sf_dir).withColumn("line", F.when(F.col("source") == "train", F.concat("line", F.lit(" -3"))).otherwise(F.concat("line", F.lit("\r"))))
-    rows = R.parse_event_lines(raw, "seq_id")
+    """One text file set per source, written and read; lines of the training source get a negative token and must be rejected, the others a line end."""
+    spoiled = F.when(F.col("source") == "train", F.concat("line", F.lit(" -3"))).otherwise(F.concat("line", F.lit("\r")))
+    raw = cut_lineage(TC.lines(spark, sf_dir).select("source", spoiled.alias("line")))
+    paths = {r["source"]: scratch(spark, "sequences") for r in raw.select("source").distinct().collect()}
+    for name, path in paths.items():
+        raw.filter(F.col("source") == name).select("line").write.text(path)
+    rows = R.read_event_sequences(spark, paths, strict=False)
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("seq_id", F.size("tokens").alias("tokens"), total.alias("total"))
+    return rows.groupBy("source").agg(
+        F.count("*").alias("sequences"), F.sum(F.size("tokens")).alias("tokens"), F.sum(total).alias("total"),
+        F.countDistinct(F.rtrim("line", F.lit("\r"))).alias("distinct_lines"),
+    )
 
 
 @query(
@@ -266,7 +274,9 @@ def k6(spark, sf_dir):
 
 @query("k6_label_legend", with_(KEYED, INTERVALS, "SELECT row_number() OVER (ORDER BY attack) - 1 AS attack_id, attack AS name FROM (SELECT DISTINCT attack FROM intervals)"))
 def k6_legend(spark, sf_dir):
-    return W.label_legend(TC.intervals(spark, sf_dir))
+    """The legend written next to the mapping and read back."""
+    legend = W.label_legend(TC.intervals(spark, sf_dir))
+    return spark.read.schema(legend.schema).json(W.write_mapping(legend, scratch(spark, "legend")))
 
 
 @query("k7_write_comparison", with_(*RC.PBASE, "SELECT scenario, round(avg(recall_gain), 6) AS mean_recall_gain FROM gains GROUP BY 1"))
@@ -366,46 +376,102 @@ def a21(spark, sf_dir):
     return sequence_totals(spark, sf_dir).select("seq_id", "length", "baseline", "selector")
 
 
-@query("b6_grouped_ratio_bootstrap")
+def _bootstrap_sql(name: str, rows: str, seed: int, scale: float) -> str:
+    """Weights, sums and rates of the iterations over the sequences in `rows` (length, baseline, selector)."""
+    text = " || '|' || ".join(["'" + str(seed) + "'", *(f"{c}::VARCHAR" for c in ("iteration", "length", "baseline", "selector"))])
+    key = lambda at: f"(('0x' || substr(md5({text}), {at}, 8))::BIGINT)"
+    return f"""
+{name}_g AS (SELECT length, baseline, selector, count(*) AS copies FROM ({rows}) GROUP BY ALL),
+{name}_p AS (SELECT copies, k, exp(-copies::DOUBLE + k * ln(copies::DOUBLE) - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY copies ORDER BY k)) AS p
+             FROM (SELECT DISTINCT copies FROM {name}_g WHERE copies <= 64) CROSS JOIN (SELECT range AS k FROM range(172))),
+{name}_c AS (SELECT copies, list(round(c, 10) ORDER BY k) AS cdf FROM (SELECT copies, k, sum(p) OVER (PARTITION BY copies ORDER BY k) AS c FROM {name}_p) WHERE round(c, 10) < 1 GROUP BY 1),
+{name}_u AS (SELECT length, baseline, selector, copies, cdf, iteration, ({key(1)} + 0.5) / 4294967296.0::DOUBLE AS u, ({key(9)} + 0.5) / 4294967296.0::DOUBLE AS v
+             FROM {name}_g LEFT JOIN {name}_c USING (copies) CROSS JOIN (SELECT range AS iteration FROM range(20000))),
+{name}_z AS (SELECT *, sqrt(-2.0::DOUBLE * ln(u)) * cos(2.0::DOUBLE * pi() * v) AS z FROM {name}_u),
+{name}_w AS (SELECT iteration, length, baseline, selector, CASE WHEN copies <= 64 THEN len([x for x in cdf if x < u]) ELSE greatest(floor(copies + sqrt(copies::DOUBLE) * z + (z * z - 1.0) / 6.0 + 0.5), 0) END AS w FROM {name}_z),
+{name}_r AS (SELECT iteration, {scale}::DOUBLE * sum(w * baseline) / nullif(sum(w * length), 0) AS b, {scale}::DOUBLE * sum(w * selector) / nullif(sum(w * length), 0) AS s FROM {name}_w GROUP BY 1),
+{name} AS (SELECT s - b AS gain, s - CASE WHEN b < 1 THEN b + 1 ELSE b * 1.05::DOUBLE END AS safety_violation FROM {name}_r)
+"""
+
+
+_SPAN = "round(quantile_cont({0}, 0.025), 6) AS ci_low, round(quantile_cont({0}, 0.975), 6) AS ci_high"
+
+
+def _both(totals):
+    """Intervals of the recall gain over incident sequences and of the safety violation over the others."""
+    gain = B.interval(B.grouped_ratio_bootstrap(totals.filter("label = 1"), seed=260_908), "gain")
+    safety = B.interval(B.grouped_ratio_bootstrap(totals.filter("label = 0"), seed=260_909, scale=1000.0), "safety_violation")
+    return gain, safety
+
+
+@query(
+    "b6_grouped_ratio_bootstrap",
+    with_(
+        *SEQ,
+        """totals AS (SELECT seq_id, label, count(*) AS length, count(*) FILTER (WHERE baseline > 0) AS baseline, count(*) FILTER (WHERE selector > 0) AS selector FROM fin GROUP BY 1, 2)""",
+        _bootstrap_sql("gain_", "SELECT * FROM totals WHERE label = 1", 260_908, 1.0),
+        _bootstrap_sql("safe_", "SELECT * FROM totals WHERE label = 0", 260_909, 1000.0),
+        f"SELECT 'gain' AS statistic, {_SPAN.format('gain')}, round(avg(gain), 6) AS mean FROM gain_ UNION ALL SELECT 'safety_violation', {_SPAN.format('safety_violation')}, round(avg(safety_violation), 6) FROM safe_",
+    ),
+)
 def b6(spark, sf_dir):
     """Percentile intervals of the recall gain (incident sequences) and of the safety violation (normal ones)."""
-    totals = cut_lineage(sequence_totals(spark, sf_dir))
-    gain = B.grouped_ratio_bootstrap(totals.filter("label = 1"))
-    safety = B.grouped_ratio_bootstrap(totals.filter("label = 0"), scale=1000.0)
+    gain, safety = _both(cut_lineage(sequence_totals(spark, sf_dir)))
     name = lambda df, n: df.select(F.lit(n).alias("statistic"), "*")
-    return name(B.interval(gain, "gain"), "gain").unionByName(name(B.interval(safety, "safety_violation"), "safety_violation"))
+    return TC.rounded(name(gain, "gain").unionByName(name(safety, "safety_violation")))
+
+
+@query(
+    "b12_study_decision",
+    with_(
+        *RC.CONFIRMATION, *SEQ,
+        """totals AS (SELECT seq_id, label, count(*) AS length, count(*) FILTER (WHERE baseline > 0) AS baseline, count(*) FILTER (WHERE selector > 0) AS selector FROM fin GROUP BY 1, 2)""",
+        _bootstrap_sql("gain_", "SELECT * FROM totals WHERE label = 1", 260_908, 1.0),
+        _bootstrap_sql("safe_", "SELECT * FROM totals WHERE label = 0", 260_909, 1000.0),
+        """d AS (SELECT min(effect) >= 0.01 OR (max(effect) >= 0.02 AND min(effect) >= 0) AS upper_bound FROM effects),
+           e AS (SELECT (SELECT quantile_cont(gain, 0.025) FROM gain_) > 0 AND (SELECT quantile_cont(safety_violation, 0.975) FROM safe_) <= 0 AS external_check)""",
+        """SELECT upper_bound, coalesce(succeeds, FALSE) AS confirmation, coalesce(external_check, FALSE) AS external_check,
+                  upper_bound AND coalesce(succeeds, FALSE) AND coalesce(external_check, FALSE) AS study_succeeds FROM d CROSS JOIN e CROSS JOIN (SELECT succeeds FROM confirmed WHERE selector = 'association_abs')""",
+    ),
+)
+def b12(spark, sf_dir):
+    """The study succeeds if the upper bound, the confirmation and the external check on the final sequences do."""
+    upper = B.upper_bound_gate(RC.effects(spark, sf_dir), 0.01, 0.02, gain="effect").select(F.lit("upper_bound").alias("name"), "passed")
+    confirmed = RC.confirmation(spark, sf_dir).filter("selector = 'association_abs'").select(F.lit("confirmation").alias("name"), F.col("succeeds").alias("passed"))
+    outside = B.external_check(*_both(cut_lineage(sequence_totals(spark, sf_dir)))).select(F.lit("external_check").alias("name"), "passed")
+    return B.study_decision(upper.unionByName(confirmed).unionByName(outside), ["upper_bound", "confirmation", "external_check"])
 
 
-_NONOVERLAP = """
+_FRESH = """
 trp AS (SELECT DISTINCT sha256(line) AS pattern FROM split WHERE split = 0),
-nv AS (SELECT fin.*, trp.pattern IS NOT NULL AS overlap FROM fin LEFT JOIN trp ON trp.pattern = fin.pattern)
+nv AS (SELECT fin.*, trp.pattern IS NOT NULL AS overlap FROM fin LEFT JOIN trp ON trp.pattern = fin.pattern),
+fresh AS (SELECT seq_id, label, count(*) AS length, count(*) FILTER (WHERE baseline > 0) AS baseline, count(*) FILTER (WHERE selector > 0) AS selector FROM nv WHERE NOT overlap GROUP BY 1, 2)
 """
 
 
 @query(
     "b11_subset_sensitivity",
     with_(
-        *SEQ, _NONOVERLAP,
-        "ms AS (SELECT 'baseline' AS method, label, baseline AS p FROM nv WHERE NOT overlap UNION ALL SELECT 'selector', label, selector FROM nv WHERE NOT overlap)",
-        """SELECT method, count(*) AS alerts, sum(label)::BIGINT AS incidents, round(count(*) FILTER (WHERE label = 1 AND p > 0) / nullif(sum(label), 0), 6) AS automatic_incident_recall,
-             round(1000.0::DOUBLE * count(*) FILTER (WHERE label = 0 AND p > 0) / nullif(count(*) FILTER (WHERE label = 0), 0), 6) AS false_escalations_per_1000_nonincidents,
-             (SELECT round(count(DISTINCT CASE WHEN overlap THEN seq_id END) / count(DISTINCT seq_id), 6) FROM nv) AS overlap_share FROM ms GROUP BY 1""",
+        *SEQ, _FRESH,
+        _bootstrap_sql("gain_", "SELECT * FROM fresh WHERE label = 1", 260_908, 1.0),
+        _bootstrap_sql("safe_", "SELECT * FROM fresh WHERE label = 0", 260_909, 1000.0),
+        """whole AS (SELECT count(*) FILTER (WHERE baseline > 0 OR baseline < 0)::DOUBLE / count(*) AS workload, 1000.0::DOUBLE * count(*) FILTER (WHERE label = 0 AND baseline > 0) / nullif(count(*) FILTER (WHERE label = 0), 0) AS false_rate,
+                    count(DISTINCT CASE WHEN overlap THEN seq_id END) AS overlapping, count(DISTINCT seq_id) AS sequences FROM nv)""",
+        f"""sums AS (SELECT count(*) AS fresh_sequences, coalesce(sum(label), 0)::BIGINT AS fresh_incident_sequences,
+                    sum(selector) FILTER (WHERE label = 1) / nullif(sum(length) FILTER (WHERE label = 1), 0) - sum(baseline) FILTER (WHERE label = 1) / nullif(sum(length) FILTER (WHERE label = 1), 0) AS gain FROM fresh),
+            gi AS (SELECT {_SPAN.format('gain')} FROM gain_), si AS (SELECT {_SPAN.format('safety_violation')} FROM safe_)""",
+        """SELECT sequences, overlapping AS overlap_sequences, round(overlapping / sequences, 6) AS overlap_share, fresh_sequences, fresh_incident_sequences, round(gain, 6) AS fresh_recall_gain,
+                  gi.ci_low AS gain_ci_low, gi.ci_high AS gain_ci_high, si.ci_low AS safety_ci_low, si.ci_high AS safety_ci_high,
+                  round(workload, 6) AS baseline_workload, round(false_rate, 6) AS baseline_false_rate, false_rate * 1.05::DOUBLE > 1000 AS limit_nonbinding,
+                  workload > 0.95 AS workload_nonbinding, false_rate > 900 AS escalation_nonbinding, overlapping / sequences > 0.5 AS overlap_nonbinding
+           FROM whole CROSS JOIN sums CROSS JOIN gi CROSS JOIN si""",
     ),
 )
 def b11(spark, sf_dir):
-    """Metrics again on final sequences whose content does not occur in training, and the share that does."""
+    """Gain and safety with both bootstraps again on final sequences whose content does not occur in training, and what does not bind."""
     rows = cut_lineage(token_predictions(spark, sf_dir))
     trained = sequences(spark, sf_dir).filter("split = 0").select("pattern").distinct()
-    fresh = rows.join(trained, "pattern", "left_anti")
-    codes = F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("prediction")) for m in ("baseline", "selector")]))
-    long = fresh.withColumn("incident_group", F.lit(None).cast("string")).select("label", "incident_group", codes)
-    got = M.strict_metrics(long, ["method"], truth="label")
-    total = rows.select("seq_id", "pattern").distinct().join(trained.withColumn("_t", F.lit(1)), "pattern", "left")
-    share = total.agg((F.count("_t") / F.count("*")).alias("overlap_share")).withColumn("_one", F.lit(1))
-    joined = got.withColumn("_one", F.lit(1)).join(share, "_one")
-    return TC.rounded(joined.select(
-        "method", "alerts", "incidents", "automatic_incident_recall", "false_escalations_per_1000_nonincidents", "overlap_share"
-    ))
+    return TC.rounded(B.subset_sensitivity(rows, trained))
 
 
 # ---- checks --------------------------------------------------------------------------------------

@@ -6,16 +6,16 @@ from `md5(seed | iteration | slot)`, so results repeat in any engine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions.hashing import seeded_key
 from alertweave.functions.ratios import ratio_or_null
 from alertweave.operators.points import safety_limit
+from alertweave.session import cut_lineage
 
 _EXACT_UNITS = 20
 _MONTE_CARLO = 100_000
@@ -182,7 +182,39 @@ def holm(rows: DataFrame, family: Sequence[str], p: str = "p") -> DataFrame:
     return adjusted.unionByName(untested)
 
 
-_BOOTSTRAP_SCHEMA = "iteration int, denominator double, baseline double, selector double"
+#: Poisson means up to this are drawn by the distribution function, larger ones by a corrected normal.
+LARGEST_EXACT_MEAN = 64
+#: Values of a draw that are listed: at a mean of 64 the rest has a probability under 1e-20.
+_DRAW_VALUES = 172
+_PLAIN_VALUES = 16
+#: Iterations that a task draws for all groups dealt to it.
+_ITERATION_BLOCK = 1_000
+
+
+def _poisson_functions(groups: DataFrame, mean: str) -> DataFrame:
+    """`mean, _cdf`: the distribution function of a Poisson draw, rounded to 10 places, for the small means among the groups."""
+    means = groups.filter(F.col(mean) <= LARGEST_EXACT_MEAN).select(mean).distinct()
+    values = F.sequence(F.lit(0), F.lit(_DRAW_VALUES - 1))
+    start = F.struct(F.exp(-F.col(mean).cast("double")).alias("p"), F.exp(-F.col(mean).cast("double")).alias("c"), F.array().cast("array<double>").alias("all"))
+
+    def step(a: Column, k: Column) -> Column:
+        p = F.when(k == 0, a["p"]).otherwise(a["p"] * F.col(mean) / k)
+        c = F.when(k == 0, a["c"]).otherwise(a["c"] + p)
+        return F.struct(p.alias("p"), c.alias("c"), F.concat(a["all"], F.array(F.round(c, 10))).alias("all"))
+
+    # values at which the function is one are never passed over
+    return means.select(mean, F.filter(F.aggregate(values, start, step)["all"], lambda c: c < 1).alias("_cdf"))
+
+
+def poisson_weight(mean: Column, cdf: Column, first: Column, second: Column) -> Column:
+    """A Poisson draw of `mean` from two 32-bit keys: inverse distribution function, or for a large mean a normal with skew correction."""
+    u, v = ((key + 0.5) / F.lit(4_294_967_296.0) for key in (first, second))
+    z = F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
+    large = F.greatest(F.floor(mean + F.sqrt(mean.cast("double")) * z + (z * z - 1.0) / 6.0 + 0.5), F.lit(0))
+    # the first values one by one, as compiled code; the others by a function over what is left
+    passed = sum((F.coalesce(F.get(cdf, F.lit(i)) < u, F.lit(False)).cast("int") for i in range(_PLAIN_VALUES)), F.lit(0))
+    rest = F.when(F.size(cdf) > _PLAIN_VALUES, F.size(F.filter(F.slice(cdf, _PLAIN_VALUES + 1, _DRAW_VALUES), lambda c: c < u))).otherwise(0)
+    return F.when(mean <= LARGEST_EXACT_MEAN, passed + rest).otherwise(large).cast("long")
 
 
 def grouped_ratio_bootstrap(
@@ -190,35 +222,28 @@ def grouped_ratio_bootstrap(
 ) -> DataFrame:
     """Cluster bootstrap of `selector - baseline` rates over sequences (`length, baseline, selector` counts).
 
-    Sequences with equal counts are grouped first. Each group draws its Poisson
-    bootstrap weights from its own counter-based stream, so the result does not
-    depend on partitioning; a task adds its groups up before the shuffle.
+    Sequences with equal counts are one group; the sum of their weights in an iteration is a
+    Poisson draw whose mean is the size of the group, from keys of (seed, iteration, counts). So draws
+    do not depend on partitioning, repeat in any engine, and are added up before the shuffle.
     """
-    triples = sequences.groupBy("length", "baseline", "selector").agg(F.count("*").alias("copies"))
-    triples = triples.withColumn("stream", F.abs(F.xxhash64("length", "baseline", "selector")))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((3, iterations))
-        for batch in batches:
-            # some groups at a time, so that their weights stay small
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                weights = np.stack([
-                    np.random.Generator(np.random.Philox(key=[seed, stream])).poisson(copies, iterations)
-                    for stream, copies in zip(part["stream"].tolist(), part["copies"].tolist(), strict=True)
-                ])
-                total += part[["length", "baseline", "selector"]].to_numpy(float).T @ weights
-        if total.any():
-            yield pd.DataFrame(
-                {"iteration": np.arange(iterations), "denominator": total[0], "baseline": total[1], "selector": total[2]}
-            )
-
-    drawn = triples.mapInPandas(partial, _BOOTSTRAP_SCHEMA).groupBy("iteration").agg(
-        F.sum("denominator").alias("_d"), F.sum("baseline").alias("_b"), F.sum("selector").alias("_s")
+    groups = sequences.groupBy("length", "baseline", "selector").agg(F.count("*").alias("copies"))
+    drawn = groups.join(F.broadcast(_poisson_functions(groups, "copies")), "copies", "left")
+    # the groups may be few: blocks of iterations are dealt to tasks
+    drawn = drawn.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _ITERATION_BLOCK))))
+    drawn = drawn.repartition(-(-iterations // _ITERATION_BLOCK), "_block")
+    first = F.col("_block") * _ITERATION_BLOCK
+    drawn = drawn.withColumn("iteration", F.explode(F.sequence(first, F.least(first + _ITERATION_BLOCK, F.lit(iterations)) - 1)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("iteration", "length", "baseline", "selector")]))
+    key = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    # a generated row is a fence: what it holds is worked out once, however often it is used
+    drawn = drawn.withColumn("_keys", F.explode(F.array(F.struct(key(1).alias("a"), key(9).alias("b")))))
+    drawn = drawn.withColumn("_w", F.explode(F.array(poisson_weight(F.col("copies"), F.col("_cdf"), F.col("_keys.a"), F.col("_keys.b")))))
+    summed = drawn.groupBy("iteration").agg(
+        F.sum(F.col("_w") * F.col("length")).alias("_d"), F.sum(F.col("_w") * F.col("baseline")).alias("_b"), F.sum(F.col("_w") * F.col("selector")).alias("_s")
     )
     # a draw may leave no sequence: it has no rate and no part in the interval
     rate = lambda c: F.try_divide(F.lit(scale) * F.col(c), F.lit(seeds) * F.col("_d"))
-    rates = drawn.select("iteration", rate("_b").alias("baseline_rate"), rate("_s").alias("selector_rate"))
+    rates = summed.select("iteration", rate("_b").alias("baseline_rate"), rate("_s").alias("selector_rate"))
     return rates.select(
         "*",
         (F.col("selector_rate") - F.col("baseline_rate")).alias("gain"),
@@ -233,6 +258,45 @@ def interval(draws: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFra
     )
 
 
+def subset_sensitivity(rows: DataFrame, trained: DataFrame, seed: int = 260_908) -> DataFrame:
+    """One row on what stands on sequences whose content training has not seen.
+
+    `rows` are tokens of the final sequences (`seq_id, label, pattern, baseline, selector`). Both bootstraps run on the
+    unseen sequences; the flags name criteria that cannot bind: a limit above all events, nearly everything in review,
+    nearly all normal events escalated, mostly seen content.
+    """
+    marked = rows.join(trained.select("pattern", F.lit(True).alias("_seen")), "pattern", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    flagged = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    totals = marked.groupBy("seq_id", "label", "_seen").agg(
+        F.count("*").alias("length"), flagged("baseline").alias("baseline"), flagged("selector").alias("selector"),
+        F.sum((F.col("baseline") != 0).cast("long")).alias("_review"),
+    )
+    totals = cut_lineage(totals)
+    fresh = totals.filter("NOT _seen")
+    gain = interval(grouped_ratio_bootstrap(fresh.filter("label = 1"), seed=seed), "gain")
+    safety = interval(grouped_ratio_bootstrap(fresh.filter("label = 0"), seed=seed + 1, scale=1000.0), "safety_violation")
+    normal = F.col("label") == 0
+    whole = totals.agg(
+        F.countDistinct("seq_id").alias("sequences"), F.countDistinct(F.when(F.col("_seen"), F.col("seq_id"))).alias("overlap_sequences"),
+        (F.sum("_review") / F.sum("length")).alias("baseline_workload"),
+        (1000.0 * ratio_or_null(F.sum(F.when(normal, F.col("baseline"))), F.sum(F.when(normal, F.col("length"))))).alias("baseline_false_rate"),
+    )
+    incident = lambda c: F.sum(F.when(F.col("label") == 1, F.col(c)))
+    sums = fresh.agg(
+        F.count("*").alias("fresh_sequences"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("fresh_incident_sequences"),
+        (ratio_or_null(incident("selector"), incident("length")) - ratio_or_null(incident("baseline"), incident("length"))).alias("fresh_recall_gain"),
+    )
+    one = F.lit(1).alias("_one")
+    span = lambda d, p: d.select(one, F.col("ci_low").alias(f"{p}_ci_low"), F.col("ci_high").alias(f"{p}_ci_high"))
+    joined = whole.select("*", one).join(sums.select("*", one), "_one").join(span(gain, "gain"), "_one").join(span(safety, "safety"), "_one").drop("_one")
+    share = F.col("overlap_sequences") / F.col("sequences")
+    return joined.select(
+        "*", share.alias("overlap_share"), (F.col("baseline_false_rate") * 1.05 > 1000).alias("limit_nonbinding"),
+        (F.col("baseline_workload") > 0.95).alias("workload_nonbinding"), (F.col("baseline_false_rate") > 900).alias("escalation_nonbinding"),
+        (share > 0.5).alias("overlap_nonbinding"),
+    )
+
+
 def scenario_effects(pairs: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("scenario",)) -> DataFrame:
     """Seed-averaged means per scenario, and the seed gains in seed order."""
     gains = F.transform(F.sort_array(F.collect_list(F.struct("seed", metrics[0]))), lambda x: x[metrics[0]])
@@ -276,25 +340,30 @@ def upper_bound_gate(effects: DataFrame, each: float, best: float, gain: str = "
 
 
 def confirmation_gate(
-    effects: DataFrame, ci: DataFrame, pooled: DataFrame, width_ok: Column, label_free: Column,
+    effects: DataFrame, ci: DataFrame, pooled: DataFrame, evidence: DataFrame,
     gain: str = "mean_recall_gain", least_positive: int = 4, largest_increase: float = 0.05,
 ) -> DataFrame:
-    """CI above 0, enough positive scenarios, bounded false-escalation increase, fixed width, no labels read."""
+    """CI above 0, enough positive scenarios, bounded false-escalation increase, fixed width, no labels read.
+
+    `evidence` has rows of `widths_and_labels`, one per selector; its other columns are kept.
+    """
     counts = effects.agg(F.sum((F.col(gain) > 0).cast("int")).alias("positive_scenarios"), F.avg(gain).alias("mean_gain"))
     one = F.lit(1).alias("_one")
-    joined = counts.select("*", one).join(ci.select("*", one), "_one").join(pooled.select("*", one), "_one").drop("_one")
+    joined = counts.select("*", one).join(ci.select("*", one), "_one").join(pooled.select("*", one), "_one")
+    joined = joined.join(evidence.select("*", one), "_one").drop("_one")
     flags = {
         "ci_pass": F.col("ci_low") > 0,
         "count_pass": F.col("positive_scenarios") >= least_positive,
         "safety_pass": F.col("pooled_relative_increase") <= largest_increase,
-        "width_pass": width_ok,
-        "label_free_pass": label_free,
+        "width_pass": F.col("full_width"),
+        "label_free_pass": F.col("label_free"),
     }
     every = None
     for flag in flags.values():
         every = flag if every is None else every & flag
+    named = [c for c in evidence.columns if c not in ("full_width", "label_free")]
     return joined.select(
-        "positive_scenarios", "mean_gain", "ci_low", "ci_high", "pooled_relative_increase",
+        *named, "positive_scenarios", "mean_gain", "ci_low", "ci_high", "pooled_relative_increase",
         *[v.alias(k) for k, v in flags.items()], every.alias("succeeds"),
     )
 
@@ -319,6 +388,27 @@ def compare_to_baseline(runs: DataFrame, baseline: str, key: str = "method") ->
     return others.select(key, role.alias("recommended_role"), *[d.alias(f"delta_{m}") for m, d in delta.items()])
 
 
+def widths_and_labels(contexts: DataFrame, width: int, chosen: str = "slots", again: str = "slots_without_labels") -> DataFrame:
+    """`full_width, label_free` of a selector, from what it chose.
+
+    `full_width`: every alert with `width` candidates or more got exactly that many, every other one all it has.
+    `label_free`: the choice is the same when the label of the alert itself is turned around.
+    """
+    fits = F.size(chosen) == F.least(F.lit(width), F.col("candidates"))
+    return contexts.agg(
+        F.coalesce(F.min(fits.cast("int")) == 1, F.lit(False)).alias("full_width"),
+        F.coalesce(F.min((F.col(chosen) == F.col(again)).cast("int")) == 1, F.lit(False)).alias("label_free"),
+    )
+
+
+def external_check(gain: DataFrame, safety: DataFrame) -> DataFrame:
+    """`passed`: the recall gain is above zero and the safety violation not above zero over the whole interval."""
+    one = lambda d, p: d.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{p}_{c}") for c in ("ci_low", "ci_high")])
+    both = one(gain, "gain").join(one(safety, "safety"), "_one")
+    passed = (F.col("gain_ci_low") > 0) & (F.col("safety_ci_high") <= 0)
+    return both.select("gain_ci_low", "gain_ci_high", "safety_ci_low", "safety_ci_high", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
 def study_decision(decisions: DataFrame, required: Sequence[str]) -> DataFrame:
     """Conjunction over `name, passed` decisions; a required decision that is missing or null fails."""
     wanted = decisions.select("name", "passed")

@@ -288,3 +288,92 @@ def test_features_hold_every_event(spark):
     assert all(f.sum() == pytest.approx(1) for f in features) and features[0][65] == pytest.approx(0.6)
     scored = T.score_risk(rows, [0.0, 1.0], 0.5).collect()
     assert [r["score"] for r in scored] == [0.5, 0.5]
+
+
+def test_gates_turn_with_their_evidence(spark):
+    rows = [(12, list(range(10)), list(range(10))), (3, [1, 2, 3], [1, 2, 3])]
+    frame = lambda r: spark.createDataFrame(r, "candidates int, slots array<int>, again array<int>")
+    got = lambda r: tuple(one_row(B.widths_and_labels(frame(r), 10, again="again")).values())
+    assert got(rows) == (True, True)
+    assert got([*rows, (12, [1], [1])]) == (False, True)
+    assert got([*rows, (3, [1, 2, 3], [1, 3, 2])]) == (True, False)
+    assert got([]) == (False, False)
+    effects = spark.createDataFrame([(f"s{i}", 0.1) for i in range(5)], "scenario string, effect double")
+    span = lambda low, high: spark.createDataFrame([(low, high)], "ci_low double, ci_high double")
+    pooled = lambda x: spark.createDataFrame([(x,)], "pooled_relative_increase double")
+    facts = lambda w, n: spark.createDataFrame([("a", w, n)], "selector string, full_width boolean, label_free boolean")
+    gate = lambda e=effects, c=(0.05, 0.2), s=0.0, w=True, n=True: one_row(B.confirmation_gate(e, span(*c), pooled(s), facts(w, n), gain="effect"))["succeeds"]
+    assert gate()
+    assert not gate(c=(-0.1, 0.2)) and not gate(s=0.06) and not gate(w=False) and not gate(n=False)
+    assert not gate(e=effects.filter("scenario <> 's0'").withColumn("effect", F.when(F.col("scenario") == "s1", -0.1).otherwise(0.1)))
+    check = lambda low, high: one_row(B.external_check(span(low, 1.0), span(-1.0, high)))["passed"]
+    assert check(0.1, 0.0) and not check(0.0, 0.0) and not check(0.1, 0.1)
+
+
+def test_poisson_weights_follow_their_distribution(spark):
+    groups = spark.createDataFrame([(1,), (7,), (64,), (400,)], "copies long")
+    keys = spark.range(4000).select(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long").alias("a"), F.conv(F.substring(F.md5(F.col("id").cast("string")), 9, 8), 16, 10).cast("long").alias("b"))
+    functions = B._poisson_functions(groups, "copies")
+    drawn = groups.join(functions, "copies", "left").join(keys.withColumn("copies", F.explode(F.array(*[F.lit(c).cast("long") for c in (1, 7, 64, 400)]))), "copies")
+    got = drawn.select("copies", B.poisson_weight(F.col("copies"), F.col("_cdf"), F.col("a"), F.col("b")).alias("w")).groupBy("copies").agg(F.avg("w").alias("m"), F.variance("w").alias("v")).collect()
+    for r in got:
+        assert r["m"] == pytest.approx(r["copies"], abs=4 * (r["copies"] / 4000) ** 0.5) and r["v"] == pytest.approx(r["copies"], rel=0.12)
+
+
+def test_model_meets_alerts_alike_shipped_or_salted(spark):
+    from alertweave.operators import association as AS
+
+    pool = spark.createDataFrame([(i, f"s{i % 3}", i % 2) for i in range(50)], "row_id long, scenario string, event_id long")
+    folds = spark.createDataFrame([(f"s{i}", f"s{j}", "test" if i == j else "train") for i in range(3) for j in range(3)], "test_scenario string, scenario string, role string")
+    model = spark.createDataFrame([(f"s{i}", e, [0.1 * i, 0.2 * e], [0, 1]) for i in range(3) for e in range(2)], "test_scenario string, event_id long, weights array<double>, local_of array<int>")
+    rows = lambda limit: sorted(tuple(r) for r in AS.with_model(pool, folds, model, shipped_bytes=limit).select("row_id", "test_scenario", "weights").collect())
+    assert rows(1 << 20) == rows(0) and len(rows(0)) == 50
+
+
+def test_clusters_and_nearest_at_any_reach(spark):
+    """2,000 fingerprints of one event that share a frequent feature, against plain rounds."""
+    import random
+
+    rng = random.Random(3)
+    points = []
+    for i in range(2000):
+        rest = rng.sample(range(1, 60), 2)
+        heavy = rng.choice([1000, 3000, 5000, 7000])
+        part = rng.choice([500, 1000, 1500])
+        points.append(sorted([(0, heavy), (rest[0], part), (rest[1], 10_000 - heavy - part)]))
+    unique = sorted({tuple(p) for p in points})
+    vectors = spark.createDataFrame([(i, 0, [{"e": e, "w": w} for e, w in p], 1) for i, p in enumerate(unique)], "id long, event_id int, vector array<struct<e:int,w:int>>, weight long")
+    maps = [dict(p) for p in unique]
+
+    def apart(a, b):
+        return 20_000 - 2 * sum(min(w, b.get(e, 0)) for e, w in a.items())
+
+    import numpy as np
+
+    wide = np.zeros((len(unique), 60), np.int32)
+    for i, m in enumerate(maps):
+        for e, w in m.items():
+            wide[i, e] = w
+    away = np.stack([np.abs(wide - row).sum(axis=1) for row in wide])
+    for eps in (0.1, 0.5, 1.0):
+        near = away <= round(eps * 10_000)
+        core = near.sum(axis=1) >= 5
+        label = np.where(core, np.arange(len(unique)), -1)
+        while True:
+            spread = np.where(near & core[None, :], label[None, :], len(unique)).min(axis=1)
+            new = np.where(core, np.minimum(label, spread), label)
+            if (new == label).all():
+                break
+            label = new
+        border = np.where(near & core[None, :], label[None, :], len(unique)).min(axis=1)
+        want = {i: (bool(core[i]), int(label[i]) if core[i] else int(border[i]) if border[i] < len(unique) else -1) for i in range(len(unique))}
+        got = {r["id"]: (r["core"], r["cluster"]) for r in T.density_cluster(vectors, eps, 5).collect()}
+        assert got == want
+    held = vectors.filter("id % 2 = 0").select("event_id", "vector", F.col("id").alias("score"))
+    asked = vectors.filter("id % 2 = 1").select("id", "event_id", "vector")
+    found = {r["id"]: (r["distance"], r["score"]) for r in T.nearest_scored(asked, held, 1.0).collect()}
+    for i in range(1, len(unique), 2):
+        best = away[i, ::2].min()
+        assert (found.get(i) is None) == (best > 10_000)
+        if i in found:
+            assert found[i] == (best / 10_000, 2 * int(np.flatnonzero(away[i, ::2] == best)[0]))
