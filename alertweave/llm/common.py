@@ -9,25 +9,44 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.session import cut_lineage, shared_folder
+from alertweave.session import shared_folder
 
 #: White space between words, the class [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Lets Spark remove the shuffle files of a query once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read of its files. The folder
-    is removed when the application's file system closes.
+    Cuts the lineage: a lost executor costs a re-read of its files. The shuffle files
+    of the write go when it ends, the folder when `discard` is called or the
+    application's file system closes.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.stored_in = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that `stored` returned and nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,20 +119,23 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component) of the vertices of `edges` (a, b); the component is its smallest vertex.
+    """(vertex, component) of the vertices of `edges` (a, b); the component is its smallest vertex. The result is a stored table.
 
     Each round every vertex takes the smallest label around it and then the
     label of that label, so a chain of n vertices takes about log n rounds. Labels
-    are checkpointed; rounds end when none changes.
+    are stored round by round; rounds end when none changes.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "v"))
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l", F.col("a").alias("old")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
+        near = both.join(labels.select("v", "l"), F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
         hooked = labels.join(near, F.col("v") == F.col("a")).select("v", "l", F.least("l", "m").alias("n"))
         up = labels.select(F.col("v").alias("u"), F.col("l").alias("up"))
-        new = cut_lineage(hooked.join(up, F.col("n") == F.col("u"), "left").select("v", F.least("n", "up").alias("l"), F.col("l").alias("old")))
-        changed = new.where("l <> old").limit(1).count()
-        labels = new.select("v", "l")
-        if not changed:
-            return labels.select(F.col("v").alias("vertex"), F.col("l").alias("component"))
+        new = stored(hooked.join(up, F.col("n") == F.col("u"), "left").select("v", F.least("n", "up").alias("l"), F.col("l").alias("old")))
+        discard(labels)
+        labels = new
+        if not labels.where("l <> old").limit(1).count():
+            discard(both)
+            out = labels.select(F.col("v").alias("vertex"), F.col("l").alias("component"))
+            out.stored_in = labels.stored_in
+            return out

@@ -1,23 +1,28 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct 5-word shingles. Equal sets are
-one vertex. Each set has TOKENS minwise tokens; independent trees branch the
-sets: the root of tree r sends a set to the node named by the two tokens at 2r
-and 2r + 1, further nodes each choose BRANCH tokens and send it to one child per
-token.
-Sets that share a node are compared:
-
-* every set of a node with the node's most popular set (a star), which joins a
-  large group of near copies with one comparison per set: a text with few edits
-  shares its nodes with more of its group than one with many;
-* where the sets of a node still belong to different classes, all pairs across
-  classes if these are few for the node's size, else its children do, and
-  nodes at the last level do it whatever their size.
-
-Candidates whose sizes or minwise tokens put them far below the threshold are
-dropped (a pair at the threshold is lost with a probability under 1e-7), the rest
-is confirmed on the full sets. A pair at the threshold misses the root of one
-tree with probability 7/16, and of all TREES trees with about 1e-7.
+one vertex. Each set has TOKENS minwise tokens and a sketch of SKETCH further ones, a
+byte each; independent trees branch the sets: the root of tree r sends a set to the node
+named by the two tokens at 2r and 2r + 1. Links join sets to classes; only nodes that hold
+several classes are looked at:
+
+* first every set of another class than its root's largest one is compared with the head of
+  that class, once for all its roots: it joins large groups of near copies with one
+  comparison per set;
+* a small node is compared exhaustively inside a task, by sketches, as is what a
+  larger node holds besides its largest class (in blocks with the members of that class);
+* other nodes send each set to one child, or two with probability 1 / 3, each by a token
+  chosen for the node: a pair at the threshold shares one child on average, pairs
+  below it ever fewer from level to level, so nodes fall apart until they are small.
+  What is large after LEVELS levels holds pairs close to the threshold and is
+  compared in blocks.
+
+Only pairs whose sketches agree come out of a task, first the best of each set, twice,
+then those still between classes. They are confirmed on the full sets, which travel to a
+node's pairs once per set. A pair at the threshold has too few equal
+bytes with a probability under 4e-6. It misses the root of one tree with probability 7/16,
+and of all TREES trees with 1e-9; after one, two, three levels it is left in a tree's
+small nodes with probability 0.46, 0.39, 0.34, and misses all trees with 3e-7, 8e-6, 5e-5.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; texts of fewer than five words are one shingle; doc_id may be null (the
@@ -35,25 +40,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import WordHashes, bitmap_of, components, gram_hashes, in_bitmap, stored
+from alertweave.llm.common import WordHashes, bitmap_of, components, discard, gram_hashes, in_bitmap, stored
 
 SHINGLE = 5
 TOKENS = 48
-TREES = 20
-BRANCH = 3
-LEVELS = 5
-#: A node compares all pairs across classes if these are at most so many for each of its sets.
-PAIRS_PER_SET = 8
-#: Similarity of a link, in percent, and the least number of equal tokens of a candidate: six deviations below.
+SKETCH = 512
+TREES = 24
+LEVELS = 6
+#: Sets of a node that are compared exhaustively.
+SMALL = 512
+#: Similarity of a link, in percent, and the least number of equal sketch bytes of a candidate: four and a half deviations below.
 LINK = 75
-LEAST_EQUAL = int(TOKENS * 0.75 - 6 * (TOKENS * 0.75 * 0.25) ** 0.5)
+LEAST_EQUAL = int(SKETCH * 0.75 - 4.5 * (SKETCH * 0.75 * 0.25) ** 0.5)
+#: Chosen children: one, and a second one in so many hundredths of the nodes.
+SECOND_CHILD = 33
+#: Sets that a task compares together, shingles that it confirms together, and pairs of sketches looked at in one block.
+ROWS_TOGETHER, SHINGLES_TOGETHER, PAIRS_TOGETHER = 20_000, 4_000_000, 1 << 16
 #: Shingles hashed at once, which bounds the memory of long texts.
-_CHUNK = 4096
+_CHUNK = 1024
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20_240_601)
-_FACTORS = _RANDOM.integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RANDOM.integers(0, 2**63, TOKENS, dtype=np.uint64)
+_FACTORS = (_RANDOM.integers(0, 2**31, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+_OFFSETS = _RANDOM.integers(0, 2**32, SKETCH, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_set(text: str | None, words: WordHashes) -> np.ndarray:
@@ -64,70 +73,85 @@ def shingle_set(text: str | None, words: WordHashes) -> np.ndarray:
 
 
 def minwise_tokens(shingles: np.ndarray) -> np.ndarray:
-    """The smallest hash of the set under each of TOKENS hash functions, cut to 32 bits."""
-    least = np.full(TOKENS, np.uint64(2**64 - 1))
-    for at in range(0, len(shingles), _CHUNK):
-        np.minimum(least, (shingles[at : at + _CHUNK, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
-    return (least >> np.uint64(16)).astype(np.uint32).view(np.int32)
+    """The smallest value of the set under each of SKETCH 32-bit hash functions."""
+    least = np.full(SKETCH, 2**32 - 1, np.uint32)
+    folded = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(folded), _CHUNK):
+        np.minimum(least, (folded[at : at + _CHUNK, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
+    return least
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, set_id, tokens)."""
+    """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, set_id, tokens, sketch)."""
     import xxhash
 
     words = WordHashes()
     for batch in batches:
-        sizes, ids, tokens = [], [], []
+        sizes, ids, tokens, sketches = [], [], [], []
         for text in batch.column(2):
             shingles = shingle_set(text.as_py(), words)
+            least = minwise_tokens(shingles) if len(shingles) else None
             sizes.append(len(shingles))
-            ids.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-            tokens.append(minwise_tokens(shingles) if len(shingles) else np.empty(0, np.int32))
-        ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-        flat = np.concatenate([*tokens, np.empty(0, np.int32)])
+            ids.append(None if least is None else xxhash.xxh3_128_digest(shingles.tobytes()))
+            tokens.append(None if least is None else least[:TOKENS].view(np.int32).tolist())
+            sketches.append(None if least is None else least.astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-            names=["doc_id", "text_hash", "n_shingles", "set_id", "tokens"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "set_id", "tokens", "sketch"],
         )
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, shingles) of the sets in `wanted` (doc_id, text_hash of one of their documents), and of few others."""
     key = F.xxhash64("doc_id", "text_hash").alias("hash")
-    bitmap = bitmap_of(wanted.select(key), "hash")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(key), "hash"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         words = WordHashes()
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy())))
             for at in range(0, batch.num_rows, 256):
                 sets = [shingle_set(text.as_py(), words) for text in batch.slice(at, 256).column(1)]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "shingles"])
 
     rows = docs.withColumn("text_hash", F.xxhash64("text")).select(key, "text")
-    return rows.mapInArrow(found, "set_id binary, shingles array<bigint>")
+    made = rows.mapInArrow(found, "set_id binary, shingles binary")
+    return made.groupBy("set_id").agg(F.first("shingles").alias("shingles")).select(F.xxhash64("set_id").alias("hash"), "set_id", "shingles")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity of a link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).select(F.xxhash64("set_id").alias("hash"))
-    bitmap = bitmap_of(ends, "hash")
+def linked_pairs(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity of a link."""
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * common >= LINK * (len(left) + len(right) - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """Of pairs (meet, a, b) those (a, b) whose full sets reach the similarity of a link.
+
+    Each set travels once to each meeting that has a pair of it; meetings are dealt into buckets.
+    """
+    bucket = F.pmod(F.xxhash64("meet"), F.lit(buckets)).cast("int").alias("bucket")
+    ends = pairs.select("meet", F.explode(F.array("a", "b")).alias("set_id")).select(bucket, "set_id").distinct()
+    bitmap = sets.sparkSession.sparkContext.broadcast(bitmap_of(ends.select(F.xxhash64("set_id").alias("hash")), "hash"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy())))
-            yield kept.select([1, 2])
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy()))).select([1, 2])
+
+    near = sets.mapInArrow(named, "set_id binary, shingles binary")
+    sent = ends.join(near, "set_id").select("bucket", "set_id", "shingles")
 
-    near = sets.select(F.xxhash64("set_id").alias("hash"), "set_id", "shingles").mapInArrow(named, "set_id binary, shingles array<bigint>")
-    side = lambda name: near.select(F.col("set_id").alias(name), F.col("shingles").alias(f"_{name}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.where(100 * common >= LINK * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    def settled(looked: pa.Table, held: pa.Table) -> pa.Table:
+        at = {x: i for i, x in enumerate(held.column("set_id").to_pylist())}
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.column("shingles").combine_chunks()]
+        fine = [linked_pairs(shingles[at[a]], shingles[at[b]]) for a, b in zip(looked.column("a").to_pylist(), looked.column("b").to_pylist())]
+        return looked.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    dealt = pairs.select(bucket, "a", "b")
+    return dealt.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(settled, "a binary, b binary")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -135,51 +159,160 @@ def _fits(x: str, y: str) -> Column:
     return 100 * F.least(x, y) >= LINK * F.greatest(x, y)
 
 
-def _likely(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) that minwise tokens do not rule out."""
-    side = lambda name: vertices.select(F.col("set_id").alias(name), F.col("tokens").alias(f"_t{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    equal = F.size(F.filter(F.arrays_zip("_ta", "_tb"), lambda t: t["_ta"] == t["_tb"]))
-    return both.where(equal >= LEAST_EQUAL).select("a", "b")
-
-
-def _relabelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """`classes` (set_id, class) with the classes that `links` (a, b) join made one."""
-    name = lambda side: classes.select(F.col("set_id").alias(side), F.col("class").alias(f"_{side}"))
-    edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    edges = edges.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
-    merged = components(edges)
-    ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    every = ends.join(classes, "set_id", "full").select("set_id", F.coalesce("class", "set_id").alias("class"))
-    joined = every.join(merged, F.col("class") == F.col("vertex"), "left")
-    return stored(joined.select("set_id", F.coalesce("component", "class").alias("class")))
-
-
-def _mixed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold several classes, with the class, the node's most popular set and the pairs across classes."""
-    rows = nodes.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    per_class = rows.groupBy("node", "class").agg(F.count("*").alias("n"), F.min(F.struct("rank", "set_id", "n_shingles")).alias("head"))
-    whole = per_class.groupBy("node").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
-        F.count("*").alias("k"),
-        F.min("head").alias("head"),
-        F.max(F.struct("n", "class"))["class"].alias("most"),
-    )
-    whole = whole.where("k > 1").select("node", F.col("head.set_id").alias("head"), F.col("head.n_shingles").alias("head_n"), "most", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("across"))
-    return stored(rows.join(whole, "node"))
-
-
-def _compared(mixed: DataFrame, last: bool) -> DataFrame:
-    """Candidate pairs of mixed nodes: stars of all, and pairs across classes of those with few of them."""
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = mixed.where("set_id <> head").where(_fits("head_n", "n_shingles")).select(*ordered(F.col("head"), F.col("set_id")))
-    small = mixed if last else mixed.where(F.col("across") <= PAIRS_PER_SET * F.col("n"))
-    # of two sets of different classes one at least is outside the node's largest class
-    one = small.where("class <> most").select("node", F.col("set_id").alias("x"), F.col("class").alias("cx"), F.col("n_shingles").alias("nx"))
-    other = small.select("node", F.col("set_id").alias("y"), F.col("class").alias("cy"), F.col("n_shingles").alias("ny"), (F.col("class") == F.col("most")).alias("main"))
-    pairs = one.join(other, "node").where("cx <> cy and (main or x < y)").where(_fits("nx", "ny")).select(*ordered(F.col("x"), F.col("y")))
-    return stars.union(pairs)
+def agreeing(rows: pa.Table, best: bool) -> pa.Table:
+    """Pairs (meet, a, b) of sets of one meeting and different classes whose sketches agree.
+
+    `best` keeps two pairs of a set at most: the one with the most equal bytes, and the best one with its meeting's largest class.
+    """
+    rows = rows.sort_by("meet")
+    whole = lambda name: rows.column(name).combine_chunks()
+    meet, size = whole("meet").to_numpy(), whole("n_shingles").to_numpy()
+    label = whole("class").dictionary_encode().indices.to_numpy().astype(np.int64)
+    meet_number = np.cumsum(np.concatenate([[0], meet[1:] != meet[:-1]])) if len(meet) else meet
+    sketch = np.frombuffer(b"".join(whole("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
+    left, right, equal = [], [], []
+    for apart in range(1, rows.num_rows):
+        same = meet[apart:] == meet[:-apart]
+        if not same.any():
+            break
+        near = 100 * np.minimum(size[apart:], size[:-apart]) >= LINK * np.maximum(size[apart:], size[:-apart])
+        at = np.flatnonzero(same & near & (label[apart:] != label[:-apart]))
+        for low in range(0, len(at), PAIRS_TOGETHER):
+            block = at[low : low + PAIRS_TOGETHER]
+            alike = np.count_nonzero(sketch[block] == sketch[block + apart], axis=1)
+            good = alike >= LEAST_EQUAL
+            left.append(block[good])
+            right.append(block[good] + apart)
+            equal.append(alike[good])
+    left, right, equal = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right, equal))
+    if best and len(left):
+        # the largest class of each meeting, as the label of every row
+        pair = meet_number * (int(label.max()) + 1) + label
+        count = np.unique(pair, return_counts=True)[1][np.unique(pair, return_inverse=True)[1]]
+        order = np.lexsort((label, -count, meet_number))
+        largest = label[order[np.searchsorted(meet_number[order], meet_number)]]
+        keep = np.zeros(len(left), bool)
+        for one, other in ((left, right), (right, left)):
+            for rows_at in (np.arange(len(left)), np.flatnonzero(label[other] == largest[other])):
+                ordered_at = rows_at[np.lexsort((-equal[rows_at], one[rows_at]))]
+                first = np.ones(len(ordered_at), bool)
+                first[1:] = one[ordered_at][1:] != one[ordered_at][:-1]
+                keep[ordered_at[first]] = True
+        left, right = left[keep], right[keep]
+    names = whole("set_id")
+    a, b = names.take(pa.array(left)).to_pylist(), names.take(pa.array(right)).to_pylist()
+    ordered = [(x, y) if x < y else (y, x) for x, y in zip(a, b)]
+    return pa.table({"meet": pa.array(meet[left], pa.int64()), "a": pa.array([x for x, _ in ordered], pa.binary()), "b": pa.array([y for _, y in ordered], pa.binary())})
+
+
+def _best_agreeing(rows: pa.Table) -> pa.Table:
+    return agreeing(rows, best=True)
+
+
+def _all_agreeing(rows: pa.Table) -> pa.Table:
+    return agreeing(rows, best=False)
+
+
+class _Classes:
+    """The classes of the sets so far, and what their links were found from."""
+
+    def __init__(self, vertices: DataFrame, sets: DataFrame):
+        self.vertices, self.sets = vertices, sets
+        spark = vertices.sparkSession
+        self.classes = stored(spark.createDataFrame([], "set_id binary, class binary"))
+        self.tried: list[DataFrame] = []
+        # a bucket of confirmations holds about so many sets that their shingles stay within bounds
+        total = vertices.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+        self.buckets = max(1, -(-total // SHINGLES_TOGETHER)) * 16
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
+
+    def link(self, pairs: DataFrame) -> None:
+        """Confirm pairs (meet, a, b), each once however many meetings propose it, and join the classes of those that are links."""
+        pairs = pairs.groupBy("a", "b").agg(F.min("meet").alias("meet"))
+        for before in self.tried:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        if not pairs.limit(1).count():
+            discard(pairs)
+            return
+        links = stored(_confirmed(pairs, self.sets, self.buckets))
+        self.tried.append(pairs)
+        if len(self.tried) > 3:
+            joined = stored(reduce(DataFrame.union, self.tried))
+            discard(*self.tried)
+            self.tried = [joined]
+        if not links.limit(1).count():
+            discard(links)
+            return
+        name = lambda side: self.classes.select(F.col("set_id").alias(side), F.col("class").alias(f"_{side}"))
+        edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+        edges = edges.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
+        merged = components(edges)
+        ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        every = ends.join(self.classes, "set_id", "full").select("set_id", F.coalesce("class", "set_id").alias("class"))
+        joined = every.join(merged, F.col("class") == F.col("vertex"), "left")
+        after = stored(joined.select("set_id", F.coalesce("component", "class").alias("class")))
+        discard(links, merged, self.classes)
+        self.classes = after
+
+    def heads(self, rows: DataFrame) -> None:
+        """Compare each set of (set_id, n_shingles, class, most) with the most popular set of the class `most`, once."""
+        head = self.of(self.vertices.select("set_id", "n_shingles", "rank", "sketch")).groupBy("class").agg(F.min(F.struct("rank", "set_id", "n_shingles", "sketch")).alias("h"))
+        head = head.select(F.col("class").alias("most"), F.col("h.set_id").alias("b"), F.col("h.n_shingles").alias("bn"), F.col("h.sketch").alias("_b"))
+        near = rows.where("class <> most").select("set_id", "most").distinct().join(head, "most")
+        near = near.join(self.vertices.select("set_id", "n_shingles", "sketch"), "set_id").where(_fits("n_shingles", "bn"))
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+                yield batch.filter(pa.array(np.count_nonzero(one == other, axis=1) >= LEAST_EQUAL)).select([0, 1])
+
+        pairs = near.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"), "sketch", "_b").mapInArrow(alike, "a binary, b binary")
+        # confirmed in meetings of a head with some of its sets
+        self.link(pairs.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(64))).alias("meet"), "a", "b"))
+
+    def meet(self, rows: DataFrame) -> None:
+        """Compare the sets of each meeting (meet, set_id) across classes: two rounds of the best pairs of each set, then all that is still between classes."""
+        total = rows.count()
+        if not total:
+            return
+        known = self.vertices.select("set_id", "n_shingles", "sketch")
+        bucket = F.pmod(F.xxhash64("meet", F.lit(1)), F.lit(-(-total // ROWS_TOGETHER) * 4)).cast("int").alias("bucket")
+        for pick in (_best_agreeing, _best_agreeing, _all_agreeing):
+            now = stored(self.of(rows))
+            mixed = now.groupBy("meet").agg((F.min("class") != F.max("class")).alias("several")).where("several").select("meet")
+            left = stored(now.join(mixed, "meet", "left_semi"))
+            discard(now)
+            if left.limit(1).count():
+                dealt = left.join(known, "set_id").select(bucket, "meet", "n_shingles", "class", "set_id", "sketch")
+                self.link(dealt.groupBy("bucket").applyInArrow(pick, "meet bigint, a binary, b binary"))
+            discard(left)
+
+
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """Rows of the nodes that hold several classes, with the class, the node's largest class, its size and the sets outside it."""
+    per_class = nodes.groupBy("node", "class").agg(F.count("*").alias("n"))
+    whole = per_class.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "class")).alias("m"))
+    whole = whole.where("k > 1").select("node", "n", F.col("m.class").alias("most"), (F.col("n") - F.col("m.n")).alias("others"))
+    return nodes.join(whole, "node")
+
+
+def _meetings(mixed: DataFrame, last: bool) -> DataFrame:
+    """(meet, set_id): whole small nodes; of larger ones the sets outside the largest class with blocks of it; at the last level blocks by blocks."""
+    blocks = F.ceil(F.col("n") / SMALL).cast("int")
+    block = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    named = lambda *parts: F.xxhash64("node", *parts).alias("meet")
+    small = mixed.where(F.col("n") <= SMALL).select(named(), "set_id")
+    main = mixed.where((F.col("n") > SMALL) & (F.col("others") <= SMALL))
+    inside = main.where("class = most").select(named(block), "set_id")
+    beside = main.where("class <> most").select("node", "set_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i")).select(named("i"), "set_id")
+    out = small.union(inside).union(beside)
+    if last:
+        large = mixed.where((F.col("n") > SMALL) & (F.col("others") > SMALL)).select("node", "set_id", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+        out = out.union(large.select(named(F.least("own", "i"), F.greatest("own", "i")), "set_id"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,65 +321,55 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sketched = stored(
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-            _sketched, f"doc_id {id_type}, text_hash bigint, n_shingles bigint, set_id binary, tokens array<int>"
+            _sketched, f"doc_id {id_type}, text_hash bigint, n_shingles bigint, set_id binary, tokens array<int>, sketch binary"
         )
     )
-    one = F.min(F.struct("doc_id", "text_hash", "n_shingles", "tokens")).alias("o")
-    vertices = sketched.where("set_id is not null").groupBy("set_id").agg(one).select("set_id", "o.*")
+    one = F.min(F.struct("doc_id", "text_hash", "n_shingles", "tokens", "sketch")).alias("o")
+    different = stored(sketched.where("set_id is not null").groupBy("set_id").agg(one).select("set_id", "o.*"))
     # a first star on one token, and the roots of the trees on two
     token = lambda i: F.get("tokens", F.lit(i))
     paths = [F.struct(F.lit(-1).alias("tree"), F.xxhash64(F.lit(-1), token(TOKENS - 1)).alias("node"))]
-    paths += [F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), token(2 * r), token(2 * r + 1)).alias("node")) for r in range(TREES)]
-    vertices = stored(vertices)
-    roots = vertices.select("set_id", "n_shingles", F.explode(F.array(*paths)).alias("p")).select("p.*", "set_id", "n_shingles")
+    paths += [F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), token(2 * r % TOKENS), token((2 * r + 1) % TOKENS)).alias("node")) for r in range(TREES)]
+    roots = different.select("set_id", F.explode(F.array(*paths)).alias("p")).select("p.*", "set_id")
     shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     nodes = stored(roots.join(shared, "node"))
     # the more sets meet a set in its nodes, the lower its rank
     popular = nodes.groupBy("set_id").agg((-F.sum("n")).alias("rank"))
     # only sets that share a node can be linked; their shingles are worked out once
-    vertices = stored(vertices.join(popular, "set_id"))
-    nodes = stored(nodes.join(vertices.select("set_id", "rank"), "set_id").select("tree", "node", "set_id", "n_shingles", "rank"))
+    vertices = stored(different.join(popular, "set_id"))
+    discard(different)
     sets = stored(_sets(docs, vertices.select("doc_id", "text_hash")))
-
-    tried: list[DataFrame] = []
-
-    def linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Classes after the links among `pairs`; a pair is looked at once, however many nodes and levels it shares."""
-        pairs = pairs.select("a", "b").distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tried[:] = [reduce(DataFrame.union, [*tried, pairs])]
-        links = stored(_confirmed(stored(_likely(pairs, vertices)), sets))
-        return _relabelled(classes, links)
+    found = _Classes(vertices, sets)
 
     # the first star joins the large groups before the trees are looked at
-    first_nodes = nodes.where("tree < 0")
-    heads = first_nodes.groupBy("node").agg(F.min(F.struct("rank", "set_id", "n_shingles")).alias("h")).select("node", F.col("h.set_id").alias("a"), F.col("h.n_shingles").alias("an"))
-    stars = first_nodes.join(heads, "node").where("set_id <> a").where(_fits("an", "n_shingles"))
-    stars = stars.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b"))
-    classes = docs.sparkSession.createDataFrame([], "set_id binary, class binary")
-    classes = linked(stars, classes)
-    nodes = nodes.where("tree >= 0").drop("tree")
-    for level in range(LEVELS):
-        last = level == LEVELS - 1
-        mixed = _mixed(nodes, classes)
-        classes = linked(_compared(mixed, last), classes)
-        large = mixed.where(F.col("across") > PAIRS_PER_SET * F.col("n")).select("node", "set_id")
-        if last or not large.limit(1).count():
+    found.heads(_mixed(found.of(nodes.where("tree < 0").select("node", "set_id"))))
+    level = stored(nodes.where("tree >= 0").select("node", "set_id"))
+    discard(nodes)
+    found.heads(_mixed(found.of(level)))
+    for depth in range(LEVELS + 1):
+        mixed = stored(_mixed(found.of(level)))
+        discard(level)
+        meetings = stored(_meetings(mixed, depth == LEVELS))
+        found.meet(meetings)
+        discard(meetings)
+        large = mixed.where((F.col("n") > SMALL) & (F.col("others") > SMALL)).select("node", "set_id")
+        if depth == LEVELS or not large.limit(1).count():
+            discard(mixed)
             break
-        chosen = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(TOKENS)).cast("int")))
-        branched = large.join(vertices.select("set_id", "n_shingles", "rank", "tokens"), "set_id").select("node", "set_id", "n_shingles", "rank", "tokens", chosen.alias("at"))
-        branched = branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "set_id", "n_shingles", "rank").distinct()
-        nodes = stored(branched)
+        chosen = F.array(F.pmod(F.xxhash64("node", F.lit(0)), F.lit(TOKENS)).cast("int"), F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < SECOND_CHILD, F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")))
+        branched = large.join(vertices.select("set_id", "tokens"), "set_id").select("node", "set_id", "tokens", F.explode(F.array_distinct(F.array_compact(chosen))).alias("at"))
+        level = stored(branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "set_id"))
+        discard(mixed)
 
-    named = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes, "set_id", "left")
+    named = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(found.classes, "set_id", "left")
     named = named.withColumn("class", F.coalesce("class", "set_id"))
     # documents with an empty set stand alone and take no part in the join below
     first = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    return named.join(first, "class", "left").select(
+    result = named.join(first, "class", "left").select(
         "doc_id", "text_hash", "n_shingles", "set_id", F.coalesce("first", "doc_id").alias("component_id")
     )
+    discard(vertices, sets, *found.tried)
+    return result
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

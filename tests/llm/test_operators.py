@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from alertweave.llm import decontamination, lines, neardup, packing, quality, sharding, suffixes, toxicity
+from alertweave.llm import centroids, decontamination, divergence, graphs, lines, neardup, packing, quality, sharding, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASHES = {"n_words": 5, "kept": 6, "shard": 7, "size": 8, "words": 9, "component_id": 1, "score": 2, "hits": 3, "spans": 4}
@@ -298,3 +298,182 @@ def test_empty_tables(spark, corpus):
         assert frame.count() == 0
     assert not decontamination.contamination(corpus(), items).where("contaminated").count()
     assert toxicity.toxicity_scores(corpus(), labels).count() == len(corpus.rows)
+
+
+def divergence_by_hand(rows, least=3, top=200):
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))) for _, text, lang, source, *_ in rows]
+    out = set()
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        spread = Counter(t for _, _, words in own for t in set(words))
+        kept = sorted(t for t, n in spread.items() if n >= least)
+        sources = sorted({d[1] for d in own})
+        counts = {s: Counter(t for _, source, words in own if source == s for t in words if spread[t] >= least) for s in sources}
+
+        def share(count, total):
+            return {t: 1 + 1_000_000_000 * (count[t] + 1) // (total + len(kept)) for t in kept}
+
+        p = {s: share(c, sum(c.values())) for s, c in counts.items()}
+        every = sum(counts.values(), Counter())
+        q = share(every, sum(every.values()))
+        for s in sources:
+            pairs = [(sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o) for o in sources if o != s]
+            terms = [((p[s][t] - q[t]) ** 2 // q[t], t) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                ranked = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out |= {(lang, s, part, item, value, i + 1) for i, (value, item) in enumerate(ranked) if part == "pair" or i < top}
+    return out
+
+
+def test_source_divergence(spark, corpus):
+    long = ["ab" * 40 + "é", "ab" * 40 + "è", "x" * 5000, "x" * 4999, "abc", "abcd", "abcdefgh", "abcdefghi"]
+    more = [(900 + i, " ".join(long[: i + 2] * 2), "xx", f"s{i % 3}", 0) for i in range(8)] + [(900, "dup dup", None, None, 0), (900, "dup", None, None, 0), (None, "dup", None, "", 0), (950, "lone", "zz", "a", 0), (951, None, "zz", "b", 0)]
+    found = divergence.source_divergence(corpus({"term": 1, "rank": 2, "terms": 3, "bucket": 4}, more)).collect()
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == divergence_by_hand([*corpus.rows, *more])
+    assert divergence.source_divergence(corpus().limit(0)).count() == 0
+
+
+def test_divergence_of_large_counts():
+    counts = np.array([0, 1, 10**11], np.int64)
+    total, terms = 10**12, 3
+    assert divergence.shares(counts, total, terms).tolist() == [1 + 10**9 * (c + 1) // (total + terms) for c in counts.tolist()]
+    values = np.full(40, 10**18, np.int64)
+    assert divergence.exact_sum(values) == 40 * 10**18
+
+
+def vectors_frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, cluster int, v int, rank int, score int, shard int").repartition(3)
+
+
+def odd_vectors(rng, n):
+    """Unit vectors with copies, ties, nulls and other lengths."""
+    points = rng.normal(size=(n, 64)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    rows += [(10_000 + i, points[7].tolist()) for i in range(120)]
+    rows += [(20_000, None), (20_020, []), (20_040, [0.0] * 64), (20_060, [float("nan")] + [1.0] * 63), (20_080, [None] + [1.0] * 63), (20_100, [1.0] * 63), (20_120, [float("inf")] * 64)]
+    rows += [(None, points[3].tolist()), (40, points[11].tolist())]
+    return [(*r, 1, 2, 3, 4, 5) for r in rows]
+
+
+def test_centroids_against_plain_rounds(spark):
+    rows = odd_vectors(np.random.default_rng(5), 300)
+    kept = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v, *_ in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    middle = [v for _, v in order[:8]]
+    apart = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), i) for i, c in enumerate(middle))
+    for _ in range(10):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[apart(v)[1]].append(v)
+        middle = [[sum(x) // len(groups[i]) for x in zip(*groups[i])] if groups[i] else c for i, c in enumerate(middle)]
+    final = [(i, *apart(v)) for i, v in kept]
+    own = Counter()
+    for _, d, c in final:
+        own[c] += d
+    sums = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in middle]
+    want = sorted((str(i), c, d, own[c], sum(own.values()), sums[c]) for i, d, c in final)
+    frame = vectors_frame(spark, rows)
+    assert sorted((str(r[0]), *r[1:]) for r in centroids.cluster_vectors(frame).collect()) == want
+    assert centroids.cluster_vectors(frame.limit(0)).count() == 0
+    assert {r["cluster"] for r in centroids.cluster_vectors(frame.where("vec_id < 3")).collect()} == {0, 1, 2}
+
+
+def test_vantage_tree_breaks_ties_and_prunes():
+    rng = np.random.default_rng(2)
+    middle = rng.integers(-3, 4, (60, 64))
+    middle[40:] = middle[:20]
+    vectors = np.concatenate([rng.integers(-3, 4, (500, 64)), middle, (middle[:30] + middle[30:]) // 2])
+    tree = centroids.VantageTree(middle)
+    number, best, looked = tree.nearest(vectors)
+    every = ((vectors[:, None, :] - middle[None]) ** 2).sum(axis=2)
+    assert (number == every.argmin(axis=1)).all() and (best == every.min(axis=1)).all()
+    around = np.repeat(1000 * np.arange(60)[:, None], 64, axis=1)
+    _, _, looked = centroids.VantageTree(around).nearest(around)
+    assert looked < 60 * 60 / 2
+
+
+def test_nearest_graphs(spark):
+    rng = np.random.default_rng(9)
+    rows = odd_vectors(rng, 3000)
+    # lengths differ, so the largest inner product is not the nearest direction
+    rows = [(i, None if v is None else [None if x is None else x * (1 + (i or 0) % 3) for x in v], *rest) for i, v, *rest in rows]
+    frame = vectors_frame(spark, rows)
+    found = defaultdict(list)
+    for r in graphs.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    sound = [(i, np.float32(v).astype(float)) for i, v, *_ in rows if i is not None and v and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, points = np.array([i for i, _ in sound]), np.stack([v for _, v in sound])
+    hit = asked = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        if ids[at] == 40:  # asked by two rows, tested for its number of answers
+            continue
+        score = points @ points[at]
+        others = np.delete(np.arange(len(ids)), at)
+        best = others[np.lexsort((ids[others], -score[others].round(9)))][:20]
+        own = sorted(found[int(ids[at])])
+        assert [rank for rank, _, _ in own] == list(range(1, 21)) and int(ids[at]) not in [x for _, x, _ in own]
+        assert all(abs(s - score[np.flatnonzero(ids == x)[0]]) < 1e-9 for _, x, s in own if x != 40)
+        assert [s for _, _, s in own] == sorted((s for _, _, s in own), reverse=True)
+        hit += len({x for _, x, _ in own} & set(ids[best].tolist()))
+        asked += 20
+    assert hit / asked >= 0.95
+    assert len(found[40]) == 40
+    # a copy's nearest are the longest copies of smallest id; what has its own length asks alone
+    assert [x for _, x, _ in sorted(found[10_000])] == list(range(10_001, 10_120, 3))[:20]
+    assert 20_100 not in found
+    few = frame.where("vec_id < 5")
+    assert graphs.nearest(few, few.where("vec_id = 0")).count() == 4
+    assert graphs.nearest(frame.limit(0), frame.limit(0)).count() == 0
+    index = graphs.build_index(frame)
+    assert index.where("dims = 64").select("shard").distinct().count() >= graphs.LEAST_SHARDS
+    assert index.agg(F.sum(F.size("ids"))).first()[0] <= len(rows)
+
+
+def test_neardup_of_masses_below_the_threshold(spark):
+    """Texts that share one block, at a similarity of about 0.55: rows shrink and pairs do not multiply."""
+    rng = np.random.default_rng(4)
+    sizes = []
+    for n in (300, 600):
+        block = " ".join(f"b{i}" for i in range(150))
+        texts = [block + " " + " ".join(f"t{k}w{i}" for i in rng.integers(0, 10**6, 50)) for k in range(n)]
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        seen = []
+        link = neardup._Classes.link
+
+        def counted(self, pairs):
+            link(self, pairs)
+            seen.append(self.tried[-1].count())
+
+        neardup._Classes.link = counted
+        try:
+            rows = neardup.near_duplicates(frame).collect()
+        finally:
+            neardup._Classes.link = link
+        assert all(r["component_id"] == r["doc_id"] for r in rows)
+        sizes.append(sum(seen))
+    assert sizes[1] <= 6 * max(sizes[0], 600) and sizes[1] < 600 * 599 / 2 / 10
+
+
+def test_neardup_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.80 beside groups of 0.5 to 0.7."""
+    rng = np.random.default_rng(6)
+    texts, linked = [], 0
+    for k in range(150):
+        base = [f"g{k}w{i}" for i in range(204)]
+        other = base[:-24] + [f"g{k}x{i}" for i in range(24)]  # 180 - 4 of 200 + 24 shingles
+        texts += [" ".join(base), " ".join(other)]
+        common = {tuple(base[i : i + 5]) for i in range(200)} & {tuple(other[i : i + 5]) for i in range(200)}
+        assert 0.75 <= len(common) / (400 - len(common)) < 0.8
+        linked += 1
+    for k in range(5):
+        block = [f"m{k}w{i}" for i in range(160)]
+        texts += [" ".join(block + [f"m{k}t{j}w{i}" for i in range(int(rng.integers(30, 60)))]) for j in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(150)) >= 0.99 * linked
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    for i in range(300, len(texts)):
+        if found[i] == i:
+            assert not any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(300, i))
