@@ -607,21 +607,29 @@ def b3(spark, sf_dir):
     return rounded(B.paired_inference(selected, ["budget_design"], "blend_prior", "pattern_prior", CONFIRMATORY))
 
 
+_METRICS = ("recall_gain", "workload_difference", "strict_macro_f1_gain")
+
+
 @query(
     "b4_holm",
     with_(
         *PBASE,
-        """pv AS (SELECT scenario, seed, (1 + row_number() OVER (PARTITION BY seed ORDER BY recall_gain, scenario)) / 200.0::DOUBLE AS p FROM gains),
-           st AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY p) AS rk, count(*) OVER (PARTITION BY seed) AS m FROM pv)""",
-        """SELECT scenario, seed, round(p, 6) AS p, m AS family_size, round(least(max((m - rk + 1) * p) OVER (PARTITION BY seed ORDER BY rk), 1), 6) AS p_holm FROM st""",
+        "ef AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, scenario, avg({m}) AS effect FROM gains GROUP BY scenario" for m in _METRICS) + ")",
+        """ar AS (SELECT metric, list(effect ORDER BY scenario) AS e, count(*) AS n FROM ef WHERE effect IS NOT NULL GROUP BY 1),
+           fl AS (SELECT metric, list_sum([CASE WHEN (mask >> (i - 1)::INT) & 1 = 1 THEN e[i] ELSE -e[i] END for i in range(1, n + 1)]) / n AS m, list_sum(e) / n AS obs
+                  FROM ar CROSS JOIN (SELECT range AS mask FROM range(256)) WHERE mask < (1 << n::INT)),
+           pv AS (SELECT metric, avg(CASE WHEN m >= obs - 1e-15 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM fl GROUP BY 1),
+           st AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS rk, count(*) OVER () AS m FROM pv)""",
+        "SELECT metric, round(p, 6) AS p, m AS family_size, round(least(max((m - rk + 1) * p) OVER (ORDER BY rk), 1), 6) AS p_holm FROM st",
     ),
 )
 def b4(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("recall_gain", "scenario"))
-    tests = pairs(spark, sf_dir).select("scenario", "seed", ((rank + 1) / F.lit(200.0)).alias("p"))
-    return rounded(B.holm(tests, ["seed"]))
+    """Sign-flip p-values of the study's three effects, adjusted as one family."""
+    gains = pairs(spark, sf_dir)
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in _METRICS]))
+    effect = gains.select("scenario", each).groupBy("metric", "scenario").agg(F.avg("value").alias("effect"))
+    tests = B.sign_flip_p(effect, ["metric"]).withColumn("family", F.lit("study"))
+    return rounded(B.holm(tests, ["family"]).drop("family"))
 
 
 @query(

@@ -477,6 +477,26 @@ def b11(spark, sf_dir):
 # ---- checks --------------------------------------------------------------------------------------
 
 
+_EXPECTED = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "bigint"), ("host", "string")]
+
+
+@query(
+    "v1_column_violations",
+    with_(
+        "want AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _EXPECTED) + ") v(name, type))",
+        "have AS (SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS actual FROM (DESCRIBE events))",
+        """filled AS (UNPIVOT (SELECT count(event_id) AS event_id, count(ts) AS ts, count(user_id) AS user_id, count(event_type) AS event_type, count("value") AS "value", count(props) AS props FROM events)
+                     ON COLUMNS(*) INTO NAME name VALUE n)""",
+        """SELECT coalesce(h.name, w.name) AS "column", CASE WHEN h.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'unexpected' ELSE 'type' END AS problem, coalesce(n, 0) AS filled
+           FROM have h FULL JOIN want w ON h.name = w.name LEFT JOIN filled f ON f.name = h.name WHERE h.name IS NULL OR w.name IS NULL OR type <> actual""",
+    ),
+)
+def v1(spark, sf_dir):
+    """The events table against a schema that misses one of its columns, wants one that it lacks and another type of a third."""
+    return V.column_violations(A.read_table(spark, sf_dir, "events"), spark.createDataFrame(_EXPECTED, "column string, type string"))
+
+
+
 @query(
     "v2_null_counts",
     with_(

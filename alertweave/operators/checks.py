@@ -14,6 +14,21 @@ def column_differences(df: DataFrame, expected: Iterable[str], exact: bool = Tru
     return sorted([f"-{c}" for c in want - have] + ([f"+{c}" for c in have - want] if exact else []))
 
 
+def column_violations(df: DataFrame, expected: DataFrame, exact: bool = True) -> DataFrame:
+    """`column, problem, filled`: columns that are missing, of another type or, when `exact`, unexpected, with the rows that fill them.
+
+    The schema is a relation: `expected` has `column, type`. The rows are read once.
+    """
+    spark = df.sparkSession
+    types = spark.createDataFrame(df.dtypes, "column string, actual string")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    filled = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("filled")) for c in df.columns])))
+    joined = types.join(filled, "column").join(expected.select("column", "type"), "column", "full")
+    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("type").isNull(), "unexpected").when(F.col("type") != F.col("actual"), "type")
+    found = joined.select("column", problem.alias("problem"), F.coalesce("filled", F.lit(0)).cast("long").alias("filled")).filter("problem IS NOT NULL")
+    return found if exact else found.filter("problem <> 'unexpected'")
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     names = list(columns or df.columns)
     counts = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in names])
