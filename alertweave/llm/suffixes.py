@@ -44,8 +44,8 @@ REACH = SPAN - GRAM
 #: A bucket holds about so many anchors; a gram with more surroundings in a bucket travels by string.
 BUCKET_ANCHORS = 600_000
 FREQUENT = 5_000
-#: Documents sampled for the splitters (expected number).
-SAMPLED = 3_000
+#: Documents sampled for the splitters (expected number), and for each bucket where that is more.
+SAMPLED, SAMPLED_PER_BUCKET = 3_000, 30
 #: Strings sorted at once, and bytes of a text hashed at once.
 SORT_STRINGS = 150_000
 _CHUNK = 1 << 16
@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     schema = "bucket int, gram bigint, around bigint, doc bigint, place bigint, spread boolean"
     splitters = np.empty(0, np.int64)
-    share = min(1.0, SAMPLED / max(1, total["n"]))
+    share = min(1.0, max(SAMPLED, SAMPLED_PER_BUCKET * buckets) / max(1, total["n"]))
     sample = rows.where(F.pmod(F.xxhash64("doc", "salt", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(anchored, schema)
     quantiles = [i / buckets for i in range(1, buckets)]
     found = sample.agg(F.percentile_approx("gram", quantiles, 1_000_000).alias("q")).first()["q"] if quantiles else None
