@@ -37,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ LEAST_EQUAL = int(SKETCH * 0.75 - 4.5 * (SKETCH * 0.75 * 0.25) ** 0.5)
 #: Chosen children: one, and a second one in so many hundredths of the nodes.
 SECOND_CHILD = 33
 #: Sets that a task compares together, shingles that it confirms together, and pairs of sketches looked at in one block.
-ROWS_TOGETHER, SHINGLES_TOGETHER, PAIRS_TOGETHER = 20_000, 4_000_000, 1 << 16
+ROWS_TOGETHER, SHINGLES_TOGETHER, PAIRS_TOGETHER = 10_000, 4_000_000, 1 << 13
 #: Shingles hashed at once, which bounds the memory of long texts.
 _CHUNK = 1024
 
@@ -170,7 +171,7 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
     label = whole("class").dictionary_encode().indices.to_numpy().astype(np.int64)
     meet_number = np.cumsum(np.concatenate([[0], meet[1:] != meet[:-1]])) if len(meet) else meet
     sketch = np.frombuffer(b"".join(whole("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
-    left, right, equal = [], [], []
+    left, right, equal = [], [], []  # 32-bit places, as a mass of near copies may give many
     for apart in range(1, rows.num_rows):
         same = meet[apart:] == meet[:-apart]
         if not same.any():
@@ -181,10 +182,10 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
             block = at[low : low + PAIRS_TOGETHER]
             alike = np.count_nonzero(sketch[block] == sketch[block + apart], axis=1)
             good = alike >= LEAST_EQUAL
-            left.append(block[good])
-            right.append(block[good] + apart)
-            equal.append(alike[good])
-    left, right, equal = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right, equal))
+            left.append(block[good].astype(np.int32))
+            right.append((block[good] + apart).astype(np.int32))
+            equal.append(alike[good].astype(np.int32))
+    left, right, equal = (np.concatenate([*x, np.empty(0, np.int32)]) for x in (left, right, equal))
     if best and len(left):
         # the largest class of each meeting, as the label of every row
         pair = meet_number * (int(label.max()) + 1) + label
@@ -200,9 +201,11 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
                 keep[ordered_at[first]] = True
         left, right = left[keep], right[keep]
     names = whole("set_id")
-    a, b = names.take(pa.array(left)).to_pylist(), names.take(pa.array(right)).to_pylist()
-    ordered = [(x, y) if x < y else (y, x) for x, y in zip(a, b)]
-    return pa.table({"meet": pa.array(meet[left], pa.int64()), "a": pa.array([x for x, _ in ordered], pa.binary()), "b": pa.array([y for _, y in ordered], pa.binary())})
+    rank = np.empty(rows.num_rows, np.int64)
+    rank[pc.sort_indices(names).to_numpy()] = np.arange(rows.num_rows)
+    turned = rank[left] > rank[right]
+    left, right = np.where(turned, right, left), np.where(turned, left, right)
+    return pa.table({"meet": pa.array(meet[left], pa.int64()), "a": names.take(pa.array(left)), "b": names.take(pa.array(right))})
 
 
 def _best_agreeing(rows: pa.Table) -> pa.Table:
