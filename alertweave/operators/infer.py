@@ -7,8 +7,10 @@ from `md5(seed | iteration | slot)`, so results repeat in any engine.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from alertweave.functions.ratios import ratio_or_null
 from alertweave.operators.points import safety_limit
 from alertweave.session import cut_lineage
 
+try:  # the interpreter's own function takes half the time of OpenSSL's on short texts
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 _EXACT_UNITS = 20
 _MONTE_CARLO = 100_000
 
@@ -187,8 +194,9 @@ LARGEST_EXACT_MEAN = 64
 #: Values of a draw that are listed: at a mean of 64 the rest has a probability under 1e-20.
 _DRAW_VALUES = 172
 _PLAIN_VALUES = 16
-#: Iterations that a task draws for all groups dealt to it.
+#: Iterations that are drawn for a group at a time, and tasks for each such block.
 _ITERATION_BLOCK = 1_000
+_TASKS_PER_BLOCK = 4
 
 
 def _poisson_functions(groups: DataFrame, mean: str) -> DataFrame:
@@ -217,6 +225,37 @@ def poisson_weight(mean: Column, cdf: Column, first: Column, second: Column) ->
     return F.when(mean <= LARGEST_EXACT_MEAN, passed + rest).otherwise(large).cast("long")
 
 
+def poisson_draws(mean: int, cdf: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """`poisson_weight` of one mean for an array of key pairs."""
+    u, v = ((keys[:, i] + 0.5) / 4_294_967_296.0 for i in (0, 1))
+    if mean <= LARGEST_EXACT_MEAN:
+        return np.searchsorted(cdf, u, side="left")
+    z = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * math.pi * v)
+    return np.maximum(np.floor(mean + math.sqrt(mean) * z + (z * z - 1.0) / 6.0 + 0.5), 0).astype("int64")
+
+
+def _sums_of_draws(seed: int, iterations: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per iteration, the weighted counts of the groups that a task meets; it holds sums, never the draws of two groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, sums = {}, {}
+        for batch in batches:
+            for length, baseline, selector, copies, cdf, block in batch.itertuples(index=False, name=None):
+                if block not in sums:
+                    span = range(block * _ITERATION_BLOCK, min((block + 1) * _ITERATION_BLOCK, iterations))
+                    heads[block], sums[block] = [f"{seed}|{i}|".encode() for i in span], np.zeros((len(span), 3), "int64")
+                tail = f"{length}|{baseline}|{selector}".encode()
+                digests = b"".join([md5(head + tail).digest() for head in heads[block]])
+                keys = np.frombuffer(digests, ">u4").reshape(-1, 4)
+                sums[block] += np.outer(poisson_draws(copies, cdf, keys), np.array([length, baseline, selector], "int64"))
+        for block, total in sums.items():
+            part = pd.DataFrame(total, columns=["_d", "_b", "_s"])
+            part.insert(0, "iteration", np.arange(len(part), dtype="int32") + block * _ITERATION_BLOCK)
+            yield part
+
+    return run
+
+
 def grouped_ratio_bootstrap(
     sequences: DataFrame, iterations: int = 20_000, seed: int = 20_260_903, seeds: int = 1, scale: float = 1.0
 ) -> DataFrame:
@@ -228,19 +267,12 @@ def grouped_ratio_bootstrap(
     """
     groups = sequences.groupBy("length", "baseline", "selector").agg(F.count("*").alias("copies"))
     drawn = groups.join(F.broadcast(_poisson_functions(groups, "copies")), "copies", "left")
-    # the groups may be few: blocks of iterations are dealt to tasks
-    drawn = drawn.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _ITERATION_BLOCK))))
-    drawn = drawn.repartition(-(-iterations // _ITERATION_BLOCK), "_block")
-    first = F.col("_block") * _ITERATION_BLOCK
-    drawn = drawn.withColumn("iteration", F.explode(F.sequence(first, F.least(first + _ITERATION_BLOCK, F.lit(iterations)) - 1)))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("iteration", "length", "baseline", "selector")]))
-    key = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    # a generated row is a fence: what it holds is worked out once, however often it is used
-    drawn = drawn.withColumn("_keys", F.explode(F.array(F.struct(key(1).alias("a"), key(9).alias("b")))))
-    drawn = drawn.withColumn("_w", F.explode(F.array(poisson_weight(F.col("copies"), F.col("_cdf"), F.col("_keys.a"), F.col("_keys.b")))))
-    summed = drawn.groupBy("iteration").agg(
-        F.sum(F.col("_w") * F.col("length")).alias("_d"), F.sum(F.col("_w") * F.col("baseline")).alias("_b"), F.sum(F.col("_w") * F.col("selector")).alias("_s")
-    )
+    # groups may be few or many: pairs of a group and a block of iterations are dealt evenly
+    blocks = -(-iterations // _ITERATION_BLOCK)
+    drawn = drawn.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks * _TASKS_PER_BLOCK)
+    summed = drawn.select("length", "baseline", "selector", "copies", "_cdf", "_block").mapInPandas(
+        _sums_of_draws(seed, iterations), "iteration int, _d long, _b long, _s long"
+    ).groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("_d", "_b", "_s")])
     # a draw may leave no sequence: it has no rate and no part in the interval
     rate = lambda c: F.try_divide(F.lit(scale) * F.col(c), F.lit(seeds) * F.col("_d"))
     rates = summed.select("iteration", rate("_b").alias("baseline_rate"), rate("_s").alias("selector_rate"))
@@ -265,12 +297,14 @@ def subset_sensitivity(rows: DataFrame, trained: DataFrame, seed: int = 260_908)
     unseen sequences; the flags name criteria that cannot bind: a limit above all events, nearly everything in review,
     nearly all normal events escalated, mostly seen content.
     """
-    marked = rows.join(trained.select("pattern", F.lit(True).alias("_seen")), "pattern", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
     flagged = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    totals = marked.groupBy("seq_id", "label", "_seen").agg(
+    # tokens are added up before sequences meet the seen contents
+    whole_lines = rows.groupBy("seq_id", "label", "pattern").agg(
         F.count("*").alias("length"), flagged("baseline").alias("baseline"), flagged("selector").alias("selector"),
         F.sum((F.col("baseline") != 0).cast("long")).alias("_review"),
     )
+    marked = whole_lines.join(trained.select("pattern", F.lit(True).alias("_seen")), "pattern", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    totals = marked.groupBy("seq_id", "label", "_seen").agg(*[F.sum(c).alias(c) for c in ("length", "baseline", "selector", "_review")])
     totals = cut_lineage(totals)
     fresh = totals.filter("NOT _seen")
     gain = interval(grouped_ratio_bootstrap(fresh.filter("label = 1"), seed=seed), "gain")

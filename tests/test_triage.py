@@ -320,6 +320,32 @@ def test_poisson_weights_follow_their_distribution(spark):
         assert r["m"] == pytest.approx(r["copies"], abs=4 * (r["copies"] / 4000) ** 0.5) and r["v"] == pytest.approx(r["copies"], rel=0.12)
 
 
+def test_draws_of_a_task_are_the_column_draws(spark):
+    """Draws made in blocks inside tasks give the sums of the column form, for means on both sides of the limit."""
+    sizes = {(10, 1, 3): 1, (20, 5, 2): 7, (7, 0, 7): 64, (30, 4, 9): 400}
+    df = spark.createDataFrame([k for k, n in sizes.items() for _ in range(n)], "length long, baseline long, selector long")
+    groups = df.groupBy("length", "baseline", "selector").agg(F.count("*").alias("copies"))
+    rows = groups.join(B._poisson_functions(groups, "copies"), "copies", "left").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1499))))
+    digest = F.md5(F.concat_ws("|", F.lit("5"), *[F.col(c).cast("string") for c in ("i", "length", "baseline", "selector")]))
+    first, second = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    rows = rows.withColumn("w", B.poisson_weight(F.col("copies"), F.col("_cdf"), first, second))
+    rate = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum(F.col("w") * F.col("length"))
+    want = {r["i"]: (r["b"], r["s"]) for r in rows.groupBy("i").agg(rate("baseline").alias("b"), rate("selector").alias("s")).collect()}
+    got = {r["iteration"]: (r["baseline_rate"], r["selector_rate"]) for r in B.grouped_ratio_bootstrap(df, 1500, seed=5).collect()}
+    assert got == want and len(got) == 1500
+    # the parts that leave the tasks are sums over iterations; no row is made for a draw
+    plan = B.grouped_ratio_bootstrap(df, 1500, seed=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and plan.count("Generate") == 1
+
+
+def test_sequence_tokens_carry_their_predecessor_only(spark):
+    from alertweave.catalog import sources as SO
+
+    rows = spark.createDataFrame([(1, 0, 1, "p", [5, 6, 5]), (2, 1, 3, "q", [7])], "seq_id long, label int, split int, pattern string, tokens array<long>")
+    got = sorted(tuple(r) for r in SO.tokens(rows).select("seq_id", "pos", "token", "previous").collect())
+    assert got == [(1, 0, 5, -1), (1, 1, 6, 5), (1, 2, 5, 6), (2, 0, 7, -1)]
+
+
 def test_model_meets_alerts_alike_shipped_or_salted(spark):
     from alertweave.operators import association as AS
 
