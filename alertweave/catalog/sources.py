@@ -13,6 +13,7 @@ from alertweave.catalog import triage as TG
 from alertweave.catalog.registry import query, with_
 from alertweave.catalog.sqltext import ALERTS, FOLDS, INTERVALS, KEYED, LINES, SPLITS, history
 from alertweave.functions import encode as E
+from alertweave.operators import association as AS
 from alertweave.operators import checks as V
 from alertweave.operators import context as C
 from alertweave.operators import folds as FO
@@ -294,12 +295,19 @@ def sequences(spark, sf_dir):
     return FO.sequence_split(TC.lines(spark, sf_dir))
 
 
-def tokens(spark, sf_dir):
-    """One row per token of every sequence with the token before it."""
-    rows = R.parse_event_lines(sequences(spark, sf_dir), "seq_id", "source", "label", "split", "pattern")
-    slots = rows.select("seq_id", "label", "split", "pattern", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    previous = F.when(F.col("pos") > 0, F.element_at("tokens", F.col("pos"))).otherwise(-1)
-    return slots.select("seq_id", "label", "split", "pattern", "pos", "token", previous.alias("previous"))
+def parsed_sequences(spark, sf_dir):
+    """Token arrays of every sequence, read, split and checked once for all passes over them."""
+    # lines are fixed before they are parsed, or the optimizer would work out split and digest again in each filter, in the tasks of the scan
+    split = cut_lineage(sequences(spark, sf_dir).repartition("seq_id"))
+    return cut_lineage(R.parse_event_lines(split, "seq_id", "source", "label", "split", "pattern").drop("line"))
+
+
+def tokens(rows):
+    """One row per token of every parsed sequence with the token before it."""
+    # pairs are made in the array, so that no token carries its whole sequence
+    earlier = F.slice(F.concat(F.array(F.lit(-1).cast("long")), "tokens"), F.lit(1), F.size("tokens"))
+    slots = rows.select("seq_id", "label", "split", "pattern", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), earlier.alias("previous"))).alias("pos", "_t"))
+    return slots.select("seq_id", "label", "split", "pattern", "pos", "_t.token", "_t.previous")
 
 
 TOKENS = """
@@ -313,19 +321,25 @@ fin AS (SELECT t.*, CASE WHEN ft.post IS NULL THEN -2 WHEN ft.post >= p THEN 1 E
 """
 
 
+#: A generous size of a (split, previous, token, label) count in memory.
+_CELL_BYTES = 100
+
+
 def token_predictions(spark, sf_dir):
     """Final-split tokens with codes of a token prior and of a (previous, token) prior fitted on development sequences."""
-    rows = tokens(spark, sf_dir)
+    rows = tokens(parsed_sequences(spark, sf_dir))
     cells = cut_lineage(rows.groupBy("split", "previous", "token", "label").agg(F.count("*").alias("n")))
     train = cells.filter("split = 1")
     def prior(*keys):
         return train.groupBy(*keys).agg(((F.sum(F.col("label") * F.col("n")) + 1.0) / (F.sum("n") + 2.0)).alias("_post"))
     share = train.agg((F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("_p")).withColumn("_one", F.lit(1))
+    # cells of a measured small size are shipped to the tokens: their keys are few and frequent
+    ship = F.broadcast if cells.count() * _CELL_BYTES <= AS.SHIPPED_BYTES else lambda df: df
     def code(name):
         return F.when(F.col(name).isNull(), -2).when(F.col(name) >= F.col("_p"), 1).otherwise(0)
-    final = rows.filter("split = 3").withColumn("_one", F.lit(1)).join(share, "_one")
-    final = final.join(prior("token").withColumnRenamed("_post", "_b"), "token", "left")
-    final = final.join(prior("previous", "token").withColumnRenamed("_post", "_s"), ["previous", "token"], "left")
+    final = rows.filter("split = 3").withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one")
+    final = final.join(ship(prior("token").withColumnRenamed("_post", "_b")), "token", "left")
+    final = final.join(ship(prior("previous", "token").withColumnRenamed("_post", "_s")), ["previous", "token"], "left")
     return final.select("seq_id", "label", "pattern", code("_b").alias("baseline"), code("_s").alias("selector"))
 
 
@@ -469,7 +483,7 @@ fresh AS (SELECT seq_id, label, count(*) AS length, count(*) FILTER (WHERE basel
 )
 def b11(spark, sf_dir):
     """Gain and safety with both bootstraps again on final sequences whose content does not occur in training, and what does not bind."""
-    rows = cut_lineage(token_predictions(spark, sf_dir))
+    rows = token_predictions(spark, sf_dir)
     trained = sequences(spark, sf_dir).filter("split = 0").select("pattern").distinct()
     return TC.rounded(B.subset_sensitivity(rows, trained))
 
