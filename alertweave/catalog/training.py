@@ -320,9 +320,13 @@ def j1(spark, sf_dir):
     ),
 )
 def j2(spark, sf_dir):
+    """Slots are looked up once per second of a machine; its alerts then share them."""
     rows = alerts(spark, sf_dir)
-    pool = C.strict_past_candidates(rows, 100).select("row_id", C.ids("candidates", "row_id").alias("candidates"))
-    return J.gather(pool, rows).drop("candidate")
+    second = ["machine", "timestamp"]
+    pools = C.strict_past_seconds(rows, 100, name="candidates").select(*second, C.ids("candidates", "row_id").alias("candidates"))
+    looked = J.gather(pools, rows, keys=second)
+    slots = looked.groupBy(*second).agg(F.collect_list(F.struct("slot", "event_id", "event_incident", "event_incident_group")).alias("_slots"))
+    return rows.select("row_id", *second).join(slots, second).select("row_id", F.inline("_slots"))
 
 
 _REV_COUNTS = """

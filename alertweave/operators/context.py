@@ -31,16 +31,12 @@ def _newest(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def strict_past_context(
-    alerts: DataFrame,
-    n: int = 10,
-    timeout: int = 86_400,
-    payload: Sequence[str] = ("event_id",),
-    name: str = "context",
+def strict_past_seconds(
+    alerts: DataFrame, n: int = 10, timeout: int = 86_400, payload: Sequence[str] = ("event_id",), name: str = "context"
 ) -> DataFrame:
-    """Per machine, the last `n` alerts strictly earlier and at most `timeout` old.
+    """`machine, timestamp, <name>`: the strict-past context of every second of a machine that holds an alert.
 
-    All alerts of one second share one context. `n` may be any pool depth.
+    What follows from the context alone is worked out here, once a second, and then joined to the alerts.
     """
     base = alerts.select("machine", "timestamp", "row_id", *payload)
     recent = _newest(base, ["machine", "timestamp"], n)
@@ -48,7 +44,7 @@ def strict_past_context(
     halo = _newest(recent, ["machine", "_chunk"], n).withColumn("_chunk", F.col("_chunk") + 1)
     rows = recent.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
     order = Window.partitionBy("machine", "_chunk").orderBy("timestamp", "row_id")
-    groups = (
+    return (
         rows.select(
             "machine",
             "timestamp",
@@ -63,7 +59,20 @@ def strict_past_context(
             F.filter("_past", lambda x: F.col("timestamp") - x["timestamp"] <= timeout).alias(name),
         )
     )
-    return alerts.join(groups, ["machine", "timestamp"])
+
+
+def strict_past_context(
+    alerts: DataFrame,
+    n: int = 10,
+    timeout: int = 86_400,
+    payload: Sequence[str] = ("event_id",),
+    name: str = "context",
+) -> DataFrame:
+    """Per machine, the last `n` alerts strictly earlier and at most `timeout` old.
+
+    All alerts of one second share one context. `n` may be any pool depth.
+    """
+    return alerts.join(strict_past_seconds(alerts, n, timeout, payload, name), ["machine", "timestamp"])
 
 
 def strict_past_candidates(alerts: DataFrame, cap: int = 100, timeout: int = 86_400, payload: Sequence[str] = ("event_id",)) -> DataFrame:

@@ -56,9 +56,9 @@ def label_by_interval(alerts: DataFrame, intervals: DataFrame, name: str = "atta
     )
 
 
-def gather(candidates: DataFrame, alerts: DataFrame, column: str = "candidates") -> DataFrame:
-    """Row-id lookup: one row per slot with the looked-up alert's event, label and group."""
-    slots = candidates.select("row_id", F.posexplode(column).alias("slot", "candidate"))
+def gather(candidates: DataFrame, alerts: DataFrame, column: str = "candidates", keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Row-id lookup: one row per slot of the lists under `keys`, with the looked-up alert's event, label and group."""
+    slots = candidates.select(*keys, F.posexplode(column).alias("slot", "candidate"))
     looked = alerts.select(
         F.col("row_id").alias("candidate"), "event_id", "event_incident", "event_incident_group"
     )

@@ -242,3 +242,30 @@ def test_stream_holds_one_block(monkeypatch):
         want[r] = [x[2] for x in past if t - x[0] <= 60]
         history.append((t, r, e))
     assert got == want and not processor.waiting and not processor.blocks
+
+
+def test_a_second_of_a_machine_is_worked_out_once(spark):
+    """Thirty alerts of one second share a context row, and lookups of its slots do not grow with them."""
+    from alertweave.operators import joins as J
+
+    rows = [(i, "s", "m", 100 + i, i) for i in range(3)] + [(10 + i, "s", "m", 200, 7) for i in range(30)]
+    df = alerts(spark, rows).withColumn("event_incident", F.lit(0)).withColumn("event_incident_group", F.lit(None).cast("string"))
+    seconds = C.strict_past_seconds(df, 5)
+    got = {r["timestamp"]: [x["row_id"] for x in r["context"]] for r in seconds.collect()}
+    assert got == {100: [], 101: [0], 102: [0, 1], 200: [0, 1, 2]} and seconds.count() == 4
+    lists = seconds.select("machine", "timestamp", C.ids("context", "row_id").alias("candidates"))
+    looked = J.gather(lists, df, keys=["machine", "timestamp"])
+    assert sorted((r["timestamp"], r["slot"], r["event_id"]) for r in looked.collect()) == [(101, 0, 0), (102, 0, 0), (102, 1, 1), (200, 0, 0), (200, 1, 1), (200, 2, 2)]
+
+
+def test_presences_of_equal_targets_are_counted_with_their_number(spark):
+    from alertweave.operators import association as AS
+
+    rows = [(i, "s", "m", 100 + i, i % 2) for i in range(4)] + [(10 + i, "s", "m", 200, i % 2) for i in range(20)]
+    df = alerts(spark, rows).withColumn("event_incident", (F.col("row_id") % 3 == 0).cast("int"))
+    each = C.strict_past_candidates(df, 100)
+    keys = ["scenario", "machine", "timestamp", "event_id", "event_incident"]
+    once = df.groupBy(*keys).agg(F.count("*").alias("n")).join(C.strict_past_seconds(df, 100, name="candidates"), ["machine", "timestamp"])
+    table = lambda d: sorted(tuple(r) for r in d.collect())
+    assert table(AS.presence_counts(each, "event_incident")) == table(AS.presence_counts(once, "event_incident", weight="n"))
+    assert once.count() < each.count()
