@@ -42,8 +42,9 @@ def _by_priority(pool: Column, k: int, priority: Callable[[Column, Column], Colu
     keyed = F.transform(
         pool, lambda x, i: F.struct(priority(x, i).alias("p"), i.alias("i"), x.alias("x"))
     )
-    top = F.slice(F.reverse(F.array_sort(keyed)), 1, k) if k > 0 else F.slice(keyed, 1, 0)
-    back = F.array_sort(F.transform(top, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+    # sort_array compares rows natively; array_sort would run an expression for each comparison
+    top = F.slice(F.sort_array(keyed, asc=False), 1, k) if k > 0 else F.slice(keyed, 1, 0)
+    back = F.sort_array(F.transform(top, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
     return F.transform(back, lambda s: s["x"])
 
 
@@ -71,7 +72,8 @@ def uniform(values: Column, k: int) -> Column:
 
 def rarity(values: Column, k: int) -> Column:
     """Rarest values of the pool first (fewest copies), later position on ties."""
-    return _by_priority(values, k, lambda x, i: -F.size(F.filter(values, lambda y: y == x)))
+    copies = lambda x: F.array_size(values) - F.array_size(F.array_remove(values, x))
+    return _by_priority(values, k, lambda x, i: -copies(x))
 
 
 LANDMARKS: dict[str, Callable[[Column, int], Column]] = {
