@@ -65,13 +65,31 @@ sw AS (SELECT s.row_id, s.x, s.p, ap.y, coalesce(c.weight, t.default_weight) + 0
 BASE = (ALERTS, FOLDS, history(100), PRESENCE, FIT, APPLIED)
 
 
+#: What evidence depends on: alerts of a machine with equal second, event and label share pool, weights and choice.
+TARGET = ["scenario", "machine", "timestamp", "event_id", "event_incident"]
+
+
+def target_pool(spark, sf_dir, timeout=86_400):
+    """The candidate pool once per kind of target, with its number of alerts `n`."""
+    rows = alerts(spark, sf_dir)
+    kinds = rows.groupBy(*TARGET).agg(F.count("*").alias("n"))
+    seconds = C.strict_past_seconds(rows, 100, timeout, POOL_PAYLOAD, "candidates")
+    return kinds.join(seconds, ["machine", "timestamp"])
+
+
+def to_alerts(spark, sf_dir, results):
+    """Results per kind of target on every alert."""
+    return alerts(spark, sf_dir).select("row_id", *TARGET).join(results, TARGET)
+
+
 def fitted(spark, sf_dir):
-    return AS.fit_association(pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir))
+    return AS.fit_association(target_pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir), weight="n")
 
 
 def applied(spark, sf_dir):
-    rows, table = pool(spark, sf_dir), folds(spark, sf_dir)
-    model = stored("association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7))
+    """The pool of every kind of target with the model of the fold that holds its scenario out."""
+    rows, table = target_pool(spark, sf_dir), folds(spark, sf_dir)
+    model = stored("association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7, weight="n"))
     return AS.with_model(rows, table, model)
 
 
@@ -90,6 +108,10 @@ def a13_targets(spark, sf_dir):
     return rounded(targets)
 
 
+def _scored(spark, sf_dir, rows):
+    return to_alerts(spark, sf_dir, rows.select(*TARGET, F.round(AS.association_score(), 6).alias("score"))).select("row_id", "score")
+
+
 _SCORES = """
 scores AS (
   SELECT ap.test_scenario, ap.row_id, ap.y, t.base + coalesce(sum(round(coalesce(c.weight, t.default_weight), 7)) FILTER (WHERE p.row_id IS NOT NULL), 0) AS score
@@ -102,7 +124,7 @@ scores AS (
 
 @query("a14_association_score", with_(*BASE, _SCORES, "SELECT row_id, round(score, 6) AS score FROM scores"))
 def a14(spark, sf_dir):
-    return applied(spark, sf_dir).select("row_id", F.round(AS.association_score(), 6).alias("score"))
+    return _scored(spark, sf_dir, applied(spark, sf_dir))
 
 
 @query(
@@ -122,7 +144,8 @@ def a14(spark, sf_dir):
 )
 def m11(spark, sf_dir):
     """Scores are rounded to 8 places so that both engines form the same tie groups."""
-    scored = applied(spark, sf_dir).select("test_scenario", "event_incident", F.round(AS.association_score(), 8).alias("score"))
+    scored = applied(spark, sf_dir).select("test_scenario", *TARGET, F.round(AS.association_score(), 8).alias("score"))
+    scored = to_alerts(spark, sf_dir, scored).select("test_scenario", "event_incident", "score")
     got = AS.probability_metrics(scored, ["test_scenario"], "event_incident", "score")
     return rounded(got.withColumn("log_loss", F.round("log_loss", 5)))
 
@@ -163,14 +186,15 @@ SELECT ctx.row_id, coalesce(picked, '') AS picked FROM ctx LEFT JOIN (
 """
 
 
-def _picked(rows, chosen):
-    return rows.select("row_id", C.joined(C.ids(chosen, "row_id")).alias("picked"))
+def _picked(spark, sf_dir, rows, chosen):
+    picked = rows.select(*TARGET, C.joined(C.ids(chosen, "row_id")).alias("picked"))
+    return to_alerts(spark, sf_dir, picked).select("row_id", "picked")
 
 
 @query("t6_association_abs", with_(*BASE, SLOT_WEIGHTS, _ranked("round(abs(w), 7)", 10)))
 def t6(spark, sf_dir):
     rows = applied(spark, sf_dir)
-    return _picked(rows, S.association_abs(F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event))
+    return _picked(spark, sf_dir, rows, S.association_abs(F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event))
 
 
 @query("t7_class_oracle", with_(*BASE, SLOT_WEIGHTS, _ranked("round(w, 7) * (CASE WHEN y = 1 THEN 1 ELSE -1 END)", 10)))
@@ -179,7 +203,7 @@ def t7(spark, sf_dir):
     chosen = S.class_oracle(
         F.col("candidates"), 10, F.col("weights"), F.col("vocabulary"), AS.local_event, F.col("event_incident")
     )
-    return _picked(rows, chosen)
+    return _picked(spark, sf_dir, rows, chosen)
 
 
 _ANCHORED = """
@@ -194,7 +218,7 @@ SELECT ctx.row_id, coalesce(picked, '') AS picked FROM ctx LEFT JOIN (
 def t8(spark, sf_dir):
     rows = applied(spark, sf_dir)
     chosen = S.anchored_association(F.col("candidates"), 10, 5, F.col("weights"), F.col("vocabulary"), AS.local_event)
-    return _picked(rows, chosen)
+    return _picked(spark, sf_dir, rows, chosen)
 
 
 def _chosen_sql(selector: str, ranked: str) -> str:
@@ -225,9 +249,10 @@ _ALL_CHOSEN = " UNION ALL ".join([
 )
 def t10(spark, sf_dir):
     """Slots of every alert for all three selectors, by the model of the fold that holds its scenario out, written per selector and fold."""
-    slots = AS.select_slots(applied(spark, sf_dir))
+    slots = AS.select_slots(applied(spark, sf_dir), keys=TARGET)
     path = f"{shared_folder(spark)}/selected-{uuid.uuid4().hex}"
-    AS.write_selected(slots.withColumn("picked", C.joined(C.ids("slots", "row_id"))).withColumn("n", F.size("slots")).drop("slots"), path)
+    listed = slots.withColumn("picked", C.joined(C.ids("slots", "row_id"))).withColumn("n", F.size("slots")).drop("slots")
+    AS.write_selected(to_alerts(spark, sf_dir, listed).select("test_scenario", "row_id", "selector", "n", "picked"), path)
     written = spark.read.parquet(path)
     return written.select("test_scenario", "row_id", "selector", F.col("n").alias("slots"), "picked")
 
@@ -238,40 +263,42 @@ LONG_BASE = (ALERTS, FOLDS, history(100, LONG), PRESENCE, FIT, APPLIED)
 
 
 def long_pool(spark, sf_dir):
-    make = lambda: C.strict_past_candidates(alerts(spark, sf_dir), 100, timeout=LONG, payload=POOL_PAYLOAD)
-    return stored("long_pool", spark, sf_dir, make)
+    return target_pool(spark, sf_dir, LONG)
 
 
 def long_applied(spark, sf_dir):
     rows, table = long_pool(spark, sf_dir), folds(spark, sf_dir)
-    model = stored("long_association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7))
+    model = stored("long_association", spark, sf_dir, lambda: AS.association_model(rows, alerts(spark, sf_dir), table, decimals=7, weight="n"))
     return AS.with_model(rows, table, model)
 
 
 @query("w2_month_candidates", with_(ALERTS, history(100, LONG), "SELECT row_id, len(c) AS slots, array_to_string([x.r for x in c], ' ') AS pool FROM ctx"))
 def w2_month(spark, sf_dir):
-    return long_pool(spark, sf_dir).select("row_id", F.size("candidates").alias("slots"), C.joined(C.ids("candidates", "row_id")).alias("pool"))
+    rows, second = alerts(spark, sf_dir), ["machine", "timestamp"]
+    seconds = C.strict_past_seconds(rows, 100, LONG, name="candidates")
+    pools = seconds.select(*second, F.size("candidates").alias("slots"), C.joined(C.ids("candidates", "row_id")).alias("pool"))
+    return rows.select("row_id", *second).join(pools, second).drop(*second)
 
 
 @query("a13_month_cells", with_(*LONG_BASE, "SELECT test_scenario, target, band, event, round(weight, 6) AS weight FROM cells"))
 def a13_month(spark, sf_dir):
-    cells, _ = AS.fit_association(long_pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir))
+    cells, _ = AS.fit_association(long_pool(spark, sf_dir), alerts(spark, sf_dir), folds(spark, sf_dir), weight="n")
     return rounded(cells)
 
 
 @query("a14_month_score", with_(*LONG_BASE, _SCORES, "SELECT row_id, round(score, 6) AS score FROM scores"))
 def a14_month(spark, sf_dir):
-    return long_applied(spark, sf_dir).select("row_id", F.round(AS.association_score(), 6).alias("score"))
+    return _scored(spark, sf_dir, long_applied(spark, sf_dir))
 
 
 @query("t6_month_selection", with_(*LONG_BASE, SLOT_WEIGHTS, _ranked("round(abs(w), 7)", 10)))
 def t6_month(spark, sf_dir):
-    return _picked(long_applied(spark, sf_dir), AS.SELECTORS["association_abs"](10, 5))
+    return _picked(spark, sf_dir, long_applied(spark, sf_dir), AS.SELECTORS["association_abs"](10, 5))
 
 
 @query("t8_month_selection", "WITH " + ",\n".join(p.strip() for p in (*LONG_BASE, SLOT_WEIGHTS)) + ",\n" + _ANCHORED.strip())
 def t8_month(spark, sf_dir):
-    return _picked(long_applied(spark, sf_dir), AS.SELECTORS["anchored_association"](10, 5))
+    return _picked(spark, sf_dir, long_applied(spark, sf_dir), AS.SELECTORS["anchored_association"](10, 5))
 
 
 _AUDIT_CAPS = (10, 20, 50, 100)

@@ -24,8 +24,11 @@ def _presences(pool: Column, event, size: Column | int, bands) -> Column:
     return F.array_distinct(cells)
 
 
-def presence_counts(pool: DataFrame, label: str, bands: Sequence[tuple[int, int]] = RECENCY_BANDS) -> DataFrame:
-    """Per (scenario, target, band, candidate): alerts of each class with that presence."""
+def presence_counts(
+    pool: DataFrame, label: str, bands: Sequence[tuple[int, int]] = RECENCY_BANDS, weight: str | None = None
+) -> DataFrame:
+    """Per (scenario, target, band, candidate): alerts of each class with that presence; `weight` is the number of alerts in a row."""
+    w = F.lit(1).cast("long") if weight is None else F.col("_weight")
     n = len(bands)
     # event-major here, so that no dictionary size is needed: cell = event * bands + band
     slots = F.size("candidates")
@@ -33,11 +36,12 @@ def presence_counts(pool: DataFrame, label: str, bands: Sequence[tuple[int, int]
         "candidates", lambda x, i: (x["event_id"] * n + recency_band(slots - i, bands)).cast("int")
     )
     rows = pool.select(
-        "scenario", F.col("event_id").alias("target"), F.col(label).alias("_label"), F.explode(F.array_distinct(cells)).alias("_cell")
+        "scenario", F.col("event_id").alias("target"), F.col(label).alias("_label"), *([] if weight is None else [F.col(weight).alias("_weight")]),
+        F.explode(F.array_distinct(cells)).alias("_cell"),
     )
     counted = rows.groupBy("scenario", "target", "_cell").agg(
-        F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("_label") == 0, 1).otherwise(0)).alias("neg"),
+        F.sum(F.when(F.col("_label") == 1, w).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("_label") == 0, w).otherwise(0)).alias("neg"),
     )
     return counted.select(
         "scenario", "target", (F.col("_cell") % n).alias("band"), F.floor(F.col("_cell") / n).cast("int").alias("event"), "pos", "neg"
@@ -67,6 +71,7 @@ def fit_association(
     bands: Sequence[tuple[int, int]] = RECENCY_BANDS,
     alpha: float = 1.0,
     limit: float = 6.0,
+    weight: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """`(cells, targets)` per fold in sparse form.
 
@@ -76,7 +81,8 @@ def fit_association(
     lack a class use the pooled table, stored under target -1. Contexts stay
     inside a scenario, so counts per scenario add up to counts per fold. Both count
     tables are bounded by the dictionary, are read several times, and are fixed
-    when made, so the candidate pool is built once.
+    when made, so the candidate pool is built once. Rows of the pool may stand for
+    several alerts: `weight` is their number.
     """
     totals = alerts.groupBy("scenario", F.col("event_id").alias("target")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"),
@@ -88,7 +94,7 @@ def fit_association(
         .agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     )
     observed = cut_lineage(
-        fold_rows(presence_counts(pool, label, bands), folds, ["train"])
+        fold_rows(presence_counts(pool, label, bands, weight), folds, ["train"])
         .groupBy("test_scenario", "target", "band", "event")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
@@ -234,13 +240,15 @@ SELECTORS: dict[str, Callable[..., Column]] = {
 }
 
 
-def select_slots(rows: DataFrame, k: int = 10, anchors: int = 5, selectors: Sequence[str] = tuple(SELECTORS)) -> DataFrame:
-    """`test_scenario, row_id, selector, slots`: the chosen slots of every alert for each selector, in one pass over the pool.
+def select_slots(
+    rows: DataFrame, k: int = 10, anchors: int = 5, selectors: Sequence[str] = tuple(SELECTORS), keys: Sequence[str] = ("row_id",)
+) -> DataFrame:
+    """`test_scenario, <keys>, selector, slots`: the chosen slots of every alert for each selector, in one pass over the pool.
 
     `rows` come from `with_model`; the score of a selector is worked out where the pool lies, so nothing is shuffled.
     """
     chosen = [F.struct(F.lit(name).alias("selector"), SELECTORS[name](k, anchors).alias("slots")) for name in selectors]
-    return rows.select("test_scenario", "row_id", F.inline(F.array(*chosen)))
+    return rows.select("test_scenario", *keys, F.inline(F.array(*chosen)))
 
 
 def write_selected(selected: DataFrame, path: str) -> None:
