@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,8 @@ CLOSING = "\x00closing"
 _SLOT = "timestamp long, row_id long, event_id int"
 #: Alerts in a block of waiting rows, and in a frame of results.
 BLOCK = 2_000
+#: Arriving alerts of a machine that are put in order before they go to the state store.
+GATHERED = 200_000
 _OUTPUT = "machine string, timestamp long, row_id long, event_id int, context array<int>"
 
 
@@ -25,7 +25,8 @@ class StrictPastProcessor(StatefulProcessor):
     """Per machine: the last `n` released alerts and the alerts waiting for their second to close.
 
     Waiting alerts lie in the state store by second, in blocks, with a timer for each
-    second; Python holds one block and `n` alerts at a time. A second closes when the watermark passes it; then its alerts are released with
+    second. Arriving frames are gathered first, up to a bound, as each visit to the store costs the
+    same for one alert as for a block; an expiry holds one block and `n` alerts. A second closes when the watermark passes it; then its alerts are released with
     one shared context and join the history. Alerts later than the watermark never
     reach the processor.
     """
@@ -40,22 +41,31 @@ class StrictPastProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "timestamp long, block long", "row_ids array<long>, event_ids array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames, held = [], 0
         for batch in rows:
-            slots = sorted(zip(batch["timestamp"].tolist(), batch["row_id"].tolist(), batch["event_id"].tolist()))
-            for second, tied in groupby(slots, key=itemgetter(0)):
-                second, tied = int(second), list(tied)
-                if self.blocks.containsKey((second,)):
-                    count = self.blocks.getValue((second,))[0]
-                else:
-                    count = 0
-                    self.handle.registerTimer(second * 1000 + 1)
-                for at in range(0, len(tied), BLOCK):
-                    part = tied[at : at + BLOCK]
-                    self.waiting.updateValue((second, count), ([int(r) for _, r, _ in part], [int(e) for _, _, e in part]))
-                    count += 1
-                self.blocks.updateValue((second,), (count,))
+            frames.append(batch[["timestamp", "row_id", "event_id"]])
+            held += len(batch)
+            if held >= GATHERED:
+                self._wait(pd.concat(frames))
+                frames, held = [], 0
+        if held:
+            self._wait(pd.concat(frames))
         yield pd.DataFrame()
 
+    def _wait(self, arrived: pd.DataFrame) -> None:
+        arrived = arrived.sort_values(["timestamp", "row_id", "event_id"])
+        for second, tied in arrived.groupby("timestamp", sort=True):
+            second, row_ids, event_ids = int(second), tied["row_id"].tolist(), tied["event_id"].tolist()
+            if self.blocks.containsKey((second,)):
+                count = self.blocks.getValue((second,))[0]
+            else:
+                count = 0
+                self.handle.registerTimer(second * 1000 + 1)
+            for at in range(0, len(row_ids), BLOCK):
+                self.waiting.updateValue((second, count), (row_ids[at : at + BLOCK], event_ids[at : at + BLOCK]))
+                count += 1
+            self.blocks.updateValue((second,), (count,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # timers expire in the order of their seconds
         second = (expiredTimerInfo.getExpiryTimeInMs() - 1) // 1000

@@ -244,6 +244,30 @@ def test_stream_holds_one_block(monkeypatch):
     assert got == want and not processor.waiting and not processor.blocks
 
 
+def test_stream_visits_the_store_once_for_gathered_frames():
+    """Frames of a second that arrive one after another go to the state store together."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from alertweave.streaming import contexts as X
+
+    visits = []
+
+    class Map(dict):
+        containsKey, getValue = dict.__contains__, dict.get
+
+        def updateValue(self, key, value):
+            visits.append(key)
+            self[key] = value
+
+    processor = X.StrictPastProcessor(4, 60)
+    processor.init(SimpleNamespace(getListState=lambda *_: None, getMapState=lambda *_: Map(), registerTimer=lambda _: None))
+    frames = [pd.DataFrame({"timestamp": [1, 2, 3], "row_id": [3 * i, 3 * i + 1, 3 * i + 2], "event_id": [0, 1, 2]}) for i in range(50)]
+    list(processor.handleInputRows(("m",), iter(frames), None))
+    assert len(visits) == 6 and sorted(r for ids, _ in processor.waiting.values() for r in ids) == list(range(150))
+
+
 def test_a_second_of_a_machine_is_worked_out_once(spark):
     """Thirty alerts of one second share a context row, and lookups of its slots do not grow with them."""
     from alertweave.operators import joins as J
