@@ -346,6 +346,14 @@ def test_sequence_tokens_carry_their_predecessor_only(spark):
     assert got == [(1, 0, 5, -1), (1, 1, 6, 5), (1, 2, 5, 6), (2, 0, 7, -1)]
 
 
+def test_intersection_reads_fixed_digests(spark):
+    """Neither side of the intersection works out splits and digests again."""
+    from alertweave import catalog
+
+    got = catalog.QUERIES["u3_intersection"](spark, "/root/testdata/sf0.001")
+    assert "sha2(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_model_meets_alerts_alike_shipped_or_salted(spark):
     from alertweave.operators import association as AS
 
