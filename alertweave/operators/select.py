@@ -72,7 +72,8 @@ def uniform(values: Column, k: int) -> Column:
 
 def rarity(values: Column, k: int) -> Column:
     """Rarest values of the pool first (fewest copies), later position on ties."""
-    copies = lambda x: F.array_size(values) - F.array_size(F.array_remove(values, x))
+    # a null equals nothing
+    copies = lambda x: F.coalesce(F.array_size(values) - F.array_size(F.array_remove(values, x)), F.lit(0))
     return _by_priority(values, k, lambda x, i: -copies(x))
 
 

@@ -268,6 +268,12 @@ def test_stream_visits_the_store_once_for_gathered_frames():
     assert len(visits) == 6 and sorted(r for ids, _ in processor.waiting.values() for r in ids) == list(range(150))
 
 
+def test_rarity_counts_copies_without_comparing_pairs(spark):
+    df = spark.createDataFrame([([7, 7, 5, None, 5, 7, 3],)], "v array<int>").select(S.rarity(F.col("v"), 3).alias("x"))
+    assert df.first()["x"] == [None, 5, 3]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 0
+
+
 def test_a_second_of_a_machine_is_worked_out_once(spark):
     """Thirty alerts of one second share a context row, and lookups of its slots do not grow with them."""
     from alertweave.operators import joins as J
