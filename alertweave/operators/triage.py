@@ -7,6 +7,7 @@ Fingerprints are integer vectors in units of 1e-4, kept as event-sorted arrays o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from alertweave.session import cut_lineage
 
 UNIT = 10_000
 _ROUNDING_SLACK = 100
+#: Fingerprints of so many features at most meet on one decisive feature or on two shared ones.
+NARROW = 4
 
 
 # ---- patterns and fingerprints ----------------------------------------------------
@@ -176,10 +179,74 @@ def _cells(vector: Column, width: int, projections: int) -> list[Column]:
     return out
 
 
+def _narrow_side(vectors: DataFrame, order: DataFrame, prefix: str, size: int, least: int, reach: int, apart: str | None) -> DataFrame:
+    """Narrow fingerprints with their keys `_m`: features `f, g` (equal: one alone suffices), the place of `g` and the weight of `f`.
+
+    Features stand rarest first in columns. A key is kept if its features and those after `g` hold the mass
+    that a pair within reach must share with a fingerprint of the mass `least`.
+    """
+    entries = vectors.select("id", "event_id", F.explode("vector").alias("s")).select("id", "event_id", F.col("s.e").alias("f"), F.col("s.w").alias("w"))
+    ranked = entries.join(order, ["event_id", "f"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_df", "f", "w"))).alias("_o"))
+    f, w = ([F.get("_o", F.lit(i))[name] for i in range(size)] for name in ("f", "w"))
+    rest = [sum((F.coalesce(x, F.lit(0)) for x in w[i + 1 :]), F.coalesce(w[i], F.lit(0))) for i in range(size)]
+    need = (rest[0] + least - reach) / 2
+    key = lambda i, j: F.struct(f[i].alias("f"), f[j].alias("g"), F.lit(j).alias("at"), w[i].alias("w"))
+    keys = [F.when(w[i] >= need, key(i, i)) for i in range(size)]
+    keys += [F.when(w[j].isNotNull() & (w[i] + rest[j] >= need), key(i, j)) for i in range(size) for j in range(i + 1, size)]
+    extra = vectors.select("id", "event_id", *([F.col(apart).alias(f"{prefix}_apart")] if apart else []))
+    columns = [c.alias(f"{prefix}_{name}{i}") for name, cs in (("f", f), ("w", w)) for i, c in enumerate(cs)]
+    rows = extra.join(ranked, "id").select(
+        F.col("id").alias(f"{prefix}_id"), *[c for c in extra.columns if c != "id"], *columns, rest[0].alias(f"{prefix}_mass"), F.explode(F.array_compact(F.array(*keys))).alias("_m")
+    )
+    return rows.select("*", F.col("_m.f").alias("_f"), F.col("_m.g").alias("_g"), F.col("_m.at").alias("_at"), F.col("_m.w").alias("_w")).drop("_m")
+
+
+def _narrow_pairs(left: DataFrame, right: DataFrame, order: DataFrame, size: int, least: int, reach: int, apart: str | None, settled: str | None) -> DataFrame:
+    """Pairs of narrow fingerprints within reach, each met once: with one common feature under it, with more under the rarest two.
+
+    With `settled`, a feature whose fingerprints are known to be neighbours, these do not meet under it alone.
+    """
+    here = _narrow_side(left, order, "left", size, least, reach, apart)
+    there = _narrow_side(right, order, "right", size, least, reach, apart).drop("_at")
+    keys = ["event_id", "_f", "_g"]
+    width = (reach + _ROUNDING_SLACK) // 2 + 1
+    if (UNIT + _ROUNDING_SLACK) // width >= 4:
+        # within a short reach the weight of a feature settles much
+        cell = F.floor(F.col("_w") / width)
+        here, there = here.withColumn("_cw", cell), there.withColumn("_cw", F.explode(F.array(cell - 1, cell, cell + 1)))
+        keys.append("_cw")
+    if settled:
+        own = lambda side: F.coalesce((F.col("_f") == F.col("_g")) & (F.col(f"{side}_apart.{settled}") == F.col("_f")), F.lit(False))
+        here = here.withColumn("_own", own("left").cast("int"))
+        there = there.withColumn("_own", F.explode(F.when(own("right"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        keys.append("_own")
+    met = here.drop("_w").join(there.drop("_w"), keys)
+    if apart:
+        met = met.filter("NOT left_apart <=> right_apart" + (" OR left_id = right_id" if left is right else ""))
+    column = lambda side, name, i: F.col(f"{side}_{name}{i}")
+    common = [F.coalesce(reduce(Column.__or__, [column("left", "f", i) == column("right", "f", j) for j in range(size)]).cast("int"), F.lit(0)) for i in range(size)]
+    earlier = sum((F.when(F.col("_at") > i, common[i]).otherwise(0) for i in range(size)), F.lit(0))
+    met = met.filter(F.when(F.col("_f") == F.col("_g"), sum(common, F.lit(0)) == 1).otherwise(earlier == 1))
+    shared = sum(
+        (F.when(column("left", "f", i) == column("right", "f", j), F.least(column("left", "w", i), column("right", "w", j))).otherwise(0) for i in range(size) for j in range(size)),
+        F.lit(0),
+    )
+    distance = F.col("left_mass") + F.col("right_mass") - 2 * shared
+    return met.select("event_id", "left_id", "right_id", distance.alias("distance")).filter(F.col("distance") <= reach)
+
+
+def _measures(*tables: DataFrame) -> tuple[int, int, int]:
+    """Most features, least and most mass of the fingerprints."""
+    every = reduce(DataFrame.unionByName, [t.select("vector") for t in tables])
+    most = every.agg(F.max(F.size("vector")).alias("size"), F.min(mass(F.col("vector"))).alias("least"), F.max(mass(F.col("vector"))).alias("most")).first()
+    return most["size"] or 0, most["least"] or 0, most["most"] or 0
+
+
 def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections: int = 2, apart: str | None = None) -> DataFrame:
     """All pairs `(left_id, right_id, distance)` of the same event with L1 distance <= eps.
 
-    Pairs meet on (event, shared prefix feature, weight cell, projection cells): the
+    Narrow fingerprints meet on one feature that suffices alone, or on two shared features. Wider ones
+    meet on (event, shared prefix feature, weight cell, projection cells): the
     weight of a feature, and the mass of any event subset, differ by at most half
     the distance, so the right side visits the neighbouring cells. Let it be the smaller
     one. A pair is verified only under its first common prefix feature, so it appears
@@ -190,6 +257,9 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, eps: float, projections:
     last = (UNIT + _ROUNDING_SLACK) // width
     order = cut_lineage(_frequencies(left.select("event_id", "vector").unionByName(right.select("event_id", "vector"))))
     twins = left is right
+    size, least, _ = _measures(left) if twins else _measures(left, right)
+    if 0 < size <= NARROW:
+        return _narrow_pairs(left, right, order, size, least, reach, apart, None)
 
     def side(vectors: DataFrame, prefix: str) -> DataFrame:
         rows = vectors.join(_prefixed(vectors, order, reach), "id")
@@ -297,6 +367,28 @@ def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataF
     return counted.withColumn("core", F.col("neighbourhood") >= min_samples)
 
 
+def neighbourhoods(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """`core_points` of all fingerprints against each other, without a list of all pairs where they are narrow.
+
+    Fingerprints of one event that give a feature all but half the reach of the largest mass are neighbours whatever
+    else they hold: they are counted together. Pairs are listed across such groups only.
+    """
+    reach = int(round(eps * UNIT))
+    size, least, most = _measures(vectors)
+    if not 0 < size <= NARROW:
+        return core_points(vectors, neighbour_pairs(vectors, vectors, eps), min_samples)
+    heaviest = F.array_max(F.transform("vector", lambda s: F.struct(s["w"].alias("w"), s["e"].alias("e"))))
+    solid = F.when(heaviest["w"] >= most - reach // 2, heaviest["e"])
+    grouped = cut_lineage(vectors.select("id", "event_id", "vector", "weight", F.struct(solid.alias("solid"), F.when(solid.isNull(), F.col("id")).alias("alone")).alias("_group")))
+    across = _narrow_pairs(grouped, grouped, cut_lineage(_frequencies(grouped)), size, least, reach, "_group", "solid").filter("left_id <> right_id")
+    weights = grouped.select(F.col("id").alias("right_id"), F.col("weight").alias("_w"))
+    beside = across.join(weights, "right_id").groupBy(F.col("left_id").alias("id")).agg(F.sum("_w").alias("_beside"))
+    whole = grouped.groupBy("event_id", "_group").agg(F.sum("weight").alias("_own"))
+    counted = grouped.select("id", "event_id", "_group").join(whole, ["event_id", "_group"]).join(beside, "id", "left")
+    counted = counted.select("id", (F.col("_own") + F.coalesce("_beside", F.lit(0))).alias("neighbourhood"))
+    return counted.withColumn("core", F.col("neighbourhood") >= min_samples)
+
+
 def density_cluster(vectors: DataFrame, eps: float = 0.10, min_samples: int = 5) -> DataFrame:
     """L1 density clusters per event: `id, event_id, core, cluster` (cluster = smallest core id, noise = -1).
 

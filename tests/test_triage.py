@@ -411,3 +411,45 @@ def test_clusters_and_nearest_at_any_reach(spark):
         assert (found.get(i) is None) == (best > 10_000)
         if i in found:
             assert found[i] == (best / 10_000, 2 * int(np.flatnonzero(away[i, ::2] == best)[0]))
+
+
+@pytest.mark.parametrize("eps", [0.15, 0.5, 1.0])
+def test_narrow_fingerprints_brute_force(spark, monkeypatch, eps):
+    """Three weighted slots: pairs, counts without a list of all pairs, and the wider join agree with brute force."""
+    rng, seen = random.Random(8), set()
+    while len(seen) < 200:
+        weights = {}
+        for w in (1429, 2857, 5714):
+            f = rng.choice((0, 0, 1, 2, 3, 4, 5))
+            weights[f] = weights.get(f, 0) + w
+        seen.add((rng.randrange(2), tuple(sorted(weights.items()))))
+    rows, reach = [(i, e, list(v), 1 + i % 3) for i, (e, v) in enumerate(sorted(seen))], int(round(eps * T.UNIT))
+    df = spark.createDataFrame(rows, f"id long, event_id int, vector {VECTOR}, weight long")
+    near = {(a[0], b[0]): brute_l1(a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and set(dict(a[2])) & set(dict(b[2])) and brute_l1(a[2], b[2]) <= reach}
+    got = [(r["left_id"], r["right_id"], r["distance"]) for r in T.neighbour_pairs(df, df, eps).collect()]
+    assert len(got) == len(near) and {(a, b): d for a, b, d in got} == near
+    counts = {r["id"]: (r["neighbourhood"], r["core"]) for r in T.neighbourhoods(df, eps, 9).collect()}
+    weight = {r[0]: r[3] for r in rows}
+    sums = {a: sum(weight[b] for x, b in near if x == a) for a in weight}
+    assert counts == {a: (n, n >= 9) for a, n in sums.items()}
+    monkeypatch.setattr(T, "NARROW", 0)
+    wide = T.neighbourhoods(df, eps, 9).collect()
+    assert {r["id"]: (r["neighbourhood"], r["core"]) for r in wide} == counts
+
+
+def test_neighbourhoods_list_few_pairs(spark, monkeypatch):
+    """What shares its heaviest event is counted without pairs: their number grows with the fingerprints, not with their square."""
+    listed, plain = [], T._narrow_pairs
+
+    def watched(*args):
+        pairs = T.cut_lineage(plain(*args))
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(T, "_narrow_pairs", watched)
+    for n in (20, 40):
+        rows = [(i * n + j, 0, [(0, 5714), (1 + i, 2857), (100 + j, 1429)], 1) for i in range(n) for j in range(n)]
+        df = spark.createDataFrame(rows, f"id long, event_id int, vector {VECTOR}, weight long")
+        found = T.neighbourhoods(df, 1.0, 5).collect()
+        assert {r["neighbourhood"] for r in found} == {n * n} and len(found) == n * n
+    assert listed == [20 * 20, 40 * 40]  # each with itself
