@@ -193,8 +193,7 @@ def g7_pairs(spark, sf_dir):
 
 @query("g7_core_points", rec(*CLUS, "SELECT id, neighbourhood::BIGINT AS neighbourhood, core FROM corep"))
 def g7_core(spark, sf_dir):
-    vectors = train_vectors(spark, sf_dir)
-    return T.core_points(vectors, T.neighbour_pairs(vectors, vectors, SETUP.eps), SETUP.min_samples)
+    return T.neighbourhoods(train_vectors(spark, sf_dir), SETUP.eps, SETUP.min_samples)
 
 
 @query("g7_density_cluster", rec(*CLUS, "SELECT id, event_id, core, cluster FROM clus"))
