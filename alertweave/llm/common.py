@@ -118,20 +118,22 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(vertex, component) of the vertices of `edges` (a, b); the component is its smallest vertex. The result is a stored table.
 
     Each round every vertex takes the smallest label around it and then the
     label of that label, so a chain of n vertices takes about log n rounds. Labels
-    are stored round by round; rounds end when none changes.
+    are stored round by round, in `parts` files at most if given, so that few edges
+    are joined without a shuffle; rounds end when none changes.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l", F.col("a").alias("old")))
+    few = lambda df: df.coalesce(parts) if parts else df
+    both = stored(few(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct()))
+    labels = stored(few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l", F.col("a").alias("old"))))
     while True:
         near = both.join(labels.select("v", "l"), F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
         hooked = labels.join(near, F.col("v") == F.col("a")).select("v", "l", F.least("l", "m").alias("n"))
         up = labels.select(F.col("v").alias("u"), F.col("l").alias("up"))
-        new = stored(hooked.join(up, F.col("n") == F.col("u"), "left").select("v", F.least("n", "up").alias("l"), F.col("l").alias("old")))
+        new = stored(few(hooked.join(up, F.col("n") == F.col("u"), "left").select("v", F.least("n", "up").alias("l"), F.col("l").alias("old"))))
         discard(labels)
         labels = new
         if not labels.where("l <> old").limit(1).count():

@@ -17,9 +17,10 @@ several classes are looked at:
   What is large after LEVELS levels holds pairs close to the threshold and is
   compared in blocks.
 
-Only pairs whose sketches agree come out of a task, first the best of each set, twice,
-then those still between classes. They are confirmed on the full sets, which travel to a
-node's pairs once per set. A pair at the threshold has too few equal
+Only pairs whose sketches agree are confirmed on the full sets. The best pairs of each set
+come out of a task and are confirmed first. Of what is still between classes no pair leaves its
+meeting: the full sets travel to the first meeting of each pair, once per set, and only links
+that join classes come out, so masses of near misses do not multiply rows. A pair at the threshold has too few equal
 bytes with a probability under 4e-6. It misses the root of one tree with probability 7/16,
 and of all TREES trees with 1e-9; after one, two, three levels it is left in a tree's
 small nodes with probability 0.46, 0.39, 0.34, and misses all trees with 3e-7, 8e-6, 5e-5.
@@ -32,7 +33,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,8 +49,8 @@ TOKENS = 48
 SKETCH = 512
 TREES = 24
 LEVELS = 6
-#: Sets of a node that are compared exhaustively.
-SMALL = 512
+#: A node is compared exhaustively if no set of it makes more pairs than this; what is compared in blocks has blocks of SMALL sets.
+PAIRS_PER_SET, SMALL = 2048, 512
 #: Similarity of a link, in percent, and the least number of equal sketch bytes of a candidate: four and a half deviations below.
 LINK = 75
 LEAST_EQUAL = int(SKETCH * 0.75 - 4.5 * (SKETCH * 0.75 * 0.25) ** 0.5)
@@ -57,6 +58,7 @@ LEAST_EQUAL = int(SKETCH * 0.75 - 4.5 * (SKETCH * 0.75 * 0.25) ** 0.5)
 SECOND_CHILD = 33
 #: Sets that a task compares together, shingles that it confirms together, and pairs of sketches looked at in one block.
 ROWS_TOGETHER, SHINGLES_TOGETHER, PAIRS_TOGETHER = 10_000, 4_000_000, 1 << 13
+SETS_PER_FILE = 20_000
 #: Shingles hashed at once, which bounds the memory of long texts.
 _CHUNK = 1024
 
@@ -129,13 +131,13 @@ def linked_pairs(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * common >= LINK * (len(left) + len(right) - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """Of pairs (meet, a, b) those (a, b) whose full sets reach the similarity of a link.
+def _bucket(buckets: int) -> Column:
+    """Meetings are dealt into buckets for their confirmation."""
+    return F.pmod(F.xxhash64("meet"), F.lit(buckets)).cast("int").alias("bucket")
 
-    Each set travels once to each meeting that has a pair of it; meetings are dealt into buckets.
-    """
-    bucket = F.pmod(F.xxhash64("meet"), F.lit(buckets)).cast("int").alias("bucket")
-    ends = pairs.select("meet", F.explode(F.array("a", "b")).alias("set_id")).select(bucket, "set_id").distinct()
+
+def _sent(ends: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, set_id, shingles): the full sets of distinct (bucket, set_id)."""
     bitmap = sets.sparkSession.sparkContext.broadcast(bitmap_of(ends.select(F.xxhash64("set_id").alias("hash")), "hash"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +145,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
             yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy()))).select([1, 2])
 
     near = sets.mapInArrow(named, "set_id binary, shingles binary")
-    sent = ends.join(near, "set_id").select("bucket", "set_id", "shingles")
+    return ends.withColumnRenamed("set_id", "_id").join(near, F.col("_id") == F.col("set_id")).select("bucket", "set_id", "shingles")
+
+
+def _held(sent: pa.Table) -> dict[bytes, np.ndarray]:
+    shingles = (np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("shingles").combine_chunks())
+    return dict(zip(sent.column("set_id").to_pylist(), shingles))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """Of pairs (meet, a, b) those (a, b) whose full sets reach the similarity of a link.
+
+    Each set travels once to each meeting that has a pair of it; meetings are dealt into buckets.
+    """
+    ends = pairs.select("meet", F.explode(F.array("a", "b")).alias("set_id")).select(_bucket(buckets), "set_id").distinct()
 
-    def settled(looked: pa.Table, held: pa.Table) -> pa.Table:
-        at = {x: i for i, x in enumerate(held.column("set_id").to_pylist())}
-        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.column("shingles").combine_chunks()]
-        fine = [linked_pairs(shingles[at[a]], shingles[at[b]]) for a, b in zip(looked.column("a").to_pylist(), looked.column("b").to_pylist())]
+    def settled(looked: pa.Table, sent: pa.Table) -> pa.Table:
+        held = _held(sent)
+        fine = [linked_pairs(held[a], held[b]) for a, b in zip(looked.column("a").to_pylist(), looked.column("b").to_pylist())]
         return looked.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    dealt = pairs.select(bucket, "a", "b")
-    return dealt.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(settled, "a binary, b binary")
+    dealt = pairs.select(_bucket(buckets), "a", "b")
+    return dealt.groupBy("bucket").cogroup(_sent(ends, sets).groupBy("bucket")).applyInArrow(settled, "a binary, b binary")
+
+
+def _joined_inside(rows: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """Links (a, b) that join the classes of the sets of each meeting; `rows` as `with_partner` gives them.
+
+    Pairs are confirmed where they meet first, the most similar ones before others, unless their classes are
+    joined already. A task gives fewer links than it has classes.
+    """
+    dealt = rows.withColumn("bucket", _bucket(buckets))
+
+    def joined(looked: pa.Table, sent: pa.Table) -> pa.Table:
+        looked = looked.sort_by("meet")
+        held, names, first = _held(sent), looked.column("set_id").to_pylist(), _first_meeting(looked)
+        left, right, equal = agreeing_places(looked)
+        label = _labels(looked).tolist()
+        parent = list(range(len(label)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
+        for at in np.argsort(-equal, kind="stable"):
+            i, j = int(left[at]), int(right[at])
+            one, other = root(label[i]), root(label[j])
+            if one != other and first(i, j) and linked_pairs(held[names[i]], held[names[j]]):
+                parent[other] = one
+                a.append(min(names[i], names[j]))
+                b.append(max(names[i], names[j]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    ends = rows.select(_bucket(buckets), "set_id").distinct()
+    return dealt.groupBy("bucket").cogroup(_sent(ends, sets).groupBy("bucket")).applyInArrow(joined, "a binary, b binary")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -160,17 +208,18 @@ def _fits(x: str, y: str) -> Column:
     return 100 * F.least(x, y) >= LINK * F.greatest(x, y)
 
 
-def agreeing(rows: pa.Table, best: bool) -> pa.Table:
-    """Pairs (meet, a, b) of sets of one meeting and different classes whose sketches agree.
+def _whole(rows: pa.Table, name: str) -> pa.Array:
+    return rows.column(name).combine_chunks()
 
-    `best` keeps two pairs of a set at most: the one with the most equal bytes, and the best one with its meeting's largest class.
-    """
-    rows = rows.sort_by("meet")
-    whole = lambda name: rows.column(name).combine_chunks()
-    meet, size = whole("meet").to_numpy(), whole("n_shingles").to_numpy()
-    label = whole("class").dictionary_encode().indices.to_numpy().astype(np.int64)
-    meet_number = np.cumsum(np.concatenate([[0], meet[1:] != meet[:-1]])) if len(meet) else meet
-    sketch = np.frombuffer(b"".join(whole("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
+
+def _labels(rows: pa.Table) -> np.ndarray:
+    return _whole(rows, "class").dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def agreeing_places(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (left, right) of sets of one meeting and different classes whose sketches agree, and their equal bytes; rows are sorted by meeting."""
+    meet, size, label = _whole(rows, "meet").to_numpy(), _whole(rows, "n_shingles").to_numpy(), _labels(rows)
+    sketch = np.frombuffer(b"".join(_whole(rows, "sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
     left, right, equal = [], [], []  # 32-bit places, as a mass of near copies may give many
     for apart in range(1, rows.num_rows):
         same = meet[apart:] == meet[:-apart]
@@ -185,8 +234,19 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
             left.append(block[good].astype(np.int32))
             right.append((block[good] + apart).astype(np.int32))
             equal.append(alike[good].astype(np.int32))
-    left, right, equal = (np.concatenate([*x, np.empty(0, np.int32)]) for x in (left, right, equal))
-    if best and len(left):
+    return tuple(np.concatenate([*x, np.empty(0, np.int32)]) for x in (left, right, equal))
+
+
+def best_agreeing(rows: pa.Table) -> pa.Table:
+    """Pairs (meet, a, b) of sets of one meeting and different classes whose sketches agree, two of a set at most.
+
+    These are the pair with the most equal bytes and the best one with its meeting's largest class.
+    """
+    rows = rows.sort_by("meet")
+    meet, label = _whole(rows, "meet").to_numpy(), _labels(rows)
+    meet_number = np.cumsum(np.concatenate([[0], meet[1:] != meet[:-1]])) if len(meet) else meet
+    left, right, equal = agreeing_places(rows)
+    if len(left):
         # the largest class of each meeting, as the label of every row
         pair = meet_number * (int(label.max()) + 1) + label
         count = np.unique(pair, return_counts=True)[1][np.unique(pair, return_inverse=True)[1]]
@@ -200,7 +260,7 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
                 first[1:] = one[ordered_at][1:] != one[ordered_at][:-1]
                 keep[ordered_at[first]] = True
         left, right = left[keep], right[keep]
-    names = whole("set_id")
+    names = _whole(rows, "set_id")
     rank = np.empty(rows.num_rows, np.int64)
     rank[pc.sort_indices(names).to_numpy()] = np.arange(rows.num_rows)
     turned = rank[left] > rank[right]
@@ -208,12 +268,20 @@ def agreeing(rows: pa.Table, best: bool) -> pa.Table:
     return pa.table({"meet": pa.array(meet[left], pa.int64()), "a": names.take(pa.array(left)), "b": names.take(pa.array(right))})
 
 
-def _best_agreeing(rows: pa.Table) -> pa.Table:
-    return agreeing(rows, best=True)
+def _first_meeting(rows: pa.Table) -> Callable[[int, int], bool]:
+    """Whether the sets at two places of one meeting have no common meeting before it."""
+    meet, meets = _whole(rows, "meet").to_pylist(), [frozenset(x) for x in _whole(rows, "meets").to_pylist()]
+    return lambda i, j: min(meets[i] & meets[j]) == meet[i]
 
 
-def _all_agreeing(rows: pa.Table) -> pa.Table:
-    return agreeing(rows, best=False)
+def with_partner(rows: pa.Table) -> pa.Table:
+    """The rows with a set of another class whose sketch agrees and which they meet here first; all without their bucket."""
+    rows = rows.sort_by("meet")
+    first, keep = _first_meeting(rows), np.zeros(rows.num_rows, bool)
+    for i, j in zip(*(x.tolist() for x in agreeing_places(rows)[:2])):
+        if not (keep[i] and keep[j]) and first(i, j):
+            keep[i] = keep[j] = True
+    return rows.filter(pa.array(keep)).drop_columns(["bucket"])
 
 
 class _Classes:
@@ -221,12 +289,14 @@ class _Classes:
 
     def __init__(self, vertices: DataFrame, sets: DataFrame):
         self.vertices, self.sets = vertices, sets
-        spark = vertices.sparkSession
-        self.classes = stored(spark.createDataFrame([], "set_id binary, class binary"))
+        empty = F.lit(None).cast("binary")
+        self.classes = stored(vertices.sparkSession.range(0, 0, 1, 1).select(empty.alias("set_id"), empty.alias("class")))
         self.tried: list[DataFrame] = []
         # a bucket of confirmations holds about so many sets that their shingles stay within bounds
-        total = vertices.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-        self.buckets = max(1, -(-total // SHINGLES_TOGETHER)) * 16
+        total = vertices.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("sets")).first()
+        self.buckets = max(1, -(-(total["n"] or 0) // SHINGLES_TOGETHER)) * 16
+        #: Files of a table with a few narrow rows per set: many tiny ones cost more than their rows.
+        self.parts = 1 + total["sets"] // SETS_PER_FILE
 
     def of(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
@@ -236,27 +306,32 @@ class _Classes:
         pairs = pairs.groupBy("a", "b").agg(F.min("meet").alias("meet"))
         for before in self.tried:
             pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if not pairs.limit(1).count():
+        pairs = stored(pairs.coalesce(self.parts))
+        any_pair = pairs.limit(1).count()
+        if self.tried and not any_pair:
             discard(pairs)
             return
-        links = stored(_confirmed(pairs, self.sets, self.buckets))
         self.tried.append(pairs)
+        if any_pair:
+            self.join(stored(_confirmed(pairs, self.sets, self.buckets)))
         if len(self.tried) > 3:
-            joined = stored(reduce(DataFrame.union, self.tried))
+            joined = stored(reduce(DataFrame.union, self.tried).coalesce(self.parts))
             discard(*self.tried)
             self.tried = [joined]
+
+    def join(self, links: DataFrame) -> None:
+        """Join the classes of the ends of links (a, b), a stored table that is deleted."""
         if not links.limit(1).count():
             discard(links)
             return
         name = lambda side: self.classes.select(F.col("set_id").alias(side), F.col("class").alias(f"_{side}"))
         edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
         edges = edges.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
-        merged = components(edges)
+        merged = components(edges, self.parts)
         ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         every = ends.join(self.classes, "set_id", "full").select("set_id", F.coalesce("class", "set_id").alias("class"))
         joined = every.join(merged, F.col("class") == F.col("vertex"), "left")
-        after = stored(joined.select("set_id", F.coalesce("component", "class").alias("class")))
+        after = stored(joined.select("set_id", F.coalesce("component", "class").alias("class")).coalesce(self.parts))
         discard(links, merged, self.classes)
         self.classes = after
 
@@ -277,21 +352,30 @@ class _Classes:
         self.link(pairs.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(64))).alias("meet"), "a", "b"))
 
     def meet(self, rows: DataFrame) -> None:
-        """Compare the sets of each meeting (meet, set_id) across classes: two rounds of the best pairs of each set, then all that is still between classes."""
+        """Compare the sets of each meeting (meet, set_id) across classes: the best pairs of each set, then all that is still between classes, inside the meetings."""
         total = rows.count()
         if not total:
             return
         known = self.vertices.select("set_id", "n_shingles", "sketch")
         bucket = F.pmod(F.xxhash64("meet", F.lit(1)), F.lit(-(-total // ROWS_TOGETHER) * 4)).cast("int").alias("bucket")
-        for pick in (_best_agreeing, _best_agreeing, _all_agreeing):
-            now = stored(self.of(rows))
+
+        def apart(rows: DataFrame) -> DataFrame:
+            now = self.of(rows)
             mixed = now.groupBy("meet").agg((F.min("class") != F.max("class")).alias("several")).where("several").select("meet")
-            left = stored(now.join(mixed, "meet", "left_semi"))
-            discard(now)
-            if left.limit(1).count():
-                dealt = left.join(known, "set_id").select(bucket, "meet", "n_shingles", "class", "set_id", "sketch")
-                self.link(dealt.groupBy("bucket").applyInArrow(pick, "meet bigint, a binary, b binary"))
-            discard(left)
+            return stored(now.join(mixed, "meet", "left_semi"))
+
+        left = apart(rows)
+        if left.limit(1).count():
+            dealt = left.join(known, "set_id").select(bucket, "meet", "n_shingles", "class", "set_id", "sketch")
+            self.link(dealt.groupBy("bucket").applyInArrow(best_agreeing, "meet bigint, a binary, b binary"))
+            still = apart(left.select("meet", "set_id"))
+            visits = still.groupBy("set_id").agg(F.collect_list("meet").alias("meets"))
+            dealt = still.join(visits, "set_id").join(known, "set_id").select(bucket, "meet", "meets", "n_shingles", "class", "set_id", "sketch")
+            paired = stored(dealt.groupBy("bucket").applyInArrow(with_partner, dealt.drop("bucket").schema))
+            if paired.limit(1).count():
+                self.join(stored(_joined_inside(paired, self.sets, self.buckets)))
+            discard(still, paired)
+        discard(left)
 
 
 def _mixed(nodes: DataFrame) -> DataFrame:
@@ -302,18 +386,23 @@ def _mixed(nodes: DataFrame) -> DataFrame:
     return nodes.join(whole, "node")
 
 
+def _many() -> Column:
+    """Whether a node holds more sets outside its largest class than each block of that class can meet."""
+    return F.col("others") > min(SMALL, PAIRS_PER_SET)
+
+
 def _meetings(mixed: DataFrame, last: bool) -> DataFrame:
     """(meet, set_id): whole small nodes; of larger ones the sets outside the largest class with blocks of it; at the last level blocks by blocks."""
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
     block = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
     named = lambda *parts: F.xxhash64("node", *parts).alias("meet")
-    small = mixed.where(F.col("n") <= SMALL).select(named(), "set_id")
-    main = mixed.where((F.col("n") > SMALL) & (F.col("others") <= SMALL))
+    small = mixed.where(F.col("n") <= PAIRS_PER_SET).select(named(), "set_id")
+    main = mixed.where((F.col("n") > PAIRS_PER_SET) & ~_many())
     inside = main.where("class = most").select(named(block), "set_id")
     beside = main.where("class <> most").select("node", "set_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i")).select(named("i"), "set_id")
     out = small.union(inside).union(beside)
     if last:
-        large = mixed.where((F.col("n") > SMALL) & (F.col("others") > SMALL)).select("node", "set_id", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+        large = mixed.where((F.col("n") > PAIRS_PER_SET) & _many()).select("node", "set_id", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
         out = out.union(large.select(named(F.least("own", "i"), F.greatest("own", "i")), "set_id"))
     return out
 
@@ -355,7 +444,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         meetings = stored(_meetings(mixed, depth == LEVELS))
         found.meet(meetings)
         discard(meetings)
-        large = mixed.where((F.col("n") > SMALL) & (F.col("others") > SMALL)).select("node", "set_id")
+        large = mixed.where((F.col("n") > PAIRS_PER_SET) & _many()).select("node", "set_id")
         if depth == LEVELS or not large.limit(1).count():
             discard(mixed)
             break

@@ -456,6 +456,24 @@ def test_neardup_of_masses_below_the_threshold(spark):
     assert sizes[1] <= 6 * max(sizes[0], 600) and sizes[1] < 600 * 599 / 2 / 10
 
 
+def test_neardup_of_near_misses_whose_sketches_agree(spark, monkeypatch):
+    """Texts at a similarity of about 0.72 look like links by their sketches: they are refuted inside their meetings, and links among them are found."""
+    block = " ".join(f"b{i}" for i in range(150))
+    texts = [block + " " + " ".join(f"t{k}w{i}" for i in range(28)) for k in range(240)]
+    texts += [t + f" end{k}" for k, t in enumerate(texts[:20])]
+    out, link = [], neardup._Classes.link
+
+    def counted(self, pairs):
+        out.append(pairs.select("a", "b").distinct().count())
+        link(self, pairs)
+
+    monkeypatch.setattr(neardup._Classes, "link", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()}
+    assert found == {i: i if i < 240 else i - 240 for i in range(260)}
+    assert sum(out) < 260 * 259 / 2 / 3
+
+
 def test_neardup_recall_just_above_the_threshold(spark):
     """Pairs of similarity 0.75 to 0.80 beside groups of 0.5 to 0.7."""
     rng = np.random.default_rng(6)
