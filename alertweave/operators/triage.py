@@ -23,6 +23,8 @@ UNIT = 10_000
 _ROUNDING_SLACK = 100
 #: Fingerprints of so many features at most meet on one decisive feature or on two shared ones.
 NARROW = 4
+#: Up to so many different weights of one set of features, stored fingerprints are looked up by what they may share with a query.
+WEIGHTINGS = 512
 
 
 # ---- patterns and fingerprints ----------------------------------------------------
@@ -505,6 +507,29 @@ def scored_vectors(rows: DataFrame, value: str = "score") -> DataFrame:
 # ---- triage -----------------------------------------------------------------------------------------
 
 
+def _parts(vectors: DataFrame, size: int) -> DataFrame:
+    """Every non-empty set of the features of a narrow fingerprint: `id, event_id, _mass, _fs, _ws` (the features in order, and their weights)."""
+    at = [F.get("vector", F.lit(i)) for i in range(size)]
+    sets = [[i for i in range(size) if chosen >> i & 1] for chosen in range(1, 1 << size)]
+    part = lambda s: F.struct(F.array(*[at[i]["e"] for i in s]).alias("_fs"), F.array(*[at[i]["w"] for i in s]).alias("_ws"))
+    made = F.array_compact(F.array(*[F.when(F.size("vector") > s[-1], part(s)) for s in sets]))
+    return vectors.select("id", "event_id", mass(F.col("vector")).alias("_mass"), F.inline(made))
+
+
+def _nearest_by_parts(queries: DataFrame, parts: DataFrame, size: int, reach: int) -> DataFrame:
+    """Nearest narrow fingerprint `id, distance, _n` within reach, from what it shares with the query.
+
+    `parts` hold the lightest fingerprint (then the smallest id) that has given weights on a set of features. Taken over the set
+    that query and fingerprint have in common this gives their distance, over a smaller set no less: the least is the nearest.
+    A query visits each set of its features once per weighting of it, however many fingerprints have that.
+    """
+    met = _parts(queries, size).join(parts, ["event_id", "_fs"])
+    shared = sum((F.coalesce(F.least(F.get("_ws", F.lit(i)), F.get("_stored", F.lit(i))), F.lit(0)) for i in range(size)), F.lit(0))
+    offer = F.struct((F.col("_mass") + F.col("_lightest._mass") - 2 * shared).alias("distance"), F.col("_lightest.id").alias("_n"))
+    best = met.select("id", offer.alias("_b")).filter(F.col("_b.distance") <= reach).groupBy("id").agg(F.min("_b").alias("_b"))
+    return best.select("id", "_b.distance", "_b._n")
+
+
 #: Radii of the search for a nearest fingerprint, as shares of eps.
 _WIDENING = (0.125, 0.25, 0.5, 1.0)
 
@@ -513,7 +538,8 @@ def nearest_scored(queries: DataFrame, stored: DataFrame, eps: float, values: Se
     """Nearest stored fingerprint of the same event within eps: `id, distance, values` (absent when none is).
 
     Ties go to the smallest stored fingerprint. A fingerprint that is stored itself
-    is its own nearest, by an equi join. The others look around with a widening radius:
+    is its own nearest, by an equi join. Of narrow fingerprints with few weightings the others
+    look up what they may share, without pairs. Else they look around with a widening radius:
     what is found within a radius is the nearest, and only those that have found nothing
     go on, so the pairs of a wide reach are listed for few.
     """
@@ -522,7 +548,15 @@ def nearest_scored(queries: DataFrame, stored: DataFrame, eps: float, values: Se
     asked = cut_lineage(queries.select("id", "event_id", "vector").join(own, ["event_id", "vector"], "left"))
     found = asked.filter("_same IS NOT NULL").select("id", F.lit(0).alias("distance"), F.col("_same").alias("_n"))
     left = asked.filter("_same IS NULL").drop("_same")
-    for share in _WIDENING:
+    size, _, _ = _measures(left, numbered)
+    radii = _WIDENING
+    if 0 < size <= NARROW:
+        weighted = _parts(numbered, size).groupBy("event_id", "_fs", F.col("_ws").alias("_stored"))
+        parts = cut_lineage(weighted.agg(F.min(F.struct("_mass", "id")).alias("_lightest")))
+        if (parts.groupBy("event_id", "_fs").count().agg(F.max("count")).first()[0] or 0) <= WEIGHTINGS:
+            found = found.unionByName(cut_lineage(_nearest_by_parts(left, parts, size, int(round(eps * UNIT)))))
+            radii = ()
+    for share in radii:
         pairs = neighbour_pairs(left, numbered.select("id", "event_id", "vector"), eps * share)
         best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("distance", "right_id")).alias("_b"))
         best = cut_lineage(best.select("id", "_b.distance", F.col("_b.right_id").alias("_n")))

@@ -453,3 +453,31 @@ def test_neighbourhoods_list_few_pairs(spark, monkeypatch):
         found = T.neighbourhoods(df, 1.0, 5).collect()
         assert {r["neighbourhood"] for r in found} == {n * n} and len(found) == n * n
     assert listed == [20 * 20, 40 * 40]  # each with itself
+
+
+@pytest.mark.parametrize("size", [3, 4])
+def test_nearest_of_narrow_fingerprints_lists_no_pairs(spark, monkeypatch, size):
+    """What a query may share is looked up: distances and ties as in brute force, and no pair of fingerprints is listed."""
+    rng, seen = random.Random(size), set()
+    while len(seen) < 300:
+        weights = {}
+        for w in ((1429, 2857, 5714), (667, 1333, 2667, 5333))[size - 3]:
+            f = rng.choice((0, 0, *range(1, 12)))
+            weights[f] = weights.get(f, 0) + w
+        seen.add((rng.randrange(2), tuple(sorted(weights.items()))))
+    rows = sorted(seen)
+    rng.shuffle(rows)
+    held, asked = sorted(rows[:120]), rows[100:]
+    stored = spark.createDataFrame([(e, list(v), i) for i, (e, v) in enumerate(held)], f"event_id int, vector {VECTOR}, score int")
+    queries = spark.createDataFrame([(i, e, list(v)) for i, (e, v) in enumerate(asked)], f"id long, event_id int, vector {VECTOR}")
+    expected = {}
+    for i, (e, v) in enumerate(asked):
+        best = min(((brute_l1(v, w), j) for j, (o, w) in enumerate(held) if o == e and set(dict(v)) & set(dict(w))), default=(20_000, 0))
+        if best[0] <= 10_000:
+            expected[i] = (best[0] / T.UNIT, best[1])
+    found = lambda: {r["id"]: (r["distance"], r["score"]) for r in T.nearest_scored(queries, stored, 1.0).collect()}
+    with monkeypatch.context() as patched:
+        patched.setattr(T, "neighbour_pairs", None)
+        assert found() == expected and len({d for d, _ in expected.values()}) > 3
+    monkeypatch.setattr(T, "WEIGHTINGS", 0)
+    assert found() == expected
