@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions.hashing import hex_mod10, seeded_key, split_code
-from alertweave.operators.ordering import first_rows, order_cut, running_position
+from alertweave.operators.ordering import first_rows, running_position, whole_cut
 
 
 def scenario_folds(rows: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
@@ -195,16 +195,15 @@ def same_rule_pair_sample(
 def ratio_split(rows: DataFrame, ratio: float, order: Sequence[Column], name: str = "split") -> DataFrame:
     """`train` for the first `min(max(1, int(n * ratio)), n - 1)` rows by `order`, else `test`.
 
-    The cut row is found from counts per order level, never by sorting the table.
+    The cut row is found from counts per order level, never by sorting the table, and compared with
+    each row as a constant, so that no row is moved.
     """
-    total = rows.agg(F.count("*").alias("_n"))
-    want = F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(ratio)))), F.col("_n") - 1)
-    total = total.select(want.alias("_want"), F.lit(1).alias("_one"))
-    sized = rows.withColumn("_one", F.lit(1)).join(total, "_one")
-    cut = order_cut(sized, ["_one"], "_want", order)
+    want = lambda n: F.least(F.greatest(F.lit(1), F.floor(n * F.lit(float(ratio)))), n - 1)
+    cut = whole_cut(rows, want, order)
+    if cut is None:
+        return rows.withColumn(name, F.lit("test"))
     position = F.struct(*[c.alias(f"_lv{i}") for i, c in enumerate(order)])
-    split = F.when(position <= F.col("_cut"), "train").otherwise("test")
-    return sized.join(cut, "_one", "left").withColumn(name, split).select(*rows.columns, name)
+    return rows.withColumn(name, F.when(position <= cut, "train").otherwise("test"))
 
 
 def sequence_split(lines: DataFrame, training_source: str = "train") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +80,30 @@ def order_cut(df: DataFrame, keys: Sequence[str], want: str, levels: Sequence[Co
     return picked.select(*keys, F.struct(*names).alias("_cut"))
 
 
+def whole_cut(df: DataFrame, want: Callable[[Column], Column], levels: Sequence[Column]) -> Column | None:
+    """The level values of the row at 1-based rank `want(number of rows)` of the whole table, as a constant struct.
+
+    `levels` as in `order_cut`, and the input is read twice likewise. One row per level comes to the driver and narrows the next.
+    None if there is no such row.
+    """
+    names = [f"_lv{i}" for i in range(len(levels))]
+    live = df.select(*[c.alias(n) for c, n in zip(levels, names)])
+    types = dict(live.dtypes)
+    found, left = [], None
+    for depth, level in enumerate(names):
+        counts = live.groupBy(level).agg(F.count("*").alias("_n"))
+        up_to = Window.orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumn("_cum", F.sum("_n").over(up_to)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+        rank = want(F.col("_all")) if left is None else F.lit(left)
+        picked = running.filter((F.col("_cum") >= rank) & (F.col("_cum") - F.col("_n") < rank)).select(level, (rank - F.col("_cum") + F.col("_n")).alias("_left")).first()
+        if picked is None:
+            return None
+        found.append(F.lit(picked[level]).cast(types[level]))
+        live, left = live.filter(F.col(level) == found[-1]), picked["_left"]
+        live = cut_lineage(live) if depth == 0 and len(names) > 1 else live
+    return F.struct(*[v.alias(n) for v, n in zip(found, names)])
+
+
 def take_smallest(df: DataFrame, keys: Sequence[str], want: str, levels: Sequence[Column]) -> DataFrame:
     """Flag `taken`: the first `want` rows per `keys` in the order given by `levels`.
 

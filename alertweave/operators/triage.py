@@ -31,17 +31,19 @@ WEIGHTINGS = 512
 
 
 def compact_patterns(
-    rows: DataFrame, max_multiplicity: int = 5, label: str = "label", revealed: str | None = None, keys: Sequence[str] = ()
+    rows: DataFrame, max_multiplicity: int = 5, label: str = "label", revealed: str | None = None, keys: Sequence[str] = (),
+    count: str | None = None,
 ) -> DataFrame:
-    """Distinct (context, target) with row count, capped count and the largest label.
+    """Distinct (context, target) with row count, capped count and the largest label; `count`: how many rows a row stands for.
 
     With `revealed` only flagged rows give a label; a pattern without one gets -9.
     Capping at the core size keeps every density-core decision.
     """
     value = F.col(label) if revealed is None else F.when(F.col(revealed), F.col(label))
+    n = F.count("*") if count is None else F.sum(count)
     return rows.groupBy(*keys, "event_id", "context").agg(
-        F.count("*").alias("n"),
-        F.least(F.count("*"), F.lit(max_multiplicity)).alias("weight"),
+        n.alias("n"),
+        F.least(n, F.lit(max_multiplicity)).alias("weight"),
         F.coalesce(F.max(value), F.lit(E.UNLABELLED)).alias("label"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from alertweave.operators import context as C
 from alertweave.operators import triage as T
 from alertweave.operators.folds import ratio_split
-from alertweave.session import cut_lineage
+from alertweave.session import cut_lineage, stored_rows
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,12 @@ def _strict(alerts: DataFrame, setup: TriageSetup) -> DataFrame:
     return C.strict_past_context(alerts, setup.width, setup.timeout).withColumn("context", C.ids("context"))
 
 
+def _strict_seconds(alerts: DataFrame, setup: TriageSetup, alike: DataFrame) -> DataFrame:
+    """`alike` rows, counted per second of a machine, with the strict context of their second."""
+    seconds = C.strict_past_seconds(alerts, setup.width, setup.timeout)
+    return alike.join(seconds, ["machine", "timestamp"]).withColumn("context", C.ids("context"))
+
+
 def _arrival(alerts: DataFrame, setup: TriageSetup) -> DataFrame:
     return C.arrival_context(alerts, setup.width).withColumn("context", C.ids("context"))
 
@@ -70,9 +76,14 @@ def split_patterns(alerts: DataFrame, setup: TriageSetup, context: str = "strict
     """
     order = [F.floor(F.col("timestamp") / 86_400), F.col("timestamp"), F.floor(F.col("row_id") / 65_536), F.col("row_id")]
     columns = ["scenario", "machine", "timestamp", "row_id", "event_id", "label"]
-    rows = ratio_split(alerts.select(*columns), setup.train_ratio, order)
-    rows = CONTEXTS[context](rows, setup)
-    patterns = T.compact_patterns(rows, setup.min_samples, keys=["split"])
+    rows = ratio_split(stored_rows(alerts.select(*columns)), setup.train_ratio, order)
+    if context == "strict":
+        # alike rows of a second share its context: they are counted before they meet it
+        alike = rows.groupBy("machine", "timestamp", "split", "event_id").agg(F.count("*").alias("_rows"), F.max("label").alias("label"))
+        rows = _strict_seconds(rows, setup, alike)
+        patterns = T.compact_patterns(rows, setup.min_samples, keys=["split"], count="_rows")
+    else:
+        patterns = T.compact_patterns(CONTEXTS[context](rows, setup), setup.min_samples, keys=["split"])
     padded = C.left_pad(F.col("context"), setup.width, -1)
     numbered = T.running_position(patterns, [], ["split", "event_id", "context"], "pattern_id")
     return numbered.withColumn("padded", padded)

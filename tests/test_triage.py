@@ -14,6 +14,7 @@ from alertweave.operators import metrics as M
 from alertweave.operators import points as P
 from alertweave.operators import stats as ST
 from alertweave.operators import triage as T
+from alertweave.plans import triage as TP
 
 VECTOR = "array<struct<e:int,w:int>>"
 
@@ -481,3 +482,25 @@ def test_nearest_of_narrow_fingerprints_lists_no_pairs(spark, monkeypatch, size)
         assert found() == expected and len({d for d, _ in expected.values()}) > 3
     monkeypatch.setattr(T, "WEIGHTINGS", 0)
     assert found() == expected
+
+
+def test_copies_of_a_second_are_counted_before_their_context(spark, monkeypatch):
+    """Alike alerts meet their context as one row, and the split moves no row: both followed the number of alerts."""
+    setup, met, plain = TP.TriageSetup(width=3, train_ratio=0.5), [], T.compact_patterns
+
+    def watched(rows, *args, **named):
+        met.append(rows.count())
+        return plain(rows, *args, **named)
+
+    monkeypatch.setattr(T, "compact_patterns", watched)
+    for copies in (1, 3):
+        rows = [("s", f"s::m{m}", 900 * t, 4 * (40 * c + t) + 2 * m + e, (t * t + m) % 5 + e, t % 3 - 1) for t in range(40) for m in range(2) for e in range(2) for c in range(copies)]
+        alerts = spark.createDataFrame(rows, "scenario string, machine string, timestamp long, row_id long, event_id int, label int")
+        key = lambda r: (r["split"], r["event_id"], tuple(r["context"]), r["n"], r["weight"], r["label"])
+        got = sorted(key(r) for r in TP.split_patterns(alerts, setup).collect())
+        order = [F.floor(F.col("timestamp") / 86_400), F.col("timestamp"), F.col("row_id")]
+        split = FO.ratio_split(alerts, 0.5, order)
+        assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+        assert got == sorted(key(r) for r in plain(TP.CONTEXTS["strict"](split, setup), 5, keys=["split"]).collect())
+        assert sum(r[3] for r in got) == 160 * copies
+    assert met == [160, 160]
