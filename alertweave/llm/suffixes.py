@@ -15,7 +15,9 @@ smallest hash, so equal strings have their anchor at the same place.
    partitioned by the same splitters, sorted by multikey quicksort over 8-byte
    tokens, and runs of equal strings compared: all but the first of a run go. Of a
    gram that is very frequent or spread over ranges each string travels by its own
-   hash, so no bucket depends on the frequency of one gram.
+   hash, over even ranges of it, so no bucket depends on the frequency of one gram.
+   Of equal strings in a block of documents only the first travels, the others are
+   settled there, so none depends on the frequency of one string either.
 
 Anchors and surroundings are compared by 64-bit hashes, strings by their bytes.
 
@@ -44,6 +46,9 @@ REACH = SPAN - GRAM
 #: A bucket holds about so many anchors; a gram with more surroundings in a bucket travels by string.
 BUCKET_ANCHORS = 600_000
 FREQUENT = 5_000
+#: Distinct strings a task holds back to settle equal ones, and strings in a bucket where they travel by their own hash.
+BLOCK_STRINGS = 50_000
+BUCKET_STRINGS = 300_000
 #: Documents sampled for the splitters (expected number), and for each bucket where that is more.
 SAMPLED, SAMPLED_PER_BUCKET = 3_000, 30
 #: Strings sorted at once, and bytes of a text hashed at once.
@@ -181,8 +186,15 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of a bucket to the spans (doc, salt, begin, end) of those that occur earlier."""
-    tables = [b for b in batches if b.num_rows]
+    """Strings of a bucket to the spans (doc, salt, begin, end) of those that occur earlier; rows without bytes are settled."""
+    tables = []
+    for batch in batches:
+        open_ = batch.column(7).is_valid()
+        if known := batch.num_rows - open_.true_count:
+            _, _, doc, salt, at, _, last, _ = batch.filter(batch.column(7).is_null()).columns
+            yield pa.RecordBatch.from_arrays([doc, salt, at, pa.array(at.to_numpy() + last.to_numpy() + SPAN)], names=["doc", "salt", "begin", "end"])
+        if known < batch.num_rows:
+            tables.append(batch.filter(open_) if known else batch)
     if not tables:
         return
     table = pa.Table.from_batches(tables)
@@ -216,17 +228,47 @@ def _sorted_strings(key, doc, salt, at, first, last, text, rows: np.ndarray) ->
     rank[np.lexsort((begin, salt, doc))] = np.arange(len(owner))
     order, starts = multikey_order(tokens, rank)
     head = order[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-    d, s = doc[order], salt[order]
-    own = np.concatenate([[False], (d[1:] == d[:-1]) & (s[1:] == s[:-1])]) & ~starts
+    d, s, b = doc[order], salt[order], begin[order]
+    # rows equal in doc_id and text bring the same start twice
+    own = np.concatenate([[False], (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (b[1:] > b[:-1])]) & ~starts
     gone = order[(d > doc[head]) | own]
-    gone = gone[np.lexsort((begin[gone], salt[gone], doc[gone]))]
     if len(gone):
-        d, s, b = doc[gone], salt[gone], begin[gone]
-        new = _runs(d, s)
-        new[1:] |= b[1:] > b[:-1] + 1
-        opens = np.flatnonzero(new)
-        closes = np.append(opens[1:], len(b)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(d[opens]), pa.array(s[opens]), pa.array(b[opens]), pa.array(b[closes] + SPAN)], names=["doc", "salt", "begin", "end"])
+        d, s, b, last = _joined_starts(doc[gone], salt[gone], begin[gone])
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(b), pa.array(last + SPAN)], names=["doc", "salt", "begin", "end"])
+
+
+def _joined_starts(doc: np.ndarray, salt: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, salt, first, last) of the runs of string starts one byte apart."""
+    order = np.lexsort((begin, salt, doc))
+    doc, salt, begin = doc[order], salt[order], begin[order]
+    new = _runs(doc, salt)
+    new[1:] |= begin[1:] > begin[:-1] + 1
+    opens = np.flatnonzero(new)
+    return doc[opens], salt[opens], begin[opens], begin[np.append(opens[1:], len(begin)) - 1]
+
+
+class FirstStrings:
+    """Of the equal strings of a block of documents the first, and the starts (doc, salt, begin) of those after it."""
+
+    def __init__(self):
+        self.first: dict[bytes, tuple[int, int, int]] = {}
+        self.gone: list[tuple[int, int, int]] = []
+        self.apart: list[tuple[bytes, tuple[int, int, int]]] = []
+
+    def add(self, string: bytes, doc: int, salt: int, begin: int) -> None:
+        new = (doc, salt, begin)
+        held = self.first.setdefault(string, new)
+        if held == new:
+            return
+        if doc == held[0] and salt != held[1]:
+            # rows of one doc_id but other texts are not earlier than each other
+            self.apart.append((string, new))
+        else:
+            self.gone.append(max(held, new))
+            self.first[string] = min(held, new)
+
+    def __len__(self) -> int:
+        return len(self.first) + len(self.gone) + len(self.apart)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,12 +324,15 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     lists = looked.where("kind > 0").groupBy("doc", "salt").agg(F.sort_array(F.collect_list(F.struct("place", "kind"))).alias("found"))
     lists = stored(lists)
 
+    ranges = np.unique(splitters)
+    # an anchor has (REACH + 2) / 2 strings on average
+    string_buckets = max(buckets, ceil(looked.where("kind = 2").count() * (REACH + 2) / 2 / BUCKET_STRINGS))
+
     def stringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        names = ["bucket", "key", "doc", "salt", "at", "first", "last", "bytes"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        out: list[tuple] = []
+        met = FirstStrings()
         for batch in batches:
-            out: list[tuple] = []
             for doc, salt, value, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 doc, salt, data = doc.as_py(), salt.as_py(), _bytes_of(value.as_py())
                 wanted = found.values
@@ -300,26 +345,46 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                             key = int(gram[i].view(np.int64))
                             out.append((key, doc, salt, low, 0, high - low, data[low : high + SPAN].tobytes()))
                         else:
-                            for s in range(low, high + 1):
-                                string = data[s : s + SPAN].tobytes()
-                                key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
-                                out.append((key, doc, salt, s, 0, 0, string))
-                if len(out) >= 8192:
-                    yield emitted(out, names, types)
-                    out = []
-            if out:
-                yield emitted(out, names, types)
-
-    def emitted(out: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        bucket, _ = _bucket(np.unique(splitters), np.array(columns[0], np.int64), np.zeros(len(out), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=names)
+                            part = data[low : high + SPAN].tobytes()
+                            for s in range(high - low + 1):
+                                met.add(part[s : s + SPAN], doc, salt, low + s)
+                        if len(out) >= 8192:
+                            yield ranged(out)
+                            out = []
+                        if len(met) >= BLOCK_STRINGS:
+                            yield from block(met)
+                            met = FirstStrings()
+        if out:
+            yield ranged(out)
+        yield from block(met)
+
+    def ranged(out: list[tuple]) -> pa.RecordBatch:
+        return emitted(out, _bucket(ranges, np.array([o[0] for o in out], np.int64), np.zeros(len(out), np.int64))[0])
+
+    def block(met: FirstStrings) -> Iterator[pa.RecordBatch]:
+        strings = [*met.first.items(), *met.apart]
+        for begin in range(0, len(strings), 8192):
+            out = []
+            for string, (doc, salt, at) in strings[begin : begin + 8192]:
+                key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                out.append((key, doc, salt, at, 0, 0, string))
+            high = np.array([o[0] for o in out], np.int64).view(np.uint64) >> np.uint64(32)
+            yield emitted(out, (high * np.uint64(string_buckets) >> np.uint64(32)).astype(np.int32))
+        if met.gone:
+            doc, salt, first, last = _joined_starts(*np.array(met.gone, np.int64).T)
+            out = [(0, d, s, f, 0, t - f, None) for d, s, f, t in zip(doc.tolist(), salt.tolist(), first.tolist(), last.tolist(), strict=True)]
+            yield emitted(out, ((doc + salt) % string_buckets).astype(np.int32))
+
+    def emitted(out: list[tuple], bucket: np.ndarray) -> pa.RecordBatch:
+        names = ["bucket", "key", "doc", "salt", "at", "first", "last", "bytes"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types[1:], strict=True))], names=names)
 
     texts = _only(rows, lists)
     joined = texts.join(lists, ["doc", "salt"]).select("doc", "salt", "text", "found")
     strings = joined.mapInArrow(stringed, "bucket int, key bigint, doc bigint, salt int, at bigint, first bigint, last bigint, bytes binary")
     # equal strings have one key and so one bucket: nothing is left to compare across buckets
-    repeats = strings.repartitionById(buckets, "bucket").mapInArrow(_repeats, "doc bigint, salt int, begin bigint, end bigint")
+    repeats = strings.repartitionById(string_buckets, "bucket").mapInArrow(_repeats, "doc bigint, salt int, begin bigint, end bigint")
     settled = looked.where("kind = 0").select(
         "doc", "salt", F.greatest(F.lit(0), F.col("place") - REACH).cast("bigint").alias("begin"), (F.col("place") + SPAN).cast("bigint").alias("end")
     )

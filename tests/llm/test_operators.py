@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -218,6 +220,43 @@ def test_suffix_dedup_spreads_frequent_grams(corpus, monkeypatch):
     check_spans(found, [*corpus.rows, *more])
 
 
+def test_suffix_dedup_deals_frequent_strings_evenly(corpus, monkeypatch, tmp_path):
+    """Strings of frequent grams go to all buckets, and of equal ones in a block of documents only the first goes."""
+    monkeypatch.setattr(suffixes, "FREQUENT", 2)
+    folder, sorted_rows = str(tmp_path), suffixes._repeats
+
+    def counted(batches):
+        batches = list(batches)
+        Path(folder, uuid.uuid4().hex).write_text(str(sum(b.num_rows - b.column(7).null_count for b in batches)))
+        yield from sorted_rows(iter(batches))
+
+    monkeypatch.setattr(suffixes, "_repeats", counted)
+    words = np.random.default_rng(8).integers(97, 123, (40, 300), np.uint8)
+    # one passage between different ones, and many passages each in a few places
+    more = [(3000 + i, f"{w.tobytes().decode()[: 60 + i]} {corpus.passage[:160]} {w.tobytes().decode()[60 + i :]}", "en", "s", 0) for i, w in enumerate(words)]
+    more += [(4000 + i, f"{i:09d}{words[(i * 7) % 40].tobytes().decode()[100:240]}{i:09d}", "en", "s", 0) for i in range(120)]
+    docs = corpus(more=more).coalesce(1)
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(docs).collect()}
+    check_spans(found, [*corpus.rows, *more])
+    read = sorted(int(p.read_text()) for p in tmp_path.iterdir())
+    assert len(read) > 2 and read[-1] < 0.6 * sum(read)
+
+
+def test_suffix_dedup_same_row_twice(corpus):
+    """Of rows equal in doc_id and text neither is earlier."""
+    twice = (-5, f"{'v' * 70}{corpus.passage[:160]}{'w' * 70}", "en", "s", 0)
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(corpus(more=[twice, twice])).collect()}
+    check_spans(found, [*corpus.rows, twice])
+
+
+def test_suffix_dedup_first_strings():
+    met = suffixes.FirstStrings()
+    for place in [(5, 1, 9), (5, 1, 4), (7, 2, 0), (3, 6, 8), (3, 9, 2), (3, 6, 8)]:
+        met.add(b"a", *place)
+    assert met.first == {b"a": (3, 6, 8)} and met.apart == [(b"a", (3, 9, 2))]
+    assert sorted(met.gone) == [(5, 1, 4), (5, 1, 9), (7, 2, 0)]
+
+
 def check_spans(found, rows):
     seen, total = set(), 0
     for doc_id, text, *_ in sorted(rows):
