@@ -51,6 +51,8 @@ BLOCK_STRINGS = 50_000
 BUCKET_STRINGS = 300_000
 #: Documents sampled for the splitters (expected number), and for each bucket where that is more.
 SAMPLED, SAMPLED_PER_BUCKET = 3_000, 30
+#: Splitters are leading bits of the hash, so many as a double holds: quantiles are found in doubles, and must equal a frequent gram's key.
+KEY_SHIFT = 12
 #: Strings sorted at once, and bytes of a text hashed at once.
 SORT_STRINGS = 150_000
 _CHUNK = 1 << 16
@@ -300,7 +302,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     continue
                 gram, around, doc, place = (np.concatenate(c) for c in zip(*out, strict=True))
                 gram = gram.view(np.int64)
-                bucket, spread = _bucket(splitters, gram, (doc * 31 + (place >> 32)) & 0x7FFFFFFF)
+                bucket, spread = _bucket(splitters, gram >> KEY_SHIFT, (doc * 31 + (place >> 32)) & 0x7FFFFFFF)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket), pa.array(gram), pa.array(around.view(np.int64)), pa.array(doc), pa.array(place), pa.array(spread)],
                     names=["bucket", "gram", "around", "doc", "place", "spread"],
@@ -311,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     share = min(1.0, max(SAMPLED, SAMPLED_PER_BUCKET * buckets) / max(1, total["n"]))
     sample = rows.where(F.pmod(F.xxhash64("doc", "salt", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(anchored, schema)
     quantiles = [i / buckets for i in range(1, buckets)]
-    found = sample.agg(F.percentile_approx("gram", quantiles, 1_000_000).alias("q")).first()["q"] if quantiles else None
+    found = sample.agg(F.percentile_approx(F.shiftright("gram", KEY_SHIFT), quantiles, 1_000_000).alias("q")).first()["q"] if quantiles else None
     splitters = np.array(found or [], np.int64)
 
     looked = stored(
@@ -359,7 +361,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         yield from block(met)
 
     def ranged(out: list[tuple]) -> pa.RecordBatch:
-        return emitted(out, _bucket(ranges, np.array([o[0] for o in out], np.int64), np.zeros(len(out), np.int64))[0])
+        return emitted(out, _bucket(ranges, np.array([o[0] for o in out], np.int64) >> KEY_SHIFT, np.zeros(len(out), np.int64))[0])
 
     def block(met: FirstStrings) -> Iterator[pa.RecordBatch]:
         strings = [*met.first.items(), *met.apart]

@@ -242,6 +242,25 @@ def test_suffix_dedup_deals_frequent_strings_evenly(corpus, monkeypatch, tmp_pat
     assert len(read) > 2 and read[-1] < 0.6 * sum(read)
 
 
+def test_suffix_dedup_spreads_one_gram(spark, monkeypatch, tmp_path):
+    """Anchors of one gram that fills whole ranges go to all of them."""
+    sizes = str(tmp_path)
+    classified = suffixes._classified
+
+    def counted(batches):
+        batches = list(batches)
+        Path(sizes, uuid.uuid4().hex).write_text(str(sum(b.num_rows for b in batches)))
+        yield from classified(iter(batches))
+
+    monkeypatch.setattr(suffixes, "_classified", counted)
+    passage = "".join(f"{i:02d}, " for i in range(25))
+    rows = [(i, passage) for i in range(400)]
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    check_spans(found, rows)
+    read = sorted(int(p.read_text()) for p in tmp_path.iterdir())
+    assert sum(read) == 400 and read[-1] < 200
+
+
 def test_suffix_dedup_same_row_twice(corpus):
     """Of rows equal in doc_id and text neither is earlier."""
     twice = (-5, f"{'v' * 70}{corpus.passage[:160]}{'w' * 70}", "en", "s", 0)
